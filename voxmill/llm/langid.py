@@ -14,9 +14,41 @@ from pyspark.sql.window import Window as W
 from ._common import table
 
 #: The bounded training sample: documents of each language, and characters from the middle of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 1500
-LEVEL = 3
+SAMPLE_DOCS, SAMPLE_CHARS = 160, 1500
+LEVEL = 9
+#: Bytes of letters below which a narrow margin is no ground for rejection: there is too little to tell.
+MARGIN_FROM = 400
 _LETTER = re.compile(r"[^\W\d_]")
+_NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> bytes:
+    """What is encoded: letters in lower case, one space for all between them. Marks and capitals tell no language."""
+    return _NO_LETTERS.sub(" ", text.lower()).encode()
+
+
+def coder(data: bytes) -> zstandard.ZstdCompressor:
+    own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
+
+
+def _dictionaries(pieces: dict[str, list[bytes]]) -> dict[str, bytes]:
+    return {lang: b"\n".join(own) for lang, own in pieces.items()}
+
+
+def _trusted(pieces: dict[str, list[bytes]]) -> dict[str, list[bytes]]:
+    """Without the pieces that the other half of the sample assigns to another language: wrong labels would teach."""
+    halves = [{lang: own[i::2] for lang, own in pieces.items()} for i in (0, 1)]
+    kept: dict[str, list[bytes]] = {lang: [] for lang in pieces}
+    for own, other in (halves, halves[::-1]):
+        coders = [(lang, coder(d)) for lang, d in _dictionaries(other).items() if d]
+        for lang, texts in own.items():
+            for text in texts:
+                sizes = {name: len(c.compress(text)) for name, c in coders}
+                if lang not in sizes or sizes[lang] == min(sizes.values()):
+                    kept[lang].append(text)
+    return {lang: kept[lang] or own for lang, own in pieces.items()}
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
@@ -37,39 +69,35 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     middle = F.expr(f"substring(text, greatest(1, cast((length(text) - {SAMPLE_CHARS}) / 2 as int)), {SAMPLE_CHARS})")
     few = rows.select("lang", "doc_id", draw.alias("draw"), middle.alias("piece")).where(F.col("draw") < share)
     ranked = few.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("draw", "doc_id", "piece"))).where(F.col("rank") <= SAMPLE_DOCS)
-    pieces: dict[str, list[str]] = {}
+    pieces: dict[str, list[bytes]] = {}
     for r in ranked.orderBy("lang", "rank").select("lang", "piece").collect():
-        pieces.setdefault(r.lang, []).append(r.piece)
+        pieces.setdefault(r.lang, []).append(plain(r.piece))
     order = sorted(pieces, key=lambda x: (-counts[x], x))
-    return {lang: "\n".join(pieces[lang]).encode() for lang in order}
+    return _dictionaries(_trusted({lang: pieces[lang] for lang in order}))
 
 
 def identify(texts: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.0) -> DataFrame:
     """``texts`` with lang_pred and score; its columns may be any, but for ``text`` which is read.
 
     score is the margin: by what part the smallest encoding is smaller than the second smallest (0 to 1; 1 if there is
-    one language alone). lang_pred is ``und`` for null texts, texts without a letter, a score under ``least_margin``, or
-    when nothing was learned. Ties go to the language with more documents. Whole texts are encoded, each for itself, so
+    one language alone). lang_pred is ``und`` for null texts, texts without a letter, a score under ``least_margin``
+    (in texts of MARGIN_FROM bytes or more), or when nothing was learned. Ties go to the language with more documents. Whole texts are encoded, each for itself, so
     very long ones cost their length and no memory beyond it. Input columns named lang_pred or score are replaced.
     """
     kept = [c for c in texts.columns if c not in ("lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coders = []
-        for lang, data in dictionaries.items():
-            own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=LEVEL)
-            coders.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)))
+        coders = [(lang, coder(data)) for lang, data in dictionaries.items()]
         for batch in batches:
             langs, scores = [], []
             for text in batch.column(1).to_pylist():
                 lang, score = "und", 0.0
                 if coders and text and _LETTER.search(text):
-                    data = text.encode()
-                    sizes = [len(coder.compress(data)) for _, coder in coders]
+                    data = plain(text)
+                    sizes = [len(c.compress(data)) for _, c in coders]
                     best, *rest = sorted(sizes)
                     score = 1 - best / rest[0] if rest else 1.0
-                    if score >= least_margin:
+                    if score >= least_margin or len(data) < MARGIN_FROM:
                         lang = coders[sizes.index(best)][0]
                 langs.append(lang)
                 scores.append(score)
