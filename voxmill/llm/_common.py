@@ -30,7 +30,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +94,17 @@ def maybe_in(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
     bit = F.call_function("shiftright", F.col("bits"), place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1))
     joined = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word", "left")
     return joined.withColumn("maybe", F.coalesce(bit, F.lit(0)) == 1).drop("word", "bits")
+
+
+def row_key():
+    """Tells rows of documents apart by doc_id and text; rows alike in both share a key."""
+    return F.xxhash64(F.col("doc_id").cast("long"), text_key(F.col("text").cast("string")))
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``row_key`` is in ``keys`` (id long). Texts of rows that surely stay are not
+    shuffled."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key().alias("id"))
+    split = maybe_in(rows, id_filter(keys))
+    stay = split.where("not maybe").select("row").union(split.where("maybe").join(keys.distinct(), "id", "left_anti").select("row"))
+    return stay.select("row.*")

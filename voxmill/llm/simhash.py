@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sub_batches, table, text_key, written
+from ._common import id_filter, maybe_in, row_key, table, text_key, written
 from .graph import connected_components
 
 #: Fingerprints that one task compares with each other (or with as many of another block).
@@ -113,7 +113,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """doc_id, text_key, fp, component_id of each row of ``docs`` (doc_id, text).
+    """doc_id, text_key, fp, root (the group), component_id of each row of ``docs`` (doc_id, text).
 
     Rows link when their fingerprints differ in ``most`` or fewer bits; component_id is the smallest doc_id of the
     linked group. Texts without words (null, empty, white space) have fingerprint zero and link like any other. A null
@@ -127,8 +127,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     roots = written(connected_components(links(distinct.select("fp"), most)), "roots")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id (nulls last), then the smallest text key.
+    Rows alike in both are one. Columns stay as they are."""
+    found = written(near_duplicates(docs, shingle, most), "near")
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    groups = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("root", "first")
+    grouped = found.join(groups, "root").select(F.xxhash64("doc_id", "text_key").alias("id"), (place == F.col("first")).alias("stays")).distinct()
+    grouped = written(grouped, "grouped")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key().alias("id"))
+    split = maybe_in(rows, id_filter(grouped))
+    judged = split.where("maybe").join(grouped, "id", "left")
+    stay = split.where("not maybe").select("row").union(judged.where("stays is null").select("row"))
+    return stay.union(judged.where("stays").dropDuplicates(["id"]).select("row")).select("row.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

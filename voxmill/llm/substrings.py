@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_filter, maybe_in, sub_batches, table, text_key, written
+from ._common import discard, id_filter, maybe_in, sub_batches, table, text_key, written
 from .recompress import Words, contained, index, mix, whole_windows, window_hashes
 
 #: Words that are handled at once in a task.
@@ -132,6 +132,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     repeated = windows.join(least, ["h", "check"]).where("id > least").select("id", "place")
     places = repeated.groupBy("id").agg(F.collect_list("place").alias("places"))
     cuts = written(places.join(copies, "id", "full").select("id", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied")), "cuts")
+    discard(digests, copies, names, lists, windows)
 
     split = maybe_in(rows, id_filter(cuts))
     columns = ["id", "text_key", "text", "places", "copied", "row"]
