@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,14 @@ def sub_batches(sizes, limit: int):
         yield start, len(sizes)
 
 
+def text_slices(column, limit: int):
+    """(first row, one after the last, texts as Python values) of runs of about ``limit`` bytes of an Arrow column, so
+    that a large batch is not held as Python objects all at once."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for a, b in sub_batches(sizes, limit):
+        yield a, b, column.slice(a, b - a).to_pylist()
+
+
 #: Bits of a membership filter: 2 MB, whatever the number of its members.
 FILTER_BITS = 1 << 24
 

@@ -81,7 +81,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found, named = hits(docs, benchmark, window)
-    found = written(found.distinct(), "hits")
+    found, named = written(found.distinct(), "hits"), written(named, "named")
 
     key = ["doc_id", "text_key"]
     before = F.max(F.col("at") + F.col("size")).over(W.partitionBy(*key).orderBy("at").rowsBetween(W.unboundedPreceding, -1))

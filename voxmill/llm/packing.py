@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sub_batches, table
+from ._common import sub_batches, table, text_slices
 from .tokens import encoder, vocabulary
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -88,9 +88,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
         first = TaskContext.get().partitionId() << 36
         used, rest, rows, held = 0, [], [], 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in sub_batches([len(t or "") for t in texts], 2_000_000):
-                for doc_id, ids in zip(doc_ids[a:b], encode(texts[a:b]), strict=True):
+            doc_ids = batch.column(0).to_pylist()
+            for a, b, texts in text_slices(batch.column(1), 2_000_000):
+                for doc_id, ids in zip(doc_ids[a:b], encode(texts), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     while n - start >= size:

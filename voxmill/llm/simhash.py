@@ -126,8 +126,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     distinct = written(distinct, "distinct")
     roots = written(connected_components(links(distinct.select("fp"), most)), "roots")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "root", "component_id")
+    rooted = written(rooted, "rooted")
+    ids = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
+    named = written(rooted.join(ids, "root").select("fp", "root", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
@@ -137,6 +138,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     found = written(near_duplicates(docs, shingle, most), "near")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     groups = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("root", "first")
+    groups = written(groups, "groups")
     grouped = found.join(groups, "root").select(F.xxhash64("doc_id", "text_key").alias("id"), (place == F.col("first")).alias("stays")).distinct()
     grouped = written(grouped, "grouped")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), row_key().alias("id"))

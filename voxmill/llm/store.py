@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import fresh_path, partitions, sub_batches, table, text_key
+from ._common import fresh_path, partitions, table, text_key, text_slices
 from .tokens import encoder, vocabulary
 
 #: Chunk lengths in ids, and the ids that the rolling hash sees.
@@ -85,9 +85,9 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
         end = end_id.to_bytes(4, "little")
         seen: set[bytes] = set()
         for batch in batches:
-            doc_ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
-            for a, b in sub_batches([len(t or "") for t in texts], 2_000_000):
-                encoded = [x + end for x in encode_texts(texts[a:b])]
+            doc_ids, keys = (batch.column(i).to_pylist() for i in range(2))
+            for a, _, texts in text_slices(batch.column(2), 2_000_000):
+                encoded = [x + end for x in encode_texts(texts)]
                 ids = np.frombuffer(b"".join(encoded), "<u4")
                 if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
                     raise ValueError("an id needs more than 2 bytes: call with width=4")
