@@ -9,17 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, id_filter, maybe_in, sub_batches, table, text_key, written
+from ._common import discard, id_filter, maybe_in, table, text_key, text_slices, written
 from .recompress import Words, contained, index, mix, whole_windows, window_hashes
 
-#: Words that are handled at once in a task.
-AT_ONCE = 200_000
+#: Bytes of text that are handled at once in a task.
+AT_ONCE = 800_000
 
 
 def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    texts = batch.column(column).to_pylist()
-    for a, b in sub_batches([len(t or "") // 6 for t in texts], AT_ONCE):
-        yield a, b, [(t or "").encode().split() for t in texts[a:b]]
+    for a, b, texts in text_slices(batch.column(column), AT_ONCE):
+        yield a, b, [(t or "").encode().split() for t in texts]
 
 
 def _names(window: int):
@@ -103,6 +102,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller
     doc_id; all windows are judged on the input. Words are what ASCII white space divides.
 
+    (Tables of firsts are written before they are joined back: a join of two plain shuffles is one whose hot keys Spark
+    can split.)
+
     How: each document is recompressed to symbols that equal passages share; a symbol found in one document alone
     proves that no window around it is repeated. What windows are left (few beside the true repeats) are verified by 96
     bits of hashes of their words. Whole copies of a text are settled by its digest before.
@@ -117,18 +119,19 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     empty = F.array().cast("array<long>")
 
     digests = written(texts.select("id", "text_key", F.unhex(F.sha2("text", 256)).alias("digest")), "digests")
-    least = digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    least = written(digests.groupBy("digest").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "firsts")
     copies = digests.join(least, "digest").where("id > least").groupBy("id").agg(F.collect_set("text_key").alias("copied"))
     copies = written(copies, "copies")
 
     names = written(texts.select("id", "text").mapInArrow(_names(window), "name long, id long"), "names")
     shared = names.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name")
+    shared = written(shared, "repeated")
     lists = names.join(shared, "name").groupBy("id").agg(F.collect_list("name").alias("shared"))
     lists = written(lists.join(copies, "id", "left").select("id", "shared", F.coalesce("copied", empty).alias("copied")), "shared")
 
     suspects = maybe_in(texts, id_filter(lists)).where("maybe").join(lists, "id").select("id", "text_key", "text", "shared", "copied")
     windows = written(suspects.mapInArrow(_candidates(window), "h long, check int, id long, place long"), "windows")
-    least = windows.groupBy("h", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
+    least = written(windows.groupBy("h", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "firsts")
     repeated = windows.join(least, ["h", "check"]).where("id > least").select("id", "place")
     places = repeated.groupBy("id").agg(F.collect_list("place").alias("places"))
     cuts = written(places.join(copies, "id", "full").select("id", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied")), "cuts")
