@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from voxmill import queries
+from voxmill import queries, queries_images, queries_labels  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels".split()

@@ -30,3 +30,10 @@ def channels(mask: Column) -> Column:
     """Numbers of the set bits among the low eight, as csv."""
     bits = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda b: F.call_function("shiftright", mask, b).bitwiseAND(F.lit(1)) == 1)
     return F.array_join(bits.cast("array<string>"), ",")
+
+
+def range_bounds(text: Column, margin: int, low: int, high: int) -> tuple[Column, Column]:
+    """First and last plane of a text like "3,7", widened by ``margin`` on both sides and kept inside low..high."""
+    ends = F.split(text, ",")
+    first, last = (F.trim(F.get(ends, i)).cast("int") for i in (0, 1))
+    return F.greatest(F.lit(low), first - margin).alias("low"), F.least(F.lit(high), last + margin).alias("high")

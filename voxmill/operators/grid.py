@@ -58,3 +58,21 @@ def nearest_distance(vox: DataFrame, reference: DataFrame, radius: int) -> DataF
     offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(a * a + b * b + c * c).alias("d2")) for a, b, c in ball)))
     spread = reference.select("z", "y", "x", offsets.alias("o")).select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.d2")
     return vox.join(spread.groupBy("z", "y", "x").agg(F.min("d2").alias("d2")), ["z", "y", "x"], "left")
+
+
+def class_images(result: DataFrame, classes: tuple[int, ...]) -> DataFrame:
+    """A row for each voxel and class: the certainty where the voxel is of that class, else 0."""
+    spread = result.withColumn("class_id", F.explode(F.array(*(F.lit(c) for c in classes))))
+    low = F.col("class_id") * 10 + 1
+    return spread.withColumn("val", F.when(F.col("code").between(low, low + 9), F.col("code") - low).otherwise(0))
+
+
+def candidates(seeds: DataFrame, points: DataFrame, radius: int) -> DataFrame:
+    """Seeds (z, y, x) with the values of the points in the square of ``radius`` around, in the same plane: seeds are
+    spread over the square and met by an equi-join."""
+
+    def around(axis: str):
+        return F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))
+
+    spread = seeds.select("z", "y", "x", around("y").alias("py")).withColumn("px", around("x"))
+    return spread.join(points.select("z", F.col("y").alias("py"), F.col("x").alias("px"), "val"), ["z", "py", "px"])

@@ -63,3 +63,49 @@ def extremes(vox: DataFrame, how) -> DataFrame:
     for axis in ("x", "y"):
         vox = vox.withColumn("val", how("val").over(line(axis).rangeBetween(-1, 1)))
     return vox
+
+
+def pyramid(vox: DataFrame, levels: int) -> DataFrame:
+    """Levels of an image: each the average of 2 x 2 blocks of the one before."""
+    found = level = vox.select("image_id", "t", "c", *AXES, "val")
+    found = found.withColumn("level", F.lit(0))
+    for i in range(1, levels):
+        level = blocks(level, 2, 2)
+        found = found.unionByName(level.withColumn("level", F.lit(i)))
+    return found
+
+
+def derivatives(vox: DataFrame) -> DataFrame:
+    """Laplacian and gradient magnitude in a plane by central differences; inner voxels alone."""
+    wx, wy = line("x"), line("y")
+    near = vox.withColumns({n: f("val").over(w) for n, f, w in (("left", F.lag, wx), ("right", F.lead, wx), ("up", F.lag, wy), ("down", F.lead, wy))})
+    gx, gy = (F.col("right") - F.col("left")) / 2, (F.col("down") - F.col("up")) / 2
+    laplacian = F.col("left") + F.col("right") + F.col("up") + F.col("down") - 4 * F.col("val")
+    return near.withColumn("laplacian", laplacian).withColumn("edge", F.sqrt(gx * gx + gy * gy)).where("laplacian is not null")
+
+
+def up_sampled(coarse: DataFrame, fine: DataFrame, b: int) -> DataFrame:
+    """Bilinear values of a coarse image (blocks of b) at the places of a fine one. A coarse voxel is spread over the
+    places it weighs on; weights are summed map-side. Places at the border share out what weight there is."""
+    spread = coarse
+    weight = F.lit(1.0)
+    for axis in ("y", "x"):
+        spread = spread.withColumn(f"f{axis}", F.explode(F.sequence(F.col(axis) * b - b, F.col(axis) * b + 2 * b)))
+        weight = weight * F.greatest(F.lit(0.0), 1 - F.abs((F.col(f"f{axis}") - (b - 1) / 2) / b - F.col(axis)))
+    rows = spread.withColumn("w", weight).where("w > 0").groupBy("image_id", "t", "c", "z", F.col("fy").alias("y"), F.col("fx").alias("x"))
+    key = ["image_id", "t", "c", *AXES]
+    return rows.agg((F.sum(F.col("w") * F.col("val")) / F.sum("w")).alias("val")).join(fine.select(*key), key, "left_semi")
+
+
+def entropy(vox: DataFrame, radius: int, bins: int, low: float, high: float) -> DataFrame:
+    """Shannon bits of the histogram in a disc around each voxel. Voxels are spread over the disc and counted by bin, one
+    row a place and bin at most."""
+    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
+    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in disc)))
+    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("val") - low) / (high - low) * bins).cast("int")))
+    spread = vox.select("image_id", "t", "c", "z", "y", "x", at.alias("bin"), offsets.alias("o"))
+    place = [F.col("image_id"), F.col("t"), F.col("c"), F.col("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")]
+    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
+    counts = spread.groupBy(*place, "bin").agg(F.count("*").alias("n"), F.bool_or(own).alias("own"))
+    sums = counts.groupBy("image_id", "t", "c", *AXES).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("part"), F.bool_or("own").alias("own"))
+    return sums.where("own").withColumn("bits", F.abs(F.log2("total") - F.col("part") / F.col("total")))

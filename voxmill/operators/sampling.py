@@ -49,3 +49,50 @@ def until_significant(votes: DataFrame, every: int = 10, a: float = 4.0) -> Data
     checked = run.where(((F.col("n") > every) & (F.col("n") % every == 1) & sure) | (F.col("n") == F.col("trees")))
     first = checked.groupBy("row_id").agg(F.min_by(F.struct("mean", "n"), "n").alias("s"))
     return first.select("row_id", F.when(F.col("s.mean") >= 0.5, 0).otherwise(1).alias("class_id"), F.round(F.abs(2 * F.col("s.mean") - 1), 6).alias("certainty"), F.col("s.n").alias("n_trees"))
+
+
+def class_weighted(inst: DataFrame) -> DataFrame:
+    """Rows with the weight of their class: the size of the largest class over that of theirs."""
+    sizes = inst.groupBy("class_id").agg(F.count("*").alias("size"))
+    weights = sizes.select("class_id", (F.max("size").over(W.partitionBy()) / F.col("size")).alias("weight"))  # a row a class
+    return inst.join(F.broadcast(weights), "class_id")
+
+
+def class_shares(inst: DataFrame) -> DataFrame:
+    """Share of each class and its place by size (ties by name): the model of least knowledge."""
+    sizes = inst.groupBy("class_id").agg(F.count("*").alias("size"))  # a row a class
+    place = F.row_number().over(W.partitionBy().orderBy(F.desc("size"), "class_id"))
+    return sizes.select("class_id", (F.col("size") / F.sum("size").over(W.partitionBy())).alias("prob"), place.alias("place"))
+
+
+def balanced(inst: DataFrame) -> DataFrame:
+    """Rows with ``copies``, how often each is taken to give all classes an equal share; what is over a whole number is
+    drawn by the md5 key of (label_id, n)."""
+    sizes = inst.groupBy("class_id").agg(F.count("*").alias("size"))
+    every = W.partitionBy()
+    ratios = sizes.select("class_id", (F.sum("size").over(every) / F.count("*").over(every) / F.col("size")).alias("ratio"))
+    over = F.floor(F.round((F.col("ratio") - F.floor("ratio")) * 1000000, 3))
+    return inst.join(F.broadcast(ratios), "class_id").withColumn("copies", F.floor("ratio") + F.when(draw("label_id", "n") % 1000000 < over, 1).otherwise(0))
+
+
+def rectangle_pixels(regions: DataFrame, edge: int) -> DataFrame:
+    """A row for each pixel of rectangles (x0..x1, y0..y1, inclusive) that lies in an image of ``edge`` x ``edge``."""
+
+    def inside(axis: str):
+        low, high = F.greatest(F.lit(0).cast("long"), f"{axis}0"), F.least(F.lit(edge - 1).cast("long"), f"{axis}1")
+        return F.explode(F.when(low <= high, F.sequence(low, high)))
+
+    return regions.withColumn("x", inside("x")).withColumn("y", inside("y"))
+
+
+def thick_line(points: DataFrame, width: int) -> DataFrame:
+    """Pixels of strokes (points in the order n of each label, ties by x and y) as wide lines: from each point but the first, ``width``
+    steps across the direction it was reached in."""
+    order, half = W.partitionBy("label_id").orderBy("n", "x", "y"), width // 2
+    moved = points.withColumns({f"d{a}": F.col(a) - F.lag(a).over(order) for a in "xy"}).where("dx is not null").withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    spread = moved.withColumn("i", F.explode(F.sequence(F.lit(-half), F.lit(width - 1 - half))))
+
+    def step(by: str):
+        return F.when(F.col("len") > 0, F.col("i") * F.col(by) / F.col("len")).otherwise(0.0)
+
+    return spread.select("label_id", "n", "i", F.floor(F.col("x") - step("dy") + 0.5).alias("px"), F.floor(F.col("y") + step("dx") + 0.5).alias("py"))

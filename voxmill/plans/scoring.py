@@ -6,6 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from voxmill.sources.tables import VOXEL, table
 
@@ -43,3 +44,20 @@ def forest_accuracy(spark, sf_dir: str, trees: int = 20) -> DataFrame:
     weighted = rows.where("not held").join(F.broadcast(sizes.crossJoin(top)), "class_id").withColumn("weight", F.col("top") / F.col("n"))
     model = RandomForestClassifier(labelCol="class_id", weightCol="weight", numTrees=trees, featureSubsetStrategy="0.1", subsamplingRate=0.66, maxDepth=8, seed=1).fit(weighted)
     return model.transform(rows.where("held")).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("class_id")).alias("hits"))
+
+
+def average_vote(votes: DataFrame) -> DataFrame:
+    """Class and its probability from the mean over all trees of p0, the vote for class 0."""
+    p = F.round(F.avg("p0"), 9)
+    mean = votes.groupBy("vec_id").agg(p.alias("p"))
+    return mean.select("vec_id", F.when(F.col("p") >= 0.5, 0).otherwise(1).alias("class_id"), F.greatest("p", 1 - F.col("p")).alias("prob"))
+
+
+def fold_auc(rows: DataFrame) -> DataFrame:
+    """Area under the curve of each fold (fold, score, quality 0/1), ties counted half. Rows are counted per score before
+    a window runs over the scores; null if a fold has one class alone."""
+    pos, neg = (F.count_if(F.col("quality") == q) for q in (1, 0))
+    counts = rows.groupBy("fold", "score").agg(pos.alias("pos"), neg.alias("neg"))
+    below = F.sum("neg").over(W.partitionBy("fold").orderBy("score")) - F.col("neg")
+    won = F.col("pos") * (F.col("below") + F.col("neg") / 2)
+    return counts.withColumn("below", below).groupBy("fold").agg((F.sum(won) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0).cast("long"))).alias("auc"))

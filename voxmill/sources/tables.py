@@ -16,13 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a table in the folder that ``spark.checkpoint.dir`` names (a local one if it is unset)."""
-    sc = df.sparkSession.sparkContext
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that ``spark.checkpoint.dir`` names (a local one if it is unset)."""
+    sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
         sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="voxmill-"))
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table in the shared folder."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
