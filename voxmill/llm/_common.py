@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +76,12 @@ def sub_batches(sizes, limit: int):
         yield start, len(sizes)
 
 
+def drained(batches):
+    """The batches; then Arrow gives back to the system what its pool kept for them, as the Python worker lives on."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(column, limit: int):
     """(first row, one after the last, texts as Python values) of runs of about ``limit`` bytes of an Arrow column, so
     that a large batch is not held as Python objects all at once."""

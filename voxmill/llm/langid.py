@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import table
+from ._common import drained, table, text_slices
 
 #: The bounded training sample: documents of each language, and characters from the middle of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 160, 1500
 LEVEL = 9
+#: Bytes of texts that a task holds as Python values at once.
+AT_ONCE = 4_000_000
 #: Bytes of letters below which a narrow margin is no ground for rejection: there is too little to tell.
 MARGIN_FROM = 400
 _LETTER = re.compile(r"[^\W\d_]")
@@ -85,25 +87,28 @@ def identify(texts: DataFrame, dictionaries: dict[str, bytes], least_margin: flo
     very long ones cost their length and no memory beyond it. Input columns named lang_pred or score are replaced.
     """
     kept = [c for c in texts.columns if c not in ("lang_pred", "score")]
+    at, inside = kept.index("text"), texts.schema["text"].dataType.typeName() == "string"  # a string goes out once, in its row
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [(lang, coder(data)) for lang, data in dictionaries.items()]
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1).to_pylist():
-                lang, score = "und", 0.0
-                if coders and text and _LETTER.search(text):
-                    data = plain(text)
-                    sizes = [len(c.compress(data)) for _, c in coders]
-                    best, *rest = sorted(sizes)
-                    score = 1 - best / rest[0] if rest else 1.0
-                    if score >= least_margin or len(data) < MARGIN_FROM:
-                        lang = coders[sizes.index(best)][0]
-                langs.append(lang)
-                scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
-
-    rows = texts.select(F.struct(*(texts[c] for c in kept)).alias("row"), F.col("text").cast("string").alias("text"))
+        for batch in drained(batches):
+            row = batch.column(0)
+            for a, b, own in text_slices(row.field(at) if inside else batch.column(1), AT_ONCE):
+                langs, scores = [], []
+                for text in own:
+                    lang, score = "und", 0.0
+                    if coders and text and _LETTER.search(text):
+                        data = plain(text)
+                        sizes = [len(c.compress(data)) for _, c in coders]
+                        best, *rest = sorted(sizes)
+                        score = 1 - best / rest[0] if rest else 1.0
+                        if score >= least_margin or len(data) < MARGIN_FROM:
+                            lang = coders[sizes.index(best)][0]
+                    langs.append(lang)
+                    scores.append(score)
+                yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
+
+    rows = texts.select(F.struct(*(texts[c] for c in kept)).alias("row"), *([] if inside else [F.col("text").cast("string").alias("text")]))
     return rows.mapInArrow(predict, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double").select("row.*", "lang_pred", "score")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import id_filter, maybe_in, row_key, table, text_key, written
+from ._common import drained, id_filter, maybe_in, row_key, table, text_key, written
 from .graph import connected_components
 
 #: Fingerprints that one task compares with each other (or with as many of another block).
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, text_key, fp (the fingerprint as a signed long) of each row of ``docs`` (doc_id, text)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in drained(batches):
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["doc_id", "text_key", "fp"])
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, id_filter, maybe_in, table, text_key, text_slices, written
+from ._common import discard, drained, id_filter, maybe_in, table, text_key, text_slices, written
 from .recompress import Words, contained, index, mix, whole_windows, window_hashes
 
 #: Bytes of text that are handled at once in a task.
@@ -24,7 +24,7 @@ def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[
 def _names(window: int):
     def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The index symbols of each document, each once."""
-        for batch in batches:
+        for batch in drained(batches):
             ids = batch.column(0).to_numpy()
             for a, b, split in _words(batch, 1):
                 words = Words.of(split)
@@ -48,7 +48,7 @@ def _lists(column) -> list[np.ndarray]:
 def _candidates(window: int):
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows that hold no symbol of a single document, each with two hashes of its words."""
-        for batch in batches:
+        for batch in drained(batches):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             shared, copied = _lists(batch.column(3)), _lists(batch.column(4))
             for a, b, split in _words(batch, 2):
@@ -72,25 +72,26 @@ def _candidates(window: int):
 
 def _kept(window: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, texts = batch.column(1).to_numpy(), batch.column(2).to_pylist()
-            places, copied = _lists(batch.column(3)), _lists(batch.column(4))
-            totals, removed, out = [], [], []
-            for key, text, place, copies in zip(keys, texts, places, copied, strict=True):
-                words = (text or "").encode().split()
-                if len(words) >= window and key in copies:
-                    left = []
-                elif len(own := place[(place >> 32) == (key & 0x7FFFFFFF)] & 0xFFFFFFFF):
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, own, 1)
-                    np.add.at(change, own + window, -1)
-                    left = [w for w, c in zip(words, np.cumsum(change).tolist(), strict=False) if not c]
-                else:
-                    left = words
-                totals.append(len(words))
-                removed.append(len(words) - len(left))
-                out.append(b" ".join(left).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), batch.column(5)], ["id", "text_key", "n_words", "n_removed", "kept", "row"])
+        for batch in drained(batches):
+            keys, places, copied = batch.column(1).to_numpy(), _lists(batch.column(3)), _lists(batch.column(4))
+            for a, b, texts in text_slices(batch.column(2), AT_ONCE):
+                totals, removed, out = [], [], []
+                for key, text, place, copies in zip(keys[a:b], texts, places[a:b], copied[a:b], strict=True):
+                    words = (text or "").encode().split()
+                    if len(words) >= window and key in copies:
+                        left = []
+                    elif len(own := place[(place >> 32) == (key & 0x7FFFFFFF)] & 0xFFFFFFFF):
+                        change = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(change, own, 1)
+                        np.add.at(change, own + window, -1)
+                        left = [w for w, c in zip(words, np.cumsum(change).tolist(), strict=False) if not c]
+                    else:
+                        left = words
+                    totals.append(len(words))
+                    removed.append(len(words) - len(left))
+                    out.append(b" ".join(left).decode())
+                same = [batch.column(i).slice(a, b - a) for i in (0, 1, 5)]
+                yield pa.RecordBatch.from_arrays([*same[:2], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), same[2]], ["id", "text_key", "n_words", "n_removed", "kept", "row"])
 
     return kept
 
