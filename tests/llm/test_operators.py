@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from voxmill.llm import decontaminate, html, langid, lm, neighbours, packing, queries, simhash, store, substrings, urls
+from voxmill.llm import decontaminate, html, langid, lm, nearcopies, neighbours, packing, queries, simhash, store, substrings, urls
 from voxmill.llm.dom import Page
 from voxmill.llm.recompress import Words, contained, index, whole_windows
 from voxmill.llm.tokens import Encoder, vocabulary
@@ -87,6 +87,36 @@ def test_links_over_many_blocks(spark, monkeypatch):
     assert len(set(group.values())) == len(set(said.values()))
 
 
+def test_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 400)
+    rng, rows = random.Random(6), []
+    for g in range(12):
+        base = ["w%d" % rng.randint(0, 3000) for _ in range(rng.randint(30, 200))]
+        for _ in range(6):
+            own = list(base)
+            for k in rng.sample(range(len(own)), rng.randint(0, len(own) // 25)):
+                own[k] = "v%d" % rng.randint(0, 3000)
+            rows.append((len(rows), " ".join(own)))
+    rows += [(100, None), (101, " "), (102, "a b"), (103, "A  b"), (None, rows[0][1]), (0, rows[0][1]), (104, "a")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    firsts = {}
+    for (d, _), g in zip(rows, group):
+        firsts[g] = min(firsts.get(g, 999), 999 if d is None else d)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 20 < len(firsts) < 60
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs).collect()) == sorted(firsts.values())
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(firsts.values())
+
+
 def test_substrings(spark, odd):
     first, rows = {}, texts(odd)
     words = [(d, (t or "").encode().split()) for d, t in rows]

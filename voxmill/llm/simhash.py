@@ -135,7 +135,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
 def keep_one(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id (nulls last), then the smallest text key.
     Rows alike in both are one. Columns stay as they are."""
-    found = written(near_duplicates(docs, shingle, most), "near")
+    return keep_first(docs, near_duplicates(docs, shingle, most))
+
+
+def keep_first(docs: DataFrame, groups_of: DataFrame) -> DataFrame:
+    """``keep_one`` for any groups: ``groups_of`` has doc_id, text_key and root of each row of ``docs``."""
+    found = written(groups_of, "near")
     place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
     groups = found.groupBy("root").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("root", "first")
     groups = written(groups, "groups")
