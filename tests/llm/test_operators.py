@@ -236,6 +236,31 @@ def test_lm(spark, odd):
     assert sorted(((str(r.doc_id), r.n_words, None if r.score is None else round(r.score, 6)) for r in found), key=str) == sorted(said, key=str)
 
 
+@pytest.mark.parametrize("order", [2])
+def test_lm_against_counts_of_the_words(spark, odd, order, monkeypatch):
+    from collections import Counter
+
+    # Words that share 32 or 18 bits of their hash with others would merge in cells or short keys; 30,000 words do in cells.
+    many = spark.createDataFrame([(1000 + i, " ".join("q%d" % (i * 100 + k) for k in range(100))) for i in range(300)] + [(2000, "q7"), (2001, "q7 q8"), (2002, "Q7 q8 q9")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").union(many)
+    for hot in (2000, 3):
+        monkeypatch.setattr(lm, "HOT", hot)
+        found = lm.score(docs, order).collect()
+        words = [(t or "").encode().lower().split() for _, t in texts(docs)]
+        count = Counter(tuple(own[i : i + n]) for own in words for n in range(1, order + 1) for i in range(len(own) - n + 1))
+        total, said = sum(map(len, words)), []
+        for (d, _), own in zip(texts(docs), words):
+            score = 0.0
+            for i in range(len(own)):
+                n, factor = min(i + 1, order), 1.0
+                while n > 1 and not count[tuple(own[i + 1 - n : i + 1])]:
+                    n, factor = n - 1, factor * lm.ALPHA
+                gram = tuple(own[i + 1 - n : i + 1])
+                score += np.log(factor * count[gram] / (count[gram[:-1]] if n > 1 else total))
+            said.append((str(d), len(own), max(len(own) - 1, 0), round(score / len(own), 6) + 0.0 if own else None))
+        assert sorted(((str(r.doc_id), r.n_words, r.n_seen, None if r.score is None else round(r.score, 6) + 0.0) for r in found), key=str) == sorted(said, key=str)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(8).round(2).tolist()) for i in range(300)] + [(300 + i, [0.5] * 8) for i in range(60)]
