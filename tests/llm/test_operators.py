@@ -236,7 +236,7 @@ def test_lm(spark, odd):
     assert sorted(((str(r.doc_id), r.n_words, None if r.score is None else round(r.score, 6)) for r in found), key=str) == sorted(said, key=str)
 
 
-@pytest.mark.parametrize("order", [2])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_lm_against_counts_of_the_words(spark, odd, order, monkeypatch):
     from collections import Counter
 

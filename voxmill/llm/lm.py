@@ -25,7 +25,7 @@ from ._common import id_filter, maybe_in, partitions, table, text_key, text_slic
 
 ALPHA, LEAST_COUNT = 0.4, 1
 #: Words of the n-grams of the query.
-ORDER = 2
+ORDER = 3
 #: An n-gram or history that makes up one in HOT of all is counted beforehand; there can be 2 HOT of each at most.
 HOT = 2000
 #: Words whose n-grams a task holds before it sends them.
