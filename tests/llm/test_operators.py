@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from voxmill.llm import decontaminate, html, langid, lm, nearcopies, neighbours, packing, queries, simhash, store, substrings, urls
-from voxmill.llm.dom import Page
+from voxmill.llm.dom import FEATURES, Page
 from voxmill.llm.recompress import Words, contained, index, whole_windows
 from voxmill.llm.tokens import Encoder, vocabulary
 
@@ -294,6 +294,16 @@ def test_html(spark):
         assert whole[r.page_id] == inner.main_text(np.ones(len(inner.elements), bool))
 
 
+def test_features_of_many_siblings_and_of_blank_runs():
+    page = Page("<div>" + "".join(f"<p>{'x' * (i + 1)}</p>" for i in range(60)) + "</div>")
+    found, left, right = page.features(), FEATURES.index("text left"), FEATURES.index("text right")
+    for i in range(60):  # elements: html, div, then the paragraphs
+        assert found[2 + i, left] == np.log1p(i) and found[2 + i, right] == (np.log1p(i + 2) if i < 59 else 0)
+    blank, tight = Page(f"<div>{' ' * 100}<p>a b{chr(10) * 100}c</p>{' ' * 100}</div>"), Page("<div><p>abc</p></div>")
+    assert [(e.own, e.link) for e in blank.elements] == [(e.own, e.link) for e in tight.elements] == [(0, 0), (0, 0), (3, 0)]
+    assert (blank.features() == tight.features()).all()
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.COM/en/77?x"), (4, "http://example.com"), (5, "http://notexample.com/en/7"), (6, "ftp://x.net/de/1#y"), (7, "http://my-casino.org/")]
     found = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.HOST_RULES, urls.WORD_RULES).collect()}

@@ -28,12 +28,12 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "tokens", "own", "link", "kids", "mark", "tags", "blocks", "hidden")
+    __slots__ = ("tag", "parent", "depth", "tokens", "own", "link", "kids", "mark", "tags", "blocks", "hidden", "place")
 
     def __init__(self, tag: str, parent: int, depth: int):
         self.tag, self.parent, self.depth = tag, parent, depth
         self.tokens: set[str] = set()
-        self.own = self.link = self.tags = self.blocks = 0
+        self.own = self.link = self.tags = self.blocks = self.place = 0
         self.kids: list[int] = []
         self.mark = self.hidden = False
 
@@ -53,7 +53,7 @@ class Page:
             return
         text = html.unescape(raw)
         self.texts.append((at, text))
-        if size := len(text) - sum(map(str.isspace, text)) if len(text) < 64 else len(text):
+        if size := len("".join(text.split())):
             element = self.elements[at]
             element.own += size
             element.link += size * in_link
@@ -102,6 +102,7 @@ class Page:
                 elif name.lower() == "vm-mark":
                     element.mark = True
             element.hidden = bool(re.search(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", m[4] or "", re.I))
+            element.place = len(self.elements[parent].kids)
             self.elements[parent].kids.append(len(self.elements))
             self.elements.append(element)
             self.borders.add(len(self.texts))
@@ -147,7 +148,7 @@ class Page:
             a, g, t = len(e.tokens & AWAY) + e.hidden, len(e.tokens & MAIN), e.tag in AWAY_TAGS
             away[i], main[i], away_tag[i] = (a > 0) + (away[up] if up >= 0 else 0), (g > 0 or e.tag in ("article", "main")) + (main[up] if up >= 0 else 0), t + (away_tag[up] if up >= 0 else 0)
             kids = elements[up].kids if up >= 0 else [i]
-            k = kids.index(i) if len(kids) < 50 else 0
+            k = e.place
             left, right = (text[kids[k - 1]] if k else 0), (text[kids[k + 1]] if k + 1 < len(kids) else 0)
             out[i] = (
                 e.depth, math.log1p(text[i]), link[i] / max(1, text[i]), tags[i] / max(1, text[i]), math.log1p(blocks[i]), text[i] / max(1, blocks[i]),
