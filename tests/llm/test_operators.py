@@ -276,6 +276,22 @@ def test_neighbours(spark):
         assert found[q] == np.lexsort((np.arange(360), -s))[:5].tolist()
 
 
+def test_neighbours_of_many_equal_vectors():
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    for trial in range(60):
+        width, n = int(rng.integers(20, 130)), int(rng.integers(400, 1500))
+        x = rng.standard_normal((n, width))
+        x[rng.choice(n, 61, replace=False)] = x[0]
+        q = np.concatenate([x[:1] + 0.1 * rng.standard_normal((60, width)), x[:1]])
+        rows, asks = pd.DataFrame({"vec_id": rng.permutation(n), "v": list(x)}), pd.DataFrame({"vec_id": n + np.arange(len(q)), "v": list(q)})
+        found = neighbours._best(asks, rows, width, 20).groupby("query_id")["vec_id"].apply(set)
+        for i, v in enumerate(q):
+            s = np.add.accumulate(x * v, axis=1)[:, -1]
+            assert found[n + i] == set(rows["vec_id"].to_numpy()[np.lexsort((rows["vec_id"], -s))[:20]].tolist()), trial
+
+
 def test_html(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     model = html.learn(pages)
