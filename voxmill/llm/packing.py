@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sub_batches, table, text_slices
-from .tokens import encoder, vocabulary
+from ._common import sub_batches, table
+from .tokens import encoder, vocabulary, with_ends
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -83,16 +84,17 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, spaces).encode
-        end = end_id.to_bytes(4, "little")
+        encode = encoder(tokenizer_path, spaces).flat
         first = TaskContext.get().partitionId() << 36
         used, rest, rows, held = 0, [], [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, texts in text_slices(batch.column(1), 2_000_000):
-                for doc_id, ids in zip(doc_ids[a:b], encode(texts), strict=True):
-                    ids += end
-                    n, start = len(ids) // 4, 0
+            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 2_000_000):
+                every, sizes = with_ends(*encode(batch.column(1).slice(a, b - a)), end_id)
+                every, at = every.tobytes(), 0
+                for doc_id, n in zip(doc_ids[a:b], sizes.tolist(), strict=True):
+                    ids, start = every[4 * at : 4 * (at + n)], 0
+                    at += n
                     while n - start >= size:
                         rows.append((doc_id, start, size, ids[4 * start : 4 * (start + size)], n, first + used, 0))
                         used, start, held = used + 1, start + size, held + size

@@ -4,7 +4,7 @@
 
 * ``blocks/kind=chunk``: each unique chunk once (hash, ids packed as little-endian unsigned integers of ``width`` bytes);
 * ``recipes``: one row for each document in ascending doc_id order, with its chunk hashes and their Merkle root;
-* ``manifest``: for each part of ``recipes`` its rows, its ids and the root over its documents' roots.
+* ``manifest``: for each part of ``recipes`` the Merkle tree over its documents, with documents and ids below each node.
 """
 
 from __future__ import annotations
@@ -12,15 +12,17 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import fresh_path, partitions, table, text_key, text_slices
-from .tokens import encoder, vocabulary
+from ._common import fresh_path, partitions, sub_batches, table, text_key
+from .tokens import encoder, vocabulary, with_ends
 
 #: Chunk lengths in ids, and the ids that the rolling hash sees.
 LEAST, MEAN, MOST, SPAN = 64, 256, 1024, 16
@@ -68,6 +70,13 @@ def cut_points(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
 
 
 BLOCK = "kind string, hash binary, ids binary, doc_id long, text_key long, n_tokens long"
+#: Hashes that a task keeps to send a chunk once, and children of a Merkle node over documents.
+SEEN, FAN = 1_000_000, 256
+
+
+def _block(kind: str, hashes: list[bytes], ids: list[bytes], *own) -> pa.RecordBatch:
+    numbers = [pa.array(x, pa.int64()) for x in own] or [pa.nulls(len(hashes), pa.int64())] * 3
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(hashes), pa.string()), pa.array(hashes, pa.binary()), pa.array(ids, pa.binary()), *numbers], ["kind", "hash", "ids", "doc_id", "text_key", "n_tokens"])
 
 
 def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, spaces: bool = False, width: int = 2) -> None:
@@ -81,31 +90,29 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     dtype = {2: "<u2", 4: "<u4"}[width]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts = encoder(tokenizer_path, spaces).encode
-        end = end_id.to_bytes(4, "little")
+        encode_texts = encoder(tokenizer_path, spaces).flat
         seen: set[bytes] = set()
         for batch in batches:
             doc_ids, keys = (batch.column(i).to_pylist() for i in range(2))
-            for a, _, texts in text_slices(batch.column(2), 2_000_000):
-                encoded = [x + end for x in encode_texts(texts)]
-                ids = np.frombuffer(b"".join(encoded), "<u4")
-                if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), 2_000_000):
+                ids, sizes = with_ends(*encode_texts(batch.column(2).slice(a, b - a)), end_id)
+                if width == 2 and int(ids.max()) > 0xFFFF:
                     raise ValueError("an id needs more than 2 bytes: call with width=4")
-                bounds = np.cumsum([len(x) // 4 for x in encoded]).tolist()
-                data, start, rows = ids.astype(dtype).tobytes(), 0, []
-                for i, cuts in enumerate(cut_points(ids, bounds)):
-                    own, first = [], start
+                data, start, chunks, recipes = ids.astype(dtype).tobytes(), 0, {}, []
+                for cuts in cut_points(ids, np.cumsum(sizes).tolist()):
+                    own = []
                     for at in cuts:
                         piece = data[width * start : width * at]
                         own.append(h := chunk_hash(piece))
                         if h not in seen:
-                            seen.add(h)
-                            rows.append(("chunk", h, piece, None, None, None))
+                            chunks[h] = piece
                         start = at
-                    rows.append(("recipe", merkle_root(own), b"".join(own), doc_ids[a + i], keys[a + i], start - first))
-                names = ("kind", "hash", "ids", "doc_id", "text_key", "n_tokens")
-                kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+                    recipes.append((merkle_root(own), b"".join(own)))
+                if len(seen) > SEEN:
+                    seen.clear()  # a chunk sent twice is dropped behind the shuffle
+                seen.update(chunks)
+                yield _block("chunk", list(chunks), list(chunks.values()))
+                yield _block("recipe", [r for r, _ in recipes], [own for _, own in recipes], doc_ids[a:b], keys[a:b], sizes)
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -126,13 +133,39 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     recipes = blocks.where("kind = 'recipe'").select("doc_id", "text_key", "n_tokens", F.col("ids").alias("hashes"), F.col("hash").alias("root"))
     recipes.repartitionByRange(n, "doc_id", "text_key").sortWithinPartitions("doc_id", "text_key").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id()).write.parquet(f"{path}/recipes")
 
-    stored = _recipes(spark, path)
-    stored.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), _parts_root().alias("root")).coalesce(1).write.parquet(f"{path}/manifest")
+    _tree(spark, path).write.parquet(f"{path}/manifest")
+
+
+MANIFEST = "part int, level int, node long, docs long, tokens long, hash string"
+
+
+def _tree(spark: SparkSession, path: str) -> DataFrame:
+    """The Merkle tree over each part's documents in their order: a leaf is SHA-256 of a document's row, id, size and root;
+    a node hashes the FAN nodes below it in order. The highest level of a part is one node, its root."""
+    place = F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    leaf = F.sha2(F.concat_ws(",", place.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("n_tokens").cast("string"), F.hex("root")), 256)
+    level = _recipes(spark, path).select("part", place.alias("node"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), leaf.alias("hash"))
+    most = level.agg(F.max("node")).first()[0] or 0
+    levels, k = [], 1
+    while True:
+        below = F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x["hash"])
+        level = level.groupBy("part", F.floor(F.col("node") / FAN).alias("parent")).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.sha2(F.array_join(below, ","), 256).alias("hash"))
+        level = level.withColumnRenamed("parent", "node")
+        levels.append(level.select("part", F.lit(k).alias("level"), "node", "docs", "tokens", "hash"))
+        most, k = most // FAN, k + 1
+        if not most:
+            break
+    return reduce(DataFrame.union, levels)
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
-def _parts_root():
-    """Over the sorted roots with their rows, so that order and content are both fixed."""
-    return F.sha2(F.concat(F.sum(F.crc32(F.concat("root", F.col("row").cast("string").cast("binary")))).cast("string"), F.bit_xor(F.xxhash64("root", "row", "n_tokens")).cast("string")), 256)
+def merkle_proof(spark: SparkSession, path: str, part: int, place: int) -> list[tuple[int, int, str]]:
+    """(level, node, hash) of the nodes over one document (``place`` in its part): what has to fit if it is unchanged."""
+    nodes = _manifest(spark, path).where(F.col("part") == part).where(F.col("node") == F.floor(F.lit(place) / F.pow(F.lit(float(FAN)), "level")))
+    return [(r.level, r.node, r.hash) for r in nodes.orderBy("level").collect()]  # a row a level
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -162,9 +195,8 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_manifest(spark: SparkSession, path: str) -> None:
-    """Raises if the recipes differ from what the manifest says of them; compares one row a part."""
-    now = _recipes(spark, path).groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"), _parts_root().alias("root"))
-    said = spark.read.schema("part int, docs long, tokens long, root string").parquet(f"{path}/manifest")
+    """Raises if the Merkle trees of the recipes differ from the manifest's; compares one row for FAN documents."""
+    now, said = _tree(spark, path), _manifest(spark, path)
     if now.exceptAll(said).union(said.exceptAll(now)).limit(1).count():
         raise ValueError("the recipes do not fit the manifest")
 
@@ -172,7 +204,7 @@ def check_manifest(spark: SparkSession, path: str) -> None:
 def _starts(spark: SparkSession, path: str) -> DataFrame:
     """Each document with the number of ids before it: sums by part first, then a running sum inside each part."""
     recipes = _recipes(spark, path).select("row", "doc_id", "n_tokens", "part")
-    sums = spark.read.schema("part int, docs long, tokens long, root string").parquet(f"{path}/manifest")
+    sums = _manifest(spark, path).where("level = 1").groupBy("part").agg(F.sum("tokens").alias("tokens"))
     before = sums.select("part", (F.sum("tokens").over(W.orderBy("part")) - F.col("tokens")).alias("before"))
     inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("row")) - F.col("n_tokens")
     return recipes.withColumn("inside", inside).join(F.broadcast(before), "part").select("row", "doc_id", "n_tokens", (F.col("before") + F.col("inside")).alias("start"))

@@ -1,7 +1,7 @@
-"""Token ids of texts, with a bounded cache of white-space separated pieces.
+"""Token ids of texts, with a bounded cache of words.
 
 Both public vocabularies cut a text before each space that stands between two other characters, so the ids of a text
-are those of its pieces in a row. The tokenizers library encodes a piece once, as long as it stays in the cache.
+are those of its pieces in a row. The library (its model, for plain words) encodes a piece once, as long as it stays in the cache.
 """
 
 from __future__ import annotations
@@ -10,10 +10,15 @@ import os
 import re
 from array import array
 
-#: Pieces kept by one Python worker (about 160 MB); the cache starts anew when it is full.
-CACHE_PIECES = 800_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words kept by one Python worker are twice as many at most (about 140 MB): a full half becomes the older one.
+CACHE_WORDS = 350_000
+
+#: White space that a byte-level vocabulary does not cut as it does one space between two words.
+_ODD = "^ | $|  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: One word of Latin letters, then ASCII marks other than the apostrophe: two units for both vocabularies.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
@@ -27,96 +32,118 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids. ``spaces``: the vocabulary encodes spaces (byte level)."""
+    """Texts to ids. ``spaces``: the vocabulary encodes spaces (byte level).
+
+    Arrow cuts texts and finds each slice's unique pieces; their ids stand one after the other in a pool, and ids of texts
+    are gathered from it. Special tokens in a text get their ids, as the library gives them.
+    """
 
     def __init__(self, path: str, spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaces = spaces
+        self.spaces, self.lead = spaces, " " if spaces else ""
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
-        self.cache: dict[str, bytes] = {}
-        #: Words without a space before them, at the starts of lines.
-        self.bare: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
         self.line_end = self._unit("\n") if spaces else b""
+        #: Ids of words and odd pieces as they stand after a space, of words at the starts of lines, and of marks; each as
+        #: a newer and an older half.
+        self.words: list[dict[str, bytes]] = [{}, {}]
+        self.bare: list[dict[str, bytes]] = [{}, {}] if spaces else self.words
+        self.marks: list[dict[str, bytes]] = [{}, {}]
 
     def _unit(self, text: str) -> bytes:
         """Ids of one unit, which the vocabulary does not cut before its merges."""
         if not self.spaces:
             text = text.lower()
-        shown = text.encode().decode("latin-1").translate(self.shown)
-        return array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if not (text.isascii() and text.isalpha()):
+            text = text.encode().decode("latin-1").translate(self.shown)
+        return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
+
+    def _word(self, known: list[dict[str, bytes]], word: str, lead: str) -> bytes:
+        new, old = known
+        if (ids := new.get(word)) is None:
+            if (ids := old.get(word)) is None:
+                ids = self._unit(lead + word)
+            if len(new) >= CACHE_WORDS:
+                known[:] = [{}, new]
+            known[0][word] = ids
+        return ids
 
-    def _plain(self, piece: str, known: dict[str, bytes], lead: str) -> bytes | None:
+    def _plain(self, piece: str, known: list[dict[str, bytes]], lead: str) -> bytes | None:
         """Ids of a word with marks after it, or None for any other piece."""
         if not (m := _PLAIN.fullmatch(piece)):
             return None
         word, mark = m.groups()
-        if (ids := known.get(word)) is None:
-            known[word] = ids = self._unit(lead + word)
-        if mark:
-            if mark not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks = {}
-                self.marks[mark] = self._unit(mark)
-            ids += self.marks[mark]
-        return ids
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-            self.bare.clear()
-        cache, lead, other = self.cache, " " if self.spaces else "", []
-        bare = self.bare if self.spaces else cache
-        for piece in missing:
-            if piece in cache:
-                continue
-            lines = piece.split("\n")
-            ids = [self._plain(lines[0], cache, lead), *(self._plain(x, bare, "") for x in lines[1:])]
-            if None in ids:
-                other.append(piece)
-            else:
-                cache[piece] = self.line_end.join(ids)
-        cache.update(zip(other, self._whole([lead + x for x in other]), strict=True))
+        ids = self._word(known, word, lead)
+        return ids + self._word(self.marks, mark, "") if mark else ids
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece, with the space before it."""
+        get, lead, found, other = self.words[0].get, self.lead, [], []
+        for piece in pieces:
+            ids = get(piece)
+            if ids is None:
+                if "\n" in piece:
+                    lines = piece.split("\n")
+                    ids = [self._plain(lines[0], self.words, lead), *(self._plain(x, self.bare, "") for x in lines[1:])]
+                    ids = None if None in ids else self.line_end.join(ids)
+                else:
+                    ids = self._plain(piece, self.words, lead)
+                if ids is None and (ids := self.words[1].get(piece)) is None:
+                    other.append(len(found))
+            found.append(ids)
+        for i, ids in zip(other, self._whole([lead + pieces[i] for i in other]), strict=True):
+            found[i] = ids
+            if len(self.words[0]) < CACHE_WORDS and len(pieces[i]) < 50:
+                self.words[0][pieces[i]] = ids
+        return found
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text). Null counts as the empty text."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        if self.spaces:
+            odd = pc.match_substring_regex(texts, _ODD)
+            odd_texts = [_SAFE_CUT.split(x) for x in texts.filter(odd).to_pylist()]
+            texts, odd = pc.if_else(odd, "", texts), odd.to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        first = np.cumsum(counts) - counts
+        pieces = lists.flatten().dictionary_encode()
+        known, place = self._pieces(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begin, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        pool = np.frombuffer(b"".join(known), "<u4")
+        if self.spaces:  # the first piece of a text has no space before it; odd texts are encoded whole
+            heads = pieces.take(pa.array(first)).to_pylist()
+            own = iter(self._whole([x for k, text in enumerate(heads) if not odd[k] for x in (text,)]))
+            rare = iter(b"".join(self._whole(x)) for x in odd_texts)
+            whole = [next(rare) if k else next(own) for k in odd]
+            sizes[first] = np.fromiter(map(len, whole), np.int64, len(whole)) // 4
+            begin[first] = len(pool) + np.cumsum(sizes[first]) - sizes[first]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(whole), "<u4")])
+        ends = np.cumsum(sizes)
+        return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, first)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Null counts as the empty text."""
-        get, spaces = self.cache.get, self.spaces
-        out, heads, late, missing = [], [], [], set()
-        for i, text in enumerate(texts):
-            text = text or ""
-            if spaces and (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _RARE_SPACE.search(text)):
-                out.append(b"".join(self._whole(_SAFE_CUT.split(text))))
-                continue
-            own = text.split(" ")
-            if spaces:
-                heads.append((i, own[0]))
-                del own[0]
-            ids = list(map(get, own))
-            if None in ids:
-                missing.update(x for x, known in zip(own, ids, strict=True) if known is None)
-                late.append((i, own))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        if missing:
-            kept = len(self.cache) + len(missing) <= CACHE_PIECES
-            self._learn(missing)
-            if not kept:
-                self._learn({x for _, own in late for x in own if x not in self.cache})
-            for i, own in late:
-                out[i] = b"".join(map(self.cache.__getitem__, own))
-        for (i, _), ids in zip(heads, self._whole([x for _, x in heads]), strict=True):
-            out[i] = ids + out[i]
-        return out
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        ids, sizes = self.flat(pa.array(texts, pa.string()))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - sizes, ends, strict=True)]
+
+
+def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """``end_id`` after each text's ids."""
+    out = np.full(len(ids) + len(sizes), end_id, "<u4")
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)] = ids
+    return out, sizes + 1
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
