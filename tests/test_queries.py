@@ -2,11 +2,12 @@
 
 import decimal
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
 
-from voxmill import queries, queries_images, queries_labels  # noqa: F401
+from voxmill import queries, queries_images, queries_labels, queries_models, queries_volumes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings labels".split()
@@ -21,38 +22,53 @@ def rows(found, columns):
     return sorted(tuple(str(plain(r[k])) for k in order) for r in found)
 
 
+@pytest.fixture(scope="module")
+def found(spark):
+    """Results of the queries with SQL, computed a few at a time."""
+
+    def rows_of(name):
+        df = queries.QUERIES[name](spark, SF)
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    with ThreadPoolExecutor(4) as pool:
+        yield {name: pool.submit(rows_of, name) for name in sorted(queries.ORACLES)}
+        pool.shutdown(cancel_futures=True)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
-def test_against_sql(spark, name):
+def test_against_sql(found, name):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as from '{SF}/{t}.parquet'")
-    df = queries.QUERIES[name](spark, SF)
+    columns, got = found[name].result()
     said = con.sql(queries.ORACLES[name])
-    assert sorted(df.columns) == sorted(said.columns)
-    assert rows([tuple(r) for r in df.collect()], df.columns) == rows(said.fetchall(), said.columns)
+    assert sorted(columns) == sorted(said.columns)
+    assert rows(got, columns) == rows(said.fetchall(), said.columns)
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
+def test_runs_without_sql(spark, name):
+    if name in {"g17_batch_apply", "g19_iterative_training", "g20_two_stages", "g22_data_set_pipeline", "g14_two_passes", "g1_forest", "g5_missing_values", "i4_forest_error", "o1_most_used_features"}:
+        pytest.skip("a test below holds it")
+    assert queries.QUERIES[name](spark, SF).count() > 0
 
 
 def test_components_equal_a_flood_fill(spark):
-    found = {(r.z, r.y, r.x): r.object_id for r in queries.QUERIES["h7_components"](spark, SF).collect()}
+    found = {(r.image_id, r.z, r.y, r.x): r.object_id for r in queries.QUERIES["h7_components"](spark, SF).collect()}
     left, sizes = set(found), 0
     while left:
         stack = [left.pop()]
         label, members = found[stack[0]], 0
         while stack:
-            z, y, x = stack.pop()
+            i, z, y, x = stack.pop()
             members += 1
-            assert found[z, y, x] == label
-            for p in ((z + 1, y, x), (z - 1, y, x), (z, y + 1, x), (z, y - 1, x), (z, y, x + 1), (z, y, x - 1)):
+            assert found[i, z, y, x] == label
+            for p in ((i, z + 1, y, x), (i, z - 1, y, x), (i, z, y + 1, x), (i, z, y - 1, x), (i, z, y, x + 1), (i, z, y, x - 1)):
                 if p in left:
                     left.remove(p)
                     stack.append(p)
         sizes += 1
-    assert sizes == len(set(found.values()))
-
-
-def test_forest_beats_chance(spark):
-    r = queries.QUERIES["g1_forest"](spark, SF).collect()
-    assert sum(x.n for x in r) > 50 and all(0 <= x.hits <= x.n for x in r)
+    assert sizes == len({(key[0], label) for key, label in found.items()})
 
 
 def test_gaussian_weights_sum_to_one():

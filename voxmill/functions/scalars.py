@@ -37,3 +37,8 @@ def range_bounds(text: Column, margin: int, low: int, high: int) -> tuple[Column
     ends = F.split(text, ",")
     first, last = (F.trim(F.get(ends, i)).cast("int") for i in (0, 1))
     return F.greatest(F.lit(low), first - margin).alias("low"), F.least(F.lit(high), last + margin).alias("high")
+
+
+def label_key(class_id: str, t: str, z: str, label: str) -> Column:
+    """Key of a label in reviews; frames and planes count from 1."""
+    return F.concat(F.lit("c"), F.col(class_id), F.lit("-t"), F.col(t) + 1, F.lit("-z"), F.col(z) + 1, F.lit("-i"), F.col(label))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxmill.sources.tables import VOXEL
+
 
 def interval(vox: DataFrame, **bounds: tuple[int, int]) -> DataFrame:
     """Voxels in an inclusive box; raw columns, so that the bounds reach the scan."""
@@ -18,17 +20,50 @@ def gate(v: Column, low: float, high: float) -> Column:
     return F.when(v.between(low, high), v - low).otherwise(F.lit(0))
 
 
+def threshold(v: Column, above: float | None = None, low: float | None = None, high: float | None = None) -> Column:
+    """255 over ``above``, from ``low`` on, or from ``low`` to ``high``; else 0."""
+    inside = v > above if above is not None else v >= low if high is None else v.between(low, high)
+    return F.when(inside, 255).otherwise(0)
+
+
+def multiplied(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Voxel-wise product of two images."""
+    return a.select(*VOXEL, "val").join(b.select(*VOXEL, F.col("val").alias("other")), VOXEL).select(*VOXEL, (F.col("val") * F.col("other")).alias("val"))
+
+
 def with_tile(vox: DataFrame, size: int) -> DataFrame:
     return vox.withColumn("ty", F.floor(F.col("y") / size)).withColumn("tx", F.floor(F.col("x") / size))
 
 
-def with_halo(vox: DataFrame, size: int, halo: int) -> DataFrame:
-    """Each voxel in every tile whose box, grown by ``halo``, holds it: an explode to the few tiles around, no range join."""
+def with_halo(vox: DataFrame, size: int, halo: int, edges: dict[str, int]) -> DataFrame:
+    """Each voxel in every tile (``t{axis}``) whose box, grown by ``halo``, holds it: an explode to the few tiles around, no
+    range join. ``edges``: the image's length along each tiled axis; there are no tiles beyond it."""
+    for axis, n in edges.items():
+        low = F.greatest(F.lit(0).cast("long"), F.floor((F.col(axis) - halo) / size))
+        high = F.least(F.lit((n - 1) // size).cast("long"), F.floor((F.col(axis) + halo) / size))
+        vox = vox.withColumn(f"t{axis}", F.explode(F.sequence(low, high)))
+    return vox
+
+
+def tiles(bounds: dict[str, tuple[int, int]], sizes: dict[str, int]) -> DataFrame:
+    """The tiles of an interval (inclusive bounds of each axis): number and bounds along each axis, the last one clamped."""
+    spark = SparkSession.active()
+    found = spark.range(1).drop("id")
+    for axis, (low, high) in bounds.items():
+        step = sizes.get(axis, high - low + 1)
+        found = found.withColumn(f"t{axis}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((high - low) // step).cast("long"))))
+        found = found.withColumn(f"{axis}0", low + F.col(f"t{axis}") * step).withColumn(f"{axis}1", F.least(F.lit(high).cast("long"), low + (F.col(f"t{axis}") + 1) * step - 1))
+    return found
 
-    def near(axis: str) -> Column:
-        return F.explode(F.sequence(F.floor((F.col(axis) - halo) / size), F.floor((F.col(axis) + halo) / size)))
 
-    return vox.withColumn("ty", near("y")).withColumn("tx", near("x")).where("ty >= 0 and tx >= 0")
+def tile_sizes(bounds: dict[str, tuple[int, int]], n_tiles: int | None = None, most_voxels: int | None = None) -> dict[str, int]:
+    """Edges of tiles of an interval: ``n_tiles`` cuts along the slowest axis, or cubes of ``most_voxels`` at most. A tile
+    holds one frame."""
+    if n_tiles:
+        low, high = bounds["z"]
+        return {"t": 1, "z": max(1, -(-(high - low + 1) // n_tiles))}
+    edge = max(1, int(round((most_voxels or 1) ** (1 / 3), 9)))
+    return {"t": 1, "z": edge, "y": edge, "x": edge}
 
 
 def mirror(i: Column, n: int) -> Column:
@@ -37,27 +72,32 @@ def mirror(i: Column, n: int) -> Column:
     return F.when(r < n, r).otherwise(2 * (n - 1) - r)
 
 
-def padded(vox: DataFrame, by: int, n: int) -> DataFrame:
-    """Rows along x grown by ``by`` mirrored voxels at both ends: each voxel goes to all places that show it."""
-    places = F.array(F.col("x"), -F.col("x"), 2 * (n - 1) - F.col("x"))
-    spread = vox.withColumn("px", F.explode(F.array_distinct(places)))
-    return spread.where(F.col("px").between(-by, n - 1 + by))
+def padded(vox: DataFrame, by: int, edges: dict[str, int]) -> DataFrame:
+    """Images grown by ``by`` mirrored voxels at both ends of each axis of ``edges`` (axis: length): each voxel goes to all
+    places ``p{axis}`` that show it."""
+    for axis, n in edges.items():
+        places = F.array(F.col(axis), -F.col(axis), 2 * (n - 1) - F.col(axis))
+        vox = vox.withColumn(f"p{axis}", F.explode(F.array_distinct(places))).where(F.col(f"p{axis}").between(-by, n - 1 + by))
+    return vox
+
+
+def _spread(reference: DataFrame, radius: int) -> DataFrame:
+    """Each voxel at every place of the ball around it, with its squared distance ``d2``."""
+    reach = range(-radius, radius + 1)
+    ball = [(dz, dy, dx) for dz in reach for dy in reach for dx in reach if dz * dz + dy * dy + dx * dx <= radius * radius]
+    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(a * a + b * b + c * c).alias("d2")) for a, b, c in ball)))
+    return reference.select(*VOXEL, offsets.alias("o")).select("image_id", "t", "c", *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in ("z", "y", "x")), "o.d2")
 
 
 def within(vox: DataFrame, reference: DataFrame, radius: int) -> DataFrame:
-    """Voxels with a reference voxel (z, y, x) within ``radius``: the reference is spread over the ball, then semi-joined."""
-    ball = [(dz, dy, dx) for dz in range(-radius, radius + 1) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dz * dz + dy * dy + dx * dx <= radius * radius]
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx")) for a, b, c in ball)))
-    spread = reference.select("z", "y", "x", offsets.alias("o")).select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
-    return vox.join(spread, ["z", "y", "x"], "left_semi")
+    """Voxels with a reference voxel of the same image, frame and channel within ``radius``: the reference is spread over the
+    ball, then semi-joined."""
+    return vox.join(_spread(reference, radius).select(*VOXEL).distinct(), VOXEL, "left_semi")
 
 
 def nearest_distance(vox: DataFrame, reference: DataFrame, radius: int) -> DataFrame:
-    """Squared distance to the nearest reference voxel within ``radius``, else null."""
-    ball = [(a, b, c) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) for c in range(-radius, radius + 1) if a * a + b * b + c * c <= radius * radius]
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(a * a + b * b + c * c).alias("d2")) for a, b, c in ball)))
-    spread = reference.select("z", "y", "x", offsets.alias("o")).select((F.col("z") + F.col("o.dz")).alias("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), "o.d2")
-    return vox.join(spread.groupBy("z", "y", "x").agg(F.min("d2").alias("d2")), ["z", "y", "x"], "left")
+    """Squared distance to the nearest reference voxel of the same image, frame and channel within ``radius``, else null."""
+    return vox.join(_spread(reference, radius).groupBy(*VOXEL).agg(F.min("d2").alias("d2")), VOXEL, "left")
 
 
 def class_images(result: DataFrame, classes: tuple[int, ...]) -> DataFrame:
@@ -68,11 +108,12 @@ def class_images(result: DataFrame, classes: tuple[int, ...]) -> DataFrame:
 
 
 def candidates(seeds: DataFrame, points: DataFrame, radius: int) -> DataFrame:
-    """Seeds (z, y, x) with the values of the points in the square of ``radius`` around, in the same plane: seeds are
+    """Seeds with the values of the points in the square of ``radius`` around, in the same plane of the same image: seeds are
     spread over the square and met by an equi-join."""
 
     def around(axis: str):
         return F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))
 
-    spread = seeds.select("z", "y", "x", around("y").alias("py")).withColumn("px", around("x"))
-    return spread.join(points.select("z", F.col("y").alias("py"), F.col("x").alias("px"), "val"), ["z", "py", "px"])
+    spread = seeds.select(*VOXEL, around("y").alias("py")).withColumn("px", around("x"))
+    plane = ["image_id", "t", "c", "z"]
+    return spread.join(points.select(*plane, F.col("y").alias("py"), F.col("x").alias("px"), "val"), [*plane, "py", "px"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,19 +19,20 @@ def line(axis: str):
 
 
 def blocks(vox: DataFrame, by: int, bx: int, bz: int = 1, how=F.avg, full: bool = True) -> DataFrame:
-    """Block aggregate on global places; blocks cut off in x or y are dropped."""
+    """Block aggregate on global places; blocks cut off in x or y are dropped, those cut off in z stay."""
     key = [F.floor(F.col(a) / b).alias(a) for a, b in (("z", bz), ("y", by), ("x", bx))]
-    found = vox.groupBy("image_id", "t", "c", *key).agg(how("val").alias("val"), F.count("*").alias("n"))
-    return (found.where(F.col("n") % (by * bx) == 0) if full else found).drop("n")
+    length = [(F.max(a) - F.min(a) + 1).alias(f"n{a}") for a in ("y", "x")]
+    found = vox.groupBy("image_id", "t", "c", *key).agg(how("val").alias("val"), *length)
+    return (found.where((F.col("ny") == by) & (F.col("nx") == bx)) if full else found).drop("ny", "nx")
 
 
-def box_mean(vox: DataFrame, radius: int, axes=("y", "x")) -> DataFrame:
-    """Mean over a box, one axis after the other, carrying sum and count so that edges weigh right."""
-    found = vox.withColumn("s", F.col("val")).withColumn("k", F.lit(1).cast("long"))
-    for axis in axes:
-        w = line(axis).rangeBetween(-radius, radius)
-        found = found.withColumn("s2", F.sum("s").over(w)).withColumn("k", F.sum("k").over(w)).withColumn("s", F.col("s2")).drop("s2")
-    return found.withColumn("val", F.col("s") / F.col("k")).drop("s", "k")
+def bins(b: int, anisotropy: float, planes: int) -> tuple[int, int, int]:
+    """Factors (z, y, x) of a level: z is divided by the anisotropy, and 1 for a single plane."""
+    return (1 if planes == 1 else math.ceil(b / anisotropy), b, b)
+
+
+def next_anisotropy(anisotropy: float, factors: tuple[int, int, int]) -> float:
+    return anisotropy / (factors[2] / factors[0])
 
 
 def gaussian_weights(sigma: float) -> list[float]:
@@ -38,24 +41,44 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def taps(vox: DataFrame, axis: str, weights: list[float]) -> DataFrame:
-    """Weighted sum of neighbours along an axis, divided by the weight inside the image."""
-    r, w = len(weights) // 2, line(axis)
-    total, inside = F.lit(0.0), F.lit(0.0)
-    for i, weight in enumerate(weights):
-        v = F.lag("val", r - i).over(w)
-        total, inside = total + F.coalesce(v * weight, F.lit(0.0)), inside + F.when(v.isNotNull(), weight).otherwise(0.0)
-    return vox.withColumn("val", total / inside)
+def normalised(vox: DataFrame) -> DataFrame:
+    """Values less their mean over the image, in standard deviations (where there is one)."""
+    stats = vox.groupBy("image_id", "t", "c").agg(F.avg("val").alias("m"), F.stddev("val").alias("s"))
+    return vox.join(stats, ["image_id", "t", "c"]).withColumn("val", (F.col("val") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).drop("m", "s")
+
+
+def patch_components(vox: DataFrame, size: int, step: int, k: int) -> DataFrame:
+    """component, place, weight, value: the ``k`` leading right singular vectors of the matrix of all square patches (not
+    centred), taken every ``step`` voxels of each plane; the largest weight of each is positive.
+
+    Each patch is a row of one group; only the sums of products of its places (size to the fourth) leave the tasks.
+    """
 
+    def first(axis: str):
+        high = F.floor(F.col(axis) / step)
+        return F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.ceil((F.col(axis) - size + 1) / step)), high))
 
-def hessian_2d(vox: DataFrame) -> DataFrame:
-    """Absolute eigenvalues, larger first, of the second derivatives (central differences); inner voxels alone."""
-    wx, wy = line("x"), line("y")
-    d = vox.withColumn("xx", F.lag("val").over(wx) - 2 * F.col("val") + F.lead("val").over(wx)).withColumn("gx", (F.lead("val").over(wx) - F.lag("val").over(wx)) / 2)
-    d = d.withColumn("yy", F.lag("val").over(wy) - 2 * F.col("val") + F.lead("val").over(wy)).withColumn("xy", (F.lead("gx").over(wy) - F.lag("gx").over(wy)) / 2)
-    half, root = (F.col("xx") + F.col("yy")) / 2, F.sqrt(((F.col("xx") - F.col("yy")) / 2) ** 2 + F.col("xy") ** 2)
-    a, b = F.abs(half + root), F.abs(half - root)
-    return d.where("xx is not null and yy is not null and xy is not null").withColumn("l", F.greatest(a, b)).withColumn("m", F.least(a, b)).drop("xx", "yy", "xy", "gx")
+    spread = vox.withColumn("py", first("y")).withColumn("px", first("x"))
+    place = (F.col("y") - F.col("py") * step) * size + F.col("x") - F.col("px") * step
+    patches = spread.groupBy("image_id", "t", "c", "z", "py", "px").agg(F.array_sort(F.collect_list(F.struct(place.alias("i"), "val"))).alias("p")).where(F.size("p") == size * size)
+
+    def products(batches):
+        for pdf in batches:
+            x = np.array(pdf["v"].tolist(), float)
+            g = x.T @ x
+            i, j = np.indices(g.shape)
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "g": g.ravel()})
+
+    sums = patches.select(F.transform("p", lambda q: q["val"]).alias("v")).mapInPandas(products, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g")).toPandas()
+    gram = np.zeros((size * size, size * size))
+    gram[sums["i"], sums["j"]] = sums["g"]
+    values, vectors = np.linalg.eigh(gram)
+    rows = []
+    for c in range(k):
+        v = vectors[:, -1 - c]
+        v = v * np.sign(v[np.argmax(np.abs(v))])
+        rows += [(c, i, float(round(x, 5)), float(round(max(values[-1 - c], 0.0) ** 0.5, 4))) for i, x in enumerate(v)]
+    return vox.sparkSession.createDataFrame(rows, "component int, place int, weight double, value double")
 
 
 def extremes(vox: DataFrame, how) -> DataFrame:
@@ -75,28 +98,6 @@ def pyramid(vox: DataFrame, levels: int) -> DataFrame:
     return found
 
 
-def derivatives(vox: DataFrame) -> DataFrame:
-    """Laplacian and gradient magnitude in a plane by central differences; inner voxels alone."""
-    wx, wy = line("x"), line("y")
-    near = vox.withColumns({n: f("val").over(w) for n, f, w in (("left", F.lag, wx), ("right", F.lead, wx), ("up", F.lag, wy), ("down", F.lead, wy))})
-    gx, gy = (F.col("right") - F.col("left")) / 2, (F.col("down") - F.col("up")) / 2
-    laplacian = F.col("left") + F.col("right") + F.col("up") + F.col("down") - 4 * F.col("val")
-    return near.withColumn("laplacian", laplacian).withColumn("edge", F.sqrt(gx * gx + gy * gy)).where("laplacian is not null")
-
-
-def up_sampled(coarse: DataFrame, fine: DataFrame, b: int) -> DataFrame:
-    """Bilinear values of a coarse image (blocks of b) at the places of a fine one. A coarse voxel is spread over the
-    places it weighs on; weights are summed map-side. Places at the border share out what weight there is."""
-    spread = coarse
-    weight = F.lit(1.0)
-    for axis in ("y", "x"):
-        spread = spread.withColumn(f"f{axis}", F.explode(F.sequence(F.col(axis) * b - b, F.col(axis) * b + 2 * b)))
-        weight = weight * F.greatest(F.lit(0.0), 1 - F.abs((F.col(f"f{axis}") - (b - 1) / 2) / b - F.col(axis)))
-    rows = spread.withColumn("w", weight).where("w > 0").groupBy("image_id", "t", "c", "z", F.col("fy").alias("y"), F.col("fx").alias("x"))
-    key = ["image_id", "t", "c", *AXES]
-    return rows.agg((F.sum(F.col("w") * F.col("val")) / F.sum("w")).alias("val")).join(fine.select(*key), key, "left_semi")
-
-
 def entropy(vox: DataFrame, radius: int, bins: int, low: float, high: float) -> DataFrame:
     """Shannon bits of the histogram in a disc around each voxel. Voxels are spread over the disc and counted by bin, one
     row a place and bin at most."""

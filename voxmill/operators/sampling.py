@@ -21,24 +21,6 @@ def label_bags(inst: DataFrame, trees: int, percent: int) -> DataFrame:
     return bag.join(F.broadcast(weights.drop("n")), ["tree_id", "class_id"])  # trees x classes rows
 
 
-def entropy_splits(rows: DataFrame) -> DataFrame:
-    """One level of split search on (feature, value, class_id, weight): per feature the midpoint of least weighted
-    conditional entropy. Rows are summed per value before any window sees them."""
-
-    def part(n):
-        return F.when(n > 0, n * F.log2(n)).otherwise(0.0)
-
-    sums = rows.groupBy("feature", "value").pivot("class_id", ["A", "N", "R"]).agg(F.sum("weight")).fillna(0.0)
-    order = W.partitionBy("feature").orderBy("value")
-    before, whole = order.rowsBetween(W.unboundedPreceding, W.currentRow), W.partitionBy("feature")
-    for c in "ANR":
-        sums = sums.withColumn(f"l{c}", F.sum(c).over(before)).withColumn(f"r{c}", F.sum(c).over(whole) - F.col(f"l{c}"))
-    left, right = sum(F.col(f"l{c}") for c in "ANR"), sum(F.col(f"r{c}") for c in "ANR")
-    entropy = (part(left) - sum(part(F.col(f"l{c}")) for c in "ANR") + part(right) - sum(part(F.col(f"r{c}")) for c in "ANR")) / (left + right)
-    cut = sums.withColumn("entropy", F.round(entropy, 6)).withColumn("split", (F.col("value") + F.lead("value").over(order)) / 2).where("split is not null")
-    return cut.groupBy("feature").agg(F.min(F.struct("entropy", "split")).alias("best")).select("feature", F.round("best.split", 6).alias("split"), F.col("best.entropy").alias("entropy"))
-
-
 def until_significant(votes: DataFrame, every: int = 10, a: float = 4.0) -> DataFrame:
     """Votes (row_id, tree_id, p0 of class 0) summed tree by tree; checked after tree 11, 21, ... and the last. The first
     check that is decisive gives class, certainty and trees used."""
@@ -51,6 +33,50 @@ def until_significant(votes: DataFrame, every: int = 10, a: float = 4.0) -> Data
     return first.select("row_id", F.when(F.col("s.mean") >= 0.5, 0).otherwise(1).alias("class_id"), F.round(F.abs(2 * F.col("s.mean") - 1), 6).alias("certainty"), F.col("s.n").alias("n_trees"))
 
 
+def significant_votes(votes: DataFrame, classes: int, every: int = 10, a: float = 4.0) -> DataFrame:
+    """The two likeliest classes with their probabilities and the trees used, from votes (row_id, tree_id, probs: one for
+    each class) summed tree by tree; checked after tree 11, 21, ... and the last. Of equal classes the first one leads."""
+    w = W.partitionBy("row_id").orderBy("tree_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = votes.select("row_id", "tree_id", F.count("*").over(w).alias("n"), F.count("*").over(W.partitionBy("row_id")).alias("trees"), F.array(*(F.sum(F.get("probs", c)).over(w) for c in range(classes))).alias("sums"))
+    total = F.aggregate("sums", F.lit(0.0), lambda t, x: t + x)
+    ranked = F.sort_array(F.transform("sums", lambda x, i: F.struct(F.round(x / total, 9).alias("p"), (-i).alias("i"))), asc=False)
+    run = run.where(((F.col("n") > every) & (F.col("n") % every == 1)) | (F.col("n") == F.col("trees"))).withColumn("r", ranked)
+    p, q = F.get("r", 0)["p"], F.get("r", 1)["p"]
+    sure = (p >= 1) | ((p - q) ** 2 / (p * (1 - p) / F.col("n")) > a * a)
+    first = run.where(sure | (F.col("n") == F.col("trees"))).groupBy("row_id").agg(F.min_by(F.struct("r", "n"), "n").alias("s"))
+    r = F.col("s.r")
+    return first.select("row_id", (-F.get(r, 0)["i"]).alias("class_id"), F.get(r, 0)["p"].alias("prob"), (-F.get(r, 1)["i"]).alias("second_id"), F.get(r, 1)["p"].alias("second_prob"), F.col("s.n").alias("n_trees"))
+
+
+def without_neighbours(points: DataFrame, plane: list[str], radius: int, order: list) -> DataFrame:
+    """The first point of each cell of 2 radius + 1 in y and x, so that far fewer lie beside each other."""
+    cell = [F.floor(F.col(a) / (2 * radius + 1)).alias(f"c{a}") for a in ("y", "x")]
+    spread = points.select("*", *cell)
+    return spread.withColumn("_k", F.row_number().over(W.partitionBy(*plane, "cy", "cx").orderBy(*order))).where("_k = 1").drop("_k", "cy", "cx")
+
+
+def useful_pixels(scored: DataFrame, per_class: int, radius: int) -> DataFrame:
+    """Voxels to learn from next: ``scored`` (VOXEL, class_id: the truth, val: correctness, under 10 if wrong) gives for each
+    class of a plane up to ``per_class`` wrong ones, the most certainly wrong first and one a cell, each with a partner of
+    another class nearby, else the most certainly wrong other one of the plane. Ties by y and x."""
+    plane = ["image_id", "t", "c", "z"]
+    order = [F.col("val"), F.col("y"), F.col("x")]
+    wrong = without_neighbours(scored.where("val > 0 and val < 10"), [*plane, "class_id"], radius, order)
+    place = F.row_number().over(W.partitionBy(*plane, "class_id").orderBy(*order))
+    chosen = wrong.withColumn("place", place).where(F.col("place") <= per_class)  # per_class rows a class and plane
+    reach = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    size = 2 * radius + 1
+    near = chosen.select(*plane, "y", "x", "class_id").withColumn("dy", reach).withColumn("dx", reach)
+    near = near.withColumn("cy", F.floor(F.col("y") / size) + F.col("dy")).withColumn("cx", F.floor(F.col("x") / size) + F.col("dx"))
+    others = scored.select(*plane, F.col("y").alias("py"), F.col("x").alias("px"), F.col("class_id").alias("other"), F.col("val").alias("pval"), F.floor(F.col("y") / size).alias("cy"), F.floor(F.col("x") / size).alias("cx"))
+    close = near.join(others, [*plane, "cy", "cx"]).where((F.col("other") != F.col("class_id")) & (F.abs(F.col("y") - F.col("py")) <= radius) & (F.abs(F.col("x") - F.col("px")) <= radius))
+    local = close.groupBy(*plane, "y", "x", "class_id").agg(F.min(F.struct("pval", "py", "px")).alias("partner"))
+    best = scored.groupBy(*plane, F.col("class_id").alias("other")).agg(F.min(F.struct(F.col("val").alias("pval"), F.col("y").alias("py"), F.col("x").alias("px"))).alias("b"))
+    distant = chosen.select(*plane, "y", "x", "class_id").join(best, plane).where("other <> class_id").groupBy(*plane, "y", "x", "class_id").agg(F.min("b").alias("far"))
+    found = chosen.join(local, [*plane, "y", "x", "class_id"], "left").join(distant, [*plane, "y", "x", "class_id"], "left").withColumn("p", F.coalesce("partner", "far"))
+    return found.select(*plane, "y", "x", "class_id", "place", F.col("p.py").alias("partner_y"), F.col("p.px").alias("partner_x"), F.col("partner").isNotNull().alias("near"))
+
+
 def class_weighted(inst: DataFrame) -> DataFrame:
     """Rows with the weight of their class: the size of the largest class over that of theirs."""
     sizes = inst.groupBy("class_id").agg(F.count("*").alias("size"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from voxmill.sources.tables import VOXEL, table
+from voxmill.sources.tables import VOXEL
 
 
 def decode(result: DataFrame) -> DataFrame:
@@ -36,16 +34,6 @@ def accuracies(truth: DataFrame, result: DataFrame) -> DataFrame:
     return sides.groupBy("class_id").agg(total(F.col("own")).alias("gt"), total(F.col("own") & right).alias("tp"), total(~F.col("own") & ~right).alias("fp"), total(F.col("own") & ~right).alias("fn"))
 
 
-def forest_accuracy(spark, sf_dir: str, trees: int = 20) -> DataFrame:
-    """A class-weighted random forest on the embedding features: rows and hits per class on the held-out fifth."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("double").alias("class_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0).alias("held"))
-    sizes = rows.where("not held").groupBy("class_id").agg(F.count("*").alias("n"))
-    top = sizes.agg(F.max("n").alias("top"))
-    weighted = rows.where("not held").join(F.broadcast(sizes.crossJoin(top)), "class_id").withColumn("weight", F.col("top") / F.col("n"))
-    model = RandomForestClassifier(labelCol="class_id", weightCol="weight", numTrees=trees, featureSubsetStrategy="0.1", subsamplingRate=0.66, maxDepth=8, seed=1).fit(weighted)
-    return model.transform(rows.where("held")).groupBy("class_id").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("class_id")).alias("hits"))
-
-
 def average_vote(votes: DataFrame) -> DataFrame:
     """Class and its probability from the mean over all trees of p0, the vote for class 0."""
     p = F.round(F.avg("p0"), 9)
@@ -61,3 +49,15 @@ def fold_auc(rows: DataFrame) -> DataFrame:
     below = F.sum("neg").over(W.partitionBy("fold").orderBy("score")) - F.col("neg")
     won = F.col("pos") * (F.col("below") + F.col("neg") / 2)
     return counts.withColumn("below", below).groupBy("fold").agg((F.sum(won) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0).cast("long"))).alias("auc"))
+
+
+def confusion(rows: DataFrame, truth: str, score: str, threshold: float) -> DataFrame:
+    """Counts of truth (0 or 1) against score at a threshold (inclusive)."""
+    return rows.groupBy(F.col(truth).alias("truth"), (F.col(score) >= threshold).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
+
+
+def corrected_t(folds: DataFrame, ratio: float) -> DataFrame:
+    """Paired t statistic of columns a and b over folds, with the variance corrected for training sets that overlap
+    (``ratio``: test rows over training rows)."""
+    diff = F.col("a") - F.col("b")
+    return folds.agg(F.count("*").alias("folds"), F.avg(diff).alias("mean"), (F.avg(diff) / F.sqrt((1 / F.count("*") + F.lit(ratio)) * F.var_samp(diff))).alias("t"))

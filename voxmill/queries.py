@@ -68,14 +68,7 @@ def files(spark, d: str) -> DataFrame:
 
 # --- scans, file names and scalar functions -------------------------------------------------------------------------
 
-on_vox("s1_image_scan", "SELECT image_id, t, c, z, y, x, round(val, 6) AS val FROM vox")(lambda v: v.withColumn("val", F.round("val", 6)))
 
-query("s3_image_sequence", f"WITH {FILES} SELECT file_id, CAST(regexp_extract(path, '--Z(\\d+)', 1) AS INT) AS z, CAST(regexp_extract(path, '--T(\\d+)', 1) AS INT) AS t, row_number() OVER (PARTITION BY regexp_extract(path, '--T(\\d+)', 1) ORDER BY path, file_id) AS place FROM files")(
-    lambda s, d: files(s, d).select("file_id", F.regexp_extract("path", r"--Z(\d+)", 1).cast("int").alias("z"), F.regexp_extract("path", r"--T(\d+)", 1).cast("int").alias("t"), F.row_number().over(W.partitionBy(F.regexp_extract("path", r"--T(\d+)", 1)).orderBy("path", "file_id")).alias("place"))
-)
-query("s5_files_by_pattern", f"WITH {FILES} SELECT file_id, path FROM files WHERE regexp_full_match(regexp_extract(path, '[^/]*$'), '.*--W00[0-9]--.*ch1\\.tif')")(
-    lambda s, d: files(s, d).where(F.regexp_extract("path", r"[^/]*$", 0).rlike(r"^(.*--W00[0-9]--.*ch1\.tif)$"))
-)
 query("s6_data_sets", f"WITH {FILES} SELECT regexp_extract(path, '/([a-z_]+)--', 1) AS treatment, regexp_extract(path, '--W(\\d+)', 1) AS well, regexp_extract(path, '--P(\\d+)', 1) AS position, count(*) AS n_files, min(path) AS first_file FROM files GROUP BY 1, 2, 3")(
     lambda s, d: files(s, d).groupBy(*(F.regexp_extract("path", p, 1).alias(n) for n, p in (("treatment", "/([a-z_]+)--"), ("well", r"--W(\d+)"), ("position", r"--P(\d+)")))).agg(F.count("*").alias("n_files"), F.min("path").alias("first_file"))
 )
@@ -104,9 +97,6 @@ query("p6_keep_attributes", "SELECT vec_id, round(CAST(embedding[4] AS DOUBLE),
     lambda s, d: tables.table(s, d, "embeddings").select("vec_id", *(F.round(F.get("embedding", i).cast("double"), 6).alias(f"a{i}") for i in (3, 17)))
 )
 query("p7_intensity_gate", f"WITH {RESULT} SELECT z, y, x, CASE WHEN code BETWEEN 11 AND 20 THEN code - 11 ELSE 0 END AS val FROM result")(lambda s, d: result(s, d).select("z", "y", "x", grid.gate(F.col("code"), 11, 20).alias("val")))
-on_vox("p8_thresholds", "SELECT count(*) FILTER (WHERE val > 0.1) AS above, count(*) FILTER (WHERE val >= 0.1) AS from_on, count(*) FILTER (WHERE val BETWEEN 0.1 AND 0.2) AS band, z FROM vox GROUP BY z")(
-    lambda v: v.groupBy("z").agg(F.count_if(F.col("val") > 0.1).alias("above"), F.count_if(F.col("val") >= 0.1).alias("from_on"), F.count_if(F.col("val").between(0.1, 0.2)).alias("band"))
-)
 query("p9_two_class_image", f"WITH {RESULT} SELECT z, y, x, CASE WHEN code > 0 AND code <= 10 THEN 10 - code ELSE code END AS code FROM result")(lambda s, d: result(s, d).select("z", "y", "x", F.when((F.col("code") > 0) & (F.col("code") <= 10), 10 - F.col("code")).otherwise(F.col("code")).alias("code")))
 on_vox("p10_background_tiles", "SELECT z, y // 16 AS ty, x // 16 AS tx FROM vox GROUP BY 1, 2, 3 HAVING max(val) <= 0.33")(
     lambda v: grid.with_tile(v, 16).groupBy("z", "ty", "tx").agg(F.max("val").alias("top")).where("top <= 0.33").select("z", "ty", "tx")
@@ -123,18 +113,6 @@ query("p13_labels_to_compute", "SELECT o_orderkey AS label_id FROM orders WHERE
 
 # --- grid and joins -------------------------------------------------------------------------------------------------
 
-on_vox("j1_tile_grid", "SELECT z, y // 24 AS ty, x // 24 AS tx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1, count(*) AS n FROM vox GROUP BY 1, 2, 3")(
-    lambda v: grid.with_tile(v, 24).groupBy("z", "ty", "tx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.count("*").alias("n"))
-)
-on_vox("j4_halo_exchange", "SELECT z, ty, tx, count(*) AS n, round(sum(val), 6) AS total FROM vox, (SELECT ty, tx FROM range(0, 5) a(ty), range(0, 5) b(tx)) WHERE y BETWEEN ty * 16 - 3 AND ty * 16 + 18 AND x BETWEEN tx * 16 - 3 AND tx * 16 + 18 GROUP BY 1, 2, 3")(
-    lambda v: grid.with_halo(v, 16, 3).groupBy("z", "ty", "tx").agg(F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"))
-)
-on_vox("j5_mirror_padding", "SELECT z, y, p AS px, round(val, 6) AS val FROM range(-5, 69) r(p) JOIN vox ON x = CASE WHEN p < 0 THEN -p WHEN p > 63 THEN 126 - p ELSE p END")(
-    lambda v: grid.padded(v, 5, 64).select("z", "y", "px", F.round("val", 6).alias("val"))
-)
-query("j6_label_features", f"WITH {VOX}, {INST} SELECT label_id, n, class_id, i.y, i.x, round(val, 6) AS val FROM inst i JOIN vox v ON v.z = 0 AND v.y = i.y AND v.x = i.x")(
-    lambda s, d: inst(s, d).join(vox(s, d).where("z = 0").select("y", "x", "val"), ["y", "x"]).select("label_id", "n", "class_id", "y", "x", F.round("val", 6).alias("val"))
-)
 query("j7_label_groups", f"WITH {INST} SELECT floor(ax / 18) AS gx, floor(ay / 18) AS gy, count(*) AS labels FROM (SELECT label_id, avg(x) AS ax, avg(y) AS ay FROM inst GROUP BY 1) GROUP BY 1, 2")(
     lambda s, d: inst(s, d).groupBy("label_id").agg(F.avg("x").alias("ax"), F.avg("y").alias("ay")).groupBy(F.floor(F.col("ax") / 18).cast("double").alias("gx"), F.floor(F.col("ay") / 18).cast("double").alias("gy")).agg(F.count("*").alias("labels"))
 )
@@ -142,12 +120,6 @@ query("j8_label_boxes", f"WITH {INST} SELECT label_id, min(x) - 3 AS x0, max(x)
     lambda s, d: inst(s, d).groupBy("label_id").agg((F.min("x") - 3).alias("x0"), (F.max("x") + 3).alias("x1"), (F.min("y") - 3).alias("y0"), (F.max("y") + 3).alias("y1"))
 )
 query("j10_label_result_join", f"WITH {RESULT} SELECT class_id, code, count(*) AS n FROM gt JOIN result USING (z, y, x) GROUP BY 1, 2")(lambda s, d: tables.truth(vox(s, d)).join(result(s, d), VOXEL).groupBy("class_id", "code").agg(F.count("*").alias("n")))
-on_vox("j12_within_distance", ", ref AS (SELECT z, y, x FROM vox WHERE val > 0.35) SELECT DISTINCT v.z, v.y, v.x FROM vox v JOIN ref r ON abs(v.z - r.z) <= 3 AND abs(v.y - r.y) <= 3 AND abs(v.x - r.x) <= 3 AND (v.z - r.z) ** 2 + (v.y - r.y) ** 2 + (v.x - r.x) ** 2 <= 9")(
-    lambda v: grid.within(v, v.where("val > 0.35"), 3).select("z", "y", "x")
-)
-on_vox("j14_mask_multiply", "SELECT a.z, a.y, a.x, round(a.val * b.val, 6) + 0.0 AS val FROM vox a JOIN vox b ON a.z = b.z AND a.y = b.x AND a.x = b.y")(
-    lambda v: v.select("z", "y", "x", "val").join(v.select("z", F.col("x").alias("y"), F.col("y").alias("x"), F.col("val").alias("other")), ["z", "y", "x"]).select("z", "y", "x", (F.round(F.col("val") * F.col("other"), 6) + F.lit(0.0)).alias("val"))
-)
 query("j16_dense_grid", f"WITH {RESULT} SELECT z, y, x, coalesce(code, 0) AS code FROM (SELECT z, y, x FROM (SELECT DISTINCT z FROM vox), (SELECT unnest(range(0, 64)) AS y), (SELECT unnest(range(0, 64)) AS x)) g LEFT JOIN (SELECT * FROM result WHERE code > 10) USING (z, y, x)")(
     lambda s, d: vox(s, d).select("z").distinct().withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")))).join(result(s, d).where("code > 10").select("z", "y", "x", "code"), ["z", "y", "x"], "left").fillna(0, ["code"])
 )
@@ -155,37 +127,12 @@ query("j16_dense_grid", f"WITH {RESULT} SELECT z, y, x, coalesce(code, 0) AS cod
 # --- kernels --------------------------------------------------------------------------------------------------------
 
 on_vox("d4_log_transform", "SELECT z, y, x, round(ln(abs(val) + 10) * 10000, 4) AS val FROM vox")(lambda v: v.select("z", "y", "x", F.round(F.ln(F.abs("val") + 10) * 10000, 4).alias("val")))
-on_vox("d5_normalise", "SELECT z, y, x, round((val - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS val FROM vox, (SELECT avg(val) AS m, stddev_samp(val) AS s FROM vox)")(
-    lambda v: v.join(F.broadcast(v.groupBy("image_id", "t", "c").agg(F.avg("val").alias("m"), F.stddev("val").alias("s"))), ["image_id", "t", "c"]).select("z", "y", "x", F.round((F.col("val") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0), 6).alias("val"))
-)
 BLOCKS = "SELECT z, y // 3 AS y, x // 3 AS x, round({f}(val), 6) AS val FROM vox GROUP BY 1, 2, 3 HAVING count(*) = 9"
 for _name, _f, _how in (("d6_block_average", "avg", F.avg), ("d7_block_maximum", "max", F.max), ("d8_block_minimum", "min", F.min)):
     on_vox(_name, BLOCKS.format(f=_f))(lambda v, how=_how: kernels.blocks(v, 3, 3, how=how).select("z", "y", "x", F.round("val", 6).alias("val")))
-on_vox("d11_box_mean", "SELECT z, y, x, round(avg(val) OVER (PARTITION BY z, y ORDER BY x RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS val FROM vox")(lambda v: kernels.box_mean(v, 2, ("x",)).select("z", "y", "x", F.round("val", 6).alias("val")))
-_G = kernels.gaussian_weights(1.0)
-_TAPS = " + ".join(f"coalesce(lag(val, {3 - i}) OVER w * {g!r}, 0)" if i <= 3 else f"coalesce(lead(val, {i - 3}) OVER w * {g!r}, 0)" for i, g in enumerate(_G))
-_INSIDE = " + ".join(f"CASE WHEN x + {i - 3} BETWEEN 0 AND 63 THEN {g!r} ELSE 0 END" for i, g in enumerate(_G))
-on_vox("d12_gaussian", f"SELECT z, y, x, round(({_TAPS}) / ({_INSIDE}), 6) AS val FROM vox WINDOW w AS (PARTITION BY z, y ORDER BY x)")(lambda v: kernels.taps(v, "x", _G).select("z", "y", "x", F.round("val", 6).alias("val")))
-on_vox("d13_hessian", """, a AS (SELECT z, y, x, val, lag(val) OVER wx - 2 * val + lead(val) OVER wx AS xx, (lead(val) OVER wx - lag(val) OVER wx) / 2 AS gx, lag(val) OVER wy - 2 * val + lead(val) OVER wy AS yy
-  FROM vox WINDOW wx AS (PARTITION BY z, y ORDER BY x), wy AS (PARTITION BY z, x ORDER BY y)),
- b AS (SELECT *, (lead(gx) OVER wy - lag(gx) OVER wy) / 2 AS xy FROM a WINDOW wy AS (PARTITION BY z, x ORDER BY y)),
- e AS (SELECT z, y, x, (xx + yy) / 2 AS h, sqrt(((xx - yy) / 2) ** 2 + xy ** 2) AS r FROM b WHERE xx IS NOT NULL AND yy IS NOT NULL AND xy IS NOT NULL)
- SELECT z, y, x, round(greatest(abs(h + r), abs(h - r)), 6) AS l, round(least(abs(h + r), abs(h - r)), 6) AS m FROM e""")(lambda v: kernels.hessian_2d(v).select("z", "y", "x", F.round("l", 6).alias("l"), F.round("m", 6).alias("m")))
 on_vox("d19_max_pool", ", k AS (SELECT z, y // 4 AS y, x // 4 AS x, max(val) AS val, arg_max((y % 4) * 4 + x % 4, val) AS place FROM vox GROUP BY 1, 2, 3) SELECT z, y, x, round(val, 6) AS val, place FROM k")(
     lambda v: v.groupBy("z", F.floor(F.col("y") / 4).alias("y"), F.floor(F.col("x") / 4).alias("x")).agg(F.round(F.max("val"), 6).alias("val"), F.max_by((v.y % 4) * 4 + v.x % 4, v.val).alias("place"))
 )
-on_vox("d21_dilate", ", a AS (SELECT z, y, x, max(val) OVER (PARTITION BY z, y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS val FROM vox) SELECT z, y, x, round(max(val) OVER (PARTITION BY z, x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS val FROM a")(
-    lambda v: kernels.extremes(v, F.max).select("z", "y", "x", F.round("val", 6).alias("val"))
-)
-on_vox("d22_rescale01", "SELECT z, y, x, round((val - lo) / nullif(hi - lo, 0), 6) AS val FROM vox, (SELECT min(val) AS lo, max(val) AS hi FROM vox)")(
-    lambda v: v.join(F.broadcast(v.groupBy("image_id", "t", "c").agg(F.min("val").alias("lo"), F.max("val").alias("hi"))), ["image_id", "t", "c"]).select("z", "y", "x", F.round((F.col("val") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), 6).alias("val"))
-)
-on_vox("d23_distance_map", ", ref AS (SELECT z, y, x FROM vox WHERE val > 0.35), n AS (SELECT v.z, v.y, v.x, min((v.z - r.z) ** 2 + (v.y - r.y) ** 2 + (v.x - r.x) ** 2) AS d2 FROM vox v JOIN ref r ON abs(v.z - r.z) <= 3 AND abs(v.y - r.y) <= 3 AND abs(v.x - r.x) <= 3 AND (v.z - r.z) ** 2 + (v.y - r.y) ** 2 + (v.x - r.x) ** 2 <= 9 GROUP BY 1, 2, 3) SELECT v.z, v.y, v.x, CAST(d2 AS INT) AS d2 FROM vox v LEFT JOIN n USING (z, y, x)")(
-    lambda v: grid.nearest_distance(v, v.where("val > 0.35"), 3).select("z", "y", "x", "d2")
-)
-query("d24_channel_pivot", f"WITH {LAPSE} SELECT t, z, y, x, round(max(val) FILTER (WHERE c = 0), 6) AS c0, round(max(val) FILTER (WHERE c = 1), 6) AS c1 FROM lapse GROUP BY 1, 2, 3, 4")(
-    lambda s, d: lapse(s, d).groupBy("t", "z", "y", "x").pivot("c", [0, 1]).agg(F.max("val")).select("t", "z", "y", "x", F.round("0", 6).alias("c0"), F.round("1", 6).alias("c1"))
-)
 
 # --- aggregates over labels and instances ---------------------------------------------------------------------------
 
@@ -204,9 +151,6 @@ on_vox("a10_stack_statistics", "SELECT z, round(avg(val), 6) AS mean, round(stdd
 # --- instance sets and sampling -------------------------------------------------------------------------------------
 
 query("n1_instance_table", f"WITH {INST} SELECT label_id, y, x, min(n) AS n FROM inst GROUP BY 1, 2, 3")(lambda s, d: inst(s, d).groupBy("label_id", "y", "x").agg(F.min("n").alias("n")))
-query("n3_union_of_sets", f"WITH {INST} SELECT dataset, count(*) AS n FROM (SELECT 'a' AS dataset, * FROM inst WHERE n = 1 UNION ALL SELECT 'b', * FROM inst WHERE n = 2) GROUP BY 1")(
-    lambda s, d: inst(s, d).where("n = 1").withColumn("dataset", F.lit("a")).unionByName(inst(s, d).where("n = 2").withColumn("dataset", F.lit("b"))).groupBy("dataset").agg(F.count("*").alias("n"))
-)
 _BAG = f"""WITH {INST}, bag AS (SELECT *, tree_id FROM inst, range(0, 3) r(tree_id) WHERE CAST('0x' || substr(md5(concat(label_id, ',', tree_id)), 1, 8) AS BIGINT) % 100 < 66),
 s AS (SELECT tree_id, class_id, count(*) AS n FROM bag GROUP BY 1, 2)"""
 query("n7_label_balanced_bag", f"{_BAG} SELECT tree_id, class_id, n, round(max(n) OVER (PARTITION BY tree_id) / n, 6) AS weight FROM s")(
@@ -215,16 +159,6 @@ query("n7_label_balanced_bag", f"{_BAG} SELECT tree_id, class_id, n, round(max(n
 query("n12_correctness", f"WITH {RESULT} SELECT z, y, x, CASE WHEN code = 0 THEN 0 WHEN (code - 1) // 10 = class_id THEN 10 + (code - 1) % 10 + 1 ELSE 10 - (code - 1) % 10 - 1 END AS val FROM gt JOIN result USING (z, y, x)")(
     lambda s, d: tables.truth(vox(s, d)).join(result(s, d), VOXEL).select("z", "y", "x", scoring.correctness(F.col("code"), F.col("class_id")).alias("val"))
 )
-query("g2_split_level", f"""WITH {INST}, r AS (SELECT 'f0' AS feature, f0 AS value, class_id FROM inst UNION ALL SELECT 'f2', f2, class_id FROM inst UNION ALL SELECT 'f3', f3, class_id FROM inst),
-s AS (SELECT feature, value, count(*) FILTER (WHERE class_id = 'A') AS a, count(*) FILTER (WHERE class_id = 'N') AS n, count(*) FILTER (WHERE class_id = 'R') AS r FROM r GROUP BY 1, 2),
-c AS (SELECT feature, (value + lead(value) OVER w) / 2 AS split, sum(a) OVER w AS la, sum(n) OVER w AS ln_, sum(r) OVER w AS lr, sum(a) OVER v - sum(a) OVER w AS ra, sum(n) OVER v - sum(n) OVER w AS rn, sum(r) OVER v - sum(r) OVER w AS rr FROM s WINDOW w AS (PARTITION BY feature ORDER BY value), v AS (PARTITION BY feature)),
-e AS (SELECT feature, round(split, 6) AS split, round((p(la + ln_ + lr) - p(la) - p(ln_) - p(lr) + p(ra + rn + rr) - p(ra) - p(rn) - p(rr)) / (la + ln_ + lr + ra + rn + rr), 6) AS entropy, split AS raw FROM c WHERE split IS NOT NULL)
-SELECT DISTINCT ON (feature) feature, split, entropy FROM e ORDER BY feature, entropy, raw""".replace("p(", "plog(").replace("plog(la + ln_ + lr)", "((la + ln_ + lr) * log2(la + ln_ + lr))").replace("plog(ra + rn + rr)", "((ra + rn + rr) * log2(ra + rn + rr))").replace("plog(la)", "CASE WHEN la > 0 THEN la * log2(la) ELSE 0 END").replace("plog(ln_)", "CASE WHEN ln_ > 0 THEN ln_ * log2(ln_) ELSE 0 END").replace("plog(lr)", "CASE WHEN lr > 0 THEN lr * log2(lr) ELSE 0 END").replace("plog(ra)", "CASE WHEN ra > 0 THEN ra * log2(ra) ELSE 0 END").replace("plog(rn)", "CASE WHEN rn > 0 THEN rn * log2(rn) ELSE 0 END").replace("plog(rr)", "CASE WHEN rr > 0 THEN rr * log2(rr) ELSE 0 END"))(
-    lambda s, d: sampling.entropy_splits(inst(s, d).select("class_id", F.lit(1.0).alias("weight"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in ("f0", "f2", "f3")))).alias("x")).select("class_id", "weight", "x.*")).select("feature", "split", "entropy")
-)
-query("n15_class_dictionary", f"WITH {INST} SELECT name, count(*) AS n FROM inst JOIN (VALUES ('A', 'background'), ('N', 'foreground'), ('R', 'rest')) k(class_id, name) USING (class_id) GROUP BY 1")(
-    lambda s, d: inst(s, d).join(F.broadcast(s.createDataFrame([("A", "background"), ("N", "foreground"), ("R", "rest")], "class_id string, name string")), "class_id").groupBy("name").agg(F.count("*").alias("n"))
-)
 
 # --- decoding, objects ----------------------------------------------------------------------------------------------
 
@@ -234,10 +168,6 @@ query("h3_binned_class_image", f"WITH {RESULT} SELECT z, y // 2 AS y, x // 2 AS
 )
 query("h4_bit_depth", f"WITH {RESULT} SELECT z, y, x, code * 25 AS byte_val, code * 6553 AS short_val FROM result")(lambda s, d: result(s, d).select("z", "y", "x", (F.col("code") * 25).alias("byte_val"), (F.col("code") * 6553).alias("short_val")))
 query("h5_label_mask", f"WITH {RESULT} SELECT z, y, x, CAST(ceil(code / 10) AS BIGINT) AS label FROM result")(lambda s, d: result(s, d).select("z", "y", "x", F.ceil(F.col("code") / 10).alias("label")))
-query("h7_components")(lambda s, d: objects.components(vox(s, d).where("val > 0.1")))
-query("h11_object_measures")(lambda s, d: objects.measures(objects.opened(objects.components(vox(s, d).where("val > 0.1")), 3)))
-query("h16_objects_by_volume")(lambda s, d: objects.measures(objects.components(vox(s, d).where("val > 0.1"))).where("volume > 5").orderBy(F.desc("volume"), "object_id").select("object_id", "volume", F.format_string("#%d volume %d", "object_id", "volume").alias("name")))
-query("h21_label_keys", f"WITH {INST} SELECT label_id, format('c{{}}-t1-z1-i{{}}', class_id, n) AS name FROM inst")(lambda s, d: inst(s, d).select("label_id", F.format_string("c%s-t1-z1-i%d", "class_id", "n").alias("name")))
 
 # --- evaluation -----------------------------------------------------------------------------------------------------
 
@@ -256,4 +186,3 @@ SELECT DISTINCT ON (row_id) row_id, CASE WHEN mean >= 0.5 THEN 0 ELSE 1 END AS c
 query("g7_vote_until_significant", _VOTES)(
     lambda s, d: sampling.until_significant(tables.table(s, d, "embeddings").select(F.col("vec_id").alias("row_id")).withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("p0", sampling.draw("row_id", "tree_id") % 100 * 0.006 + (F.col("row_id") % 10) * 0.04))
 )
-query("g1_forest")(scoring.forest_accuracy)

@@ -10,15 +10,6 @@ from voxmill.sources import tables
 
 # --- exports --------------------------------------------------------------------------------------------------------
 
-query("s13_class_probabilities", f"WITH {RESULT} SELECT class_id, z, y, x, CASE WHEN code BETWEEN class_id * 10 + 1 AND class_id * 10 + 10 THEN (code - class_id * 10 - 1) * 25 ELSE 0 END AS val FROM result, (VALUES (0), (1)) k(class_id)")(
-    lambda s, d: grid.class_images(result(s, d), (0, 1)).select("class_id", "z", "y", "x", (F.col("val") * 25).alias("val"))
-)
-query("s14_frame_masks", f"WITH {RESULT} SELECT z // 4 AS t, CAST(ceil(code / 10) AS BIGINT) AS label, count(*) AS n FROM result GROUP BY 1, 2")(
-    lambda s, d: result(s, d).groupBy(F.floor(F.col("z") / 4).alias("t"), F.ceil(F.col("code") / 10).alias("label")).agg(F.count("*").alias("n"))
-)
-query("s15_named_slices", f"WITH {RESULT} SELECT format('classified--C01--T{{:05d}}--Z{{:05d}}', z // 4 + 1, z % 4 + 1) AS name, count(*) AS n, CAST(sum(code) AS BIGINT) AS total FROM result GROUP BY 1")(
-    lambda s, d: result(s, d).groupBy(F.format_string("classified--C01--T%05d--Z%05d", F.floor(F.col("z") / 4) + 1, F.col("z") % 4 + 1).alias("name")).agg(F.count("*").alias("n"), F.sum("code").alias("total"))
-)
 on_vox("s16_pyramid", """, a AS (SELECT z, y // 2 AS y, x // 2 AS x, avg(val) AS val FROM vox GROUP BY 1, 2, 3 HAVING count(*) = 4), b AS (SELECT z, y // 2 AS y, x // 2 AS x, avg(val) AS val FROM a GROUP BY 1, 2, 3 HAVING count(*) = 4)
 SELECT 0 AS level, z, y, x, round(val, 6) AS val FROM vox UNION ALL SELECT 1, z, y, x, round(val, 6) FROM a UNION ALL SELECT 2, z, y, x, round(val, 6) FROM b""")(
     lambda v: kernels.pyramid(v, 3).select("level", "z", "y", "x", F.round("val", 6).alias("val"))
@@ -42,23 +33,6 @@ query("o2_most_uncertain_region", f"WITH {RESULT}, u AS (SELECT z, y // 16 AS ty
 
 # --- grid and neighbourhoods ----------------------------------------------------------------------------------------
 
-on_vox("j2_plane_tiles", "SELECT y // 16 AS ty, x // 16 AS tx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM vox GROUP BY 1, 2")(
-    lambda v: grid.with_tile(v, 64 // 4).groupBy("ty", "tx").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-)
-on_vox("j11_local_candidates", ", s AS (SELECT z, y, x FROM vox WHERE val > 0.3), c AS (SELECT z, y, x, val FROM vox WHERE val < -0.2) SELECT s.z, s.y, s.x, count(*) AS n, round(min(val), 6) AS least FROM s JOIN c ON s.z = c.z AND abs(s.y - c.y) <= 3 AND abs(s.x - c.x) <= 3 GROUP BY 1, 2, 3")(
-    lambda v: grid.candidates(v.where("val > 0.3"), v.where("val < -0.2"), 3).groupBy("z", "y", "x").agg(F.count("*").alias("n"), F.round(F.min("val"), 6).alias("least"))
-)
-on_vox("j13_ball_dilation", ", r AS (SELECT DISTINCT z + dz AS z, y + dy AS y, x + dx AS x FROM vox, range(-2, 3) a(dz), range(-2, 3) b(dy), range(-2, 3) c(dx) WHERE val > 0.35 AND dz * dz + dy * dy + dx * dx <= 4) SELECT z, y, x, CASE WHEN (z, y, x) IN (SELECT (z, y, x) FROM r) THEN 255 ELSE 0 END AS val FROM vox")(
-    lambda v: grid.nearest_distance(v, v.where("val > 0.35"), 2).select("z", "y", "x", F.when(F.col("d2").isNotNull(), 255).otherwise(0).alias("val"))
-)
-on_vox("d15_derivatives", ", a AS (SELECT z, y, x, (lead(val) OVER wx - lag(val) OVER wx) / 2 AS gx, (lead(val) OVER wy - lag(val) OVER wy) / 2 AS gy, lag(val) OVER wx + lead(val) OVER wx + lag(val) OVER wy + lead(val) OVER wy - 4 * val AS lap FROM vox WINDOW wx AS (PARTITION BY z, y ORDER BY x), wy AS (PARTITION BY z, x ORDER BY y)) SELECT z, y, x, round(lap, 6) + 0.0 AS laplacian, round(sqrt(gx * gx + gy * gy), 6) AS edge FROM a WHERE lap IS NOT NULL")(
-    lambda v: kernels.derivatives(v).select("z", "y", "x", (F.round("laplacian", 6) + F.lit(0.0)).alias("laplacian"), F.round("edge", 6).alias("edge"))
-)
-on_vox("d17_up_sampling", """, a AS (SELECT z, y // 4 AS cy, x // 4 AS cx, avg(val) AS v FROM vox GROUP BY 1, 2, 3 HAVING count(*) = 16),
-w AS (SELECT a.z, f.y, g.x, v, (1 - abs((f.y - 1.5) / 4.0 - cy)) * (1 - abs((g.x - 1.5) / 4.0 - cx)) AS w FROM a, range(0, 64) f(y), range(0, 64) g(x) WHERE abs((f.y - 1.5) / 4.0 - cy) < 1 AND abs((g.x - 1.5) / 4.0 - cx) < 1)
-SELECT z, y, x, round(sum(w * v) / sum(w), 6) + 0.0 AS val FROM w SEMI JOIN vox USING (z, y, x) GROUP BY 1, 2, 3""")(
-    lambda v: kernels.up_sampled(kernels.blocks(v, 4, 4), v, 4).select("z", "y", "x", (F.round("val", 6) + F.lit(0.0)).alias("val"))
-)
 on_vox("d18_entropy", """, b AS (SELECT z, y + dy AS y, x + dx AS x, greatest(0, least(7, CAST(floor((val + 0.5) * 8) AS INT))) AS bin, dy = 0 AND dx = 0 AS own FROM vox, range(-2, 3) o(dy), range(-2, 3) p(dx) WHERE dy * dy + dx * dx <= 4),
 h AS (SELECT z, y, x, bin, count(*) AS n, bool_or(own) AS own FROM b GROUP BY 1, 2, 3, 4), s AS (SELECT z, y, x, sum(n) AS total, sum(n * log2(n)) AS part, bool_or(own) AS own FROM h GROUP BY 1, 2, 3)
 SELECT z, y, x, round(abs(log2(total) - part / total), 6) AS bits FROM s WHERE own""")(
@@ -67,6 +41,3 @@ SELECT z, y, x, round(abs(log2(total) - part / total), 6) AS bits FROM s WHERE o
 on_vox("f8_arithmetic", "SELECT z, y, x, round(sqrt(abs(val)), 6) AS root, round(ln(abs(val) + 1), 6) AS log, round((val + 1) * 2 - val, 6) AS sum FROM vox")(
     lambda v: v.select("z", "y", "x", F.round(F.sqrt(F.abs("val")), 6).alias("root"), F.round(F.ln(F.abs("val") + 1), 6).alias("log"), F.round((F.col("val") + 1) * 2 - F.col("val"), 6).alias("sum"))
 )
-query("s17_frame_class_images", f"WITH {LAPSE} SELECT c, t, z, count(*) FILTER (WHERE val > 0.1) AS inside, round(max(val), 6) AS top FROM lapse GROUP BY 1, 2, 3")(
-    lambda s, d: lapse(s, d).groupBy("c", "t", "z").agg(F.count_if(F.col("val") > 0.1).alias("inside"), F.round(F.max("val"), 6).alias("top"))
-)

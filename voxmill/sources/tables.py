@@ -39,6 +39,13 @@ def voxels(embeddings: DataFrame) -> DataFrame:
     return v.select(zero.cast("long").alias("image_id"), zero.alias("t"), zero.alias("c"), F.floor(F.col("vec_id") / 64).alias("z"), (F.col("vec_id") % 64).alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("val"))
 
 
+def volumes(embeddings: DataFrame) -> DataFrame:
+    """Image scan: each vector is a row of 64 voxels; 256 vectors are an image of four planes."""
+    v = embeddings.select("vec_id", F.posexplode("embedding").alias("x", "v"))
+    zero = F.lit(0)
+    return v.select(F.floor(F.col("vec_id") / 256).alias("image_id"), zero.alias("t"), zero.alias("c"), (F.floor(F.col("vec_id") / 64) % 4).alias("z"), (F.col("vec_id") % 64).alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("val"))
+
+
 def time_lapse(vox: DataFrame) -> DataFrame:
     """The stack as frames of four planes, with the absolute value as a second channel."""
     split = vox.withColumn("t", F.floor(F.col("z") / 4).cast("int")).withColumn("z", F.col("z") % 4)

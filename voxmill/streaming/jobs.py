@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from voxmill.sources.tables import fresh_path
 
@@ -27,10 +28,20 @@ def score_arriving(stream: DataFrame, how: Callable[[DataFrame], DataFrame], at:
 
 
 def new_points(stream: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The first row of each key that a stream brings; the keys seen so far are its state."""
-    found = stream.dropDuplicates(key).select(*key)
-    found.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(found.schema).parquet(f"{at}/rows")
+    """The rows of each key that a stream brings and the table so far does not hold. The table itself is what is known: the
+    stream keeps no state, and a batch that is run again replaces itself."""
+    spark, kinds = stream.sparkSession, [stream.schema[k] for k in key]
+    schema = ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in kinds)
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = batch.select(*key).distinct()
+        if number:
+            known = spark.read.schema(f"{schema}, batch long").parquet(f"{at}/rows").where(F.col("batch") < number).select(*key)
+            own = own.join(known, key, "left_anti")
+        own.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{at}/rows").select(*key)
 
 
 def place(spark: SparkSession, name: str) -> str:
