@@ -1,7 +1,7 @@
-"""Local recompression of word sequences: runs and pairs get names that equal word sequences share.
+"""The lowest rounds of recompression, inside a task: runs and pairs of words get names that equal word sequences share.
 
 Names are 64-bit hashes of what they stand for, so every task gives the same name to the same run or pair with no
-table of names between them. All arrays cover many documents at once; nothing is merged over a document's edge.
+table of names between them; from 8 words on, names are counted over all documents (``substrings.named_rounds``). All arrays cover many documents at once; nothing is merged over a document's edge.
 """
 
 from __future__ import annotations

@@ -1,4 +1,7 @@
-"""Substring dedup by recompression: words under windows that a document with a smaller doc_id has too are removed."""
+"""Substring dedup by recompression: words under windows that a document with a smaller doc_id has too are removed.
+
+Documents become sequences of symbols that equal passages share; Spark rounds name pairs of symbols over all documents and
+keep the names that several documents have, until those reveal which windows can be repeats."""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ._common import discard, drained, id_filter, maybe_in, table, text_key, text_slices, written
 from .recompress import Words, contained, index, mix, whole_windows, window_hashes
@@ -21,22 +25,23 @@ def _words(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[
         yield a, b, [(t or "").encode().split() for t in texts]
 
 
-def _names(window: int):
-    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The index symbols of each document, each once."""
+#: Spark rounds of pairing at most; symbols have 8 words or more, so few pairs of pairs fit in a window.
+ROUNDS = 6
+
+
+def _symbols(window: int):
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lowest symbols of each document with the words that fix each."""
         for batch in drained(batches):
-            ids = batch.column(0).to_numpy()
-            for a, b, split in _words(batch, 1):
+            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a, b, split in _words(batch, 2):
                 words = Words.of(split)
-                name, left, _ = index(words, window)
+                name, left, right = index(words, window)
                 doc = np.searchsorted(words.last, left, side="right")
-                order = np.lexsort((name, doc))
-                name, doc = name[order], doc[order]
-                new = np.ones(len(name), bool)
-                new[1:] = (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(name[new].view(np.int64)), pa.array(ids[a:b][doc[new]], pa.int64())], ["name", "id"])
+                first = words.first[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(ids[a:b][doc], pa.int64()), pa.array(keys[a:b][doc], pa.int64()), pa.array((left - first).astype(np.int32)), pa.array((right - first).astype(np.int32))], ["name", "id", "text_key", "left", "right"])
 
-    return names
+    return symbols
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -50,7 +55,7 @@ def _candidates(window: int):
         """Windows that hold no symbol of a single document, each with two hashes of its words."""
         for batch in drained(batches):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shared, copied = _lists(batch.column(3)), _lists(batch.column(4))
+            shared, copied, alone = (_lists(batch.column(i)) for i in (3, 4, 5))
             for a, b, split in _words(batch, 2):
                 split = [[] if keys[i] in copied[i] else own for i, own in zip(range(a, b), split, strict=True)]
                 words = Words.of(split)
@@ -58,14 +63,18 @@ def _candidates(window: int):
                 doc = np.searchsorted(words.last, left, side="right")
                 # (document, name) pairs against the shared ones of each document
                 own = np.concatenate([mix(shared[i].view(np.uint64)) + np.uint64(i - a) for i in range(a, b)]) if b > a else np.zeros(0, np.uint64)
-                alone = ~np.isin(mix(name) + doc.astype(np.uint64), own)
-                ok = whole_windows(words, window) & ~contained(left[alone], right[alone], window, len(words.hashes))
+                single = ~np.isin(mix(name) + doc.astype(np.uint64), own)
+                # Ranges of higher symbols that no other document has.
+                high = [(alone[i] >> 32) + words.first[i - a] for i in range(a, b) if len(split[i - a])]
+                ends = [(alone[i] & 0x7FFFFFFF) + words.first[i - a] for i in range(a, b) if len(split[i - a])]
+                left, right = np.concatenate([left[single], *high]), np.concatenate([right[single], *ends])
+                ok = whole_windows(words, window) & ~contained(left, right, window, len(words.hashes))
                 at = np.flatnonzero(ok)
                 doc = np.searchsorted(words.last, at, side="right")
                 h = window_hashes(words.hashes, window)[at]
-                check = window_hashes(mix(words.hashes), window)[at].astype(np.uint32).view(np.int32)
+                check = window_hashes(mix(words.hashes), window)[at]
                 place = (at - words.first[doc]) | ((keys[a:b][doc] & 0x7FFFFFFF) << 32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check), pa.array(ids[a:b][doc], pa.int64()), pa.array(place)], ["h", "check", "id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids[a:b][doc], pa.int64()), pa.array(place)], ["h", "check", "id", "place"])
 
     return candidates
 
@@ -96,6 +105,35 @@ def _kept(window: int):
     return kept
 
 
+def _shared(symbols: DataFrame) -> DataFrame:
+    """The symbols whose names two documents or more have: the table of names is one aggregate, joined back."""
+    names = symbols.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name")
+    return symbols.join(written(names, "names"), "name").select("id", "text_key", "left", "right", "name")
+
+
+def named_rounds(items: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, text_key, left, right) of the symbols above ``items`` that one document alone has, and the written tables.
+
+    Each round names the pairs of symbols that follow each other in a document and fit in a window, as (name, name,
+    distance): the words of a pair's range fix both. Pairs that two documents have are the symbols of the next round.
+    """
+    follow = W.partitionBy("id", "text_key").orderBy("left", "right", "name")
+    single, tables, made = None, [], ["id", "text_key", "left", "right"]
+    for _ in range(ROUNDS):
+        ahead = items.select("*", *(F.lead(c).over(follow).alias(f"next_{c}") for c in ("left", "right", "name"))).where("next_name is not null")
+        left, right = F.least("left", "next_left"), F.greatest("right", "next_right")
+        pairs = ahead.where(right - left <= window).select("id", "text_key", left.alias("left"), right.alias("right"), F.xxhash64("name", "next_name", F.col("next_left") - F.col("left")).alias("name"))
+        pairs = written(pairs, "pairs")
+        tables.append(pairs)
+        items = written(_shared(pairs), "items")
+        tables.append(items)
+        lone = pairs.join(items.select("name").distinct(), "name", "left_anti").select(*made)
+        single = lone if single is None else single.union(lone)
+        if not items.limit(1).count():
+            break
+    return single, tables
+
+
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """id (the doc_id), text_key, n_words, n_removed, kept (the kept words, one space between) and row (a struct of all
     input columns) for each row of ``docs``, which needs doc_id and text.
@@ -106,9 +144,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     (Tables of firsts are written before they are joined back: a join of two plain shuffles is one whose hot keys Spark
     can split.)
 
-    How: each document is recompressed to symbols that equal passages share; a symbol found in one document alone
-    proves that no window around it is repeated. What windows are left (few beside the true repeats) are verified by 96
-    bits of hashes of their words. Whole copies of a text are settled by its digest before.
+    How: documents are recompressed. Runs of words and pairs up to 8 words are named inside a task, by hashes that are the
+    same everywhere; from there on a round is a Spark job (``named_rounds``): neighbouring symbols become a pair, pairs are
+    named over all documents, and the names that one document alone has are ruled out. A symbol without a second document
+    proves that no window around it is repeated; what windows are left (few beside the true repeats) are settled by 128 bits
+    of two independent hashes of their words. Whole copies of a text are settled by its SHA-256 before.
 
     Null text has no words. A null doc_id is neither smaller nor larger than any: such rows come back whole. Rows that
     repeat a doc_id count as the same document for "smaller" and are cleaned each for itself. An empty table gives no
@@ -124,19 +164,25 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     copies = digests.join(least, "digest").where("id > least").groupBy("id").agg(F.collect_set("text_key").alias("copied"))
     copies = written(copies, "copies")
 
-    names = written(texts.select("id", "text").mapInArrow(_names(window), "name long, id long"), "names")
-    shared = names.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name")
-    shared = written(shared, "repeated")
-    lists = names.join(shared, "name").groupBy("id").agg(F.collect_list("name").alias("shared"))
-    lists = written(lists.join(copies, "id", "left").select("id", "shared", F.coalesce("copied", empty).alias("copied")), "shared")
-
-    suspects = maybe_in(texts, id_filter(lists)).where("maybe").join(lists, "id").select("id", "text_key", "text", "shared", "copied")
-    windows = written(suspects.mapInArrow(_candidates(window), "h long, check int, id long, place long"), "windows")
+    key = ["id", "text_key"]
+    symbols = written(texts.mapInArrow(_symbols(window), "name long, id long, text_key long, left int, right int"), "symbols")
+    items = written(_shared(symbols).distinct(), "items")  # of rows alike in both keys one is enough
+    alone, tables = named_rounds(items, window)
+    lists = items.groupBy(*key).agg(F.collect_set("name").alias("shared"))
+    dead = alone.groupBy(*key).agg(F.collect_set(F.shiftleft(F.col("left").cast("long"), 32).bitwiseOR(F.col("right").cast("long"))).alias("alone"))
+    lists = lists.join(dead, key, "left").select(*key, "shared", F.coalesce("alone", empty).alias("alone"))
+    lists = written(lists.join(copies, "id", "left").select(*key, "shared", "alone", F.coalesce("copied", empty).alias("copied")), "shared")
+
+    known = lists.select(F.xxhash64(*key).alias("id")).distinct()
+    suspects = maybe_in(texts.withColumnRenamed("id", "doc").withColumn("id", F.xxhash64("doc", "text_key")), id_filter(known)).where("maybe").drop("id").withColumnRenamed("doc", "id")
+    suspects = suspects.join(lists, key).select("id", "text_key", "text", "shared", "copied", "alone")
+    windows = written(suspects.mapInArrow(_candidates(window), "h long, check long, id long, place long"), "windows")
+    discard(symbols, items, *tables)
     least = written(windows.groupBy("h", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most"), "firsts")
     repeated = windows.join(least, ["h", "check"]).where("id > least").select("id", "place")
     places = repeated.groupBy("id").agg(F.collect_list("place").alias("places"))
     cuts = written(places.join(copies, "id", "full").select("id", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied")), "cuts")
-    discard(digests, copies, names, lists, windows)
+    discard(digests, copies, lists, windows)
 
     split = maybe_in(rows, id_filter(cuts))
     columns = ["id", "text_key", "text", "places", "copied", "row"]
