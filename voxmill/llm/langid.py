@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +19,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 160, 1500
 LEVEL = 9
 #: Bytes of texts that a task holds as Python values at once.
 AT_ONCE = 4_000_000
-#: Bytes of letters below which a narrow margin is no ground for rejection: there is too little to tell.
-MARGIN_FROM = 400
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -35,6 +34,12 @@ def coder(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
 
 
+def margin(sizes: list[int]) -> float:
+    """How much smaller the smallest is than the next, as a part of that."""
+    best, *rest = sorted(sizes)
+    return 1 - best / rest[0] if rest else 1.0
+
+
 def _dictionaries(pieces: dict[str, list[bytes]]) -> dict[str, bytes]:
     return {lang: b"\n".join(own) for lang, own in pieces.items()}
 
@@ -82,9 +87,10 @@ def identify(texts: DataFrame, dictionaries: dict[str, bytes], least_margin: flo
     """``texts`` with lang_pred and score; its columns may be any, but for ``text`` which is read.
 
     score is the margin: by what part the smallest encoding is smaller than the second smallest (0 to 1; 1 if there is
-    one language alone). lang_pred is ``und`` for null texts, texts without a letter, a score under ``least_margin``
-    (in texts of MARGIN_FROM bytes or more), or when nothing was learned. Ties go to the language with more documents. Whole texts are encoded, each for itself, so
-    very long ones cost their length and no memory beyond it. Input columns named lang_pred or score are replaced.
+    one language alone). lang_pred is ``und`` for null texts, texts without a letter (Unicode category L), a score under
+    ``least_margin`` at any length, or when nothing was learned. Ties go to the language with more documents. Whole texts
+    are encoded, each for itself, so very long ones cost their length and no memory beyond it. Repeated rows each come
+    back alike; an empty table gives no rows. Input columns named lang_pred or score are replaced.
     """
     kept = [c for c in texts.columns if c not in ("lang_pred", "score")]
     at, inside = kept.index("text"), texts.schema["text"].dataType.typeName() == "string"  # a string goes out once, in its row
@@ -100,10 +106,9 @@ def identify(texts: DataFrame, dictionaries: dict[str, bytes], least_margin: flo
                     if coders and text and _LETTER.search(text):
                         data = plain(text)
                         sizes = [len(c.compress(data)) for _, c in coders]
-                        best, *rest = sorted(sizes)
-                        score = 1 - best / rest[0] if rest else 1.0
-                        if score >= least_margin or len(data) < MARGIN_FROM:
-                            lang = coders[sizes.index(best)][0]
+                        score = margin(sizes)
+                        if score >= least_margin:
+                            lang = coders[sizes.index(min(sizes))][0]
                     langs.append(lang)
                     scores.append(score)
                 yield pa.RecordBatch.from_arrays([row.slice(a, b - a), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"])
@@ -118,6 +123,7 @@ def held_out(doc_id="doc_id"):
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out; see ``identify``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     dictionaries = learn(docs.where(~held_out()))
     return identify(docs.select("doc_id", "text", held_out().alias("held_out")), dictionaries).select("doc_id", "held_out", "lang_pred", "score")
