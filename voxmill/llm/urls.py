@@ -48,7 +48,8 @@ HOST_RULES = (
     host_rule("example.net", "/de/8", "block"),
     host_rule("org", "/es/", "block"),
 )
-WORD_RULES = tuple(word_rule(w, "block") for w in ("adult", "bets", "casino", "gambling", "porn", "spam", "xxx"))
+WORDS = "ads adserver adult bets betting casino casinos escort escorts gambling jackpot malware phishing poker porn roulette slots spam viagra warez xxx".split()
+WORD_RULES = tuple(word_rule(w, "block") for w in WORDS)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -86,7 +87,8 @@ def judge(pages: DataFrame, *tiers: tuple[Rule, ...], default: str = "allow") ->
 
     The tokens of a URL fetch the candidate rules from the index, and only those run their regular expressions. The
     first tier with a match decides, in it the longest rule. Without any match the verdict is ``default`` and rule is
-    null. Nothing is shuffled. A null url, or one without ``://``, has empty host and path and matches rules that match
+    null. Nothing is shuffled. Repeated rows each come back alike, a very long url is whole, and an empty table gives no
+    rows. A null url, or one without ``://``, has empty host and path and matches rules that match
     the empty string alone.
     """
     counts = token_counts(pages.select("url"), {t for rules in tiers for r in rules for t in r.tokens})
@@ -117,6 +119,7 @@ def judge(pages: DataFrame, *tiers: tuple[Rule, ...], default: str = "allow") ->
 
 
 def op1_urls(spark, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL; see ``judge``."""
     found = judge(table(spark, sf_dir, "pages").select("page_id", "url"), HOST_RULES, WORD_RULES)
     return found.select("page_id", "host", "path", F.when(F.col("tier") == 0, F.col("rule")).alias("rule"), "verdict")
 
@@ -130,6 +133,6 @@ rules(rhost, rpath, rverdict) AS (VALUES ('com', '/en/', 'block'), ('example.com
 fits AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS verdict
          FROM p, rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY 1)
 SELECT p.page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(adult|bets|casino|gambling|porn|spam|xxx)($|[.-])') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])(WORDS)($|[.-])') THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fits USING (page_id)
-"""
+""".replace("WORDS", "|".join(WORDS))
