@@ -10,7 +10,7 @@ import numpy as np
 
 #: HTML's own element classes.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object".split())
+RAW = set("script style noscript template textarea title iframe".split())
 BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - set("button caption dd dt head html body legend option tbody td tfoot th thead tr li summary".split())
 ALIKE = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}

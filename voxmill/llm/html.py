@@ -65,7 +65,8 @@ def _layout(article: str, words: list[str], rng: random.Random) -> str:
 
 def learn(pages: DataFrame) -> dict:
     """Boosted trees from SAMPLE_PAGES pages with an article or main element, picked by a fixed hash of page_id, and from
-    LAYOUTS made-up pages around each of their articles. The sample alone reaches the driver."""
+    LAYOUTS made-up pages around each of their articles. Pages of the sample have SAMPLE_CHARS characters at most, and words of
+    made-up furniture are the first 20,000 of its articles. The sample alone reaches the driver."""
     usable = pages.where(F.col("html").rlike("(?i)<(article|main)[ >]") & (F.length("html") <= SAMPLE_CHARS))
     # The lowest hashes first, some four times as many as are wanted, so that most partitions send no page to the ranking.
     draw, n = F.xxhash64("page_id", F.lit(5)), usable.count()
@@ -108,7 +109,9 @@ def extract(pages: DataFrame, model: dict) -> DataFrame:
     """``pages`` with text (the main text, empty if none) and n_chars; of those names are replaced, other columns stay.
 
     Each page is read whole and for itself, nothing is shuffled. Null or empty html gives an empty text; html without
-    any markup is judged as one block; broken markup is read as far as it goes. Repeated rows each come back.
+    any markup is judged as one block; broken markup is read as far as it goes. Contents of script, style, noscript,
+    template, textarea, title and iframe are no text; those of formulas, drawings and objects are. Repeated rows each come back, a very
+    long page is read in one task, an element whose value is exactly zero is left out, and an empty table gives no rows.
     """
     added = ("text", "n_chars")
     kept = [c for c in pages.columns if c not in added]
@@ -128,5 +131,6 @@ def extract(pages: DataFrame, model: dict) -> DataFrame:
 
 
 def op9_html(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page; see ``extract``."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages, learn(pages)).select("page_id", "url", "text", "n_chars")
