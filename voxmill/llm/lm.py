@@ -28,6 +28,8 @@ ALPHA, LEAST_COUNT = 0.4, 1
 ORDER = 3
 #: An n-gram or history that makes up one in HOT of all is counted beforehand; there can be 2 HOT of each at most.
 HOT = 2000
+#: Words of the corpus for each bucket of the join, which one task holds.
+PER_BUCKET = 4_000_000
 #: Words whose n-grams a task holds before it sends them.
 AT_ONCE = 1_000_000
 #: What an n-gram of a document stands for: one with a history scored before it, its first, its end (counted as a history
@@ -233,8 +235,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     per word; null without words) for each row of ``docs`` (doc_id, text), under a model of n-grams of ``order`` words (2 or more).
 
     Every word of every document is counted. Null, empty and white-space texts have no words. Repeated rows count as
-    often as they occur and each come back; repeated or null doc_ids are rows of their own. Other columns are ignored;
-    an empty table gives no rows.
+    often as they occur and each come back; repeated or null doc_ids are rows of their own. Very long texts are whole;
+    a task holds a slice of rows, one long text at least. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
@@ -261,7 +263,7 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     base = written(base, "base")
     short = base.where(F.col("kind") > SHORT).join(exact, ["kind", "key"]).select("doc_id", "row", "n_words", (F.col("base") + F.log("n")).alias("score"))
     known = base.where(F.col("kind") == 0).select("doc_id", "row", "n_words", F.col("base").alias("score")).union(short)
-    n = partitions(spark)
+    n = max(partitions(spark), -(-total // PER_BUCKET))  # a bucket holds a bounded part of the words
     labels = _labels(spark, n)
     sent = rows.select("row", "text").mapInArrow(_send(order, hot, labels), "bucket int, histories binary, words binary, docs binary, rows binary")
     summed = sent.repartition(n, "bucket").mapInArrow(_join(hot, logs, labels), "bucket int, docs binary, gains binary")
@@ -274,4 +276,5 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
 
 
 def op7_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all documents under the trigram model of the same documents; see ``score``."""
     return score(table(spark, sf_dir, "documents").select("doc_id", "text"), ORDER)
