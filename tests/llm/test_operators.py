@@ -358,3 +358,105 @@ def test_pipeline_stages(spark):
     assert decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("contaminated").count() == 0
     pieces = pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == seen[-1]
+
+
+def test_tokens_equal_the_plain_library(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    bits = ["a", "the", "Été", "it's", " ", "  ", "\n", "\t", "<|endoftext|>", "<|startoftext|>", "12", ".", "!?", "’", "\xa0", "\r\n", "中文", "WORD", "İ", "🙂", " and"]
+    texts_ = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        said = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(vocabulary(name)).encode_batch(texts_, add_special_tokens=False)]
+        enc = Encoder(vocabulary(name), spaces)
+        assert [x for i in range(0, 3000, 500) for x in enc.encode(texts_[i : i + 500])] == said
+
+
+def test_texts_without_a_letter_and_ties_are_undecided(spark):
+    rows = spark.createDataFrame([(1, "²½①Ⅳ"), (2, "zz qq"), (3, "the and of that the and"), (3, "the and of that the and")], "doc_id long, text string")
+    known = {"en": b"the and of that", "fr": b"les des que dans"}
+    found = sorted((r.doc_id, r.lang_pred) for r in langid.identify(rows, known, 0.002).collect())
+    assert found == [(1, "und"), (2, "und"), (3, "en"), (3, "en")]
+
+
+def test_recall_of_the_curves(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hit = 0
+    for q, own in got.items():
+        s = x @ x[q]
+        s[q] = -9
+        hit += len({v for _, v, _ in own} & set(np.argpartition(-s, 20)[:20].tolist()))
+        assert [k for k, _, _ in sorted(own)] == list(range(1, 21)) and all(abs(s[v] - score) < 1e-12 for _, v, score in own)
+    print("recall of the curves", hit / (20 * 300))
+    assert len(got) == 300 and hit / (20 * 300) >= 0.9
+
+
+def test_merkle_proof_tells_a_changed_document(spark, tmp_path):
+    import hashlib
+
+    docs = spark.createDataFrame([(i, "word%d and more " % i * (i % 7)) for i in range(600)], "doc_id long, text string")
+    path = str(tmp_path / "store")
+    store.write_store(docs, path, vocabulary("word_bpe_49k.json"))
+    store.check_manifest(spark, path)
+    part = spark.read.parquet(f"{path}/recipes").where("part = 0").orderBy("row").collect()
+    leaf = [hashlib.sha256(f"{k},{r.doc_id},{r.n_tokens},{bytes(r.root).hex().upper()}".encode()).hexdigest() for k, r in enumerate(part)]
+    proof = store.merkle_proof(spark, path, 0, 5)
+    assert proof[0][2] == hashlib.sha256(",".join(leaf[:256]).encode()).hexdigest()
+    spark.read.parquet(f"{path}/recipes").withColumn("n_tokens", F.when(F.col("doc_id") == 3, 1).otherwise(F.col("n_tokens")).cast("long")).write.parquet(f"{path}/other")
+    import shutil
+
+    shutil.rmtree(f"{path}/recipes")
+    shutil.move(f"{path}/other", f"{path}/recipes")
+    with pytest.raises(ValueError):
+        store.check_manifest(spark, path)
+
+
+def test_registered_queries_return_their_columns(spark):
+    """Digests of the registered queries against plain computation on the smallest tables."""
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    found = {r.doc_id: r for r in queries.QUERIES["op10_store"](spark, SF).collect()}
+    library, at = Tokenizer.from_file(vocabulary("word_bpe_49k.json")), 0
+    for d in sorted(docs):
+        ids = np.array([*library.encode(docs[d] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (found[d].start, found[d].n_tokens, found[d].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    library = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    ids = {d: np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for d, t in docs.items()}
+    pieces, windows = {}, {}
+    for r in queries.QUERIES["op4_packing"](spark, SF).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for d, own in pieces.items():
+        assert sum(n for _, n in own) == len(ids[d]) and all(a + n == b for (a, n), (b, _) in zip(sorted(own), sorted(own)[1:]))
+    assert set(pieces) == set(docs)
+    fill = [sum(n for _, n in own) for own in windows.values()]
+    assert max(fill) <= 1024 and sum(fill) / (1024 * len(fill)) > 0.9
+    prints = {r.doc_id: r for r in queries.QUERIES["op2_simhash"](spark, SF).collect()}
+    for d, t in docs.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        assert prints[d].fingerprint == "%016x" % sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        assert prints[d].component_id <= d
+    first, removed = {}, {r.doc_id: r for r in queries.QUERIES["op8_substrings"](spark, SF).collect()}
+    words = {d: (t or "").encode().split() for d, t in docs.items()}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 49):
+            first.setdefault(tuple(words[d][i : i + 50]), d)
+    for d, w in words.items():
+        gone = {k for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for k in range(i, i + 50)}
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (removed[d].n_words, removed[d].n_removed, removed[d].kept_sha256) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    assert queries.QUERIES["op6_langid"](spark, SF).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    scores = queries.QUERIES["op7_lm"](spark, SF)
+    assert {"doc_id", "score"} <= set(scores.columns) and scores.count() == len(docs)

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (a test) gets a local folder of its own.
+    Only a local session without that setting (a test) gets a folder of its own; on a cluster that raises.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="voxmill-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")

@@ -113,6 +113,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 ids; see ``pack_documents``."""
     pieces = pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return digest(pieces)
 

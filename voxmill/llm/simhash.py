@@ -118,8 +118,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFra
     Rows link when their fingerprints differ in ``most`` or fewer bits; component_id is the smallest doc_id of the
     linked group. Texts without words (null, empty, white space) have fingerprint zero and link like any other. A null
     doc_id gets the group's smallest non-null doc_id, and null if it has none. Repeated rows each come back. Copies
-    collapse into one fingerprint before the index, so a large group of copies costs one entry. Other columns are
-    ignored; an empty table gives no rows.
+    collapse into one fingerprint before the index, so a large group of copies costs one entry. Very long texts are
+    read whole, one at a time. Other columns are ignored; an empty table gives no rows.
     """
     prints = written(fingerprints(docs, shingle), "prints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -154,5 +154,6 @@ def keep_first(docs: DataFrame, groups_of: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document; see ``near_duplicates``."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

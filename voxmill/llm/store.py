@@ -84,7 +84,8 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
 
     One pass over the texts and one shuffle: a task sends each chunk it meets once, keyed by hash (so a chunk that a
     third of all documents share costs a row per task), beside one thin recipe row per document. Null text counts as
-    empty. Repeated rows and repeated or null doc_ids stay documents of their own (nulls first, then by text hash).
+    empty. Repeated rows and repeated or null doc_ids stay documents of their own (nulls first, then by text hash). Very
+    long texts are cut into chunks in one task; other columns are ignored; an empty table gives an empty store.
     """
     spark = docs.sparkSession
     dtype = {2: "<u2", 4: "<u4"}[width]
@@ -263,6 +264,7 @@ def store_digest(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def op10_store(spark, sf_dir: str) -> DataFrame:
+    """All documents written to a store, and their digests read back from its files; see ``write_store``."""
     path = fresh_path(spark, "store")
     write_store(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"))
     return store_digest(spark, path)

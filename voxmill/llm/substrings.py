@@ -151,8 +151,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     of two independent hashes of their words. Whole copies of a text are settled by its SHA-256 before.
 
     Null text has no words. A null doc_id is neither smaller nor larger than any: such rows come back whole. Rows that
-    repeat a doc_id count as the same document for "smaller" and are cleaned each for itself. An empty table gives no
-    rows.
+    repeat a doc_id count as the same document for "smaller" and are cleaned each for itself. A very long text is whole in
+    one task. Input columns of any names come back inside ``row``. An empty table gives no rows.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(text).alias("text_key"), text.alias("text"), F.struct(*docs.columns).alias("row"))
@@ -193,5 +193,6 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
+    """Words removed from every document, and a digest of what is kept; see ``remove_repeats``."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
