@@ -17,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that ``spark.checkpoint.dir`` names (a local one if it is unset)."""
+    """A new place in the folder that ``spark.checkpoint.dir`` names; only a local session may leave that unset."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(found := tempfile.mkdtemp(prefix="voxmill-"))
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
