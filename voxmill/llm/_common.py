@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -79,9 +80,12 @@ def sub_batches(sizes, limit: int):
 
 
 def drained(batches):
-    """The batches; then Arrow gives back to the system what its pool kept for them, as the Python worker lives on."""
+    """The batches; then Arrow's pool and the C library give back to the system what they kept for them, as the Python
+    worker lives on beside the next stages."""
     yield from batches
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def text_slices(column, limit: int):

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import sub_batches, table
+from ._common import drained, sub_batches, table
 from .tokens import encoder, vocabulary, with_ends
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
         encode = encoder(tokenizer_path, spaces).flat
         first = TaskContext.get().partitionId() << 36
         used, rest, rows, held = 0, [], [], 0
-        for batch in batches:
+        for batch in drained(batches):
             doc_ids = batch.column(0).to_pylist()
             for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 2_000_000):
                 every, sizes = with_ends(*encode(batch.column(1).slice(a, b - a)), end_id)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._common import fresh_path, partitions, sub_batches, table, text_key
+from ._common import drained, fresh_path, partitions, sub_batches, table, text_key
 from .tokens import encoder, vocabulary, with_ends
 
 #: Chunk lengths in ids, and the ids that the rolling hash sees.
@@ -93,7 +93,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_texts = encoder(tokenizer_path, spaces).flat
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in drained(batches):
             doc_ids, keys = (batch.column(i).to_pylist() for i in range(2))
             for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), 2_000_000):
                 ids, sizes = with_ends(*encode_texts(batch.column(2).slice(a, b - a)), end_id)

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words kept by one Python worker are twice as many at most (about 140 MB): a full half becomes the older one.
-CACHE_WORDS = 350_000
+#: Words kept by one Python worker are twice as many at most (about 50 MB): a full half becomes the older one.
+CACHE_WORDS = 120_000
 
 #: White space that a byte-level vocabulary does not cut as it does one space between two words.
 _ODD = "^ | $|  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
