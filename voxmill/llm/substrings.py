@@ -106,16 +106,18 @@ def _kept(window: int):
 
 
 def _shared(symbols: DataFrame) -> DataFrame:
-    """The symbols whose names two documents or more have: the table of names is one aggregate, joined back."""
-    names = symbols.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name")
-    return symbols.join(written(names, "names"), "name").select("id", "text_key", "left", "right", "name")
+    """``symbols`` with ``shared``: true where two documents or more have the name, else null. The table of names is one
+    aggregate, joined back."""
+    names = symbols.groupBy("name").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("name", F.lit(True).alias("shared"))
+    return symbols.join(written(names, "names"), "name", "left")
 
 
 def named_rounds(items: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
     """(id, text_key, left, right) of the symbols above ``items`` that one document alone has, and the written tables.
 
     Each round names the pairs of symbols that follow each other in a document and fit in a window, as (name, name,
-    distance): the words of a pair's range fix both. Pairs that two documents have are the symbols of the next round.
+    distance): the words of a pair's range fix both. Pairs that two documents have are the symbols of the next round. A
+    round's join marks both kinds, so the lone ones need no join of their own.
     """
     follow = W.partitionBy("id", "text_key").orderBy("left", "right", "name")
     single, tables, made = None, [], ["id", "text_key", "left", "right"]
@@ -125,13 +127,14 @@ def named_rounds(items: DataFrame, window: int) -> tuple[DataFrame, list[DataFra
         pairs = ahead.where(right - left <= window).select("id", "text_key", left.alias("left"), right.alias("right"), F.xxhash64("name", "next_name", F.col("next_left") - F.col("left")).alias("name"))
         pairs = written(pairs, "pairs")
         tables.append(pairs)
-        items = written(_shared(pairs), "items")
-        tables.append(items)
-        lone = pairs.join(items.select("name").distinct(), "name", "left_anti").select(*made)
-        single = lone if single is None else single.union(lone)
-        if not items.limit(1).count():
+        if not pairs.limit(1).count():
             break
-    return single, tables
+        marked = written(_shared(pairs), "marked")
+        tables.append(marked)
+        items = marked.where("shared").select(*made, "name")
+        lone = marked.where("shared is null").select(*made)
+        single = lone if single is None else single.union(lone)
+    return pairs.select(*made).limit(0) if single is None else single, tables
 
 
 def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
@@ -166,7 +169,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     key = ["id", "text_key"]
     symbols = written(texts.mapInArrow(_symbols(window), "name long, id long, text_key long, left int, right int"), "symbols")
-    items = written(_shared(symbols).distinct(), "items")  # of rows alike in both keys one is enough
+    items = _shared(symbols).where("shared").select("id", "text_key", "left", "right", "name")
+    items = written(items.distinct(), "items")  # of rows alike in both keys one is enough
     alone, tables = named_rounds(items, window)
     lists = items.groupBy(*key).agg(F.collect_set("name").alias("shared"))
     dead = alone.groupBy(*key).agg(F.collect_set(F.shiftleft(F.col("left").cast("long"), 32).bitwiseOR(F.col("right").cast("long"))).alias("alone"))
