@@ -169,9 +169,10 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     key = ["id", "text_key"]
     symbols = written(texts.mapInArrow(_symbols(window), "name long, id long, text_key long, left int, right int"), "symbols")
-    items = _shared(symbols).where("shared").select("id", "text_key", "left", "right", "name")
-    items = written(items.distinct(), "items")  # of rows alike in both keys one is enough
-    alone, tables = named_rounds(items, window)
+    items = written(_shared(symbols).where("shared").select("id", "text_key", "left", "right", "name"), "items")
+    # Of rows alike in both keys one is enough. The distinct reads the written table: right above the join it would use the
+    # join's partitions, and Spark could not split a name that very many documents have.
+    alone, tables = named_rounds(items.distinct(), window)
     lists = items.groupBy(*key).agg(F.collect_set("name").alias("shared"))
     dead = alone.groupBy(*key).agg(F.collect_set(F.shiftleft(F.col("left").cast("long"), 32).bitwiseOR(F.col("right").cast("long"))).alias("alone"))
     lists = lists.join(dead, key, "left").select(*key, "shared", F.coalesce("alone", empty).alias("alone"))
