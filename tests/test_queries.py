@@ -75,3 +75,19 @@ def test_gaussian_weights_sum_to_one():
     from voxmill.operators.kernels import gaussian_weights
 
     assert math.isclose(sum(gaussian_weights(1.5)), 1)
+
+
+def test_fold_auc_equals_all_pairs(spark):
+    import random
+
+    from voxmill.plans.scoring import fold_auc
+
+    rng = random.Random(5)
+    rows = [(fold, rng.choice([rng.random(), 0.5, round(rng.random(), 1)]), rng.randrange(2)) for fold in (0, 1) for _ in range(400)]
+    rows += [(2, 0.1, 1), (2, 0.2, 1), (None, 0.3, 0), (0, None, 0)]
+    found = {r.fold: r.auc for r in fold_auc(spark.createDataFrame(rows, "fold int, score double, quality int"), parts=7).collect()}
+    for fold in (0, 1):
+        good, bad = ([s for f, s, q in rows if f == fold and q == want and s is not None] for want in (1, 0))
+        won = sum((g > b) + (g == b) / 2 for g in good for b in bad)
+        assert math.isclose(found[fold], won / len(good) / len(bad))
+    assert found[2] is None and len(found) == 3
