@@ -1,6 +1,6 @@
 """The registered queries of this subpackage: name -> function of (spark, sf_dir), and name -> DuckDB SQL."""
 
-from . import decontaminate, urls
+from . import decontaminate, phrases, urls
 from .html import op9_html
 from .langid import op6_langid
 from .lm import op7_lm
@@ -21,10 +21,12 @@ QUERIES = {
     "op8_substrings": op8_substrings,
     "op9_html": op9_html,
     "op10_store": op10_store,
+    "op11_phrases": phrases.op11_phrases,
 }
 
 #: For a query that SQL can express; the others are held against brute force in the tests.
 ORACLES = {
     "op1_urls": urls.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op11_phrases": phrases.ORACLE,
 }
