@@ -1,6 +1,7 @@
 """The registered queries of this subpackage: name -> function of (spark, sf_dir), and name -> DuckDB SQL."""
 
 from . import decontaminate, phrases, urls
+from .align import op12_alignment
 from .html import op9_html
 from .langid import op6_langid
 from .lm import op7_lm
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_html": op9_html,
     "op10_store": op10_store,
     "op11_phrases": phrases.op11_phrases,
+    "op12_alignment": op12_alignment,
 }
 
 #: For a query that SQL can express; the others are held against brute force in the tests.

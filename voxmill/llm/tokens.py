@@ -35,14 +35,16 @@ class Encoder:
     """Texts to ids. ``spaces``: the vocabulary encodes spaces (byte level).
 
     Arrow cuts texts and finds each slice's unique pieces; their ids stand one after the other in a pool, and ids of texts
-    are gathered from it. Special tokens in a text get their ids, as the library gives them.
+    are gathered from it. Special tokens in a text get their ids, as the library gives them, or are plain text if not
+    ``special``.
     """
 
-    def __init__(self, path: str, spaces: bool):
+    def __init__(self, path: str, spaces: bool, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = not special
         self.spaces, self.lead = spaces, " " if spaces else ""
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
@@ -104,14 +106,15 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each text). Null counts as the empty text."""
+    def flat(self, texts: pa.Array, led: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text). Null counts as the empty text. ``led``: each text is
+        taken with a space before it (byte level only)."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         texts = pc.fill_null(texts, "")
         if self.spaces:
-            odd = pc.match_substring_regex(texts, _ODD)
-            odd_texts = [_SAFE_CUT.split(x) for x in texts.filter(odd).to_pylist()]
+            odd = pc.match_substring_regex(texts, "^\n|" + _ODD if led else _ODD)
+            odd_texts = [_SAFE_CUT.split(" " + x if led else x) for x in texts.filter(odd).to_pylist()]
             texts, odd = pc.if_else(odd, "", texts), odd.to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
@@ -123,14 +126,15 @@ class Encoder:
         pool = np.frombuffer(b"".join(known), "<u4")
         if self.spaces:  # the first piece of a text has no space before it; odd texts are encoded whole
             heads = pieces.take(pa.array(first)).to_pylist()
-            own = iter(self._whole([x for k, text in enumerate(heads) if not odd[k] for x in (text,)]))
+            first = first[odd] if led else first
+            own = iter([] if led else self._whole([text for k, text in enumerate(heads) if not odd[k]]))
             rare = iter(b"".join(self._whole(x)) for x in odd_texts)
-            whole = [next(rare) if k else next(own) for k in odd]
+            whole = [next(rare) if k else next(own) for k in odd if k or not led]
             sizes[first] = np.fromiter(map(len, whole), np.int64, len(whole)) // 4
             begin[first] = len(pool) + np.cumsum(sizes[first]) - sizes[first]
             pool = np.concatenate([pool, np.frombuffer(b"".join(whole), "<u4")])
         ends = np.cumsum(sizes)
-        return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, first)
+        return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, np.cumsum(counts) - counts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
@@ -146,14 +150,107 @@ def with_ends(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, sizes + 1
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+class PieceEncoder:
+    """Texts to ids of a piece vocabulary that adds a space before each text.
+
+    No piece has a space behind another character and none a line end, so the ids of a text are those of its words and lines in a
+    row, and the library encodes a word once, as long as it stays in the cache.
+    """
 
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
 
-def encoder(path: str, spaces: bool) -> Encoder:
+        self.model = SentencePieceProcessor(model_file=path)
+        self.shown = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        if any("\u2581" in p.lstrip("\u2581") or "\n" in p for p in self.shown):
+            raise ValueError(f"{path}: its pieces run over words or lines")
+        self.line_end = self._ids("\n")[4:]  # without the space
+        self.words: list[dict[str, bytes]] = [{}, {}]
+
+    def _ids(self, text: str) -> bytes:
+        return array("I", self.model.encode(text)).tobytes()
+
+    def _word(self, piece: str) -> bytes:
+        new, old = self.words
+        if (ids := new.get(piece)) is None:
+            if (ids := old.get(piece)) is None:
+                if "\n" in piece:  # what follows a line end has no space before it
+                    first, *rest = piece.split("\n")
+                    return self._word(first) + b"".join(self.line_end + self._line(x) for x in rest)
+                ids = self._ids(piece) if piece else self._ids("\n")[:4]
+            if len(piece) < 50:
+                if len(new) >= CACHE_WORDS:
+                    self.words[:] = [{}, new]
+                self.words[0][piece] = ids
+        return ids
+
+    def _line(self, text: str) -> bytes:
+        """Ids of a line's first word: they follow those of a line end."""
+        if not text:
+            return b""
+        key = "\n" + text
+        if (ids := self.words[0].get(key) or self.words[1].get(key)) is None:
+            ids = self._ids(key)[4 + len(self.line_end) :]
+            if len(text) < 50:
+                if len(self.words[0]) >= CACHE_WORDS:
+                    self.words[:] = [{}, self.words[0]]
+                self.words[0][key] = ids
+        return ids
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each text). Null counts as the empty text."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, "^ | $|  | \n|\n |\u2581")
+        cut = lambda text: [text] if "\u2581" in text else _SAFE_CUT.split(text)  # noqa: E731  that sign counts as a space
+        odd_texts = [[self._ids(x[1:] if i else x) for i, x in enumerate(cut(text))] for text in texts.filter(odd).to_pylist()]
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        pieces = lists.flatten().dictionary_encode()
+        known, place = [self._word(x) for x in pieces.dictionary.to_pylist()], pieces.indices.to_numpy()
+        whole = [b"".join(x) for x in odd_texts]
+        pool = np.frombuffer(b"".join(known + whole), "<u4")
+        sizes = np.fromiter(map(len, known + whole), np.int64, len(known) + len(whole)) // 4
+        first = np.cumsum(counts) - counts
+        place = place.astype(np.int64)
+        place[first[odd.to_numpy(zero_copy_only=False)]] = len(known) + np.arange(len(whole))
+        begin, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        ends = np.cumsum(sizes)
+        return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, first)
+
+
+_ENCODERS: dict[tuple, Encoder | PieceEncoder] = {}
+
+
+def encoder(path: str, spaces: bool, special: bool = True) -> Encoder:
     """The worker's own encoder, kept for its next tasks."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = Encoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    if (path, spaces, special) not in _ENCODERS:
+        _ENCODERS[path, spaces, special] = Encoder(path, spaces, special)
+    return _ENCODERS[path, spaces, special]
+
+
+def piece_encoder(path: str) -> PieceEncoder:
+    """The worker's own encoder of a piece vocabulary, kept for its next tasks."""
+    if (path,) not in _ENCODERS:
+        _ENCODERS[path,] = PieceEncoder(path)
+    return _ENCODERS[path,]
+
+
+def byte_table(encoder: Encoder) -> pa.Array:
+    """The bytes that each id of a byte-level vocabulary stands for."""
+    back = {c: b for b, c in encoder.shown.items()}
+    vocab = encoder.tokenizer.get_vocab()
+    found = [b""] * (max(vocab.values()) + 1)
+    for token, i in vocab.items():
+        found[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    return pa.array(found, pa.large_binary())
+
+
+def piece_table(encoder: PieceEncoder) -> pa.Array:
+    """The bytes that each id of a piece vocabulary stands for: U+2581 is a space, <0xHH> a byte."""
+    plain = (bytes([int(p[3:5], 16)]) if encoder.model.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(encoder.shown))
+    return pa.array(list(plain), pa.large_binary())
 
 
 def vocabulary(name: str) -> str:
