@@ -15,11 +15,6 @@ SF = "/root/testdata/sf0.001"
 A_PATH, B_PATH = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
 
 
-    a, b = Tokenizer.from_file(A_PATH), SentencePieceProcessor(model_file=B_PATH)
-    a.encode_special_tokens = True
-    return a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
-
-
 @pytest.fixture(scope="module")
 def libraries():
     from sentencepiece import SentencePieceProcessor
@@ -93,7 +88,7 @@ def test_alignment_equals_two_pointers(spark, libraries, monkeypatch):
         most[b] = max(most[b], n)
     size = max(len(libraries[2]), len(libraries[3]))
     table = align.aligned(docs, A_PATH, B_PATH).select("doc_id", "links")
-    got = align.with_counts(table, align.link_counts(table, size)).collect()
+    got = align.with_counts(table, align.link_counts(table, size), size).collect()
     want = sorted((r[0] is None, r[0] or 0, sum(count[x] == most[x[1]] for x in links), sum(count[x] for x in links)) for r in rows for links in [brute(libraries, r[1])[3]])
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_best, r.count_sum) for r in got) == want
 
@@ -102,7 +97,7 @@ def test_no_rows_and_no_links(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert align.aligned(empty, A_PATH, B_PATH).count() == 0
     nothing = align.aligned(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"), A_PATH, B_PATH)
-    got = align.with_counts(nothing, align.link_counts(nothing, 60_000)).collect()
+    got = align.with_counts(nothing, align.link_counts(nothing, 60_000), 60_000).collect()
     assert sorted((r.doc_id, r.n_a, r.n_groups, r.n_best, r.count_sum) for r in got) == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0)]
 
 

@@ -15,7 +15,7 @@ from ._common import discard, drained, sub_batches, table, written
 from .tokens import byte_table, encoder, piece_encoder, piece_table, vocabulary
 
 #: Bytes of text whose streams a task merges at once.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 1_500_000
 #: A document of more tokens is merged in several lanes, cut where both streams have a token end.
 LANE_TOKENS = 1024
 #: Id pairs whose counts are broadcast at once, on average; more take further rounds over the links.
@@ -62,6 +62,11 @@ def merge(end_a: np.ndarray, end_b: np.ndarray, first: np.ndarray) -> tuple[np.n
     return link_a[:n], link_b[:n], cut_a, cut_b
 
 
+def code_type(size: int) -> str:
+    """How a link (a * size + b) is stored."""
+    return "<u4" if size * size <= 1 << 32 else "<u8"
+
+
 class Aligner:
     """Both encoders of a worker and what their ids stand for."""
 
@@ -95,8 +100,8 @@ class Aligner:
         link_a, link_b, cut_a, cut_b = merge(end_a, end_b, (a_ends - sizes_a)[good])
         group_a, group_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
         # A link's place in its text: each step moves one stream on, a cut both.
-        codes = np.empty(len(link_a), np.uint64)
-        codes[link_a + link_b - group_a[link_a]] = ids_a[link_a].astype(np.uint64) * np.uint64(self.size) + ids_b[link_b]
+        codes = np.empty(len(link_a), code_type(self.size))
+        codes[link_a + link_b - group_a[link_a]] = ids_a[link_a].astype(np.int64) * self.size + ids_b[link_b]
         # The groups as text: A's tokens of a group, then B's.
         b_before, a_through = np.append(0, np.flatnonzero(cut_b) + 1), np.flatnonzero(cut_a) + 1
         place = np.empty(len(ids_a) + len(ids_b), np.int64)
@@ -112,7 +117,7 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """ALIGNED rows, one for each row of ``docs`` (doc_id, text): numbers of tokens and groups, the groups as text
-    (`a1,a2|b1;a3|b2,b3`: decimal ids of A and B), and the links in text order as unsigned 64-bit little-endian codes.
+    (`a1,a2|b1;a3|b2,b3`: decimal ids of A and B), and the links in text order as codes a * size + b (`code_type`; size: of the larger vocabulary).
 
     A is the byte-level vocabulary of ``a_path`` over a space and the text, B the piece vocabulary of ``b_path``, which adds the space itself;
     special tokens in a text are plain text. Null and empty texts, and texts that the tokens of A or B do not spell, have no
@@ -126,16 +131,16 @@ def aligned(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for batch in drained(batches):
             for x, y in sub_batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH_BYTES):
                 n_a, n_b, groups, shown, codes = aligner.align(batch.column(1).slice(x, y - x))
-                ends = np.cumsum(n_a + n_b - groups) * 8
-                codes = codes.astype("<u8").tobytes()
+                ends = np.cumsum(n_a + n_b - groups) * codes.itemsize
+                codes = codes.tobytes()
                 links = [codes[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(n_a), pa.array(n_b), pa.array(groups), pa.array(shown, pa.string()), pa.array(links, pa.binary())], ["doc_id", "n_a", "n_b", "n_groups", "groups", "links"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, ALIGNED)
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").astype(np.int64)
+def _codes(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), code_type(size))
 
 
 def link_counts(links: DataFrame, size: int) -> DataFrame:
@@ -150,11 +155,11 @@ def link_counts(links: DataFrame, size: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(sums.index.to_numpy()), pa.array(sums.to_numpy())], ["pair", "n"])
 
         for batch in drained(batches):
-            for x, y in sub_batches(pc.binary_length(batch.column(0)).to_pylist(), 16_000_000):
-                found, n = np.unique(_codes(batch.column(0).slice(x, y - x)), return_counts=True)
-                held.append(pd.Series(n, found))
+            for x, y in sub_batches(pc.binary_length(batch.column(0)).to_pylist(), 4_000_000):
+                found, n = np.unique(_codes(batch.column(0).slice(x, y - x), size), return_counts=True)
+                held.append(pd.Series(n, found.astype(np.int64)))
                 size_held += len(found)
-                if size_held > 4_000_000:
+                if size_held > 2_000_000:
                     yield flush()
                     held, size_held = [], 0
         if held:
@@ -165,7 +170,7 @@ def link_counts(links: DataFrame, size: int) -> DataFrame:
     return counts.join(most, F.col("pair") % size == F.col("b")).select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def with_counts(links: DataFrame, counts: DataFrame) -> DataFrame:
+def with_counts(links: DataFrame, counts: DataFrame, size: int) -> DataFrame:
     """``links`` (with a column links) and, for each row, n_best and count_sum over its links by ``counts`` of
     ``link_counts``; links with a pair that has no counts add nothing.
 
@@ -186,10 +191,11 @@ def with_counts(links: DataFrame, counts: DataFrame) -> DataFrame:
             index = pd.Index(pairs)
             n, best = np.append(n, 0), np.append(best, False).astype(np.int64)  # the last for a pair that is not there
             for batch in drained(batches):
-                for x, y in sub_batches(pc.binary_length(batch.column(place)).to_pylist(), 16_000_000):
+                for x, y in sub_batches(pc.binary_length(batch.column(place)).to_pylist(), 4_000_000):
                     part = batch.slice(x, y - x)
-                    at = index.get_indexer(_codes(part.column(place)))
-                    ends = np.cumsum(pc.binary_length(part.column(place)).to_numpy(zero_copy_only=False)) // 8
+                    codes = _codes(part.column(place), size)
+                    at = index.get_indexer(codes.astype(np.int64))
+                    ends = np.cumsum(pc.binary_length(part.column(place)).to_numpy(zero_copy_only=False)) // codes.itemsize
                     columns = part.columns
                     for k, values in (("n_best", best), ("count_sum", n)):
                         sums = np.append(0, np.cumsum(values[at]))[np.append(0, ends)]
@@ -210,4 +216,4 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     sha = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
     found = written(found.select("doc_id", "n_a", "n_b", "n_groups", n_links.alias("n_links"), sha.alias("groups_sha256"), "links"), "aligned")
     size = max(len(byte_table(encoder(a_path, True, False))), len(piece_table(piece_encoder(b_path))))
-    return with_counts(found, link_counts(found, size)).drop("links")
+    return with_counts(found, link_counts(found, size), size).drop("links")

@@ -7,6 +7,7 @@ from .langid import op6_langid
 from .lm import op7_lm
 from .neighbours import op3_neighbours
 from .packing import op4_packing
+from .quantised import op13_near_vectors
 from .simhash import op2_simhash
 from .store import op10_store
 from .substrings import op8_substrings
@@ -24,6 +25,7 @@ QUERIES = {
     "op10_store": op10_store,
     "op11_phrases": phrases.op11_phrases,
     "op12_alignment": op12_alignment,
+    "op13_near_vectors": op13_near_vectors,
 }
 
 #: For a query that SQL can express; the others are held against brute force in the tests.
