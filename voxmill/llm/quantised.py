@@ -134,9 +134,11 @@ def fit(classes: DataFrame, least: float) -> Quantiser | None:
 
     The guarantee that no partner is missed would probe every list whose plane is within the radius (the distance of a
     pair of cosine ``least``). Evenly spread vectors of many components have nearly all lists that close, though a partner
-    seldom lies beyond a plane that is far. So FITTED_QUERIES rows of the sample are held against all rows, in
-    tasks, and probes reach as far as their partners need, with half as much again; without any partner among them, and for
-    few lists, as far as the guarantee.
+    seldom lies beyond a plane that is far: in a random direction of n components, a step of the radius goes radius / sqrt(n)
+    towards the plane (root mean square). Probes reach 2.5 times that, and at least half as much again as any partner needs of
+    FITTED_QUERIES rows of the sample, which are held against all rows, in tasks; never further than the guarantee, which
+    vectors of six components or fewer get. Beyond the largest component number of the sample vectors are cut for the
+    lists, not for their cosines.
     """
     rows = classes.select("vector").orderBy(F.xxhash64("rid")).limit(SAMPLE).toArrow().column(0).combine_chunks()
     if not len(rows):
@@ -173,9 +175,8 @@ def fit(classes: DataFrame, least: float) -> Quantiser | None:
         if most:
             yield pa.RecordBatch.from_arrays([pa.array([max(most)], pa.float64())], ["reach"])
 
-    reach = classes.select("vector").mapInArrow(of, "reach double").agg(F.max("reach")).first()[0]
-    if reach:
-        found.reach = min(radius, max(1.5 * reach, radius / 4))
+    reach = classes.select("vector").mapInArrow(of, "reach double").agg(F.max("reach")).first()[0] or 0.0
+    found.reach = min(radius, max(1.5 * reach, 2.5 * radius / size**0.5))
     return found
 
 
