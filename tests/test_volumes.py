@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxmill.operators import grid, kernels, lines, objects, pyramid, sampling
+from voxmill.operators import distance, grid, kernels, lines, objects, pyramid, sampling, tiles
 from voxmill.plans import brain, forest
 from voxmill.sources import images, instances, tables
 from voxmill.sources.tables import VOXEL
@@ -57,10 +57,10 @@ def test_images_do_not_meet(spark):
     v = image(spark, a, b)
     on = v.where("val > 0")
     assert objects.components(on).select("image_id", "object_id").distinct().count() == 2
-    assert grid.within(v, on.where("image_id = 0"), 3).where("image_id = 1").count() == 0
-    assert grid.nearest_distance(v, on.where("image_id = 0"), 2).where("image_id = 1 and d2 is not null").count() == 0
+    assert distance.within(v, on.where("image_id = 0"), 3).where("image_id = 1").count() == 0
+    assert distance.nearest_distance(v, on.where("image_id = 0"), 2).where("image_id = 1 and d2 is not null").count() == 0
     assert grid.candidates(on.where("image_id = 0"), on.where("image_id = 1"), 3).count() == 0
-    assert array(lines.distance_map(v, F.col("val") > 0), (1, 4, 4), "d2", 1)[0, 1, 1] == 1
+    assert array(distance.distance_map(v, F.col("val") > 0), (1, 4, 4), "d2", 1)[0, 1, 1] == 1
 
 
 def test_tiles_end_with_the_image_and_blocks_are_whole(spark):
@@ -75,9 +75,83 @@ def test_distance_without_any_reference_is_null_and_else_reaches_everywhere(spar
     a = np.zeros((2, 6, 12))
     a[0, 0, 0] = 1
     v = image(spark, a, np.zeros((1, 2, 2)))
-    d = array(lines.distance_map(v, F.col("val") > 0), a.shape, "d2")
+    d = array(distance.distance_map(v, F.col("val") > 0), a.shape, "d2")
     assert (d == np.add.outer(np.arange(2) ** 2, np.add.outer(np.arange(6) ** 2, np.arange(12) ** 2))).all()
-    assert np.isnan(array(lines.distance_map(v, F.col("val") > 0), (1, 2, 2), "d2", 1)).all()
+    assert np.isnan(array(distance.distance_map(v, F.col("val") > 0), (1, 2, 2), "d2", 1)).all()
+
+
+def brute_distances(there, on):
+    """Squared distance from each place of ``there`` to the nearest of ``on``, by all pairs."""
+    return {p: min((sum((a - b) ** 2 for a, b in zip(p, q, strict=True)) for q in on), default=None) for p in there}
+
+
+@pytest.mark.parametrize("cells", [1 << 19, 1])
+def test_distances_see_past_missing_voxels(spark, monkeypatch, cells):
+    """Images with holes, whole planes of them too, against all pairs; bundles of one line as well."""
+    monkeypatch.setattr(distance, "CELLS", cells)
+    rng = np.random.default_rng(8)
+    a = rng.random((4, 7, 9))
+    v = image(spark, a, rng.random((2, 3, 30))).where("not (image_id = 0 and (z = 1 or y = 4 or (x > 5 and z = 2) or val < 0.2))")
+    for most, bar in ((None, 0.95), (5, 0.9), (0, 0.5)):
+        on = v.where(F.col("val") > bar)
+        found = {(r.image_id, r.z, r.y, r.x): r.d2 for r in (distance.distance_map(v, F.col("val") > bar) if most is None else distance.nearest_distance(v, on, int(most**0.5))).collect()}
+        reach = most if most is None else int(most**0.5) ** 2
+        for i in (0, 1):
+            there = [(r.z, r.y, r.x) for r in v.where(F.col("image_id") == i).collect()]
+            said = brute_distances(there, [(r.z, r.y, r.x) for r in on.where(F.col("image_id") == i).collect()])
+            for p, d in said.items():
+                assert found[i, *p] == (d if d is None or reach is None or d <= reach else None)
+    assert distance.within(v, v.where("val > 2"), 3).count() == 0
+    assert distance.distance_map(v.limit(0), F.col("val") > 0).count() == 0
+
+
+def test_envelope_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    d = np.where(rng.random((200, 40)) < 0.3, rng.integers(0, 400, (200, 40)).astype(float), np.inf)
+    d[0] = np.inf
+    i = np.arange(40)
+    assert np.array_equal(distance.envelope(d), (d[:, None, :] + (i[:, None] - i) ** 2).min(axis=2))
+
+
+@pytest.mark.parametrize("edge", [4, 7, 64])
+def test_kernels_do_not_hang_on_tiles(spark, volume, edge, monkeypatch):
+    """Any edge of tiles, with lines that end early: the same as along whole lines."""
+    monkeypatch.setattr(tiles.derived, "__defaults__", (edge,))
+    v = image(spark, volume, np.random.default_rng(4).normal(size=(1, 5, 30))).where("not (image_id = 0 and z = 2 and y > 4) and not (image_id = 1 and y = 4 and x > 20)")
+    sigmas = {"z": 0.6, "y": 1.0, "x": 0.7}
+    said = v
+    for axis, sigma in sigmas.items():
+        w = kernels.gaussian_weights(sigma)
+        said = lines.along(said, axis, {"val_": ("val", lines.taps({i - len(w) // 2: x for i, x in enumerate(w)}))}, ()).withColumnRenamed("val_", "val")
+    found = {(r.image_id, r.z, r.y, r.x): r.val for r in lines.gaussian(v, sigmas).collect()}
+    want = {(r.image_id, r.z, r.y, r.x): r.val for r in said.collect()}
+    assert found.keys() == want.keys() and np.allclose([found[k] for k in want], list(want.values()))
+    if edge == 4:
+        a = {(r.image_id, r.z, r.y, r.x): (r.e0, r.e2) for r in lines.structure(v, sigmas).collect()}
+        b = {(r.image_id, r.z, r.y, r.x): r.val for r in lines.box_mean(v, {"x": 2, "y": 1}).collect()}
+        monkeypatch.setattr(tiles.derived, "__defaults__", (64,))
+        more = {(r.image_id, r.z, r.y, r.x): (r.e0, r.e2) for r in lines.structure(v, sigmas).collect()}
+        assert np.allclose([a[k] for k in more], list(more.values()))
+        assert np.allclose([b[r.image_id, r.z, r.y, r.x] for r in lines.box_mean(v, {"x": 2, "y": 1}).collect()], [r.val for r in lines.box_mean(v, {"x": 2, "y": 1}).collect()])
+
+
+def test_one_exchange_a_recipe(spark, volume):
+    for df in (lines.hessian(image(spark, volume), {"z": 1.0, "y": 1.0, "x": 1.0}), lines.structure(image(spark, volume), {"z": 1.0, "y": 1.0, "x": 1.0})):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_padding_wider_than_the_image(spark):
+    found = grid.padded(image(spark, np.array([[[1.0, 2.0, 3.0]]])), 7, {"x": 3, "y": 1})
+    rows = {(r.py, r.px): r.val for r in found.collect()}
+    assert len(rows) == found.count() == 15 * 17
+    for (_, x), val in rows.items():
+        assert val == [1, 2, 3, 2][x % 4]
+
+
+def test_colours_do_not_run_into_each_other(spark):
+    df = spark.createDataFrame([(-7, 300, 5), (1, 2, 3)], "r long, g long, b long")
+    packed = df.select(images.merged_channels(F.col("r"), F.col("g"), F.col("b")).alias("p"))
+    assert [tuple(r) for r in packed.select(*images.split_channels(F.col("p"))).collect()] == [(0, 255, 5), (1, 2, 3)]
 
 
 @pytest.mark.parametrize("neighbours", [6, 4, 8])

@@ -74,32 +74,17 @@ def mirror(i: Column, n: int) -> Column:
 
 def padded(vox: DataFrame, by: int, edges: dict[str, int]) -> DataFrame:
     """Images grown by ``by`` mirrored voxels at both ends of each axis of ``edges`` (axis: length): each voxel goes to all
-    places ``p{axis}`` that show it."""
+    places ``p{axis}`` that show it, as often as a border wider than the image repeats it."""
     for axis, n in edges.items():
-        places = F.array(F.col(axis), -F.col(axis), 2 * (n - 1) - F.col(axis))
+        at, period = F.col(axis), 2 * (n - 1)
+        if period:
+            places = F.array(*(k * period + side for k in range(-(by // period) - 1, by // period + 2) for side in (at, -at)))
+        else:  # one voxel shows in all places
+            places = F.array(*(k + at for k in range(-by, by + 1)))
         vox = vox.withColumn(f"p{axis}", F.explode(F.array_distinct(places))).where(F.col(f"p{axis}").between(-by, n - 1 + by))
     return vox
 
 
-def _spread(reference: DataFrame, radius: int) -> DataFrame:
-    """Each voxel at every place of the ball around it, with its squared distance ``d2``."""
-    reach = range(-radius, radius + 1)
-    ball = [(dz, dy, dx) for dz in reach for dy in reach for dx in reach if dz * dz + dy * dy + dx * dx <= radius * radius]
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("dx"), F.lit(a * a + b * b + c * c).alias("d2")) for a, b, c in ball)))
-    return reference.select(*VOXEL, offsets.alias("o")).select("image_id", "t", "c", *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in ("z", "y", "x")), "o.d2")
-
-
-def within(vox: DataFrame, reference: DataFrame, radius: int) -> DataFrame:
-    """Voxels with a reference voxel of the same image, frame and channel within ``radius``: the reference is spread over the
-    ball, then semi-joined."""
-    return vox.join(_spread(reference, radius).select(*VOXEL).distinct(), VOXEL, "left_semi")
-
-
-def nearest_distance(vox: DataFrame, reference: DataFrame, radius: int) -> DataFrame:
-    """Squared distance to the nearest reference voxel of the same image, frame and channel within ``radius``, else null."""
-    return vox.join(_spread(reference, radius).groupBy(*VOXEL).agg(F.min("d2").alias("d2")), VOXEL, "left")
-
-
 def class_images(result: DataFrame, classes: tuple[int, ...]) -> DataFrame:
     """A row for each voxel and class: the certainty where the voxel is of that class, else 0."""
     spread = result.withColumn("class_id", F.explode(F.array(*(F.lit(c) for c in classes))))

@@ -1,7 +1,7 @@
-"""Kernels along the lines of an image, one axis after the other: derivatives, smoothing, eigenvalues, distances, rescaling.
+"""Kernels along the lines of an image: derivatives, smoothing, eigenvalues in tiles; rescaling one axis after the other.
 
-A line is all voxels that differ in one coordinate alone; it is held as one array, bounded by the image's edge. Beyond its
-ends it is mirrored, the edge not repeated.
+For rescaling, a line (all voxels that differ in one coordinate alone) is held as one array, bounded by the image's edge.
+Beyond its ends a line is mirrored, the edge not repeated.
 """
 
 from __future__ import annotations
@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators.kernels import gaussian_weights
+from voxmill.operators import tiles
 from voxmill.sources.tables import VOXEL
 
 #: Offsets and weights of central differences.
@@ -50,52 +51,33 @@ def along(vox: DataFrame, axis: str, outs: dict[str, tuple[str, Callable]], keep
     return line.select(*keys, F.inline(fields)).select(*VOXEL, *keep, *outs)
 
 
-def gaussian(vox: DataFrame, sigmas: dict[str, float], columns: Iterable[str] = ("val",)) -> DataFrame:
+def gaussian(vox: DataFrame, sigmas: dict[str, float]) -> DataFrame:
     """Smoothed along each axis with its sigma (0: left as it is)."""
-    columns = list(columns)
-    for axis, sigma in sigmas.items():
-        if sigma > 0:
-            w = gaussian_weights(sigma)
-            f = taps({i - len(w) // 2: x for i, x in enumerate(w)})
-            vox = along(vox, axis, {f"{c}_": (c, f) for c in columns}, ()).withColumnsRenamed({f"{c}_": c for c in columns})
-    return vox
+    return tiles.derived(vox, ["val"], lambda a, block: {"val": block.smooth(a, sigmas)}, tiles.reach_of(sigmas))
 
 
 def box_mean(vox: DataFrame, radii: dict[str, int]) -> DataFrame:
     """Mean over the part of a box that lies inside the image; sum and count go along one axis after the other."""
 
-    def inside(radius: int):
-        def total(values: Column, i: Column, n: Column) -> Column:
-            part = F.slice(values, F.greatest(i - radius, F.lit(0)) + 1, F.least(i + radius, n - 1) - F.greatest(i - radius, F.lit(0)) + 1)
-            return F.aggregate(part, F.lit(0.0), lambda a, x: a + x)
-
-        return total
-
-    found = vox.withColumn("weight", F.lit(1.0))
-    for axis, radius in radii.items():
-        found = along(found, axis, {"val_": ("val", inside(radius)), "weight_": ("weight", inside(radius))}, ()).withColumnsRenamed({"val_": "val", "weight_": "weight"})
-    return found.select(*VOXEL, (F.col("val") / F.col("weight")).alias("val"))
-
+    def recipe(a: np.ndarray, block: tiles.Block) -> dict[str, np.ndarray]:
+        weight = np.ones_like(a)
+        for axis, radius in radii.items():
+            kept = block.there
+            a, weight = block.sums(a, axis, radius), block.sums(weight, axis, radius)
+            a, weight = np.where(kept, a, 0), np.where(kept, weight, 0)
+        return {"val": a / np.maximum(weight, 1)}
 
-def gradients(vox: DataFrame, axes: Iterable[str]) -> DataFrame:
-    """Central differences ``g{axis}`` beside val."""
-    kept = ["val"]
-    for axis in axes:
-        vox = along(vox, axis, {f"g{axis}": ("val", taps(FIRST))}, kept)
-        kept.append(f"g{axis}")
-    return vox
+    return tiles.derived(vox, ["val"], recipe, radii)
 
 
-def second_derivatives(vox: DataFrame, axes: list[str]) -> DataFrame:
-    """``d{a}{b}`` for each pair of axes, in the given order, beside val and the gradients."""
-    kept, seen = ["val"], []
-    for axis in axes:
-        outs = {f"g{axis}": ("val", taps(FIRST)), f"d{axis}{axis}": ("val", taps(SECOND))}
-        outs |= {f"d{a}{axis}": (f"g{a}", taps(FIRST)) for a in seen}
-        vox = along(vox, axis, outs, kept)
-        kept += outs
-        seen.append(axis)
-    return vox
+def _derivatives(a: np.ndarray, block: tiles.Block, axes: list[str]) -> dict[str, np.ndarray]:
+    """``g{a}`` and, for each pair of axes in the given order, ``d{a}{b}``."""
+    number = {axis: tiles.AXES.index(axis) for axis in axes}
+    found = {f"g{axis}": block.taps(a, number[axis], FIRST) for axis in axes}
+    for i, axis in enumerate(axes):
+        found[f"d{axis}{axis}"] = block.taps(a, number[axis], SECOND)
+        found |= {f"d{before}{axis}": block.taps(found[f"g{before}"], number[axis], FIRST) for before in axes[:i]}
+    return found
 
 
 def eigenvalues(entries: dict[tuple[str, str], Column], axes: list[str]) -> list[Column]:
@@ -119,18 +101,24 @@ def eigenvalues(entries: dict[tuple[str, str], Column], axes: list[str]) -> list
 def hessian(vox: DataFrame, sigmas: dict[str, float]) -> DataFrame:
     """Absolute eigenvalues ``e0 >= e1 (>= e2)`` of the second derivatives at a scale; the axes are those of ``sigmas``."""
     axes = list(sigmas)
-    d = second_derivatives(gaussian(vox, sigmas), axes)
-    values = eigenvalues({(a, b): F.col(f"d{a}{b}") for i, a in enumerate(axes) for b in axes[i:]}, axes)
+    pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
+    d = tiles.derived(vox, [f"d{a}{b}" for a, b in pairs], lambda a, block: _derivatives(block.smooth(a, sigmas), block, axes), tiles.reach_of(sigmas, 1))
+    values = eigenvalues({(a, b): F.col(f"d{a}{b}") for a, b in pairs}, axes)
     return d.withColumn("e", F.sort_array(F.array(*(F.abs(v) for v in values)), asc=False)).select(*VOXEL, *(F.get("e", i).alias(f"e{i}") for i in range(len(axes))))
 
 
 def structure(vox: DataFrame, sigmas: dict[str, float]) -> DataFrame:
     """Eigenvalues, largest first, of the smoothed products of gradients (gradient and integration at the same scale)."""
     axes = list(sigmas)
-    g = gradients(gaussian(vox, sigmas), axes)
     pairs = [(a, b) for i, a in enumerate(axes) for b in axes[i:]]
-    products = g.select(*VOXEL, *((F.col(f"g{a}") * F.col(f"g{b}")).alias(f"p{a}{b}") for a, b in pairs))
-    smooth = gaussian(products, sigmas, [f"p{a}{b}" for a, b in pairs])
+
+    def recipe(a: np.ndarray, block: tiles.Block) -> dict[str, np.ndarray]:
+        a = block.smooth(a, sigmas)
+        g = {axis: block.taps(a, tiles.AXES.index(axis), FIRST) for axis in axes}
+        return {f"p{a}{b}": block.smooth(g[a] * g[b], sigmas) for a, b in pairs}
+
+    reach = {axis: 2 * r + 1 for axis, r in tiles.reach_of(sigmas).items()}
+    smooth = tiles.derived(vox, [f"p{a}{b}" for a, b in pairs], recipe, reach)
     values = eigenvalues({(a, b): F.col(f"p{a}{b}") for a, b in pairs}, axes)
     return smooth.select(*VOXEL, *(v.alias(f"e{i}") for i, v in enumerate(values)))
 
@@ -138,30 +126,26 @@ def structure(vox: DataFrame, sigmas: dict[str, float]) -> DataFrame:
 def laplacian_and_edges(vox: DataFrame, sigmas: dict[str, float]) -> DataFrame:
     """Sum of the second derivatives, and length of the gradient, at a scale."""
     axes = list(sigmas)
-    d = second_derivatives(gaussian(vox, sigmas), axes)
-    return d.select(*VOXEL, sum((F.col(f"d{a}{a}") for a in axes), F.lit(0.0)).alias("laplacian"), F.sqrt(sum((F.col(f"g{a}") ** 2 for a in axes), F.lit(0.0))).alias("edge"))
 
+    def recipe(a: np.ndarray, block: tiles.Block) -> dict[str, np.ndarray]:
+        d = _derivatives(block.smooth(a, sigmas), block, axes)
+        return {"laplacian": sum(d[f"d{x}{x}"] for x in axes), "edge": np.sqrt(sum(d[f"g{x}"] ** 2 for x in axes))}
 
-def derivative(vox: DataFrame, orders: dict[str, int], sigmas: dict[str, float]) -> DataFrame:
-    """Mixed derivative of any order along each axis, at a scale."""
-    found = gaussian(vox, sigmas)
-    for axis, order in orders.items():
-        for k in [2] * (order // 2) + [1] * (order % 2):
-            found = along(found, axis, {"val_": ("val", taps(SECOND if k == 2 else FIRST))}, ()).withColumnRenamed("val_", "val")
-    return found
+    return tiles.derived(vox, ["laplacian", "edge"], recipe, tiles.reach_of(sigmas, 1))
 
 
-def distance_map(vox: DataFrame, reference: Column) -> DataFrame:
-    """``d2``: squared distance to the nearest voxel of the image and frame for which ``reference`` holds, at any distance;
-    null where there is none. Exact, by the least of d2 + step squared along one axis after the other."""
+def derivative(vox: DataFrame, orders: dict[str, int], sigmas: dict[str, float]) -> DataFrame:
+    """Mixed derivative of any order along each axis, at a scale."""
 
-    def least(values: Column, i: Column, n: Column) -> Column:
-        return F.array_min(F.transform(values, lambda d, j: d + (j - i) * (j - i)))
+    def recipe(a: np.ndarray, block: tiles.Block) -> dict[str, np.ndarray]:
+        a = block.smooth(a, sigmas)
+        for axis, order in orders.items():
+            for k in [2] * (order // 2) + [1] * (order % 2):
+                a = block.taps(a, tiles.AXES.index(axis), SECOND if k == 2 else FIRST)
+        return {"val": a}
 
-    found = vox.select(*VOXEL, F.when(reference, F.lit(0).cast("long")).alias("d2"))
-    for axis in ("x", "y", "z"):
-        found = along(found, axis, {"d2_": ("d2", least)}, ()).withColumnRenamed("d2_", "d2")
-    return found
+    reach = tiles.reach_of(sigmas)
+    return tiles.derived(vox, ["val"], recipe, {a: reach.get(a, 0) + (orders.get(a, 0) + 1) // 2 for a in {*reach, *orders}})
 
 
 def rescaled(vox: DataFrame, factors: dict[str, int], cubic: bool = False) -> DataFrame:

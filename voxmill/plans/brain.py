@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators import lines, pyramid, sampling
+from voxmill.operators import distance, pyramid, sampling
 from voxmill.plans import forest, scoring
 from voxmill.sources.tables import VOXEL, written
 
@@ -54,7 +54,7 @@ def two_stages(rows: DataFrame, vox: DataFrame, settings: pyramid.Settings, edge
     plain = rows.withColumn("class_id", F.least("class_id", F.lit(1)))
     first = written(forest.train(plain, 2, len(names), **OPTIONS), "first")
     coded = pyramid.tile_features(vox, settings, 32, edges, nodes=first).select(*VOXEL, "class_id")
-    far = lines.distance_map(written(coded, "coded"), F.col("class_id") == 1)
+    far = distance.distance_map(written(coded, "coded"), F.col("class_id") == 1)
     more = rows.join(far, VOXEL).withColumn("features", F.concat(F.col("features").cast("array<double>"), F.array(F.sqrt(F.coalesce("d2", F.lit(1 << 40)).cast("double"))))).drop("d2")
     second = forest.train(written(more, "rows"), 2, len(names) + 1, **OPTIONS)
     return forest.usage(second, len(names) + 1).select("feature", "usage", (F.col("feature") == len(names)).alias("distance"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxmill.functions import scalars
-from voxmill.operators import grid, kernels, lines, objects, sampling
+from voxmill.operators import distance, grid, kernels, lines, objects, sampling
 from voxmill.plans import scoring
 from voxmill.queries import INST, inst, query
 from voxmill.sources import images, instances, tables
@@ -215,9 +215,9 @@ on_vols("j11_local_candidates", ", s AS (SELECT image_id, z, y, x FROM vols WHER
     lambda v: grid.candidates(v.where("val > 0.3"), v.where("val < -0.2"), 3).groupBy(*PLACE).agg(F.count("*").alias("n"), F.round(F.min("val"), 6).alias("least"))
 )
 _D2 = "(v.z - r.z) ** 2 + (v.y - r.y) ** 2 + (v.x - r.x) ** 2"
-on_vols("j12_within_distance", f", ref AS (SELECT * FROM vols WHERE val > 0.35) SELECT DISTINCT v.image_id, v.z, v.y, v.x FROM vols v JOIN ref r ON v.image_id = r.image_id WHERE {_D2} <= 9")(lambda v: grid.within(v, v.where("val > 0.35"), 3).select(*PLACE))
+on_vols("j12_within_distance", f", ref AS (SELECT * FROM vols WHERE val > 0.35) SELECT DISTINCT v.image_id, v.z, v.y, v.x FROM vols v JOIN ref r ON v.image_id = r.image_id WHERE {_D2} <= 9")(lambda v: distance.within(v, v.where("val > 0.35"), 3).select(*PLACE))
 on_vols("j13_ball_dilation", f", ref AS (SELECT * FROM vols WHERE val > 0.35), n AS (SELECT DISTINCT v.image_id, v.z, v.y, v.x FROM vols v JOIN ref r ON v.image_id = r.image_id WHERE {_D2} <= 4) SELECT image_id, z, y, x, CASE WHEN n.x IS NULL THEN 0 ELSE 255 END AS val FROM (SELECT image_id, z, y, x FROM vols) v LEFT JOIN n USING (image_id, z, y, x)")(
-    lambda v: grid.nearest_distance(v, v.where("val > 0.35"), 2).select(*PLACE, F.when(F.col("d2").isNotNull(), 255).otherwise(0).alias("val"))
+    lambda v: distance.nearest_distance(v, v.where("val > 0.35"), 2).select(*PLACE, F.when(F.col("d2").isNotNull(), 255).otherwise(0).alias("val"))
 )
 query("j14_mask_multiply", f"WITH {VRES} SELECT image_id, z, y, x, round(val * CASE WHEN code > 10 THEN 1 ELSE 0 END, 6) + 0.0 AS val FROM vols JOIN result USING (image_id, z, y, x)")(
     lambda s, d: grid.multiplied(vols(s, d), vres(s, d).select(*VOXEL, (F.col("code") > 10).cast("double").alias("val"))).select(*PLACE, (F.round("val", 6) + F.lit(0.0)).alias("val"))
@@ -341,9 +341,9 @@ on_vols("d21_erode_dilate", f", lo AS ({_BOX3.format('min')}), hi AS ({_BOX3.for
     lambda v: kernels.extremes(v, F.min).select(*VOXEL, F.round("val", 6).alias("eroded")).join(kernels.extremes(v, F.max).select(*VOXEL, F.round("val", 6).alias("dilated")), VOXEL).select(*PLACE, "eroded", "dilated")
 )
 on_vols("d23_distance_map", f", ref AS (SELECT * FROM vols WHERE val > 0.35) SELECT v.image_id, v.z, v.y, v.x, CAST(min({_D2}) AS BIGINT) AS d2 FROM vols v LEFT JOIN ref r ON v.image_id = r.image_id GROUP BY 1, 2, 3, 4")(
-    lambda v: lines.distance_map(v, F.col("val") > 0.35).select(*PLACE, "d2")
+    lambda v: distance.distance_map(v, F.col("val") > 0.35).select(*PLACE, "d2")
 )
-on_vols("d24_rgb", "SELECT image_id, z, y, x, CAST(floor((val + 0.5) * 255) AS BIGINT) AS red, y * 4 AS green, x * 4 AS blue, CAST(floor((val + 0.5) * 255) AS BIGINT) * 65536 + y * 1024 + x * 4 AS packed FROM vols")(
+on_vols("d24_rgb", "SELECT image_id, z, y, x, red, y * 4 AS green, x * 4 AS blue, red * 65536 + y * 1024 + x * 4 AS packed FROM (SELECT *, least(255, greatest(0, CAST(floor((val + 0.5) * 255) AS BIGINT))) AS red FROM vols)")(
     lambda v: split_rgb(v.withColumn("packed", images.merged_channels(F.floor((F.col("val") + 0.5) * 255), F.col("y") * 4, F.col("x") * 4)))
 )
 

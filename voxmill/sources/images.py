@@ -97,4 +97,6 @@ def split_channels(rgb: Column) -> list[Column]:
 
 
 def merged_channels(red: Column, green: Column, blue: Column) -> Column:
-    return red * 65536 + green * 256 + blue
+    """Three channels packed into a 24-bit colour; values are clipped to 0..255, so none runs into its neighbour."""
+    r, g, b = (F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)) for v in (red, green, blue))
+    return r * 65536 + g * 256 + b
