@@ -154,6 +154,62 @@ def test_colours_do_not_run_into_each_other(spark):
     assert [tuple(r) for r in packed.select(*images.split_channels(F.col("p"))).collect()] == [(0, 255, 5), (1, 2, 3)]
 
 
+HEADER = """% a comment
+@RELATION "two words"
+@attribute Metadata_Name {'a b',"c,d",e}
+@attribute 'first feature' numeric
+@attribute kind {low, 'very high'}
+@attribute class {N,Y}
+@data
+"""
+
+
+def test_instance_files_lose_no_line(spark, tmp_path):
+    good = ["'a b',1.5,low,N", '"c,d", -2 , \'very high\',Y', "e,?,?,?", "e,1e3,low,Y,{5}", "  'a b',0,low,N , { 0.5 }  "]
+    bad = ["e,1,low", "e,1,low,N,7", "e,one,low,N", "e,1,middle,N", "f,1,low,N", "e,1,low,N,{heavy}", "{1 2}", "e,1,low,M"]
+    (tmp_path / "a.arff").write_text(HEADER + "\n".join([*good[:2], "", "% none", *good[2:]]) + "\n")
+    (tmp_path / "b.arff").write_text(HEADER + good[0] + "\n")
+    assert instances.arff_header(spark, str(tmp_path)) == ("two words", [("Metadata_Name", ["a b", "c,d", "e"]), ("first feature", None), ("kind", ["low", "very high"]), ("class", ["N", "Y"])])
+    found = [(r.dataset, r.Name, r.features, r["class"], r.class_id, r.weight) for r in instances.read_arff(spark, str(tmp_path)).collect()]
+    want = [(0.0, [1.5, 0.0], "N", 0, 1.0)] * 2 + [(1.0, [-2.0, 1.0], "Y", 1, 1.0), (2.0, [None, None], None, None, 1.0), (2.0, [1000.0, 0.0], "Y", 1, 5.0), (0.0, [0.0, 0.0], "N", 0, 0.5)]
+    assert sorted(map(str, found)) == sorted(str(("two words", *w)) for w in want)
+    for i, line in enumerate(bad):
+        folder = tmp_path / f"bad{i}"
+        folder.mkdir()
+        (folder / "x.arff").write_text(HEADER + "\n".join([good[0], line]) + "\n")
+        with pytest.raises(Exception, match="not an instance"):
+            instances.read_arff(spark, str(folder)).select("class_id").collect()
+        kept = instances.read_arff(spark, str(folder), "keep").collect()
+        assert sorted((r.rejected is None, r.features is None) for r in kept) == [(False, True), (True, False)]
+        assert [r.rejected for r in kept if r.rejected] == [line]
+
+
+@pytest.mark.parametrize("tile, planes", [(5, 2), (8, 3), (64, 64)])
+def test_pyramid_equals_whole_images(spark, tile, planes):
+    """Tiles cut along every axis give what whole arrays give, in two images of one job; one has a hole."""
+    rng = np.random.default_rng(12)
+    whole = [rng.normal(size=(5, 13, 11)), rng.normal(size=(3, 4, 17))]
+    settings = pyramid.Settings([1, 2, 3], depth=2, planes=5, anisotropy=1.0, gaussian=True)
+    v = image(spark, *whole).where("not (image_id = 0 and z > 3 and y > 9)")
+    whole[0][4, 10:] = 0
+    names = pyramid.feature_names(settings)
+    keep = v.where("(image_id + z + y + x) % 3 > 0")
+    found = {(r.image_id, r.z, r.y, r.x): r.features for r in pyramid.tile_features(v, settings, tile, keep, planes=planes).collect()}
+    assert found.keys() == {(r.image_id, r.z, r.y, r.x) for r in keep.collect()}
+    for i, a in enumerate(whole):
+        before, scale, said = {"Orig_ch0": a}, np.array([1, 1, 1]), {}
+        for level in pyramid.plan(settings):
+            now = pyramid.level_images(before, level, settings.planes)
+            if level[0][2] == "bin":
+                scale = scale * np.array(level[0][4])
+            for name, b in now.items():
+                said[name] = pyramid._fine(b, np.zeros(3, int), np.array([[0, 0, 0], b.shape]), scale, np.zeros(3, int), a.shape)
+            before = now
+        for (k, z, y, x), values in found.items():
+            if k == i:
+                assert np.allclose(values, [said[n][z, y, x] for n in names], atol=1e-5)
+
+
 @pytest.mark.parametrize("neighbours", [6, 4, 8])
 def test_components_do_not_hang_on_tiles(spark, neighbours):
     on = image(spark, np.random.default_rng(1).random((3, 24, 24))).where("val > 0.45")
@@ -202,7 +258,7 @@ def test_pyramid_names():
 def test_pyramid_does_not_hang_on_tiles(spark):
     a = np.random.default_rng(2).normal(size=(1, 70, 66))
     v, settings = image(spark, a), pyramid.Settings([1, 2, 2], depth=2)
-    small, large = ({(r.y, r.x): r.features for r in pyramid.tile_features(v, settings, tile, {"y": 70, "x": 66}).collect()} for tile in (16, 128))
+    small, large = ({(r.y, r.x): r.features for r in pyramid.tile_features(v, settings, tile).collect()} for tile in (16, 128))
     assert len(small) == len(large) == a.size and len(small[0, 0]) == len(pyramid.feature_names(settings))
     assert all(np.allclose(small[k], large[k], atol=1e-5) for k in small)
     names = pyramid.feature_names(settings)
@@ -314,7 +370,7 @@ def test_files_there_and_back(spark, tmp_path, volume):
 def test_instance_file_of_several_headers_and_gaps(spark, tmp_path):
     (tmp_path / "a.arff").write_text("@relation 'cells one'\n\n@attribute Metadata_Label_Id numeric\n@attribute f numeric\n@attribute class {bg,fg}\n\n@data\n% remark\n3,0.5,fg\n4,?,bg\n\n")
     found = instances.read_arff(spark, str(tmp_path)).orderBy("Label_Id").collect()
-    assert [tuple(r) for r in found] == [("cells one", 3.0, [0.5], "fg", 1), ("cells one", 4.0, [None], "bg", 0)]
+    assert [tuple(r) for r in found] == [("cells one", 3.0, [0.5], "fg", 1, 1.0), ("cells one", 4.0, [None], "bg", 0, 1.0)]
 
 
 def test_gaussian_of_a_line_of_one(spark):

@@ -1,4 +1,5 @@
-"""The feature pyramid: a plan of names made from settings, computed tile by tile with a halo, and scored there."""
+"""The feature pyramid: a plan of names made from settings, computed level by level over tiles that swap their borders, and
+scored."""
 
 from __future__ import annotations
 
@@ -11,10 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators.grid import with_halo
 from voxmill.operators.kernels import bins, gaussian_weights, next_anisotropy
 from voxmill.plans import forest as forests
-from voxmill.sources.tables import VOXEL
+from voxmill.sources.tables import VOXEL, written
 
 
 @dataclass
@@ -89,19 +89,18 @@ def needed_steps(settings: Settings, channel: int = 0) -> list[list[tuple]]:
     return [[s for s in level if s[0] in wanted] for level in levels]
 
 
-def halo(settings: Settings) -> int:
-    """Voxels around a tile that its features can hang on: at most ``depth`` filters of 6 scale + 1 voxels each at the
-    resolution of their levels, the mean of the last level, and a coarse voxel for the binning and the interpolation."""
-    units, unit = [], 1
-    for b in settings.factors[: max(1, len(settings.factors) - 1)]:
-        unit *= b
-        units.append(unit)
-    mean = 0
-    if len(settings.factors) > 1:
-        units.append(unit)
-        mean = unit * -(-(settings.factors[-1] - 1) // 2)
-    filters = sum(sorted(units, reverse=True)[: settings.depth]) * (6 * max(settings.scales) + 1)
-    return filters + mean + 2 * unit
+def level_reach(level: list[tuple], planes: int) -> tuple[int, int, int]:
+    """Voxels of a level around a tile, along z, y and x, that its images can hang on: the filters between each of them and
+    what the level begins with, and the window of the last level's mean."""
+    reach = {}
+    for name, source, what, scale, f in level:
+        radius = len(gaussian_weights(scale)) // 2 if scale else 0
+        if what in ("bin", "mean"):
+            reach[name] = np.array([-(-(b - 1) // 2) for b in f] if what == "mean" else [0, 0, 0])
+        else:
+            step = {"Ga": radius, "He": radius + 1, "St": 2 * radius + 1}[what]
+            reach[name] = reach[source] + np.array([step if planes > 1 else 0, step, step])
+    return tuple(int(x) for x in np.max([*reach.values(), np.zeros(3, int)], axis=0))
 
 
 def _smooth(a: np.ndarray, axis: int, w: list[float]) -> np.ndarray:
@@ -161,93 +160,209 @@ def _mean(a: np.ndarray, f: tuple[int, int, int]) -> np.ndarray:
     return a
 
 
-def _fine(a: np.ndarray, factors: tuple[int, int, int], shape: tuple[int, ...]) -> np.ndarray:
-    """Linear values of a coarse image at the places of the full one."""
-    for axis, (b, n) in enumerate(zip(factors, shape, strict=True)):
-        if b > 1:
-            at = np.clip((np.arange(n) - (b - 1) / 2) / b, 0, a.shape[axis] - 1)
-            base = np.floor(at).astype(int)
-            part = (at - base).reshape([-1 if i == axis else 1 for i in range(3)])
-            a = np.take(a, base, axis) * (1 - part) + np.take(a, np.minimum(base + 1, a.shape[axis] - 1), axis) * part
+def _fine(a: np.ndarray, low: np.ndarray, box: np.ndarray, factors: np.ndarray, start: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Linear values, at the full resolution from ``start`` on, of a coarse image of which ``a`` begins at ``low``; kept
+    between the first and the last coarse voxel of ``box``."""
+    for axis in range(3):
+        b = factors[axis]
+        at = np.clip((start[axis] + np.arange(shape[axis]) - (b - 1) / 2) / b, box[0, axis], box[1, axis] - 1)
+        base = np.floor(at).astype(int)
+        part = (at - base).reshape([-1 if i == axis else 1 for i in range(3)])
+        first, last = base - low[axis], np.minimum(base + 1, box[1, axis] - 1) - low[axis]
+        a = np.take(a, first, axis) * (1 - part) + np.take(a, last, axis) * part if b > 1 else np.take(a, first, axis)
     return a
 
 
-def features_of(volume: np.ndarray, settings: Settings, inner: tuple[slice, ...], channel: int = 0) -> np.ndarray:
-    """Features (voxel, feature) of the inner part of a volume that begins at a multiple of all factors. A level's images are
-    dropped when the next level is made from them."""
-    wanted = feature_names(settings, channel)
-    place = {n: i for i, n in enumerate(wanted)}
-    size = volume[inner].shape
-    out = np.zeros((int(np.prod(size)), len(wanted)), np.float32)
-    before, factors = {f"Orig_ch{channel}": volume}, (1, 1, 1)
-    for level in needed_steps(settings, channel):
-        now: dict[str, np.ndarray] = {}
-        axes = [i for i in range(3) if settings.planes > 1 or i > 0]
-        whole: dict[tuple, list[np.ndarray]] = {}
-        for name, source, what, scale, f in level:
-            if what == "bin":
-                now[name] = _binned(before[source], f)
-            elif what == "mean":
-                now[name] = _mean(before[source], f)
-            elif what == "Ga":
-                v = now[source]
-                for axis in axes:
-                    v = _smooth(v, axis, gaussian_weights(scale))
-                now[name] = v
-            else:
-                if (source, what, scale) not in whole:
-                    whole[source, what, scale] = eigen_images(now[source], what, scale, axes)
-                now[name] = whole[source, what, scale]["LMS".index(re.match(r"CD\d+_([LMS])", name)[1])]
-        if level and level[0][2] == "bin":
-            factors = tuple(a * b for a, b in zip(factors, level[0][4], strict=True))
-        for name, v in now.items():
-            if name in place:
-                out[:, place[name]] = _fine(v, factors, volume.shape)[inner].reshape(-1)
-        before = now
+def level_images(before: dict[str, np.ndarray], level: list[tuple], planes: int) -> dict[str, np.ndarray]:
+    """The images of a level from those of the level before, over the same part of an image."""
+    now: dict[str, np.ndarray] = {}
+    axes = [i for i in range(3) if planes > 1 or i > 0]
+    whole: dict[tuple, list[np.ndarray]] = {}
+    for name, source, what, scale, f in level:
+        if what == "bin":
+            now[name] = _binned(before[source], f)
+        elif what == "mean":
+            now[name] = _mean(before[source], f)
+        elif what == "Ga":
+            v = now[source]
+            for axis in axes:
+                v = _smooth(v, axis, gaussian_weights(scale))
+            now[name] = v
+        else:
+            if (source, what, scale) not in whole:
+                whole[source, what, scale] = eigen_images(now[source], what, scale, axes)
+            now[name] = whole[source, what, scale]["LMS".index(re.match(r"CD\d+_([LMS])", name)[1])]
+    return now
+
+
+IMAGE, TILE = ["image_id", "t", "c"], ["tz", "ty", "tx"]
+#: A part of all images of a level: its first place, its shape, the image's box (first and one after the last place of each
+#: axis, in the level's voxels), and the values of one image after the other.
+BLOCK = ["level", "low", "shape", "box", "data"]
+
+
+def _schema(vox: DataFrame) -> str:
+    own = [f"{k} {vox.schema[k].dataType.simpleString()}" for k in IMAGE]
+    return ", ".join([*own, *(f"{k} long" for k in TILE), "level int, low array<long>, shape array<long>, box array<long>, data binary"])
+
+
+def _row(key, tile, level: int, low, box, data: np.ndarray) -> tuple:
+    return (*key, *(int(x) for x in tile), level, [int(x) for x in low], [int(x) for x in data.shape[1:]], [int(x) for x in np.ravel(box)], np.ascontiguousarray(data, np.float64).tobytes())
+
+
+def _parts(pdf: pd.DataFrame):
+    for r in pdf[BLOCK].itertuples(index=False):
+        shape = [int(x) for x in r.shape]
+        yield int(r.level), np.array(r.low), np.array(r.box).reshape(2, 3), np.frombuffer(r.data).reshape(-1, *shape)
+
+
+def _gathered(parts: list, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """One array from ``low`` to ``high`` of all parts; what no part holds is 0."""
+    out = np.zeros((parts[0][3].shape[0], *(high - low)))
+    for _, at, _, data in parts:
+        a, b = np.maximum(at, low), np.minimum(at + data.shape[1:], high)
+        if (a < b).all():
+            out[(slice(None), *(slice(x, y) for x, y in zip(a - low, b - low, strict=True)))] = data[(slice(None), *(slice(x, y) for x, y in zip(a - at, b - at, strict=True)))]
     return out
 
 
-def tile_features(vox: DataFrame, settings: Settings, tile: int, edges: dict[str, int], keep: DataFrame | None = None, nodes: DataFrame | None = None, classes: int = 2) -> DataFrame:
+def _sent(blocks: DataFrame, edge: np.ndarray, wanted) -> DataFrame:
+    """Each block cut to the tiles of edge ``edge`` that need some of it. ``wanted(level)`` gives functions of places: the
+    voxels of the tiles' grid that need the block from low to high, and the block's voxels that the grid's from low to high need."""
+    columns = blocks.columns
+
+    def cut(batches):
+        for pdf in batches:
+            rows = []
+            keys = pdf[IMAGE].itertuples(index=False, name=None)
+            for key, (level, at, box, data) in zip(keys, _parts(pdf), strict=True):
+                users, needs = wanted(level)
+                first, last = users(at, at + data.shape[1:], box)
+                for tile in np.stack(np.meshgrid(*(np.arange(a // e, (b - 1) // e + 1) for a, b, e in zip(first, last, edge, strict=True)), indexing="ij"), -1).reshape(-1, 3):
+                    low, high = needs(tile * edge, (tile + 1) * edge)
+                    a, b = np.maximum(at, low), np.minimum(at + data.shape[1:], high)
+                    if (a < b).all():
+                        rows.append(_row(key, tile, level, a, box, data[(slice(None), *(slice(x, y) for x, y in zip(a - at, b - at, strict=True)))]))
+                if len(rows) > 64:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
+
+    return blocks.mapInPandas(cut, blocks.schema)
+
+
+def _level(blocks: DataFrame, number: int, level: list[tuple], names: list[str], planes: int, edge: np.ndarray, schema: str) -> DataFrame:
+    """The blocks of a level from those of the level before (images ``names``): its tiles swap the level's own border."""
+    f = np.array(level[0][4] if level[0][2] == "bin" else (1, 1, 1))
+    reach = np.array(level_reach(level, planes))
+
+    def wanted(_):
+        def users(low, high, box):
+            return np.maximum(low // f - reach, box[0] // f), np.minimum(-(-high // f) + reach, -(-box[1] // f))
+
+        return users, lambda low, high: ((low - reach) * f, (high + reach) * f)
+
+    def compute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        parts, tile = list(_parts(pdf)), np.array(key[3:])
+        box = parts[0][2]
+        low, high = np.maximum((tile * edge - reach) * f, box[0] // f * f), np.minimum(((tile + 1) * edge + reach) * f, box[1])
+        now = level_images(dict(zip(names, _gathered(parts, low, high), strict=True)), level, planes)
+        box = np.stack([box[0] // f, -(-box[1] // f)])
+        first, last = np.maximum(tile * edge, box[0]), np.minimum((tile + 1) * edge, box[1])
+        inner = tuple(slice(x, y) for x, y in zip(first - low // f, last - low // f, strict=True))
+        return pd.DataFrame([_row(key[:3], tile, number, first, box, np.stack([now[s[0]][inner] for s in level]))], columns=[*IMAGE, *TILE, *BLOCK])
+
+    return _sent(blocks, edge, wanted).groupBy(*IMAGE, *TILE).applyInPandas(compute, schema)
+
+
+def tile_features(vox: DataFrame, settings: Settings, tile: int = 64, keep: DataFrame | None = None, nodes: DataFrame | None = None, classes: int = 2, channel: int = 0, planes: int = 8) -> DataFrame:
     """Voxels with ``features`` (array of float), or, with the ``nodes`` of a forest, with class, probabilities and code.
 
-    Each tile gets its voxels and a halo in one shuffle and is computed in one task; bins lie on global coordinates, so the
-    values do not hang on the tile's size. ``keep``: voxels (VOXEL) whose features are wanted; tiles without any are not
-    computed. ``edges``: the images' length along y and x. A tile holds all planes of one frame; voxels that an image lacks
-    count as 0.
+    Each level is a stage over tiles of ``planes`` x ``tile`` x ``tile`` voxels of its own resolution: a tile gets the part of the
+    level before under it and the border of this level alone, makes all images of the level, and they are written. A last
+    stage brings the parts of all levels under a tile of the full resolution together and reads them off there. So a task
+    holds a tile's images of one level, or a tile's features, whatever the size of the image, and a border is a few voxels of its level.
+
+    Bins lie on global coordinates, so the values do not hang on the tile's size. ``keep``: voxels (VOXEL) whose features are wanted;
+    images without any are not computed. Voxels that an image's box has and the image lacks count as 0 and get no row; a null
+    val counts as 0; of repeated voxels one is taken; an empty table gives no rows.
     """
-    unit = int(np.prod(settings.factors[:-1] or [1]))
-    reach = -(-halo(settings) // unit) * unit
-    size = -(-tile // unit) * unit
-    spread = with_halo(vox, size, reach, edges)
-    key = ["image_id", "t", "c", *(f"t{a}" for a in edges)]
+    edge, schema = np.array([planes, tile, tile]), _schema(vox)
+    axes = ["z", "y", "x"]
     if keep is not None:
-        inside = keep.select(*VOXEL, *(F.floor(F.col(a) / size).alias(f"t{a}") for a in edges))
-        spread = spread.join(inside.select(*key).distinct(), key, "left_semi")
+        keep = keep.select(*VOXEL).distinct()
+        vox = vox.join(keep.select(*IMAGE).distinct(), IMAGE, "left_semi")
+    bounds = vox.groupBy(*IMAGE).agg(F.array(*(F.min(a) for a in axes), *(F.max(a) + 1 for a in axes)).cast("array<long>").alias("box"))
+    rows = vox.select(*VOXEL, F.coalesce(F.col("val").cast("double"), F.lit(0.0)).alias("val"))
+    rows = rows.join(keep.withColumn("wanted", F.lit(1.0)), VOXEL, "left") if keep is not None else rows.withColumn("wanted", F.lit(1.0))
+    rows = rows.select("*", *(F.floor(F.col(a) / int(e)).alias(t) for t, a, e in zip(TILE, axes, edge, strict=True)))
+
+    def first_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[axes].to_numpy(np.int64)
+        low = at.min(axis=0)
+        data = np.zeros((2, *(at.max(axis=0) - low + 1)))
+        place = tuple((at - low).T)
+        data[0][place], data[1][place] = pdf["val"], pdf["wanted"].fillna(0)
+        return pd.DataFrame([_row(key[:3], key[3:], -1, low, [], data)], columns=[*IMAGE, *TILE, *BLOCK])
+
+    raw = rows.groupBy(*IMAGE, *TILE).applyInPandas(first_blocks, schema).drop("box").join(bounds, IMAGE)
+    raw = written(raw.select(*IMAGE, *TILE, *BLOCK), "blocks")
+    wanted_names = feature_names(settings, channel)
+    levels, tables, names, factors, scale = needed_steps(settings, channel), [raw], [f"Orig_ch{channel}", "wanted"], {-1: np.array([1, 1, 1])}, np.array([1, 1, 1])
+    for i, level in enumerate(levels):
+        if not level:
+            break
+        if level[0][2] == "bin":
+            scale = scale * np.array(level[0][4])
+        factors[i] = scale
+        tables.append(written(_level(tables[-1], i, level, names, settings.planes, edge, schema), "blocks"))
+        names = [s[0] for s in level]
+
+    def under(level: int):
+        b = factors[level]
+
+        def users(low, high, box):
+            return np.maximum((low - 1) * b, box[0] * b), np.minimum((high + 1) * b, box[1] * b)
+
+        return users, lambda low, high: (low // b - 1, -(-high // b) + 1)
+
+    parts = tables[0]
+    for more in tables[1:]:
+        parts = parts.union(more)
     trees = forests.packed(nodes) if nodes is not None else None
     own = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in VOXEL)
     shape = own + (", class_id int, prob double, second_id int, second_prob double, n_trees int, code int" if trees is not None else ", features array<float>")
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = pdf[["z", "y", "x"]].to_numpy(np.int64)
-        low = at.min(axis=0)
-        low[1:] = low[1:] // unit * unit
-        volume = np.zeros(at.max(axis=0) - low + 1)
-        volume[tuple((at - low).T)] = pdf["val"]
-        ends = [(pdf[f"t{a}"].iloc[0] * size, (pdf[f"t{a}"].iloc[0] + 1) * size) for a in edges]
-        inner = (slice(None), *(slice(int(max(a - low[i + 1], 0)), int(min(b - low[i + 1], volume.shape[i + 1]))) for i, (a, b) in enumerate(ends)))
-        places = np.stack(np.meshgrid(*(np.arange(s.start or 0, s.stop if s.stop is not None else volume.shape[i]) + low[i] for i, s in enumerate(inner)), indexing="ij"), -1).reshape(-1, 3)
-        found = features_of(volume, settings, inner, int(pdf["c"].iloc[0]))
-        real = np.zeros(volume.shape, bool)
-        real[tuple((at - low).T)] = True
-        real = real[inner].reshape(-1)
-        out = {"image_id": pdf["image_id"].iloc[0], "t": pdf["t"].iloc[0], "c": pdf["c"].iloc[0], "z": places[real, 0], "y": places[real, 1], "x": places[real, 2]}
+    outs = [x.split()[0] for x in shape.split(", ")]
+
+    def read_off(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        by_level: dict[int, list] = {}
+        for part in _parts(pdf):
+            by_level.setdefault(part[0], []).append(part)
+        nothing = pd.DataFrame({k: pd.Series([], dtype=object) for k in outs})
+        start, stop = np.array(key[3:]) * edge, (np.array(key[3:]) + 1) * edge
+        if -1 not in by_level:  # a tile beside the image
+            return nothing
+        box = by_level[-1][0][2]
+        start, stop = np.maximum(start, box[0]), np.minimum(stop, box[1])
+        if (start >= stop).any() or not (real := _gathered(by_level[-1], start, stop)[1] > 0).any():
+            return nothing
+        found, place = np.zeros((int(real.sum()), len(wanted_names)), np.float32), {n: i for i, n in enumerate(wanted_names)}
+        for number, level in enumerate(levels):
+            if level:
+                b, box = factors[number], by_level[number][0][2]
+                low, high = np.maximum(start // b - 1, box[0]), np.minimum(-(-stop // b) + 1, box[1])
+                images = _gathered(by_level[number], low, high)
+                for k, step in enumerate(level):
+                    if step[0] in place:
+                        found[:, place[step[0]]] = _fine(images[k], low, box, b, start, real.shape)[real]
+        at = np.argwhere(real) + start
+        out = {k: np.full(len(at), key[i]) for i, k in enumerate(IMAGE)} | {a: at[:, i] for i, a in enumerate(axes)}
         if trees is None:
-            return pd.DataFrame({**out, "features": list(found[real])})
-        first, p, second, q, used = forests.until_significant(trees, found[real].astype(float), classes)
-        return pd.DataFrame({**out, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": used, "code": forests.result_codes(first, p, q)})
+            return pd.DataFrame({**out, "features": list(found)})[outs]
+        first, p, second, q, used = forests.until_significant(trees, found.astype(float), classes)
+        return pd.DataFrame({**out, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": used, "code": forests.result_codes(first, p, q)})[outs]
 
-    found = spread.groupBy(*key).applyInPandas(compute, shape)
-    return found if keep is None else found.join(keep.select(*VOXEL).distinct(), VOXEL, "left_semi")
+    return _sent(parts, edge, under).groupBy(*IMAGE, *TILE).applyInPandas(read_off, shape)
 
 
 def name_table(spark, settings: Settings, channels: Iterable[int] = (0,)) -> DataFrame:

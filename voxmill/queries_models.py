@@ -204,7 +204,6 @@ def risen(spark, d):
 # --- pyramids, tiles and loops --------------------------------------------------------------------------------------
 
 SETTINGS = pyramid.Settings([1, 2], depth=2, planes=4)
-EDGES = {"y": 64, "x": 64}
 
 
 def label_rows(spark, d):
@@ -213,13 +212,13 @@ def label_rows(spark, d):
     return tables.truth(vols(spark, d)).join(labels, PLACE).select(*VOXEL, "label_id", "class_id")
 
 
-query("d1_feature_pyramid")(lambda s, d: pyramid.tile_features(vols(s, d), SETTINGS, 32, EDGES, label_rows(s, d)).select(*PLACE, F.transform("features", lambda v: F.round(v.cast("double"), 4)).alias("features")))
+query("d1_feature_pyramid")(lambda s, d: pyramid.tile_features(vols(s, d), SETTINGS, keep=label_rows(s, d)).select(*PLACE, F.transform("features", lambda v: F.round(v.cast("double"), 4)).alias("features")))
 query("d2_depths_and_names")(lambda s, d: feature_rows(s, d).groupBy("level", "depth", "feature", "source").agg(F.count("*").alias("n"), F.round(F.avg("val"), 4).alias("mean")))
 
 
 def feature_rows(spark, d):
     """Long form at the labelled voxels: a row a feature, with its level, depth and the image that it is made from."""
-    found = pyramid.tile_features(vols(spark, d), SETTINGS, 32, EDGES, label_rows(spark, d)).select(*PLACE, F.posexplode("features").alias("k", "val"))
+    found = pyramid.tile_features(vols(spark, d), SETTINGS, keep=label_rows(spark, d)).select(*PLACE, F.posexplode("features").alias("k", "val"))
     names = pyramid.feature_names(SETTINGS)
     table = pyramid.name_table(spark, SETTINGS).withColumn("k", F.array_position(F.array(*(F.lit(n) for n in names)), F.col("feature")) - 1)
     return found.join(table, "k")
@@ -228,7 +227,7 @@ def feature_rows(spark, d):
 def projected(spark, d):
     """Two features alone: the steps that none of them is made from are not computed."""
     settings = pyramid.Settings([1, 2], depth=2, planes=4, subset=["Bin1x1x1_Orig_ch0", "Mean2_2_2_Bin1x1x1_Orig_ch0"])
-    return pyramid.tile_features(vols(spark, d), settings, 16, EDGES, label_rows(spark, d)).select(*PLACE, (F.round(F.get("features", 0).cast("double"), 5) + F.lit(0.0)).alias("val"), (F.round(F.get("features", 1).cast("double"), 3) + F.lit(0.0)).alias("mean"))
+    return pyramid.tile_features(vols(spark, d), settings, keep=label_rows(spark, d)).select(*PLACE, (F.round(F.get("features", 0).cast("double"), 5) + F.lit(0.0)).alias("val"), (F.round(F.get("features", 1).cast("double"), 3) + F.lit(0.0)).alias("mean"))
 
 
 query("p5_feature_projection")(lambda s, d: projected(s, d))
@@ -237,7 +236,7 @@ query("p5_feature_projection")(lambda s, d: projected(s, d))
 def voxel_rows(spark, d, settings=SETTINGS):
     """Training rows: vectors at the labelled voxels."""
     labels = label_rows(spark, d)
-    found = pyramid.tile_features(vols(spark, d), settings, 32, EDGES, labels).join(labels, VOXEL)
+    found = pyramid.tile_features(vols(spark, d), settings, keep=labels).join(labels, VOXEL)
     place = F.col("image_id") * 4 * 4096 + F.col("z") * 4096 + F.col("y") * 64 + F.col("x")
     return tables.written(found.select(place.alias("row_id"), "label_id", "class_id", *VOXEL, "features"), "vectors")
 
@@ -247,7 +246,7 @@ def voxel_forest(spark, d, settings=SETTINGS):
     return tables.written(forest.train(rows, 2, len(pyramid.feature_names(settings)), trees=12, depth=5, n_bins=16), "nodes")
 
 
-query("g16_apply_classifier")(lambda s, d: pyramid.tile_features(vols(s, d), SETTINGS, 32, EDGES, nodes=voxel_forest(s, d)).select(*PLACE, "class_id", "n_trees", "code"))
+query("g16_apply_classifier")(lambda s, d: pyramid.tile_features(vols(s, d), SETTINGS, nodes=voxel_forest(s, d)).select(*PLACE, "class_id", "n_trees", "code"))
 query("g17_batch_apply")(lambda s, d: batch(s, d))
 
 
@@ -257,7 +256,7 @@ def batch(spark, d):
     wanted = images.list_files(spark, path, "part.*", r"image--I\d+--C00--.*").select(F.regexp_extract("path", r"--I(\d+)--", 1).cast("long").alias("image_id")).distinct()
     own = images.read_planes(spark, path).join(wanted, "image_id", "left_semi").withColumn("val", F.col("val") / 60000 - 0.5)
     own = own.withColumn("z", F.col("t") * 2 + F.col("z")).withColumn("t", F.lit(0))
-    images.write_result(pyramid.tile_features(own, SETTINGS, 32, EDGES, nodes=voxel_forest(spark, d)), out)
+    images.write_result(pyramid.tile_features(own, SETTINGS, nodes=voxel_forest(spark, d)), out)
     return images.read_result(spark, out).groupBy("image_id", "z", F.floor((F.col("code") - 1) / 10).alias("class_id")).agg(F.count("*").alias("n"))
 
 
@@ -266,13 +265,13 @@ query("g22_data_set_pipeline")(lambda s, d: data_sets(s, d))
 
 def data_sets(spark, d):
     """Scored, then the foreground's objects measured; every row tagged with its data set."""
-    coded = tables.written(pyramid.tile_features(vols(spark, d), SETTINGS, 32, EDGES, nodes=voxel_forest(spark, d)).select(*VOXEL, "code"), "coded")
+    coded = tables.written(pyramid.tile_features(vols(spark, d), SETTINGS, nodes=voxel_forest(spark, d)).select(*VOXEL, "code"), "coded")
     found = objects.measures(objects.segmented(coded, 1, (1, 2, 2), 1, 2))
     return found.select(F.concat(F.lit("image-"), "image_id").alias("data_set"), "object_id", "volume", "min_z", "max_z", "min_y", "max_y", "min_x", "max_x")
 
 
-query("g19_iterative_training")(lambda s, d: brain.iterate(vols(s, d), tables.truth(vols(s, d)), SETTINGS, EDGES, rounds=2, per_class=20))
-query("g20_two_stages")(lambda s, d: brain.two_stages(voxel_rows(s, d), vols(s, d), SETTINGS, EDGES))
+query("g19_iterative_training")(lambda s, d: brain.iterate(vols(s, d), tables.truth(vols(s, d)), SETTINGS, rounds=2, per_class=20))
+query("g20_two_stages")(lambda s, d: brain.two_stages(voxel_rows(s, d), vols(s, d), SETTINGS))
 query("g21_recomputed_vectors")(lambda s, d: recomputed(s, d))
 
 

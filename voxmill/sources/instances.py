@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,28 +22,79 @@ def write_arff(rows: DataFrame, path: str, relation: str, features: list[str], m
     rows.select(F.concat_ws(",", *numbers, "class").alias("value")).write.text(f"{path}/data")
 
 
-def arff_header(spark: SparkSession, path: str) -> tuple[str, list[str], list[str]]:
-    """(relation, attributes in order, class names) of an instance file; a header, whatever the number of rows."""
+#: A value, or an attribute's name: in quotes, in which a backslash escapes, or up to the next space or comma.
+_TOKEN = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^\s,'"{}]+"""
+_ATTRIBUTE = re.compile(rf"@attribute\s+({_TOKEN})\s+(.*)", re.IGNORECASE | re.DOTALL)
+
+
+def unquoted(text: str) -> str:
+    text = text.strip()
+    if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"":
+        text = re.sub(r"\\(.)", r"\1", text[1:-1])
+    return text
+
+
+def arff_header(spark: SparkSession, path: str) -> tuple[str, list[tuple[str, list[str] | None]]]:
+    """(relation, attributes in order) of an instance file; an attribute is (name, its values if it is nominal, else None).
+
+    Of several files with a header the first by name gives it; attributes of another that differ raise.
+    """
     at = F.lower(F.ltrim("value"))
-    lines = spark.read.text(path, recursiveFileLookup=True).where(at.startswith("@relation") | at.startswith("@attribute")).select("value", F.monotonically_increasing_id().alias("i"))
-    lines = [r.value.strip() for r in lines.orderBy("i").collect()]
-    relation = next((x.split(None, 1)[1].strip("'\"") for x in lines if x.lower().startswith("@relation")), "")
-    attributes = [x.split(None, 2) for x in lines if x.lower().startswith("@attribute")]
-    classes = next((x[2].strip("{} ").split(",") for x in attributes if x[2].startswith("{")), [])
-    return relation, [x[1].strip("'\"") for x in attributes if not x[2].startswith("{")], [c.strip() for c in classes]
-
-
-def read_arff(spark: SparkSession, path: str) -> DataFrame:
-    """dataset, one column a metadata attribute (without its prefix), features (array, in the header's order), class and its
-    number class_id. ``?`` is null; comments and blank lines are left out."""
-    relation, names, classes = arff_header(spark, path)
+    found = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("i")).where(at.startswith("@relation") | at.startswith("@attribute"))
+    files = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("i", F.trim("value").alias("value")))).alias("lines")).select("file", F.transform("lines", lambda x: x["value"]).alias("lines"))
+    only = F.filter("lines", lambda x: F.lower(x).startswith("@attribute"))
+    first = files.orderBy("file").select("lines", only.alias("attributes")).first()
+    if first is None:
+        return "", []
+    if files.where(only != F.array(*(F.lit(x) for x in first.attributes))).limit(1).count():
+        raise ValueError(f"{path}: instance files with different attributes")
+    relation = next((unquoted(x.split(None, 1)[1]) for x in first.lines if x.lower().startswith("@relation") and len(x.split(None, 1)) > 1), "")
+    attributes = []
+    for line in first.attributes:
+        name, kind = _ATTRIBUTE.fullmatch(line).groups()
+        nominal = kind.strip().startswith("{")
+        attributes.append((unquoted(name), [unquoted(x) for x in re.findall(_TOKEN, kind.strip()[1:-1])] if nominal else None))
+    return relation, attributes
+
+
+def read_arff(spark: SparkSession, path: str, malformed: str = "raise") -> DataFrame:
+    """dataset, one column a metadata attribute (without its prefix), features (array, in the header's order), class, its number
+    class_id, and weight.
+
+    The class is the attribute named so, or the last one. A feature with nominal values has the number of its value; ``?`` is
+    null; values may be in quotes; ``{w}`` after the last value is the instance's weight, else 1. Comments and blank lines are left
+    out. No other line is lost: one with too few or too many values, a number that is none or a value that its attribute does
+    not have raises, or, with ``malformed="keep"``, is returned in a column ``rejected`` (null for the others) with nulls beside it.
+    """
+    relation, attributes = arff_header(spark, path)
+    if not attributes:
+        raise ValueError(f"{path}: no attributes")
+    names = [n for n, _ in attributes]
+    label = next((i for i, n in enumerate(names) if n.lower() == "class"), len(names) - 1)
     text = spark.read.text(path, recursiveFileLookup=True).where("trim(value) <> '' and not ltrim(value) rlike '^[@%]'")
-    parts = text.select(F.split("value", ",").alias("p")).where(F.size("p") == len(names) + 1)
-    numbers = [(n, F.expr(f"try_cast(trim(p[{i}]) as double)")) for i, n in enumerate(names)]
-    own, label = [F.lit(relation).alias("dataset")], F.trim(F.get("p", len(names)))
-    own += [v.alias(n[len(METADATA) :]) for n, v in numbers if n.startswith(METADATA)]
-    features = F.array(*(v for n, v in numbers if not n.startswith(METADATA)))
-    return parts.select(*own, features.alias("features"), label.alias("class"), (F.array_position(F.array(*(F.lit(c) for c in classes)), label) - 1).alias("class_id"))
+    weight = F.regexp_extract("value", r",\s*\{\s*([^{}]*?)\s*\}\s*$", 1)
+    body = F.regexp_replace("value", r",\s*\{[^{}]*\}\s*$", "")
+    # a comma outside quotes: what follows it up to the end holds whole quoted values alone
+    parts = F.when(~F.contains(body, F.lit("'")) & ~F.contains(body, F.lit('"')), F.split(body, ",")).otherwise(F.split(body, r""",(?=(?:[^'"]|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")*$)"""))
+    rows = text.select("value", weight.alias("w"), F.transform(parts, lambda p: F.trim(p)).alias("p"))
+    bare = lambda p: F.when(p.rlike("^'.*'$|^\".*\"$"), F.regexp_replace(F.substring(p, 2, F.length(p) - 2), r"\\(.)", "$1")).otherwise(p)
+    numbers, wrong = [], (F.size("p") != len(names)) | ((F.col("w") != "") & F.expr("try_cast(w as double) is null"))
+    for i, (_, values) in enumerate(attributes):
+        own = F.get("p", i)
+        number = F.expr(f"try_cast(p[{i}] as double)") if values is None else (F.array_position(F.array(*(F.lit(v) for v in values)), bare(own)) - 1).cast("double")
+        number = F.when((own != "?") & ((number >= 0) if values is not None else F.lit(True)), number)
+        numbers.append(number)
+        wrong = wrong | ((own != "?") & number.isNull())
+    wrong = F.coalesce(wrong, F.lit(True))
+    if malformed == "raise":
+        rows = rows.where(F.when(wrong, F.raise_error(F.concat(F.lit("not an instance: "), "value")).cast("boolean")).otherwise(True))
+        wrong = F.lit(False)
+    there = lambda c: F.when(~wrong, c)
+    own = [F.lit(relation).alias("dataset")] + [there(v).alias(n[len(METADATA) :]) for n, v in zip(names, numbers, strict=True) if n.startswith(METADATA)]
+    features = F.array(*(v for i, (n, v) in enumerate(zip(names, numbers, strict=True)) if not n.startswith(METADATA) and i != label))
+    found = bare(F.get("p", label))
+    own += [there(features).alias("features"), there(F.when(found != "?", found)).alias("class"), there(numbers[label].cast("long")).alias("class_id"), there(F.coalesce(F.expr("try_cast(w as double)"), F.lit(1.0))).alias("weight")]
+    return rows.select(*own, *([F.when(wrong, F.col("value")).alias("rejected")] if malformed == "keep" else []))
 
 
 def metadata_columns(names: list[str]) -> tuple[list[str], list[str]]:
