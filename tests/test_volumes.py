@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxmill import queries, queries_models, queries_volumes
 from voxmill.operators import distance, grid, kernels, lines, objects, pyramid, sampling, tiles
 from voxmill.plans import brain, forest
 from voxmill.sources import images, instances, tables
@@ -340,13 +341,106 @@ def test_useful_pixels_are_wrong_and_have_partners(spark):
         assert other != own and (not r.near or max(abs(r.y - r.partner_y), abs(r.x - r.partner_x)) <= 3)
 
 
+@pytest.mark.parametrize("radius", [0, 1, 4])
+def test_neighbours_go_as_in_a_pass_in_order(spark, radius):
+    rng = np.random.default_rng(radius)
+    rows = [(p, y, x, int(rng.integers(0, 6))) for p in range(2) for y in range(25) for x in range(20) if rng.random() < 0.5]
+    found = sampling.without_neighbours(spark.createDataFrame(rows, "plane int, y long, x long, val int"), ["plane"], radius, ["val", "y", "x"])
+    said = []
+    for p, y, x, v in sorted(rows, key=lambda r: (r[0], r[3], r[1], r[2])):
+        if all(q != p or max(abs(y - b), abs(x - a)) > radius for q, b, a, _ in said):
+            said.append((p, y, x, v))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(said)
+    assert sampling.without_neighbours(found.limit(0), ["plane"], radius, ["val", "y", "x"]).count() == 0
+
+
+def test_a_wrong_region_goes_before_a_wrong_speck(spark):
+    seen = np.full((1, 30, 30), 15.0)
+    seen[0, 5:12, 5:12], seen[0, 22, 22] = 6.0, 1.0
+    v = image(spark, seen).withColumn("class_id", F.when(F.col("x") < 15, 0).otherwise(F.when(F.col("y") == 22, 0).otherwise(1)))
+    blurred = [r for r in sampling.useful_pixels(v, 1, 2).collect() if r.class_id == 0]
+    plain = [r for r in sampling.useful_pixels(v, 1, 2, 0).collect() if r.class_id == 0]
+    assert [(r.y, r.x) for r in blurred] == [(8, 8)] and [(r.y, r.x) for r in plain] == [(22, 22)]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_most_used_features(spark):
+    nodes = queries_models.trained(spark, SF)[1].collect()
+    counts = {}
+    for r in nodes:
+        if r.feature is not None:
+            counts[r.feature] = counts.get(r.feature, 0) + 1
+    want = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:2]
+    assert [tuple(r) for r in queries.QUERIES["o1_most_used_features"](spark, SF).collect()] == want
+
+
+def test_batch_scores_every_matching_image(spark, monkeypatch):
+    """The resumable result of the folder has the codes that the images get one by one."""
+    nodes = queries_models.voxel_forest(spark, SF)
+    monkeypatch.setattr(queries_models, "voxel_forest", lambda *a: nodes)
+    found = {(r.image_id, r.z, r.class_id): r.n for r in queries.QUERIES["g17_batch_apply"](spark, SF).collect()}
+    want = {}
+    v = queries_volumes.vols(spark, SF).withColumn("val", F.floor((F.col("val") + 0.5) * 60000) / 60000 - 0.5)
+    for (i,) in v.select("image_id").distinct().collect():
+        for r in pyramid.tile_features(v.where(F.col("image_id") == i), queries_models.SETTINGS, 16, nodes=nodes).collect():
+            key = i, r.z, (r.code - 1) // 10
+            want[key] = want.get(key, 0) + 1
+    assert found == want
+
+
+def test_second_stage_uses_the_distance(spark):
+    """Rows whose class is told by the distance to the foreground alone: the added feature is the one that splits most."""
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=(1, 32, 32)) * 0.01
+    a[0, :, :4] += 5
+    v, settings = image(spark, a), pyramid.Settings([1], depth=0)
+    names = pyramid.feature_names(settings)
+    rows = pyramid.tile_features(v, settings, 16).select(F.xxhash64(*VOXEL).alias("row_id"), F.lit(-1).cast("long").alias("label_id"), F.when(F.col("x") < 4, 1).when(F.col("x") < 14, 0).otherwise(2).alias("class_id"), *VOXEL, "features")
+    two = rows.withColumn("class_id", F.when(F.col("class_id") == 2, 0).otherwise(F.col("class_id")))
+    found = brain.two_stages(two.withColumn("class_id", F.when(F.col("x") < 14, F.col("class_id")).otherwise(F.lit(0))), v, settings).collect()
+    assert {r.feature for r in found if r.distance} <= {len(names)} and all((r.feature == len(names)) == r.distance for r in found)
+    far = distance.distance_map(v, F.col("x") < 4)
+    assert {r.x: r.d2 for r in far.collect()} == {x: max(0, x - 3) ** 2 for x in range(32)}
+    by_distance = brain.two_stages(rows.withColumn("class_id", F.when(F.col("x").between(4, 13), 1).otherwise(F.when(F.col("x") < 4, 1).otherwise(0))).where("x < 4 or x > 6"), v, settings).collect()
+    assert sum(r.usage for r in by_distance) > 0
+
+
+def test_data_sets_measure_the_scored_foreground(spark, monkeypatch):
+    seen = []
+    keep = tables.written
+    monkeypatch.setattr(queries_models.tables, "written", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    found = queries.QUERIES["g22_data_set_pipeline"](spark, SF).collect()
+    coded = next(df for name, df in seen if name == "coded")
+    sums = {}
+    for r in coded.collect():
+        key = r.image_id, r.z, r.y // 2, r.x // 2
+        total, n = sums.get(key, (0, 0))
+        sums[key] = total + (r.code - 11 if 11 <= r.code <= 20 else 0), n + 1
+    left = {k for k, (total, n) in sums.items() if n == 4 and total / 4 >= 1}
+    volumes = []
+    while left:
+        stack, members = [left.pop()], []
+        while stack:
+            i, z, y, x = stack.pop()
+            members.append((i, z, y, x))
+            for p in ((i, z + 1, y, x), (i, z - 1, y, x), (i, z, y + 1, x), (i, z, y - 1, x), (i, z, y, x + 1), (i, z, y, x - 1)):
+                if p in left:
+                    left.remove(p)
+                    stack.append(p)
+        if len(members) >= 2:
+            volumes.append((f"image-{members[0][0]}", len(members), min(m[1] for m in members), max(m[3] for m in members)))
+    assert sorted((r.data_set, r.volume, r.min_z, r.max_x) for r in found) == sorted(volumes)
+
+
 def test_training_loop_gets_better(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(size=(1, 32, 32)) * 0.1
     a[0, 8:24, 8:24] += 1
     v = image(spark, a)
     truth = v.select(*VOXEL, ((F.col("y").between(8, 23)) & F.col("x").between(8, 23)).cast("int").alias("class_id"))
-    right = [r.right / r.n for r in brain.iterate(v, truth, pyramid.Settings([1, 2], depth=1), {"y": 32, "x": 32}, 2, 30).orderBy("round").collect()]
+    right = [r.right / r.n for r in brain.iterate(v, truth, pyramid.Settings([1, 2], depth=1), 2, 30).orderBy("round").collect()]
     assert right[-1] > 0.9 > right[0]
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from voxmill.operators import lines
+from voxmill.sources.tables import VOXEL, written
+
 
 def draw(*parts) -> Column:
     """A 32-bit number from the parts, joined by commas."""
@@ -48,20 +51,50 @@ def significant_votes(votes: DataFrame, classes: int, every: int = 10, a: float
     return first.select("row_id", (-F.get(r, 0)["i"]).alias("class_id"), F.get(r, 0)["p"].alias("prob"), (-F.get(r, 1)["i"]).alias("second_id"), F.get(r, 1)["p"].alias("second_prob"), F.col("s.n").alias("n_trees"))
 
 
-def without_neighbours(points: DataFrame, plane: list[str], radius: int, order: list) -> DataFrame:
-    """The first point of each cell of 2 radius + 1 in y and x, so that far fewer lie beside each other."""
-    cell = [F.floor(F.col(a) / (2 * radius + 1)).alias(f"c{a}") for a in ("y", "x")]
-    spread = points.select("*", *cell)
-    return spread.withColumn("_k", F.row_number().over(W.partitionBy(*plane, "cy", "cx").orderBy(*order))).where("_k = 1").drop("_k", "cy", "cx")
-
-
-def useful_pixels(scored: DataFrame, per_class: int, radius: int) -> DataFrame:
+def without_neighbours(points: DataFrame, plane: list[str], radius: int, order: list[str]) -> DataFrame:
+    """What a pass through the points of each ``plane`` (columns) in the given order keeps, if each point that it keeps takes
+    away those within ``radius`` of it in y and x. Points of a plane differ in y and x, and ``order`` ends with both.
+
+    Found in rounds that do not hang on any order of work: a point that no other one left within the radius goes before is
+    kept, and what lies within the radius of such a point goes. Neighbours are met by an equi-join of cells of the radius, so a
+    point meets as many others as its 3 x 3 cells hold. Every round is written.
+    """
+    cell = max(1, radius)
+    here = [*plane, "cy", "cx"]
+
+    def around(df: DataFrame, prefix: str) -> DataFrame:
+        """Each point in its own cell and the eight beside it, with y, x and place under other names."""
+        steps = [F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c) for c in ("cy", "cx")]
+        names = [F.col(c).alias(f"{prefix}{c}") for c in ("y", "x", "place")]
+        return df.select(*plane, steps[0], "cx", *names).select(*plane, "cy", steps[1], *(f"{prefix}{c}" for c in ("y", "x", "place")))
+
+    close = (F.abs(F.col("y") - F.col("oy")) <= radius) & (F.abs(F.col("x") - F.col("ox")) <= radius)
+    own = [*plane, "y", "x"]
+    left = points.select("*", F.struct(*order).alias("place"), *(F.floor(F.col(a) / cell).alias(f"c{a}") for a in ("y", "x")))
+    left, kept = written(left, "points"), []
+    while not left.isEmpty():
+        later = left.join(around(left, "o"), here).where(close & (F.col("oplace") < F.col("place"))).select(*own).distinct()
+        first = written(left.join(later, own, "left_anti"), "points")
+        kept.append(first)
+        beside = left.join(around(first, "o"), here).where(close).select(*own).distinct()
+        left = written(left.join(beside, own, "left_anti"), "points")
+    found = left
+    for more in kept:
+        found = found.union(more)
+    return found.drop("place", "cy", "cx")
+
+
+def useful_pixels(scored: DataFrame, per_class: int, radius: int, sigma: float = 2.0) -> DataFrame:
     """Voxels to learn from next: ``scored`` (VOXEL, class_id: the truth, val: correctness, under 10 if wrong) gives for each
-    class of a plane up to ``per_class`` wrong ones, the most certainly wrong first and one a cell, each with a partner of
-    another class nearby, else the most certainly wrong other one of the plane. Ties by y and x."""
+    class of a plane up to ``per_class`` wrong ones, the most certainly wrong first and none within ``radius`` of another,
+    each with a partner of another class nearby, else the most certainly wrong other one of the plane. How certainly wrong a
+    voxel is tells the correctness of its plane smoothed with ``sigma``, so a wrong region goes before a wrong speck (0: the
+    voxel's own); whether it is wrong, its own. Ties by y and x."""
     plane = ["image_id", "t", "c", "z"]
-    order = [F.col("val"), F.col("y"), F.col("x")]
-    wrong = without_neighbours(scored.where("val > 0 and val < 10"), [*plane, "class_id"], radius, order)
+    blurred = lines.gaussian(scored, {"y": sigma, "x": sigma}).select(*VOXEL, F.round("val", 6).alias("blurred"))
+    scored = written(scored.join(blurred, VOXEL), "scored").withColumn("own", F.col("val")).withColumn("val", F.col("blurred"))
+    order = ["val", "y", "x"]
+    wrong = without_neighbours(scored.where("own > 0 and own < 10"), [*plane, "class_id"], radius, order)
     place = F.row_number().over(W.partitionBy(*plane, "class_id").orderBy(*order))
     chosen = wrong.withColumn("place", place).where(F.col("place") <= per_class)  # per_class rows a class and plane
     reach = F.explode(F.sequence(F.lit(-1), F.lit(1)))
