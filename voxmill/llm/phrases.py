@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ._common import discard, discard_path, drained, sub_batches, table, written
 
 #: Parts into which the documents are dealt; a full cycle is as many scans.
-SHARDS = 4
+SHARDS = 3
 #: Slots of the table of reached subphrases that each scan gets: one byte each, whatever their number.
 SLOTS = 1 << 24
 #: Bytes of text whose phrases a task combines before it sends them on.
