@@ -471,3 +471,106 @@ def test_gaussian_of_a_line_of_one(spark):
     v = image(spark, np.ones((1, 1, 3)))
     assert np.allclose(array(lines.gaussian(v, {"z": 1.0, "y": 2.0, "x": 1.0}), (1, 1, 3)), 1)
     assert lines.gaussian(v.limit(0), {"y": 1.0}).count() == 0
+
+
+def plain_tree(x, y, w, node, tree, k, depth, seed=1):
+    """A recursive learner that tries each midpoint of each feature in turn: {node_id: (feature, split)}."""
+    import hashlib
+    import math
+
+    def entropy(own):
+        sums = [sum(w[i] for i in own if y[i] == c) for c in set(y)]
+        return -sum(s / sum(sums) * math.log2(s / sum(sums)) for s in sums if s > 0)
+
+    def grow(node, own, found):
+        best, good, place = None, False, 0
+        order = sorted(range(len(x[0])), key=lambda f: int(hashlib.md5(f"{tree},{node},{f},{seed}".encode()).hexdigest()[:8], 16))
+        for f in order if math.log2(node) + 1e-9 < depth and len({y[i] for i in own}) > 1 else []:
+            values = sorted({x[i][f] for i in own})
+            if len(values) < 2:
+                continue
+            place += 1
+            for low, high in zip(values, values[1:], strict=False):
+                left, right = ([i for i in own if (x[i][f] <= low) == side] for side in (True, False))
+                weight = [sum(w[i] for i in part) for part in (left, right)]
+                after = round((weight[0] * entropy(left) + weight[1] * entropy(right)) / sum(weight), 9)
+                if best is None or (after, f, low) < best[0]:
+                    best = ((after, f, low), (low + high) / 2, left, right)
+                good |= entropy(own) - after > 0.01
+            if place >= k and good:
+                break
+        if best is None or entropy(own) - best[0][0] <= 0.01:
+            found[node] = (None, None)
+            return
+        found[node] = (best[0][1], best[1])
+        grow(2 * node, best[2], found)
+        grow(2 * node + 1, best[3], found)
+
+    found = {}
+    grow(node, range(len(x)), found)
+    return found
+
+
+def test_trees_equal_a_plain_recursive_learner(spark):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(240, 4)), 1)  # ties in plenty
+    y = np.where(x[:, 0] * x[:, 2] > 0, 1, np.where(rng.random(240) < 0.2, 2, 0))
+    rows = spark.createDataFrame([(i, -1, int(y[i]), [float(v) for v in x[i]]) for i in range(240)], "row_id long, label_id long, class_id int, features array<double>")
+    bag = forest.bags(rows, 3, 66).where("in_bag").toPandas()
+    found = forest.train(rows, 3, 4, trees=3, k=2).toPandas()
+    for tree in range(3):
+        own = bag[bag.tree_id == tree].sort_values("row_id")
+        want = plain_tree(x[own.row_id].tolist(), own.class_id.tolist(), own.weight.tolist(), 1, tree, 2, 61)
+        got = {r.node_id: (None, None) if np.isnan(r.feature) else (int(r.feature), r.split) for r in found[found.tree_id == tree].itertuples()}
+        assert got.keys() == want.keys() and len(got) > 20
+        assert all(got[n][0] == want[n][0] and (want[n][0] is None or got[n][1] == pytest.approx(want[n][1])) for n in got)
+
+
+def test_large_nodes_split_from_histograms_and_then_end_in_tasks(spark, grown, monkeypatch):
+    rows, _ = grown
+    whole = forest.train(rows, 3, 5, trees=4, k=5)
+    large = forest.train(rows, 3, 5, trees=4, k=5, n_bins=2000, cells=1000)  # nodes of over 200 rows by bins, a value each
+    key = ["tree_id", "node_id", "feature", "n"]
+    assert sorted(map(tuple, whole.select(*key).fillna(-1).collect())) == sorted(map(tuple, large.select(*key).fillna(-1).collect()))
+    monkeypatch.setattr(forest, "SENT", 1)
+    monkeypatch.setattr(forest, "LEAST_SENT", 1)  # a tree at a time
+    few = forest.train(rows, 3, 5, trees=4, k=5)
+    assert sorted(map(str, few.collect())) == sorted(map(str, whole.collect()))
+    stumps = forest.train(rows, 3, 5, trees=2, depth=1, cells=100)  # leaves that are large
+    assert stumps.groupBy("tree_id").count().where("count = 3").count() == 2
+    part = forest.train(rows, 3, 5, trees=2, features=[1, 3], cells=1000, n_bins=16)
+    assert {r.feature for r in part.select("feature").distinct().collect()} == {None, 1, 3}
+
+
+def test_gaps_in_large_nodes_keep_their_weight(spark, grown):
+    rows, _ = grown
+    gaps = rows.withColumn("features", F.transform("features", lambda v, i: F.when((i != 1) | (F.col("row_id") % 4 > 0), v)))
+    nodes = forest.train(gaps, 3, 5, trees=3, k=5, cells=1500)
+    for r in forest.votes(gaps, nodes, 3, ["row_id"]).collect():
+        assert sum(r.probs) == pytest.approx(1)
+
+
+def test_odd_rows_of_a_forest(spark):
+    shape = "row_id long, label_id long, class_id int, features array<double>"
+    assert forest.train(spark.createDataFrame([], shape), 2, 2, trees=3).count() == 0
+    rows = [(i, i, i % 2, [1.0, None]) for i in range(9)] + [(10, 10, None, [1.0, 2.0]), (11, 11, 0, None)]
+    found = forest.train(spark.createDataFrame(rows, shape), 2, 2, trees=3, percent=100).collect()
+    assert [(r.node_id, r.feature, r.n) for r in found] == [(1, None, 9)] * 3
+
+
+def test_scoring_by_runs_of_trees_equals_all_at_once(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    x[::7, 0] = np.nan
+    y = np.nan_to_num(x[:, 0]) + 0.7 * rng.normal(size=400) > 0
+    rows = spark.createDataFrame([(i, -1, int(y[i]), [None if np.isnan(v) else float(v) for v in x[i]]) for i in range(400)], "row_id long, label_id long, class_id int, features array<double>")
+    nodes = tables.written(forest.train(rows, 2, 3, trees=25, depth=5), "nodes")
+    largest = max(r["count"] for r in nodes.groupBy("tree_id").count().collect())
+    assert len(forest.blocks(nodes, 4 * largest)) > 4
+    same = [sorted(map(str, forest.scored(rows, nodes, 2, ["row_id"], most).collect())) for most in (None, 4 * largest)]
+    assert same[0] == same[1]
+    assert {r.n_trees for r in forest.scored(rows, nodes, 2, ["row_id"], 4 * largest).collect()} >= {11, 25}
+    one, many = (sorted(map(str, forest.votes(rows, nodes, 2, ["row_id"], most).collect())) for most in (None, largest))
+    assert one == many
+    with pytest.raises(ValueError, match="less depth"):
+        forest.blocks(nodes, 1)

@@ -1,4 +1,4 @@
-"""A random forest as tables: label-balanced bags, level-wise growth from binned histograms, scoring, votes and usage.
+"""A random forest as tables: label-balanced bags, growth (large nodes from histograms, small ones in a task), scoring, votes, usage.
 
 ``nodes`` has a row a node: tree_id, node_id (the root is 1, the children of k are 2k and 2k + 1), feature, split (null at a
 leaf), share_left (how much of the weight goes left, for rows without a value) and probs (one for each class).
@@ -7,18 +7,27 @@ leaf), share_left (how much of the weight goes left, for rows without a value) a
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from voxmill.operators.sampling import draw
-from voxmill.sources.tables import written
+from voxmill.plans.subtrees import LEAST_GAIN, MOST_DEPTH, grown
+from voxmill.sources.tables import discard, written
 
-#: A split has to gain more than this.
-LEAST_GAIN = 0.01
+#: Values (rows x features) of a node that one task grows to its leaves: 64 MB of doubles.
+CELLS = 1 << 23
+#: Trees grow together until their rows are this many times the table, or LEAST_SENT values.
+SENT, LEAST_SENT = 4, 1 << 27
+#: Larger nodes of one level whose splits go to every task (about 100 bytes each).
+MOST_SPLITS = 1 << 20
+#: Nodes that go to every task at once (about 100 bytes each as arrays).
+MOST_NODES = 1 << 20
 
 
 def bags(rows: DataFrame, trees: int, percent: int, seed: int = 1) -> DataFrame:
@@ -65,10 +74,10 @@ def _entropy(counts: Column) -> Column:
     return part(total) - F.aggregate(counts, F.lit(0.0), lambda a, x: a + part(x))
 
 
-def best_splits(hist: DataFrame, classes: int, k: int | None = None, n_features: int = 0, seed: int = 1) -> DataFrame:
+def best_splits(hist: DataFrame, classes: int, k: int | None = None, n_features: int = 0, seed: int = 1, names: list[int] | None = None) -> DataFrame:
     """The split of each node: feature and bin (left: bins up to it) of least weighted conditional entropy, gain (entropy a
     unit of weight), the class weights and the part of the weight that goes left. With ``k``, a node looks at its k features of least draw,
-    and at further ones as long as none of those gains over LEAST_GAIN."""
+    and at further ones as long as none of those gains over LEAST_GAIN. ``names``: the numbers that features are drawn by."""
     zero = F.array(*(F.lit(0.0) for _ in range(classes)))
     vector = F.array(*(F.sum(F.when(F.col("class_id") == c, F.col("w")).otherwise(0.0)) for c in range(classes)))
     sums = hist.where("bin is not null").groupBy("tree_id", "node_id", "feature", "bin").agg(vector.alias("own"))
@@ -88,7 +97,7 @@ def best_splits(hist: DataFrame, classes: int, k: int | None = None, n_features:
     scored = cut.select("tree_id", "node_id", "feature", "bin", "total", (F.aggregate("left", F.lit(0.0), lambda a, x: a + x) / weight).alias("share_left"), F.round(after, 9).alias("after"), F.round(_entropy(F.col("total")) / weight - after, 9).alias("gain"))
     best = scored.groupBy("tree_id", "node_id", "feature").agg(F.min(F.struct("after", "bin", "share_left", "gain", "total")).alias("b")).select("tree_id", "node_id", "feature", "b.*")
     if k:
-        place = F.row_number().over(W.partitionBy("tree_id", "node_id").orderBy(draw("tree_id", "node_id", "feature", F.lit(seed)), "feature"))
+        place = F.row_number().over(W.partitionBy("tree_id", "node_id").orderBy(draw("tree_id", "node_id", _original("feature", names) if names else "feature", F.lit(seed)), "feature"))
         best = best.withColumn("place", place)
         first = F.min(F.when((F.col("place") >= k) & F.col("good"), F.col("place"))).over(W.partitionBy("tree_id", "node_id"))
         good = F.max(F.col("gain") > LEAST_GAIN).over(W.partitionBy("tree_id", "node_id").orderBy("place"))
@@ -110,134 +119,354 @@ def best_nominal_splits(hist: DataFrame, classes: int) -> DataFrame:
     return scored.groupBy("tree_id", "node_id").agg(F.min(F.struct("after", "feature", "bin", "gain", "share_left")).alias("b")).select("tree_id", "node_id", "b.feature", "b.bin", "b.gain", "b.share_left")
 
 
-def train(rows: DataFrame, classes: int, n_features: int, trees: int = 200, percent: int = 66, depth: int = 16, n_bins: int = 32, seed: int = 1, k: int | None = None, features: list[int] | None = None) -> DataFrame:
-    """``nodes`` of a forest over ``rows`` (row_id, label_id, class_id 0.., features array).
-
-    Level by level one job finds the splits of all nodes of all trees from histograms, and rows move on to the children.
-    ``k`` features a node (a tenth, rounded up, if not given). Rows without a value for a split's feature go to both sides
-    with their share of the weight. A node is a leaf if it is pure, gains too little, or lies at ``depth``.
-    ``features``: use these alone (the second pass of ``two_passes``); ids of the others never occur.
+def in_bags(rows: DataFrame, trees: int, percent: int, seed: int = 1) -> DataFrame:
+    """``rows`` (row_id, label_id, class_id, ...) with ``at``: tree_id and weight of the bags that hold the row, those of
+    ``bags``. Rows are not copied: only keys are counted tree by tree, for the weights."""
+    key = F.when(F.col("label_id") == -1, F.concat(F.lit("r"), F.col("row_id").cast("string"))).otherwise(F.col("label_id").cast("string"))
+    inside = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(key, t, F.lit(seed)) % 100 < percent)
+    sizes = rows.select("class_id", F.explode(inside).alias("tree_id")).groupBy("tree_id", "class_id").agg(F.count("*").alias("n"))
+    weights = sizes.select("class_id", "tree_id", (F.max("n").over(W.partitionBy("tree_id")) / F.col("n")).alias("weight"))
+    weights = weights.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("tree_id", "weight"))).alias("weights"))  # trees x classes values
+    entry = F.transform(inside, lambda t: F.struct(t.alias("tree_id"), F.try_element_at("weights", t).alias("weight")))
+    return rows.join(F.broadcast(weights), "class_id").withColumn("at", entry).drop("weights")
+
+
+def train(rows: DataFrame, classes: int, n_features: int, trees: int = 200, percent: int = 66, depth: int = MOST_DEPTH, n_bins: int = 32, seed: int = 1, k: int | None = None, features: list[int] | None = None, cells: int = CELLS) -> DataFrame:
+    """``nodes`` of a forest over ``rows`` (row_id, label_id, class_id 0.., features array) with label-balanced bags; the
+    other arguments are those of ``grow``. Rows without class or features take no part."""
+    known = rows.where("class_id is not null and features is not null")
+    return grow(in_bags(known, trees, percent, seed), classes, n_features, trees, depth, n_bins, seed, k, features, cells)
+
+
+def grow(rows: DataFrame, classes: int, n_features: int, trees: int, depth: int = MOST_DEPTH, n_bins: int = 32, seed: int = 1, k: int | None = None, features: list[int] | None = None, cells: int = CELLS) -> DataFrame:
+    """``nodes`` of ``trees`` trees over ``rows`` (class_id, features, ``at``: an array of tree_id and weight).
+
+    A node of at most ``cells`` values (rows x features) is grown to its leaves by one task, at midpoints of sorted values.
+    Larger nodes are split level by level at the edges of ``n_bins`` quantile bins, from histograms that tasks sum first.
+    Rows are stored once, with the node and weight of each tree beside them; so many trees grow together that what is sent to
+    the tasks is about SENT times the rows (of a small table: all). ``k`` features a node (a tenth, rounded up, if not given).
+    Rows without a value for a split's feature go to both sides with their share of the weight. ``features``: use these
+    alone (the second pass of ``two_passes``); ids of the others never occur. An empty table gives no nodes.
     """
     spark = rows.sparkSession
-    k = k or max(1, math.ceil(0.1 * (len(features) if features else n_features)))
-    marks = {r.feature: np.array(r.cuts, float) for r in cuts(rows, n_features, n_bins).collect()}  # n_features x n_bins values
-    used = set(features if features is not None else range(n_features))
-
-    @F.pandas_udf("array<int>")
-    def binned(v: pd.Series) -> pd.Series:
-        x = np.array([[np.nan if a is None else a for a in row] for row in v], float).reshape(len(v), -1)
-        out = np.stack([np.searchsorted(marks[i], x[:, i], side="left") if i in used else np.full(len(x), -1) for i in range(n_features)], axis=1)
-        gone = np.isnan(x) | (out < 0)
-        return pd.Series([[None if g else int(b) for b, g in zip(r, s, strict=True)] for r, s in zip(out, gone, strict=True)])
-
-    bag = bags(rows, trees, percent, seed).where("in_bag")
-    now = written(bag.select("tree_id", "class_id", "weight", binned("features").alias("binned"), F.lit(1).cast("long").alias("node_id")), "bag")
-    found = []
+    used = sorted(features) if features is not None else list(range(n_features))
+    k = k or max(1, math.ceil(0.1 * len(used)))
+    values = F.col("features").cast("array<double>") if features is None else F.array(*(F.get("features", i).cast("double") for i in used))
+    entries = F.transform("at", lambda a: F.struct(a["tree_id"].alias("tree_id"), F.lit(1).cast("long").alias("node_id"), a["weight"].cast("double").alias("weight")))
+    stored = written(rows.select(F.col("class_id").cast("int").alias("class_id"), values.alias("features"), entries.alias("at")).where(F.size("at") > 0), "bag")
+    total, copies = stored.agg(F.count("*"), F.sum(F.size("at"))).first()
+    each = (copies or 0) / trees * max(1, len(used))  # values that one tree is sent
+    together = max(1, min(trees, int(max(SENT * total * len(used), LEAST_SENT) / max(1.0, each))))
+    found = [_grow_some(stored.withColumn("at", F.filter("at", lambda a: (a["tree_id"] >= first) & (a["tree_id"] < first + together))).where(F.size("at") > 0), classes, used, depth, n_bins, seed, k, cells) for first in range(0, trees, together)]
+    discard(stored)
+    return _union([df for part in found for df in part])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, tree_id, node_id, weight) of every entry of ``at`` of a batch."""
+    at = batch.column("at")
+    flat = at.flatten()
+    row = np.repeat(np.arange(batch.num_rows), np.diff(at.offsets.to_numpy()))
+    return row, *(flat.field(name).to_numpy(zero_copy_only=False) for name in ("tree_id", "node_id", "weight"))
+
+
+def _matrix(features, n: int) -> np.ndarray:
+    """The features of ``n`` rows (an Arrow list array); NaN where there is no value."""
+    return features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+
+
+def _nodes_at(tree: np.ndarray, node: np.ndarray, known: dict[tuple[int, int], int]) -> np.ndarray:
+    """The place in ``known`` of each (tree_id, node_id), -1 where it is not there."""
+    pairs, back = np.unique(np.stack([tree.astype(np.int64), node.astype(np.int64)], axis=1), axis=0, return_inverse=True)
+    return np.array([known.get((int(t), int(m)), -1) for t, m in pairs], np.int64)[back.reshape(-1)] if len(pairs) else np.zeros(0, np.int64)
+
+
+def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins: int, seed: int, k: int, cells: int) -> list[DataFrame]:
+    """Tables of nodes of the trees of ``now``."""
+    spark, own, marks, found = now.sparkSession, None, None, []
+    mass = F.array(*(F.sum(F.when(F.col("class_id") == c, F.col("e.weight")).otherwise(0.0)) for c in range(classes)))
     for level in range(depth + 1):
-        sizes = now.groupBy("tree_id", "node_id").agg(F.array(*(F.sum(F.when(F.col("class_id") == c, F.col("weight")).otherwise(0.0)) for c in range(classes))).alias("mass"), F.sum("weight").alias("whole"), F.count("*").alias("n"))
+        here = now.select("class_id", F.explode("at").alias("e")).where(F.col("e.node_id") >= 1 << level)
+        sizes = here.groupBy(F.col("e.tree_id").alias("tree_id"), F.col("e.node_id").alias("node_id")).agg(F.count("*").alias("n"), F.sum("e.weight").alias("whole"), mass.alias("mass"))
+        large = written(sizes.where(F.col("n") * len(used) > cells), "large")
+        n_large = large.count()
+        if not n_large:
+            discard(large)
+            break
+        if n_large > MOST_SPLITS:
+            raise ValueError(f"{n_large} nodes of more than {cells} values at once; raise cells")
+        if marks is None:  # the quantiles of a feature are taken once, over all rows
+            marks = {r.feature: np.array(r.cuts, float) for r in cuts(now, len(used), n_bins).collect()}  # features x n_bins values
+            edges = spark.createDataFrame([(i, b, float(x)) for i, m in marks.items() for b, x in enumerate(m)], "feature int, bin int, split double")
+        open_nodes = {(r.tree_id, r.node_id): i for i, r in enumerate(large.select("tree_id", "node_id").collect())}  # MOST_SPLITS at most
         probs = F.transform("mass", lambda m: m / F.col("whole"))
         if level < depth:
-            splits = best_splits(histograms(now), classes, k, n_features, seed).where(F.col("gain") > LEAST_GAIN)
-            level_nodes = sizes.join(splits, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "feature", "bin", "share_left", "n", probs.alias("probs"))
+            hist = now.mapInArrow(_binned(open_nodes, marks, classes), "tree_id int, node_id long, feature int, bin int, class_id int, w double")
+            hist = hist.groupBy("tree_id", "node_id", "feature", "bin", "class_id").agg(F.sum("w").alias("w"))
+            splits = best_splits(hist, classes, k, len(used), seed, used).where(F.col("gain") > LEAST_GAIN).join(F.broadcast(edges), ["feature", "bin"]).select("tree_id", "node_id", "feature", "split", "share_left")  # edges: features x n_bins rows
         else:
-            level_nodes = sizes.select("tree_id", "node_id", F.lit(None).cast("int").alias("feature"), F.lit(None).cast("int").alias("bin"), F.lit(None).cast("double").alias("share_left"), "n", probs.alias("probs"))
-        level_nodes = written(level_nodes, "nodes")
-        found.append(level_nodes)
-        going = level_nodes.where("feature is not null").select("tree_id", "node_id", "feature", "bin", "share_left")
-        if not going.limit(1).count():
-            break
-        own = F.get("binned", F.col("feature"))
-        sides = F.when(own.isNull(), F.array(F.struct(F.lit(0).alias("side"), F.col("share_left").alias("part")), F.struct(F.lit(1).alias("side"), (1 - F.col("share_left")).alias("part")))).otherwise(F.array(F.struct((own > F.col("bin")).cast("int").alias("side"), F.lit(1.0).alias("part"))))
-        moved = now.join(going, ["tree_id", "node_id"]).withColumn("s", F.explode(sides)).where("s.part > 0")
-        now = written(moved.select("tree_id", "class_id", (F.col("weight") * F.col("s.part")).alias("weight"), "binned", (F.col("node_id") * 2 + F.col("s.side")).alias("node_id")), "moved")
-    nodes = found[0]
-    for more in found[1:]:
-        nodes = nodes.union(more)
-    values = spark.createDataFrame([(i, b, float(x)) for i, m in marks.items() for b, x in enumerate(m)], "feature int, bin int, split double")
-    return nodes.join(F.broadcast(values), ["feature", "bin"], "left").select("tree_id", "node_id", "feature", "split", "share_left", "n", "probs")  # n_features x n_bins rows
-
-
-def packed(nodes: DataFrame) -> dict[int, dict[int, tuple]]:
-    """The forest for scoring, tree by tree; a model, whose size hangs on its parameters."""
-    found: dict[int, dict[int, tuple]] = {}
-    for r in nodes.select("tree_id", "node_id", "feature", "split", "share_left", "probs").collect():
-        found.setdefault(r.tree_id, {})[r.node_id] = (r.feature, r.split, r.share_left, np.array(r.probs))
+            splits = spark.createDataFrame([], "tree_id int, node_id long, feature int, split double, share_left double")
+        nodes = written(large.join(splits, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "feature", "split", "share_left", "n", probs.alias("probs")), "nodes")
+        table = {(r.tree_id, r.node_id): (-1 if r.feature is None else r.feature, r.split or 0.0, r.share_left or 0.0) for r in nodes.select("tree_id", "node_id", "feature", "split", "share_left").collect()}  # MOST_SPLITS at most
+        moved = written(now.mapInArrow(_moved(table), now.schema), "moved")
+        discard(large, *([own] if own is not None else []))
+        now = own = moved
+        found.append(nodes.select("tree_id", "node_id", _original("feature", used), "split", "share_left", "n", "probs"))
+    exploded = now.select("class_id", "features", F.explode("at").alias("e")).select("e.tree_id", "e.node_id", "e.weight", "class_id", "features")
+    small = exploded.groupBy("tree_id", "node_id").applyInArrow(_finished(classes, used, k, depth, seed), "tree_id int, node_id long, feature int, split double, share_left double, n long, probs array<double>")
+    found.append(written(small, "subtrees"))
+    if own is not None:
+        discard(own)
     return found
 
 
-def tree_probs(tree: dict[int, tuple], x: np.ndarray, classes: int) -> np.ndarray:
-    """Class probabilities of each row of ``x`` by one tree; a missing value (NaN) takes both branches by their shares."""
-    out, stack = np.zeros((len(x), classes)), [(1, np.arange(len(x)), np.ones(len(x)))]
-    while stack:
-        node, rows, weight = stack.pop()
-        feature, split, share, probs = tree[node]
-        if feature is None or not len(rows):
-            out[rows] += weight[:, None] * probs
-            continue
-        v = x[rows, feature]
-        gone = np.isnan(v)
-        for side, own, part in ((0, v <= split, share), (1, v > split, 1 - share)):
-            take = own | gone
-            if 2 * node + side not in tree:  # no row of the bag went there
+def _original(column: str, used: list[int]) -> Column:
+    """The feature's own number, from its place among those used."""
+    return F.get(F.array(*(F.lit(i) for i in used)), F.col(column)).alias(column)
+
+
+def _binned(open_nodes: dict[tuple[int, int], int], marks: dict[int, np.ndarray], classes: int):
+    names = np.array(sorted(open_nodes, key=open_nodes.get), np.int64).reshape(-1, 2)
+    width = max(len(m) for m in marks.values()) + 1
+
+    def histogram(batches):
+        """Of a batch: the weight of each bin and class of each feature of the nodes that are split from histograms."""
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            stack.append((2 * node + side, rows[take], weight[take] * np.where(gone[take], part, 1.0)))
+            x, label = _matrix(batch.column("features"), batch.num_rows), batch.column("class_id").to_numpy()
+            row, tree, node, weight = _entries(batch)
+            place = _nodes_at(tree, node, open_nodes)
+            row, weight, place = row[place >= 0], weight[place >= 0], place[place >= 0]
+            own, back = np.unique(place, return_inverse=True)
+            for f, cut in marks.items():
+                bins, known = np.searchsorted(cut, x[row, f], side="left"), ~np.isnan(x[row, f])
+                cell = (back * width + bins) * classes + label[row]
+                sums = np.bincount(cell[known], weight[known], minlength=len(own) * width * classes)
+                full = np.flatnonzero(sums)
+                at = names[own[full // (width * classes)]]
+                yield pa.RecordBatch.from_arrays([pa.array(at[:, 0].astype(np.int32)), pa.array(at[:, 1]), pa.array(np.full(len(full), f, np.int32)), pa.array((full // classes % width).astype(np.int32)), pa.array((full % classes).astype(np.int32)), pa.array(sums[full])], ["tree_id", "node_id", "feature", "bin", "class_id", "w"])
+
+    return histogram
+
+
+def _moved(table: dict[tuple[int, int], tuple]):
+    known = {key: i for i, key in enumerate(table)}
+    feature, split, share = (np.array(v) for v in zip(*table.values(), strict=True))
+
+    def move(batches):
+        """Entries of split nodes go on to the children, those of leaves go, those of smaller nodes stay."""
+        for batch in batches:
+            row, tree, node, weight = _entries(batch)
+            x, place = _matrix(batch.column("features"), batch.num_rows) if batch.num_rows else np.zeros((0, 1)), _nodes_at(tree, node, known)
+            stays, on = place < 0, np.flatnonzero((place >= 0) & (feature[np.maximum(place, 0)] >= 0))
+            at = place[on]
+            v = x[row[on], feature[at]]
+            gone, parts = np.isnan(v), [(row[stays], tree[stays], node[stays], weight[stays])]
+            for side, there, part in ((0, v <= split[at], share[at]), (1, v > split[at], 1 - share[at])):
+                take = there | gone
+                parts.append((row[on][take], tree[on][take], 2 * node[on][take] + side, weight[on][take] * np.where(gone, part, 1.0)[take]))
+            row, tree, node, weight = (np.concatenate(p) for p in zip(*parts, strict=True))
+            order = np.argsort(row, kind="stable")
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            entries = pa.StructArray.from_arrays([pa.array(tree[order].astype(np.int32)), pa.array(node[order].astype(np.int64)), pa.array(weight[order])], ["tree_id", "node_id", "weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("class_id"), batch.column("features"), pa.ListArray.from_arrays(pa.array(ends), entries)], ["class_id", "features", "at"])
+
+    return move
+
+
+def _finished(classes: int, used: list[int], k: int, depth: int, seed: int):
+    def finish(key, node):
+        """A node of at most ``cells`` values and all below it. Rows are put in an order of their own first, so that sums do
+        not hang on the order in which they arrive."""
+        tree_id, node_id = (part.as_py() for part in key)
+        x = _matrix(node["features"].combine_chunks(), node.num_rows)
+        label, weight = node["class_id"].to_numpy(), node["weight"].to_numpy()
+        order = np.lexsort((*x.T[::-1], weight, label))
+        found = grown(x[order], label[order], weight[order], tree_id, node_id, classes, used, k, depth, seed)
+        ids, feature, split, share, n, probs = zip(*found, strict=True)
+        return pa.table({"tree_id": pa.array([tree_id] * len(ids), pa.int32()), "node_id": pa.array(ids, pa.int64()), "feature": pa.array(feature, pa.int32()), "split": pa.array(split, pa.float64()), "share_left": pa.array(share, pa.float64()), "n": pa.array(n, pa.int64()), "probs": pa.array([p.tolist() for p in probs], pa.list_(pa.float64()))})
+
+    return finish
+
+
+@dataclass
+class Tree:
+    """A tree as arrays, for whole batches of rows: ``left`` and ``right`` are places in them, -1 where no row of the bag went;
+    ``feature`` is -1 at a leaf."""
+
+    feature: np.ndarray
+    split: np.ndarray
+    share: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    probs: np.ndarray
+
+    @classmethod
+    def of(cls, nodes: dict[int, tuple]) -> Tree:
+        """From node_id -> (feature, split, share_left, probs); the root comes first."""
+        ids = sorted(nodes)
+        place = {n: i for i, n in enumerate(ids)}
+        feature = np.array([-1 if nodes[n][0] is None else nodes[n][0] for n in ids], np.int64)
+        split, share = (np.array([nodes[n][i] or 0.0 for n in ids]) for i in (1, 2))
+        left, right = (np.array([place.get(2 * n + side, -1) for n in ids], np.int64) for side in (0, 1))
+        width = max(len(nodes[n][3]) for n in ids)
+        return cls(feature, split, share, left, right, np.array([list(nodes[n][3]) if len(nodes[n][3]) else [0.0] * width for n in ids]))
+
+
+def blocks(nodes: DataFrame, most: int | None = None) -> list[list[int]]:
+    """The trees in order, in runs of at most MOST_NODES nodes, which go to the tasks together."""
+    most, found, size = most or MOST_NODES, [], 0
+    for r in nodes.groupBy("tree_id").count().orderBy("tree_id").collect():  # trees
+        if r["count"] > most:
+            raise ValueError(f"tree {r.tree_id} has {r['count']} nodes, more than {most}: train with less depth")
+        if not found or size + r["count"] > most:
+            found, size = [*found, []], 0
+        found[-1].append(r.tree_id)
+        size += r["count"]
+    return found
+
+
+def packed(nodes: DataFrame, trees: list[int] | None = None) -> dict[int, Tree]:
+    """Trees for scoring (all, or a run of ``blocks``). All together have to be one run: their size is checked."""
+    if trees is None:
+        runs = blocks(nodes)
+        if len(runs) > 1:
+            raise ValueError(f"the forest has more than {MOST_NODES} nodes; use scored, which takes trees in runs")
+    else:
+        nodes = nodes.where(F.col("tree_id").isin(trees))
+    found: dict[int, dict[int, tuple]] = {}
+    for r in nodes.select("tree_id", "node_id", "feature", "split", "share_left", "probs").collect():  # MOST_NODES at most
+        found.setdefault(r.tree_id, {})[r.node_id] = (r.feature, r.split, r.share_left, r.probs)
+    return {t: Tree.of(own) for t, own in found.items()}
+
+
+def tree_probs(tree: Tree, x: np.ndarray, classes: int) -> np.ndarray:
+    """Class probabilities of each row of ``x`` by one tree; a missing value (NaN) takes both branches by their shares. All
+    rows go down together, a level a step."""
+    out, row, at, weight = np.zeros((len(x), classes)), np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x))
+    while len(row):
+        feature = tree.feature[at]
+        leaf = feature < 0
+        np.add.at(out, row[leaf], weight[leaf, None] * tree.probs[at[leaf]])
+        row, at, weight, feature = row[~leaf], at[~leaf], weight[~leaf], feature[~leaf]
+        v = x[row, feature]
+        gone, parts = np.isnan(v), []
+        for there, child, part in ((v <= tree.split[at], tree.left[at], tree.share[at]), (v > tree.split[at], tree.right[at], 1 - tree.share[at])):
+            take = (there | gone) & (child >= 0)
+            parts.append((row[take], child[take], (weight * np.where(gone, part, 1.0))[take]))
+        row, at, weight = (np.concatenate(p) for p in zip(*parts, strict=True))
     return out
 
 
-def until_significant(forest: dict[int, dict[int, tuple]], x: np.ndarray, classes: int, every: int = 10, a: float = 4.0):
-    """(first class, its probability, second class, its probability, trees used) of each row: votes are looked at after
-    tree 11, 21, ... and the last, and are enough once the first class leads by ``a`` standard errors."""
-    total, used = np.zeros((len(x), classes)), np.zeros(len(x), int)
-    open_rows = np.arange(len(x))
-    names = sorted(forest)
-    for i, tree in enumerate(names):
-        if not len(open_rows):
+def add_votes(forest: dict[int, Tree], x: np.ndarray, total: np.ndarray, used: np.ndarray, trees: int, every: int = 10, a: float = 4.0) -> np.ndarray:
+    """Adds the votes of the forest's trees to ``total`` and ``used`` (votes of each row so far), of ``trees`` in all, and
+    returns the places of rows that are still undecided: votes are looked at after tree 11, 21, ... and the last, and are
+    enough once the first class leads by ``a`` standard errors. All rows come undecided, with the same number of votes."""
+    classes, undecided = total.shape[1], np.arange(len(x))
+    before = int(used[0]) if len(used) else 0
+    for i, name in enumerate(sorted(forest), before):
+        if not len(undecided):
             break
-        total[open_rows] += tree_probs(forest[tree], x[open_rows], classes)
-        used[open_rows] = i + 1
-        if (i > 0 and i % every == 0) and i + 1 < len(names):
-            p = np.sort(total[open_rows] / np.maximum(total[open_rows].sum(axis=1, keepdims=True), 1e-300), axis=1)
+        tree = forest[name] if isinstance(forest[name], Tree) else Tree.of(forest[name])
+        total[undecided] += tree_probs(tree, x[undecided], classes)
+        used[undecided] = i + 1
+        if (i > 0 and i % every == 0) and i + 1 < trees:
+            p = np.sort(total[undecided] / np.maximum(total[undecided].sum(axis=1, keepdims=True), 1e-300), axis=1)
             first, second = p[:, -1], p[:, -2] if classes > 1 else np.zeros(len(p))
             with np.errstate(divide="ignore", invalid="ignore"):
                 sure = (first >= 1) | ((first - second) ** 2 / (first * (1 - first) / (i + 1)) > a * a)
-            open_rows = open_rows[~sure]
+            undecided = undecided[~sure]
+    return undecided
+
+
+def top_two(total: np.ndarray):
+    """(first class, its probability, second class, its probability) of each row of votes."""
     p = total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300)
-    order = np.argsort(-p, axis=1, kind="stable")
+    order, classes = np.argsort(-p, axis=1, kind="stable"), total.shape[1]
     first, second = order[:, 0], order[:, min(1, classes - 1)]
-    at = np.arange(len(x))
-    return first, p[at, first], second, p[at, second] if classes > 1 else np.zeros(len(x)), used
+    at = np.arange(len(total))
+    return first, p[at, first], second, p[at, second] if classes > 1 else np.zeros(len(total))
 
 
-def scored(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str]) -> DataFrame:
-    """``rows`` (features) with the two likeliest classes, their probabilities, the trees used and the result code."""
-    forest = packed(nodes)
-    shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep) + ", class_id int, prob double, second_id int, second_prob double, n_trees int, code int"
+def until_significant(forest: dict[int, Tree], x: np.ndarray, classes: int, every: int = 10, a: float = 4.0):
+    """(first class, its probability, second class, its probability, trees used) of each row, by all trees of ``forest``;
+    see ``add_votes``."""
+    total, used = np.zeros((len(x), classes)), np.zeros(len(x), int)
+    add_votes(forest, x, total, used, len(forest), every, a)
+    return *top_two(total), used
+
 
-    def score(batches):
+def _features(pdf: pd.DataFrame) -> np.ndarray:
+    return np.array([[np.nan if a is None else a for a in r] for r in pdf["features"]], float).reshape(len(pdf), -1)
+
+
+def _shape(rows: DataFrame, keep: list[str]) -> str:
+    return ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+
+
+def scored(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str], most: int | None = None) -> DataFrame:
+    """``rows`` (features) with the two likeliest classes, their probabilities, the trees used and the result code.
+
+    Trees go to the tasks in runs of at most ``most`` (MOST_NODES) nodes; between runs the votes are written beside the rows, and
+    rows that are decided take no part in later runs. The result is that of ``until_significant`` over all trees.
+    """
+    runs = blocks(nodes, most)
+    trees = sum(map(len, runs))
+    shape = f"{_shape(rows, keep)}, features {rows.schema['features'].dataType.simpleString()}, total array<double>, used int, undecided boolean"
+
+    def voting(forest):
+        def vote(batches):
+            for pdf in batches:
+                total = np.array([[0.0] * classes if v is None else list(v) for v in pdf["total"]]).reshape(len(pdf), classes)
+                used, undecided = pdf["used"].to_numpy().copy(), np.zeros(len(pdf), bool)
+                undecided[add_votes(forest, _features(pdf), total, used, trees)] = True
+                yield pd.DataFrame({**{k: pdf[k] for k in keep}, "features": pdf["features"], "total": list(total), "used": used, "undecided": undecided})
+
+        return vote
+
+    now = rows.select(*keep, "features", F.lit(None).cast("array<double>").alias("total"), F.lit(0).alias("used"))
+    decided = []
+    for run in runs[:-1]:
+        now = written(now.mapInPandas(voting(packed(nodes, run)), shape), "votes")
+        decided.append(now.where("not undecided").select(*keep, "total", "used"))
+        now = now.where("undecided").drop("undecided")
+    last = now.mapInPandas(voting(packed(nodes, runs[-1] if runs else [])), shape).select(*keep, "total", "used")
+    result = f"{_shape(rows, keep)}, class_id int, prob double, second_id int, second_prob double, n_trees int, code int"
+
+    def finish(batches):
         for pdf in batches:
-            x = np.array([[np.nan if a is None else a for a in r] for r in pdf["features"]], float).reshape(len(pdf), -1)
-            first, p, second, q, used = until_significant(forest, x, classes)
-            yield pd.DataFrame({**{k: pdf[k] for k in keep}, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": used, "code": result_codes(first, p, q)})
+            first, p, second, q = top_two(np.array([list(v) for v in pdf["total"]]).reshape(len(pdf), classes))
+            yield pd.DataFrame({**{k: pdf[k] for k in keep}, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": pdf["used"], "code": result_codes(first, p, q)})
 
-    return rows.select(*keep, "features").mapInPandas(score, shape)
+    return _union([*decided, last]).mapInPandas(finish, result)
 
 
 def result_codes(first: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return first * 10 + 1 + np.floor(np.round((p - q) * 9, 7)).astype(int)
 
 
-def votes(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str]) -> DataFrame:
-    """A row for each row and tree: ``probs`` of that tree."""
-    forest = packed(nodes)
-    shape = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep) + ", tree_id int, probs array<double>"
+def votes(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str], most: int | None = None) -> DataFrame:
+    """A row for each row and tree: ``probs`` of that tree. Trees go to the tasks in runs, as in ``scored``."""
 
-    def vote(batches):
-        for pdf in batches:
-            x = np.array([[np.nan if a is None else a for a in r] for r in pdf["features"]], float).reshape(len(pdf), -1)
-            for tree in sorted(forest):
-                yield pd.DataFrame({**{k: pdf[k] for k in keep}, "tree_id": tree, "probs": list(tree_probs(forest[tree], x, classes))})
+    def voting(forest):
+        def vote(batches):
+            for pdf in batches:
+                x = _features(pdf)
+                for tree in sorted(forest):
+                    yield pd.DataFrame({**{k: pdf[k] for k in keep}, "tree_id": tree, "probs": list(tree_probs(forest[tree], x, classes))})
+
+        return vote
 
-    return rows.select(*keep, "features").mapInPandas(vote, shape)
+    shape = f"{_shape(rows, keep)}, tree_id int, probs array<double>"
+    return _union([rows.select(*keep, "features").mapInPandas(voting(packed(nodes, run)), shape) for run in blocks(nodes, most) or [[]]])
 
 
 def walked(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:

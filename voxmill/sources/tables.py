@@ -31,7 +31,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.written_at = path
+    return found
+
+
+def discard(*gone: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for df in gone:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def voxels(embeddings: DataFrame) -> DataFrame:
