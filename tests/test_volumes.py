@@ -574,3 +574,57 @@ def test_scoring_by_runs_of_trees_equals_all_at_once(spark):
     assert one == many
     with pytest.raises(ValueError, match="less depth"):
         forest.blocks(nodes, 1)
+
+
+def test_cross_validation_of_two_learners(spark):
+    from voxmill.plans import compare
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(150, 3)), 1)
+    y = np.where(x[:, 0] + 0.6 * rng.normal(size=150) > 0, 1, np.where(x[:, 1] > 1, 2, 0))
+    label = np.arange(150) // 2
+    shape = "row_id long, label_id long, class_id int, features array<double>"
+    rows = spark.createDataFrame([(i, int(label[i]), int(y[i]), [float(v) for v in x[i]]) for i in range(150)], shape)
+    runs, folds, trees = 2, 3, 3
+    dealt = tables.written(compare.with_folds(rows, runs, folds), "folds")
+    own = {r.row_id: list(r.folds) for r in dealt.collect()}
+    held = compare.in_models(dealt, runs, folds, trees, 66).collect()
+    mass = {}
+    for r in held:
+        for e in r["at"]:
+            model = e.tree_id // trees
+            assert own[r.row_id][model // (2 * folds)] != model // 2 % folds  # no model sees what it is tested on
+            mass.setdefault(e.tree_id, {}).setdefault(r.class_id, []).append(e.weight)
+            assert model % 2 == compare.BALANCED or e.weight in range(1, 7)
+    assert sorted(mass) == list(range(runs * folds * 2 * trees))
+    for tree, classes in mass.items():
+        if tree // trees % 2 == compare.BALANCED:
+            assert np.ptp([sum(w) for w in classes.values()]) < 1e-9
+    nodes = tables.written(forest.grow(compare.in_models(dealt, runs, folds, trees, 66), 3, 3, runs * folds * 2 * trees, k=2), "nodes")
+    packed = forest.packed(nodes)
+    scores = {(r.run, r.fold, r.learner): r for r in compare.cross_validated(rows, 3, 3, runs, folds, trees, k=2).collect()}
+    assert len(scores) == runs * folds * 2
+    differences = []
+    for (run, fold, learner), r in scores.items():
+        test = [i for i in range(150) if own[i][run] == fold]
+        model = (run * folds + fold) * 2 + learner
+        p = np.round(np.mean([forest.tree_probs(packed[model * trees + t], x[test], 3) for t in range(trees)], axis=0), 9)
+        assert r.n == len(test) and r.accuracy == pytest.approx(np.mean(p.argmax(axis=1) == y[test]))
+        area = share = 0
+        for c in range(3):
+            good, bad = p[y[test] == c, c], p[y[test] != c, c]
+            if len(good) and len(bad):
+                area += len(good) * np.mean((good[:, None] > bad) + (good[:, None] == bad) / 2)
+                share += len(good)
+        assert r.auc == pytest.approx(area / share)
+    for run in range(runs):
+        differences += [scores[run, f, 0].auc - scores[run, f, 1].auc for f in range(folds)]
+    line = {r.measure: r for r in compare.compared(spark.createDataFrame(list(scores.values())), folds).collect()}["auc"]
+    assert line.folds == 6 and line.t == pytest.approx(np.mean(differences) / np.sqrt((1 / 6 + 1 / 2) * np.var(differences, ddof=1)))
+
+
+def test_learners_that_never_differ_have_no_t(spark):
+    from voxmill.plans.scoring import corrected_t
+
+    line = corrected_t(spark.createDataFrame([(0.5, 0.5), (0.7, 0.7), (0.9, 0.9)], "a double, b double"), 0.5).first()
+    assert (line.folds, line["mean"], line.t) == (3, 0, None)

@@ -41,15 +41,19 @@ def bags(rows: DataFrame, trees: int, percent: int, seed: int = 1) -> DataFrame:
     return drawn.join(weights, ["tree_id", "class_id"], "left")
 
 
-def bootstrap(rows: DataFrame, trees: int, seed: int = 1) -> DataFrame:
-    """Rows with tree_id and weight, the times they are drawn (a Poisson draw of mean 1 by the row's key, at most 6)."""
-    spread = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = draw("row_id", F.col("tree_id"), F.lit(seed)) / F.lit(float(1 << 32))
+def times_drawn(u: Column) -> Column:
+    """How often a row is drawn with replacement: a Poisson draw of mean 1 from ``u`` in [0, 1), at most 6."""
     times, below = F.lit(0), 0.0
     for k in range(6):
         below += math.exp(-1) / math.factorial(k)
         times = times + F.when(u >= below, 1).otherwise(0)
-    return spread.withColumn("weight", times).where("weight > 0")
+    return times
+
+
+def bootstrap(rows: DataFrame, trees: int, seed: int = 1) -> DataFrame:
+    """Rows with tree_id and weight, the times they are drawn (by the row's key)."""
+    spread = rows.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return spread.withColumn("weight", times_drawn(draw("row_id", F.col("tree_id"), F.lit(seed)) / F.lit(float(1 << 32)))).where("weight > 0")
 
 
 def cuts(rows: DataFrame, n_features: int, n_bins: int) -> DataFrame:
@@ -404,7 +408,7 @@ def until_significant(forest: dict[int, Tree], x: np.ndarray, classes: int, ever
     return *top_two(total), used
 
 
-def _features(pdf: pd.DataFrame) -> np.ndarray:
+def features_of(pdf: pd.DataFrame) -> np.ndarray:
     return np.array([[np.nan if a is None else a for a in r] for r in pdf["features"]], float).reshape(len(pdf), -1)
 
 
@@ -427,7 +431,7 @@ def scored(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str], mos
             for pdf in batches:
                 total = np.array([[0.0] * classes if v is None else list(v) for v in pdf["total"]]).reshape(len(pdf), classes)
                 used, undecided = pdf["used"].to_numpy().copy(), np.zeros(len(pdf), bool)
-                undecided[add_votes(forest, _features(pdf), total, used, trees)] = True
+                undecided[add_votes(forest, features_of(pdf), total, used, trees)] = True
                 yield pd.DataFrame({**{k: pdf[k] for k in keep}, "features": pdf["features"], "total": list(total), "used": used, "undecided": undecided})
 
         return vote
@@ -459,7 +463,7 @@ def votes(rows: DataFrame, nodes: DataFrame, classes: int, keep: list[str], most
     def voting(forest):
         def vote(batches):
             for pdf in batches:
-                x = _features(pdf)
+                x = features_of(pdf)
                 for tree in sorted(forest):
                     yield pd.DataFrame({**{k: pdf[k] for k in keep}, "tree_id": tree, "probs": list(tree_probs(forest[tree], x, classes))})
 

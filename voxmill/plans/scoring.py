@@ -65,8 +65,8 @@ def confusion(rows: DataFrame, truth: str, score: str, threshold: float) -> Data
     return rows.groupBy(F.col(truth).alias("truth"), (F.col(score) >= threshold).cast("int").alias("prediction")).agg(F.count("*").alias("n"))
 
 
-def corrected_t(folds: DataFrame, ratio: float) -> DataFrame:
+def corrected_t(folds: DataFrame, ratio: float, *more: Column) -> DataFrame:
     """Paired t statistic of columns a and b over folds, with the variance corrected for training sets that overlap
-    (``ratio``: test rows over training rows)."""
+    (``ratio``: test rows over training rows), null if they do not vary; ``more``: further aggregates."""
     diff = F.col("a") - F.col("b")
-    return folds.agg(F.count("*").alias("folds"), F.avg(diff).alias("mean"), (F.avg(diff) / F.sqrt((1 / F.count("*") + F.lit(ratio)) * F.var_samp(diff))).alias("t"))
+    return folds.agg(F.count("*").alias("folds"), F.avg(diff).alias("mean"), (F.avg(diff) / F.nullif(F.sqrt((1 / F.count("*") + F.lit(ratio)) * F.var_samp(diff)), F.lit(0.0))).alias("t"), *more)

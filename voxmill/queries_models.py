@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxmill.operators import objects, pyramid, sampling
-from voxmill.plans import brain, forest
+from voxmill.plans import brain, compare, forest
 from voxmill.queries import INST, inst, query
 from voxmill.queries_volumes import FEATURES, PLACE, stored, vlab, vols
 from voxmill.sources import images, instances, tables
@@ -206,6 +206,14 @@ def oob(spark, d):
     return forest.out_of_bag(rows, nodes, 3, SMALL["trees"], SMALL["percent"]).select("n", F.round("error", 6).alias("error"))
 
 
+query("i6_learners_compared")(lambda s, d: compare.compared(learners(s, d), 10).select("measure", "folds", *(F.round(c, 6).alias(c) for c in ("balanced", "classic", "mean", "t"))))
+
+
+def learners(spark, d):
+    """Ten runs of ten folds of both learners over all orders."""
+    return compare.cross_validated(rows_of(spark, d), 3, 4, trees=2, k=2)
+
+
 query("i5_importance")(lambda s, d: risen(s, d))
 
 
