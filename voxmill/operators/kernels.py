@@ -96,17 +96,3 @@ def pyramid(vox: DataFrame, levels: int) -> DataFrame:
         level = blocks(level, 2, 2)
         found = found.unionByName(level.withColumn("level", F.lit(i)))
     return found
-
-
-def entropy(vox: DataFrame, radius: int, bins: int, low: float, high: float) -> DataFrame:
-    """Shannon bits of the histogram in a disc around each voxel. Voxels are spread over the disc and counted by bin, one
-    row a place and bin at most."""
-    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    offsets = F.explode(F.array(*(F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in disc)))
-    at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("val") - low) / (high - low) * bins).cast("int")))
-    spread = vox.select("image_id", "t", "c", "z", "y", "x", at.alias("bin"), offsets.alias("o"))
-    place = [F.col("image_id"), F.col("t"), F.col("c"), F.col("z"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")]
-    own = (F.col("o.dy") == 0) & (F.col("o.dx") == 0)
-    counts = spread.groupBy(*place, "bin").agg(F.count("*").alias("n"), F.bool_or(own).alias("own"))
-    sums = counts.groupBy("image_id", "t", "c", *AXES).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("part"), F.bool_or("own").alias("own"))
-    return sums.where("own").withColumn("bits", F.abs(F.log2("total") - F.col("part") / F.col("total")))

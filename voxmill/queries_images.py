@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxmill.operators import grid, kernels
+from voxmill.operators.entropy import entropy
 from voxmill.queries import LAPSE, RESULT, lapse, on_vox, query, result, vox
 from voxmill.sources import tables
 
@@ -36,7 +37,7 @@ query("o2_most_uncertain_region", f"WITH {RESULT}, u AS (SELECT z, y // 16 AS ty
 on_vox("d18_entropy", """, b AS (SELECT z, y + dy AS y, x + dx AS x, greatest(0, least(7, CAST(floor((val + 0.5) * 8) AS INT))) AS bin, dy = 0 AND dx = 0 AS own FROM vox, range(-2, 3) o(dy), range(-2, 3) p(dx) WHERE dy * dy + dx * dx <= 4),
 h AS (SELECT z, y, x, bin, count(*) AS n, bool_or(own) AS own FROM b GROUP BY 1, 2, 3, 4), s AS (SELECT z, y, x, sum(n) AS total, sum(n * log2(n)) AS part, bool_or(own) AS own FROM h GROUP BY 1, 2, 3)
 SELECT z, y, x, round(abs(log2(total) - part / total), 6) AS bits FROM s WHERE own""")(
-    lambda v: kernels.entropy(v, 2, 8, -0.5, 0.5).select("z", "y", "x", F.round("bits", 6).alias("bits"))
+    lambda v: entropy(v, 2, 8, -0.5, 0.5).select("z", "y", "x", F.round("bits", 6).alias("bits"))
 )
 on_vox("f8_arithmetic", "SELECT z, y, x, round(sqrt(abs(val)), 6) AS root, round(ln(abs(val) + 1), 6) AS log, round((val + 1) * 2 - val, 6) AS sum FROM vox")(
     lambda v: v.select("z", "y", "x", F.round(F.sqrt(F.abs("val")), 6).alias("root"), F.round(F.ln(F.abs("val") + 1), 6).alias("log"), F.round((F.col("val") + 1) * 2 - F.col("val"), 6).alias("sum"))

@@ -13,7 +13,7 @@ from voxmill.functions import scalars
 from voxmill.operators import distance, grid, kernels, lines, objects, sampling
 from voxmill.plans import scoring
 from voxmill.queries import INST, inst, query
-from voxmill.sources import images, instances, tables
+from voxmill.sources import images, instances, rasters, tables
 from voxmill.sources.tables import VOXEL, fresh_path
 
 VOLS = "vols AS (SELECT vec_id // 256 AS image_id, 0 AS t, 0 AS c, (vec_id // 64) % 4 AS z, vec_id % 64 AS y, i - 1 AS x, CAST(embedding[i] AS DOUBLE) AS val FROM embeddings, unnest(range(1, 65)) AS u(i))"
@@ -67,6 +67,12 @@ def stored(spark, d) -> str:
     return path
 
 
+def as_pngs(spark, d) -> str:
+    path = fresh_path(spark, "pngs")
+    rasters.write_pngs(frames(spark, d), path, F.floor((F.col("val") + 0.5) * 60000))
+    return path
+
+
 _NAMES = "format('image--I{:05d}--C00--T{:05d}--Z{:05d}', image_id, z // 2, z % 2)"
 query("s1_image_scan", f"WITH {VOLS} SELECT image_id, z // 2 AS t, z % 2 AS z, y, x, floor((val + 0.5) * 60000) AS val FROM vols")(
     lambda s, d: images.read_planes(s, stored(s, d)).select("image_id", "t", "z", "y", "x", "val")
@@ -80,6 +86,12 @@ query("s4_cube_region", f"WITH {VOLS} SELECT image_id, y, x, floor((val + 0.5) *
 query("s5_files_by_pattern", f"WITH {VOLS} SELECT DISTINCT {_NAMES} AS folder, true AS filled FROM vols WHERE z % 2 = 1")(
     lambda s, d: images.list_files(s, stored(s, d), r"part-.*\.txt", r"image--.*--Z00001").groupBy(F.regexp_extract("path", images.FOLDER, 1).alias("folder")).agg((F.sum("size") > 0).alias("filled"))
 )
+query("s1_png_scan", f"WITH {VOLS} SELECT image_id, z // 2 AS t, z % 2 AS z, y, x, floor((val + 0.5) * 60000) AS val FROM vols")(
+    lambda s, d: rasters.read_pngs(s, as_pngs(s, d)).select("image_id", "t", "z", "y", "x", "val")
+)
+query("s4_png_region", f"WITH {VOLS} SELECT image_id, y, x, floor((val + 0.5) * 60000) AS val FROM vols WHERE z = 3 AND y BETWEEN 5 AND 14 AND x BETWEEN 20 AND 49")(
+    lambda s, d: images.region(rasters.read_pngs(s, as_pngs(s, d)), {"z": 1, "y": 5, "x": 20}, {"z": 1, "y": 10, "x": 30}, 1, 0).select("image_id", "y", "x", "val")
+)
 query("s11_resumed_result", f"WITH {VRES} SELECT image_id, z, y, x, code FROM result")(lambda s, d: resumed(s, d).select(*PLACE, "code"))
 
 
@@ -109,6 +121,20 @@ def slices(spark, d):
     return spark.read.schema("y long, x long, code int, name string").parquet(path)
 
 
+_HALF = "SELECT data_set, image_id, z, y // 2 AS y, x // 2 AS x, avg(val) AS val FROM {} GROUP BY data_set, image_id, z, y // 2, x // 2 HAVING count(*) = 4"
+query("s16_class_pyramids", f"""WITH {VRES}, l0 AS (SELECT 'raw' AS data_set, image_id, z, y, x, val FROM vols UNION ALL SELECT 'class-' || class_id, image_id, z, y, x, val FROM ({_CLASSES})),
+l1 AS ({_HALF.format("l0")}), l2 AS ({_HALF.format("l1")})
+SELECT data_set, 0 AS level, image_id, z, y, x, round(val, 6) AS val FROM l0 UNION ALL SELECT data_set, 1, image_id, z, y, x, round(val, 6) FROM l1 UNION ALL SELECT data_set, 2, image_id, z, y, x, round(val, 6) FROM l2""")(
+    lambda s, d: class_pyramids(s, d).select("data_set", "level", *PLACE, F.round("val", 6).alias("val"))
+)
+
+
+def class_pyramids(spark, d):
+    path = fresh_path(spark, "pyramids")
+    images.write_pyramids(vols(spark, d), vres(spark, d), (0, 1), path)
+    return images.read_pyramid(spark, path)
+
+
 query("s17_class_images", f"WITH {VRES} {_CLASSES}")(lambda s, d: grid.class_images(vres(s, d), (0, 1)).select("class_id", *PLACE, "val"))
 query("s18_result_table", f"WITH {VRES} SELECT 'image-' || image_id AS data_set, (code - 1) // 10 AS class_id, 'image-' || image_id || '--class' || (code - 1) // 10 || '.parquet' AS output, count(*) AS n FROM result WHERE code > 0 GROUP BY image_id, (code - 1) // 10")(lambda s, d: provenance(s, d))
 

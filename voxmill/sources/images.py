@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from voxmill.sources.tables import VOXEL
+from voxmill.operators import grid
+from voxmill.sources.tables import VOXEL, exists
 
 #: Naming of a plane's folder: channel, frame and plane.
 NAME = "image--I%05d--C%02d--T%05d--Z%05d"
@@ -84,13 +85,37 @@ def read_result(spark: SparkSession, path: str, bounds: dict[str, tuple[int, int
 
 def missing_planes(planes: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """Planes (image_id, t, z) that the result at ``path`` does not hold yet."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return planes
     return planes.join(read_result(spark, path).select("image_id", "t", "z").distinct(), ["image_id", "t", "z"], "left_anti")
 
 
+def write_pyramids(raw: DataFrame, result: DataFrame, classes: tuple[int, ...], path: str, levels: int = 3) -> None:
+    """A data set of the raw channels (``raw``: VOXEL, val) and one for each class of ``result`` (VOXEL, code), each as an image
+    and its averages of 2 x 2 blocks, of 4 x 4, and so on: folders data_set, then level. Blocks that are cut off are left out, so
+    a small image may have fewer levels. Null values count in no average; a class without a voxel is an image of zeros. There
+    must be nothing at ``path`` yet."""
+    sets = raw.select(F.lit("raw").alias("data_set"), *VOXEL, F.col("val").cast("double").alias("val"))
+    coded = grid.class_images(result, classes)
+    sets = sets.unionByName(coded.select(F.concat(F.lit("class-"), "class_id").alias("data_set"), *VOXEL, F.col("val").cast("double").alias("val")))
+    level = sets
+    for n in range(levels):
+        if n:
+            key = [F.col("z"), F.floor(F.col("y") / 2).alias("y"), F.floor(F.col("x") / 2).alias("x")]
+            counted = level.groupBy("data_set", "image_id", "t", "c", *key).agg(F.avg("val").alias("val"), F.count("*").alias("n"))
+            level = counted.where("n = 4").select("data_set", *VOXEL, "val")
+        level.withColumn("level", F.lit(n)).repartition("data_set", "image_id", "t", "z").write.mode("append" if n else "error").partitionBy("data_set", "level").parquet(path)
+        level = level.sparkSession.read.schema(_PYRAMID).parquet(path).where(F.col("level") == n).drop("level")
+
+
+_PYRAMID = "image_id long, t int, c int, z long, y long, x long, val double, data_set string, level int"
+
+
+def read_pyramid(spark: SparkSession, path: str) -> DataFrame:
+    """Voxels of ``write_pyramids``; filters on data_set and level prune folders."""
+    return spark.read.schema(_PYRAMID).parquet(path)
+
+
 def split_channels(rgb: Column) -> list[Column]:
     """The three channels of a packed 24-bit colour."""
     return [F.shiftright(rgb, s).bitwiseAND(F.lit(255)) for s in (16, 8, 0)]

@@ -27,6 +27,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a table in the shared folder."""
     path = fresh_path(df.sparkSession, name)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voxmill.sources.tables import fresh_path
+from voxmill.sources.tables import exists, fresh_path
 
 
 def arriving(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,23 +27,46 @@ def score_arriving(stream: DataFrame, how: Callable[[DataFrame], DataFrame], at:
     return stream.sparkSession.read.parquet(f"{at}/rows").drop("batch")
 
 
+#: State lies in RocksDB and is saved by its changes, so a batch costs what it brings and not what went before.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
 def new_points(stream: DataFrame, key: list[str], at: str) -> DataFrame:
-    """The rows of each key that a stream brings and the table so far does not hold. The table itself is what is known: the
-    stream keeps no state, and a batch that is run again replaces itself."""
-    spark, kinds = stream.sparkSession, [stream.schema[k] for k in key]
-    schema = ", ".join(f"{k.name} {k.dataType.simpleString()}" for k in kinds)
+    """The rows of each key that a stream brings for the first time, each once; a null is a value like others.
+
+    Keys seen are the stream's state, split by key over the tasks: a batch reads its own rows and looks them up, earlier rows are
+    not read again. A batch that is run again meets the state it met before and replaces its own rows.
+    """
+    spark = stream.sparkSession
+    schema = ", ".join(f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in key)
 
     def write(batch: DataFrame, number: int) -> None:
-        own = batch.select(*key).distinct()
-        if number:
-            known = spark.read.schema(f"{schema}, batch long").parquet(f"{at}/rows").where(F.col("batch") < number).select(*key)
-            own = own.join(known, key, "left_anti")
-        own.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start().awaitTermination()
+    with session(spark, STATE):
+        job = stream.select(*key).dropDuplicates(key).writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    job.awaitTermination()
+    if not exists(spark, f"{at}/rows"):  # nothing has arrived yet
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{at}/rows").select(*key)
 
 
+@contextmanager
+def session(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings of the session while a job starts; it keeps them, the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def place(spark: SparkSession, name: str) -> str:
     """A new folder for a job's rows and progress, shared by driver and executors."""
     return fresh_path(spark, name)
