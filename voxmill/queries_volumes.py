@@ -86,10 +86,12 @@ query("s4_cube_region", f"WITH {VOLS} SELECT image_id, y, x, floor((val + 0.5) *
 query("s5_files_by_pattern", f"WITH {VOLS} SELECT DISTINCT {_NAMES} AS folder, true AS filled FROM vols WHERE z % 2 = 1")(
     lambda s, d: images.list_files(s, stored(s, d), r"part-.*\.txt", r"image--.*--Z00001").groupBy(F.regexp_extract("path", images.FOLDER, 1).alias("folder")).agg((F.sum("size") > 0).alias("filled"))
 )
-query("s1_png_scan", f"WITH {VOLS} SELECT image_id, z // 2 AS t, z % 2 AS z, y, x, floor((val + 0.5) * 60000) AS val FROM vols")(
+#: A file's samples are clipped to 16 bits.
+_SAMPLE = "greatest(0, least(65535, floor((val + 0.5) * 60000)))"
+query("s1_png_scan", f"WITH {VOLS} SELECT image_id, z // 2 AS t, z % 2 AS z, y, x, {_SAMPLE} AS val FROM vols")(
     lambda s, d: rasters.read_pngs(s, as_pngs(s, d)).select("image_id", "t", "z", "y", "x", "val")
 )
-query("s4_png_region", f"WITH {VOLS} SELECT image_id, y, x, floor((val + 0.5) * 60000) AS val FROM vols WHERE z = 3 AND y BETWEEN 5 AND 14 AND x BETWEEN 20 AND 49")(
+query("s4_png_region", f"WITH {VOLS} SELECT image_id, y, x, {_SAMPLE} AS val FROM vols WHERE z = 3 AND y BETWEEN 5 AND 14 AND x BETWEEN 20 AND 49")(
     lambda s, d: images.region(rasters.read_pngs(s, as_pngs(s, d)), {"z": 1, "y": 5, "x": 20}, {"z": 1, "y": 10, "x": 30}, 1, 0).select("image_id", "y", "x", "val")
 )
 query("s11_resumed_result", f"WITH {VRES} SELECT image_id, z, y, x, code FROM result")(lambda s, d: resumed(s, d).select(*PLACE, "code"))
