@@ -94,6 +94,20 @@ def test_slots_that_clash_change_nothing(spark, rows, monkeypatch):
     assert got == {p: n for (_, p), n in want.items() if len(p) > 1}
 
 
+@pytest.mark.parametrize("slots", [64, 1024])
+def test_counts_are_whole_where_slots_clash(spark, slots):
+    """A slot reached early by another phrase must not shorten the cycle of phrases that hold a word reached later."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(300):  # dealt in turn: some words occur in one shard alone, or become frequent late
+        vocab = ["c%d" % k for k in range(8)] + ["s%d-%d" % (i % 3, k) for k in range(25)]
+        rows.append((" ".join(rng.choices(vocab, [1 / (k + 1) for k in range(len(vocab))], k=60)), "en"))
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    found, _ = phrases.count_phrases(docs, least=5, longest=4, shards=3, slots=slots)
+    want, _ = counts_of(rows)
+    assert {(r.lang, tuple(r.phrase.split(" "))): r.n for r in found.collect()} == {k: n for k, n in want.items() if n >= 5}
+
+
 def test_words_of_equals_plain_splitting(rows):
     texts = [t for t, _ in rows]
     words, follows = phrases.words_of(pa.array(texts))

@@ -64,8 +64,8 @@ def _longer_hash(head: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32))
 
 
-def slot_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
 def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.ndarray, open_after: int, longest: int) -> Iterator[pa.RecordBatch]:
@@ -73,6 +73,8 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
 
     ``reached`` has, by slot, the step in which a phrase reached the threshold (0: not yet). A phrase is born in the later
     step of those of its first and its last ``k - 1`` words, a word in step 0; it is open if born after ``open_after``.
+    A slot may have been reached by another phrase before a phrase that shares it was born; for that one, its own birth counts,
+    as no scan has met its longer phrases before.
     """
     coded = words.dictionary_encode()
     ids, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
@@ -89,7 +91,7 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
     if longest < 2 or len(ids) < 2:
         return
     word_hash = _word_hashes(lang, known.to_pylist())
-    level = reached[slot_of(word_hash)]
+    level = reached[slot_of(word_hash, len(reached))]
     if not level.any():
         return
     hashes, level, size = word_hash[ids], level[ids], len(known)
@@ -108,7 +110,8 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
         if k == longest:
             return
         hash_at = _longer_hash(hash_at, hashes[at + k - 1])
-        level = reached[slot_of(hash_at)]
+        level = reached[slot_of(hash_at, len(reached))]
+        level = np.where(level > 0, np.maximum(level, born), 0)
         both = np.flatnonzero((at[1:] == at[:-1] + 1) & (level[1:] > 0) & (level[:-1] > 0))
         if not len(both):
             return
@@ -145,29 +148,29 @@ def _scan(shard: DataFrame, reached, open_after: int, longest: int) -> DataFrame
     return shard.select("lang", "text").mapInArrow(of, COUNTED)
 
 
-def _reached_slots(phrases: DataFrame) -> np.ndarray:
-    """The slots of ``phrases`` (lang, phrase), gathered as a bitmap: at most SLOTS / 64 rows come to the driver."""
+def _reached_slots(phrases: DataFrame, slots: int) -> np.ndarray:
+    """The slots of ``phrases`` (lang, phrase), gathered as a bitmap: at most ``slots`` / 64 rows come to the driver."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.zeros(SLOTS // 64, np.uint64)
+            bits = np.zeros(slots // 64, np.uint64)
             for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 head, *rest = _word_hashes(lang, phrase.encode().split(b" "))
                 found = np.array([head])
                 for last in rest:
                     found = _longer_hash(found, np.array([last]))
-                slot = int(slot_of(found)[0])
+                slot = int(slot_of(found, slots)[0])
                 bits[slot >> 6] |= np.uint64(1 << (slot & 63))
             used = np.flatnonzero(bits)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], ["word", "bits"])
 
     rows = phrases.select("lang", "phrase").mapInArrow(of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(SLOTS // 64, np.uint64)
+    bits = np.zeros(slots // 64, np.uint64)
     bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
 
 
-def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, n) of every phrase of up to ``longest`` words that occurs ``least`` times or more in a language,
     (lang, words): all its word occurrences). Counts are exact.
 
@@ -176,7 +179,7 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
     its two subphrases (all words but the last, all but the first) reaches ``least``; it is counted in the ``shards`` scans
     after its birth, one full cycle, and then complete. The scans end when a whole cycle has brought nothing over the threshold.
 
-    Which subphrases have been reached is told by a table of SLOTS bytes addressed by hash: two that share a slot may let a
+    Which subphrases have been reached is told by a table of ``slots`` bytes (a power of two, 64 at least) addressed by hash: two that share a slot may let a
     phrase be counted early or in vain, never miss it; what counts is decided by the phrases themselves. State is kept in
     written tables; phrases that complete under the threshold are dropped there. Repeated rows count each; very long texts
     are read whole; other columns are ignored; an empty table gives no rows.
@@ -184,7 +187,7 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
     spark = docs.sparkSession
     deal = F.pmod(F.monotonically_increasing_id(), F.lit(shards))
     dealt = written(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), deal.alias("shard")), "shards", "shard")
-    levels, last, step = np.zeros(SLOTS, np.uint8), 0, 0
+    levels, last, step = np.zeros(slots, np.uint8), 0, 0
     state, complete, totals = None, [], None
     while step < shards or step - last < shards:
         step += 1
@@ -204,10 +207,10 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
         if step == shards:
             totals = written(state.where("not open and k = 1").groupBy("lang").agg(F.sum("n").alias("words")), "words")
         complete.append(state.where(f"not open and n >= {least}").select("lang", "phrase", "k", "n"))
-        slots = _reached_slots(state.where(f"reached = {step} and k < {longest}"))
-        if len(slots):
+        fresh = _reached_slots(state.where(f"reached = {step} and k < {longest}"), slots)
+        if len(fresh):
             last = step
-            levels = np.where((levels == 0) & np.bincount(slots, minlength=SLOTS).astype(bool), np.uint8(step), levels)
+            levels = np.where((levels == 0) & np.bincount(fresh, minlength=slots).astype(bool), np.uint8(step), levels)
     found = written(functools.reduce(DataFrame.union, complete), "counted")
     discard(dealt)
     return found, totals
