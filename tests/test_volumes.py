@@ -218,6 +218,22 @@ def test_components_do_not_hang_on_tiles(spark, neighbours):
     assert seen[0] == seen[1] and len({r[-1] for r in seen[0]}) > 3
 
 
+def test_moments_do_not_hang_on_the_order_of_voxels(spark):
+    """Of 16 voxels a covariance has halves in the seventh place; a running sum lands on either side of them."""
+    from fractions import Fraction
+
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for k in range(400):
+        at = rng.integers(0, 2000, (16, 3))
+        at[0] += (0, 0, 1)
+        rows += [(k, 0, 0, *map(int, p), 1) for p in at]
+        mean = [Fraction(int(v), 16) for v in at.sum(axis=0)]
+        m = sum((int(p[0]) - mean[0]) * (int(p[2]) - mean[2]) for p in at) / 16 * 10**6
+        want[k] = (-1 if m < 0 else 1) * ((2 * abs(m) + 1) // 2) / 10**6
+    voxels = spark.createDataFrame(rows, "image_id long, t int, c int, z int, y int, x int, object_id long").repartition(7)
+    assert {r.image_id: r.cov_zx for r in objects.measures(voxels).collect()} == {k: float(v) for k, v in want.items()}
+
+
 def test_ellipsoid_of_a_bar_points_along_it(spark):
     a = np.zeros((1, 20, 20))
     a[0, 5, 2:18] = 1
