@@ -1,7 +1,10 @@
-"""Near copies by the Jaccard similarity of word shingles: min-hash bands give candidates, the shingles decide."""
+"""Near copies by the Jaccard similarity of word shingles: SimHash fingerprints, indexed under deletion variants of their
+segments and joined by equality, give candidates; bit counts thin them out and the shingles decide."""
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +18,22 @@ from ._common import drained, id_filter, maybe_in, row_key, text_key, text_slice
 from .graph import connected_components
 from .simhash import keep_first
 
-#: Rows link when 10 J >= TENTHS. A pair of J = 0.8 shares one of the bands with a probability of 0.9995.
+#: Rows link when 10 J >= TENTHS.
 SHINGLE, TENTHS = 5, 8
-BANDS, IN_BAND = 32, 7
+#: The share of bits in which fingerprints of two sets of J = 0.8 differ (equal sizes, the worst case), and with what probability
+#: such a pair may share no key.
+DIFFER, MISS = math.acos(2 * 0.8 / 1.8) / math.pi, 5e-4
+#: A segment has so many blocks; a variant keeps two of them and deletes the others.
+BLOCKS = 4
+_KEPT = list(itertools.combinations(range(BLOCKS), 2))
+#: Bits of the sketch that goes with each key, in how many of them candidates may differ (J = 0.8: ten), and the same for whole
+#: fingerprints, as a share.
+SKETCH, SKETCH_MOST, WHOLE_MOST = 64, 24, 0.25
+#: Members of a key that are joined with each other as rows; of more, tasks compare blocks of CELL_BLOCK.
+CELL, CELL_BLOCK = 64, 1024
 #: Shingles of a block: a task compares one block with itself or with another.
 BLOCK = 1 << 19
-_RNG = np.random.default_rng(8)
-_FLIP, _TIMES = _RNG.integers(0, 1 << 32, BANDS * IN_BAND, np.uint32), _RNG.integers(0, 1 << 31, BANDS * IN_BAND, np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = np.random.default_rng(8).integers(0, 1 << 64, 1024, np.uint64)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -37,23 +49,129 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array([h(joined[a:b]) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each band of minima."""
-    low = np.full(BANDS * IN_BAND, 0xFFFFFFFF, np.uint32)
-    short = (found >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(short), 512):
-        np.minimum(low, ((short[i : i + 512, None] ^ _FLIP) * _TIMES).min(axis=0), out=low)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, IN_BAND))], np.uint64).view(np.int64)
+def plan(rows: int) -> tuple[int, int]:
+    """(bits of a block, segments) for so many rows: keys of two blocks tell them apart, and a pair of J = 0.8 misses all
+    variants of all segments with a probability of MISS at most. Both grow with the logarithm and a small power of ``rows``."""
+    width = max(8, math.ceil((math.log2(max(rows, 2)) + 2) / 2))
+    good = (1 - DIFFER) ** width
+    hit = 1 - (1 - good) ** BLOCKS - BLOCKS * good * (1 - good) ** (BLOCKS - 1)
+    return width, math.ceil(math.log(MISS) / math.log1p(-hit))
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row: its node (a hash of its set of shingles), the size of the set and the keys of its bands."""
-    for batch in drained(batches):
-        for a, b, texts in text_slices(batch.column(3), 1 << 22):
-            sets = [shingles(t) for t in texts]
-            nodes = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64))
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate([bands(x) for x in sets])))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), nodes, pa.array([len(x) for x in sets], pa.int32()), keys], ["doc_id", "text_key", "id", "node", "n", "keys"])
+def fingerprint(found: np.ndarray, words: int) -> bytes:
+    """SimHash of 64 x ``words`` bits over a set of shingles: a bit is 1 if it is set in over half the hashes."""
+    counts = np.zeros(64 * words, np.int64)
+    for i in range(0, len(found), 255):  # counts of up to 255 rows fit in bytes
+        x = (found[i : i + 255, None] ^ _FLIP[:words]) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        counts += np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(found)).tobytes()
+
+
+def _set_hash(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+
+
+def _small_keys(found: np.ndarray) -> list[int]:
+    """Sets of 4 and 5 shingles are too small for a bound on bits: they meet under the smaller set itself."""
+    if len(found) == 5:
+        return [_set_hash(np.delete(found, i)) for i in range(5)]
+    return [_set_hash(found)] if len(found) == 4 else []
+
+
+def _prints(words: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each row: its node (a hash of its set of shingles), the size of the set, its fingerprint and keys of small sets."""
+        for batch in drained(batches):
+            for a, b, texts in text_slices(batch.column(3), 1 << 22):
+                sets = [shingles(t) for t in texts]
+                own = pa.array([_set_hash(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int32())
+                prints = pa.array([fingerprint(x, words) for x in sets], pa.binary()), pa.array([_small_keys(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), *own, *prints], ["doc_id", "text_key", "id", "node", "n", "fp", "small"])
+
+    return of
+
+
+def _matrix(prints: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
+
+
+def _keys(width: int, segments: int):
+    powers = (1 << np.arange(width)[::-1]).astype(np.float32)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, node, sketch) under each variant of each segment of each fingerprint (node, fp, small)."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                prints, nodes = _matrix(part.column(1)), part.column(0).to_numpy()
+                sketch = np.ascontiguousarray(prints[:, : SKETCH // 8]).view(np.int64).ravel()
+                bits = np.unpackbits(prints, axis=1)[:, SKETCH : SKETCH + segments * BLOCKS * width]
+                value = (bits.reshape(len(nodes), segments, BLOCKS, width).astype(np.float32) @ powers).astype(np.int64)
+                base = np.arange(segments) * len(_KEPT)
+                keys = [(base + k << 2 * width) | (value[:, :, i] << width) | value[:, :, j] for k, (i, j) in enumerate(_KEPT)]
+                keys, small = np.concatenate(keys, axis=1), part.column(2)
+                more = np.array([len(x) for x in small.to_pylist()])
+                at = np.concatenate([np.repeat(np.arange(len(nodes)), keys.shape[1]), np.repeat(np.arange(len(nodes)), more)])
+                keys = np.concatenate([keys.ravel(), small.flatten().to_numpy()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[at]), pa.array(sketch[at])], ["key", "node", "sketch"])
+
+    return of
+
+
+def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges that span the groups of nodes of a key whose sketches are near; of two blocks, those between the two."""
+    pdf = pdf.sort_values("node", ignore_index=True)
+    nodes, sketch = pdf["node"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
+    side = None if key[1] == key[2] else (pdf["block"] == key[2]).to_numpy()
+    left, edges = np.ones(len(nodes), bool), []
+    for i in range(len(nodes)):
+        stack = [i] if left[i] else []
+        left[i] = False
+        while stack and left.any():
+            j = stack.pop()
+            near = left & (np.bitwise_count(sketch ^ sketch[j]) <= SKETCH_MOST)
+            if side is not None:
+                near &= side != side[j]
+            for k in np.flatnonzero(near).tolist():
+                edges.append((j, k))
+                stack.append(k)
+            left &= ~near
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": nodes[ends[:, 0]], "v": nodes[ends[:, 1]]})
+
+
+def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3)))
+            yield batch.select([0, 1]).filter(pa.array(apart.sum(axis=1, dtype=np.int64) <= WHOLE_MOST * 8 * apart.shape[1]))
+
+
+def candidates(distinct: DataFrame, width: int, segments: int) -> DataFrame:
+    """Edges (u, v) between nodes (node, n, fp, small) that share a key and are near by their fingerprints.
+
+    Two of a key are told apart in place by the XOR of their sketches. Of a key with more, up to CELL members are joined with each
+    other, and more of them compared in blocks, which give spanning edges. What is left is held against whole fingerprints.
+    """
+    indexed = distinct.where("n > 0").select("node", "fp", "small").mapInArrow(_keys(width, segments), "key long, node long, sketch long")
+    cells = indexed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("sketch").alias("apart"))
+    cells = written(cells.where((F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("apart") <= SKETCH_MOST)), "cells")
+    busy = cells.where("m > 2").select(F.col("key").alias("id"), "m")
+    members = maybe_in(indexed.withColumnRenamed("key", "id"), id_filter(busy)).where("maybe").join(busy, "id")
+    members = written(members.select(F.col("id").alias("key"), "node", "sketch", "m"), "members")
+
+    few, other = (members.where(F.col("m") <= CELL).select("key", F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
+    few = few.join(other, "key").where("u < v").where(F.bit_count(F.col("su").bitwiseXOR(F.col("sv"))) <= SKETCH_MOST)
+    many = members.where(F.col("m") > CELL).withColumn("blocks", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    many = many.select("key", "node", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("key", "node", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    many = many.groupBy("key", "low", "high").applyInPandas(_alike, "u long, v long")
+    edges = written(cells.where("m = 2").select("u", "v").union(few.select("u", "v")).union(many).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    for x in "uv":
+        edges = edges.join(distinct.select(F.col("node").alias(x), F.col("fp").alias(f"fp{x}")), x)
+    return edges.select("u", "v", "fpu", "fpv").mapInArrow(_near_prints, "u long, v long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,18 +219,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, root (the group) of each row of ``docs`` (doc_id, text): the components of the pairs of rows
     whose sets of shingles have a Jaccard similarity of TENTHS / 10 or more.
 
-    Rows of one set are one node. Nodes that share a band are candidates; each component of candidates is compared in
-    full, by the sets, in blocks of about BLOCK shingles. So no link is wrong, and one is missed only where neither a band nor a
-    chain of bands ties the two.
+    Rows of one set are one node. Nodes of near fingerprints that share a key are candidates (``candidates``); each component of
+    candidates is compared in full, by the sets, in blocks of about BLOCK shingles. So no link is wrong, and one is missed only
+    where neither a key nor a chain of candidates ties the two (``plan`` bounds that).
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), row_key().alias("id"), text.alias("text"))
-    prints = written(rows.mapInArrow(_prints, "doc_id long, text_key long, id long, node long, n int, keys array<long>"), "prints")
-    distinct = written(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "distinct")
-    indexed = distinct.where("n > 0").select("node", F.explode("keys").alias("key"))
-    shared = written(indexed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1").select("key", "least"), "keys")
-    tied = indexed.join(shared, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    maybe = written(connected_components(tied), "maybe")
+    width, segments = plan(docs.count())
+    words = -(-(SKETCH + segments * BLOCKS * width) // 64)
+    prints = written(rows.mapInArrow(_prints(words), "doc_id long, text_key long, id long, node long, n int, fp binary, small array<long>"), "prints")
+    distinct = written(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("small").alias("small")), "distinct")
+    maybe = written(connected_components(candidates(distinct, width, segments)), "maybe")
 
     members = distinct.select("node", "id", "n").join(maybe, "node")
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
