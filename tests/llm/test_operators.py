@@ -117,14 +117,14 @@ def test_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == sorted(firsts.values())
 
 
-@pytest.mark.parametrize("cell", [64, 3])
+@pytest.mark.parametrize("cell", [8, 3])
 def test_near_copies_come_from_fingerprints(spark, monkeypatch, cell):
     """Pairs of J = 0.8 meet in the index of SimHash variants, also where many share a key; far ones are no candidates."""
     monkeypatch.setattr(nearcopies, "CELL", cell)
     monkeypatch.setattr(nearcopies, "CELL_BLOCK", 8)
     rng, rows, pairs = np.random.default_rng(5), [], []
     width, segments = nearcopies.plan(400)
-    words = -(-(64 + segments * 4 * width) // 64)
+    words = -(-(nearcopies.SKETCH + segments * 4 * width) // 64)
     for common, more in [(4, (0, 1)), (8, (1, 1)), (12, (0, 3)), (40, (5, 5)), (400, (50, 50)), (400, (0, 100))] * 20:
         base = rng.integers(0, 1 << 64, common, np.uint64)
         pairs.append((len(rows), len(rows) + 1))
@@ -134,7 +134,7 @@ def test_near_copies_come_from_fingerprints(spark, monkeypatch, cell):
     data = [(k, len(x), plain[k].to_bytes(8 * words, "big"), nearcopies._small_keys(x)) for k, x in enumerate(rows)]
     distinct = spark.createDataFrame(data, "node long, n int, fp binary, small array<long>").repartition(3)
     found = {(r.u, r.v) for r in nearcopies.candidates(distinct, width, segments).collect()}
-    assert all(bin(plain[u] ^ plain[v]).count("1") <= 16 * words for u, v in found)
+    assert all(bin((plain[u] ^ plain[v]) >> 64 * words - nearcopies.SKETCH).count("1") <= nearcopies.SKETCH_MOST for u, v in found)
     group = list(range(len(rows)))
     for u, v in found:
         group = [group[u] if g == group[v] else g for g in group]

@@ -26,11 +26,11 @@ DIFFER, MISS = math.acos(2 * 0.8 / 1.8) / math.pi, 5e-4
 #: A segment has so many blocks; a variant keeps two of them and deletes the others.
 BLOCKS = 4
 _KEPT = list(itertools.combinations(range(BLOCKS), 2))
-#: Bits of the sketch that goes with each key, in how many of them candidates may differ (J = 0.8: ten), and the same for whole
-#: fingerprints, as a share.
-SKETCH, SKETCH_MOST, WHOLE_MOST = 64, 24, 0.25
+#: Bits of a node's sketch (two longs), and in how many of them candidates may differ. Two sets of J = 0.8 differ
+#: in 19.4 on average (sd 4.1), unlike ones in 64 (sd 5.7). The first long goes with each key, with a bound of its own.
+SKETCH, SKETCH_MOST, FIRST_MOST = 128, 40, 24
 #: Members of a key that are joined with each other as rows; of more, tasks compare blocks of CELL_BLOCK.
-CELL, CELL_BLOCK = 64, 1024
+CELL, CELL_BLOCK = 8, 1024
 #: Shingles of a block: a task compares one block with itself or with another.
 BLOCK = 1 << 19
 _FLIP = np.random.default_rng(8).integers(0, 1 << 64, 1024, np.uint64)
@@ -100,12 +100,12 @@ def _keys(width: int, segments: int):
     powers = (1 << np.arange(width)[::-1]).astype(np.float32)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, sketch) under each variant of each segment of each fingerprint (node, fp, small)."""
+        """(key, node, s0: half the sketch) under each variant of each segment of each fingerprint (node, fp, small)."""
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
                 prints, nodes = _matrix(part.column(1)), part.column(0).to_numpy()
-                sketch = np.ascontiguousarray(prints[:, : SKETCH // 8]).view(np.int64).ravel()
+                sketch = np.ascontiguousarray(prints[:, :8]).view(np.int64).ravel()
                 bits = np.unpackbits(prints, axis=1)[:, SKETCH : SKETCH + segments * BLOCKS * width]
                 value = (bits.reshape(len(nodes), segments, BLOCKS, width).astype(np.float32) @ powers).astype(np.int64)
                 base = np.arange(segments) * len(_KEPT)
@@ -114,15 +114,21 @@ def _keys(width: int, segments: int):
                 more = np.array([len(x) for x in small.to_pylist()])
                 at = np.concatenate([np.repeat(np.arange(len(nodes)), keys.shape[1]), np.repeat(np.arange(len(nodes)), more)])
                 keys = np.concatenate([keys.ravel(), small.flatten().to_numpy()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[at]), pa.array(sketch[at])], ["key", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[at]), pa.array(sketch[at])], ["key", "node", "s0"])
 
     return of
 
 
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sketch = np.ascontiguousarray(_matrix(batch.column(1))[:, : SKETCH // 8]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(sketch[:, i].copy()) for i in range(2))], ["node", "s0", "s1"])
+
+
 def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Edges that span the groups of nodes of a key whose sketches are near; of two blocks, those between the two."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    nodes, sketch = pdf["node"].to_numpy(), pdf["sketch"].to_numpy().view(np.uint64)
+    nodes, sketch = pdf["node"].to_numpy(), pdf[["s0", "s1"]].to_numpy()
     side = None if key[1] == key[2] else (pdf["block"] == key[2]).to_numpy()
     left, edges = np.ones(len(nodes), bool), []
     for i in range(len(nodes)):
@@ -130,7 +136,7 @@ def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
         left[i] = False
         while stack and left.any():
             j = stack.pop()
-            near = left & (np.bitwise_count(sketch ^ sketch[j]) <= SKETCH_MOST)
+            near = left & (np.bitwise_count((sketch ^ sketch[j]).view(np.uint64)).sum(axis=1) <= SKETCH_MOST)
             if side is not None:
                 near &= side != side[j]
             for k in np.flatnonzero(near).tolist():
@@ -141,37 +147,34 @@ def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"u": nodes[ends[:, 0]], "v": nodes[ends[:, 1]]})
 
 
-def _near_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            apart = np.bitwise_count(_matrix(batch.column(2)) ^ _matrix(batch.column(3)))
-            yield batch.select([0, 1]).filter(pa.array(apart.sum(axis=1, dtype=np.int64) <= WHOLE_MOST * 8 * apart.shape[1]))
-
-
 def candidates(distinct: DataFrame, width: int, segments: int) -> DataFrame:
-    """Edges (u, v) between nodes (node, n, fp, small) that share a key and are near by their fingerprints.
+    """Edges (u, v) between nodes (node, n, fp, small) that share a key and whose sketches are near; they span the groups of each key.
 
-    Two of a key are told apart in place by the XOR of their sketches. Of a key with more, up to CELL members are joined with each
-    other, and more of them compared in blocks, which give spanning edges. What is left is held against whole fingerprints.
+    Two of a key are told apart in place by the XOR of half their sketches, and what is left by the whole ones. Of a key with more, up to CELL members are joined with each
+    other, and more of them compared in blocks, which give spanning edges, so a large group of near copies is not all its pairs.
     """
-    indexed = distinct.where("n > 0").select("node", "fp", "small").mapInArrow(_keys(width, segments), "key long, node long, sketch long")
-    cells = indexed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("sketch").alias("apart"))
-    cells = written(cells.where((F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("apart") <= SKETCH_MOST)), "cells")
+    indexed = distinct.where("n > 0").select("node", "fp", "small").mapInArrow(_keys(width, segments), "key long, node long, s0 long")
+    sketches = written(distinct.where("n > 0").select("node", "fp").mapInArrow(_sketches, "node long, s0 long, s1 long"), "sketches")
+    near = lambda x0, x1: F.bit_count(x0) + F.bit_count(x1) <= SKETCH_MOST
+    # Hardly a key has two rows in a task, so rows are not summed before they move.
+    cells = indexed.repartition("key").groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("s0").alias("x0"))
+    cells = written(cells.where((F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("x0") <= FIRST_MOST)).drop("x0"), "cells")
+    two = cells.where("m = 2").select("u", "v").distinct()
+    for x in "uv":
+        two = two.join(sketches.select(*(F.col(c).alias(x + c) for c in ("node", "s0", "s1"))), F.col(x) == F.col(f"{x}node"))
     busy = cells.where("m > 2").select(F.col("key").alias("id"), "m")
-    members = maybe_in(indexed.withColumnRenamed("key", "id"), id_filter(busy)).where("maybe").join(busy, "id")
-    members = written(members.select(F.col("id").alias("key"), "node", "sketch", "m"), "members")
+    members = maybe_in(indexed.withColumnRenamed("key", "id").drop("s0"), id_filter(busy)).where("maybe").join(busy, "id")
+    members = written(members.join(sketches, "node").select(F.col("id").alias("key"), "node", "s0", "s1", "m"), "members")
 
-    few, other = (members.where(F.col("m") <= CELL).select("key", F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "uv")
-    few = few.join(other, "key").where("u < v").where(F.bit_count(F.col("su").bitwiseXOR(F.col("sv"))) <= SKETCH_MOST)
+    few, other = (members.where(F.col("m") <= CELL).select("key", *(F.col(c).alias(x + c) for c in ("node", "s0", "s1"))) for x in "uv")
+    few = few.join(other, "key").where("unode < vnode").select("unode", "vnode", "us0", "us1", "vs0", "vs1").union(two.select("unode", "vnode", "us0", "us1", "vs0", "vs1"))
+    few = few.where(near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1"))))
     many = members.where(F.col("m") > CELL).withColumn("blocks", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    many = many.select("key", "node", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.select("key", "node", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    many = many.select("key", "node", "s0", "s1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("key", "node", "s0", "s1", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     many = many.groupBy("key", "low", "high").applyInPandas(_alike, "u long, v long")
-    edges = written(cells.where("m = 2").select("u", "v").union(few.select("u", "v")).union(many).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    for x in "uv":
-        edges = edges.join(distinct.select(F.col("node").alias(x), F.col("fp").alias(f"fp{x}")), x)
-    return edges.select("u", "v", "fpu", "fpv").mapInArrow(_near_prints, "u long, v long")
+    return few.select(F.col("unode").alias("u"), F.col("vnode").alias("v")).union(many)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
