@@ -72,6 +72,8 @@ def cut_points(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
 BLOCK = "kind string, hash binary, ids binary, doc_id long, text_key long, n_tokens long"
 #: Hashes that a task keeps to send a chunk once, and children of a Merkle node over documents.
 SEEN, FAN = 1_000_000, 256
+#: Bytes of text that are encoded at once: words that repeat in a slice are looked up once for it.
+SLICE = 6_000_000
 
 
 def _block(kind: str, hashes: list[bytes], ids: list[bytes], *own) -> pa.RecordBatch:
@@ -95,7 +97,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
         seen: set[bytes] = set()
         for batch in drained(batches):
             doc_ids, keys = (batch.column(i).to_pylist() for i in range(2))
-            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), 2_000_000):
+            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_pylist(), SLICE):
                 ids, sizes = with_ends(*encode_texts(batch.column(2).slice(a, b - a)), end_id)
                 if width == 2 and int(ids.max()) > 0xFFFF:
                     raise ValueError("an id needs more than 2 bytes: call with width=4")
