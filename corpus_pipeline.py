@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ from voxmill.llm.packing import digest, pack_documents
 from voxmill.llm.substrings import remove_repeats
 from voxmill.llm.tokens import vocabulary
 
+#: Bytes of an Arrow batch between Spark and Python, about. By Spark's default a batch is 10,000 rows, so long texts would
+#: take tens of MB in each task, once in the executor and once in its worker.
+BATCH_BYTES = 4_000_000
+
 #: A text of some length whose two likeliest languages differ by less has no language that could be told.
 LEAST_MARGIN = 0.002
 
@@ -31,7 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document has. Texts without any stay as they are;
     documents of which nothing is left go. n_chars follows the text."""
-    found = remove_repeats(docs)
+    found = remove_repeats(docs, whole=False)
     cut = F.col("n_removed") > 0
     columns = {c: F.col("row").getField(c) for c in docs.columns}
     columns["text"] = F.when(cut, F.col("kept")).otherwise(columns["text"])
@@ -51,12 +57,26 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digest(pack_documents(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def _in_small_batches(stage):
+    """The stage with the session's Arrow batches bounded by bytes; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @functools.wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+        if not 0 < now <= BATCH_BYTES:
+            spark.conf.set(key, str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
+
+
 STAGES = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("packing", packing),
+    ("language", _in_small_batches(language)),
+    ("near_dedup", _in_small_batches(near_dedup)),
+    ("substring_dedup", _in_small_batches(substring_dedup)),
+    ("decontamination", _in_small_batches(decontamination)),
+    ("packing", _in_small_batches(packing)),
 ]
 
 #: Compression, fingerprints and token ids have no SQL; the tests hold the stages against brute force.

@@ -161,6 +161,20 @@ def test_substrings(spark, odd):
     assert sorted((str(r.id), r.n_words, r.n_removed, r.kept) for r in found) == sorted(said)
 
 
+def test_whole_texts_stay_out_of_python_in_the_pipeline(spark, odd):
+    every = {(str(r.id), r.text_key, r.n_removed, r.n_removed and r.kept, str(r.row)) for r in substrings.remove_repeats(odd).collect()}
+    found = substrings.remove_repeats(odd, whole=False)
+    rows = found.collect()
+    assert {(str(r.id), r.text_key, r.n_removed, r.n_removed and r.kept, str(r.row)) for r in rows} == every and len(rows) == odd.count()
+    assert sum(r.n_words is None for r in rows) > 30
+    # a text goes to Python once, in its row
+    sent = found._jdf.queryExecution().optimizedPlan().toString()
+    call = next(line for line in sent.splitlines() if "MapInArrow" in line)
+    assert call.count("text#") == 0 and call.count("row#") == 2, call
+    numbers = odd.select("doc_id", F.length("text").alias("text"))
+    assert sorted(r.n_words for r in substrings.remove_repeats(numbers).collect()) == sorted(int(t is not None) for _, t in texts(odd))
+
+
 def test_every_window_holds_a_symbol_and_equal_windows_the_same():
     rng = random.Random(9)
     common = [b"%d" % rng.randint(0, 50) for _ in range(120)]
@@ -385,6 +399,29 @@ def test_pipeline_stages(spark):
     assert pieces.select("doc_id").distinct().count() == seen[-1]
 
 
+def test_pipeline_stages_get_small_batches(spark):
+    import pyarrow as pa
+
+    import corpus_pipeline as pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    probe = pipeline._in_small_batches(lambda spark, docs, _: docs.mapInArrow(sizes, "n long").agg(F.max("n"), F.sum("n")))
+    docs = spark.range(0, 9000, 1, 1).select("id", F.repeat(F.lit("ab "), 1000).alias("text"))
+    try:
+        most, total = probe(spark, docs, SF).first()
+        assert most < 1.5 * pipeline.BATCH_BYTES < total
+        spark.conf.set(key, "1m")
+        assert probe(spark, docs, SF).first()[0] < 1_600_000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_tokens_equal_the_plain_library(spark):
     from tokenizers import Tokenizer
 

@@ -79,11 +79,12 @@ def _candidates(window: int):
     return candidates
 
 
-def _kept(window: int):
+def _kept(window: int, inside: int | None):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """``inside``: the text's place in the row; None if it has a column of its own."""
         for batch in drained(batches):
-            keys, places, copied = batch.column(1).to_numpy(), _lists(batch.column(3)), _lists(batch.column(4))
-            for a, b, texts in text_slices(batch.column(2), AT_ONCE):
+            row, keys, places, copied = batch.column(4), batch.column(1).to_numpy(), _lists(batch.column(2)), _lists(batch.column(3))
+            for a, b, texts in text_slices(batch.column(5) if inside is None else row.field(inside), AT_ONCE):
                 totals, removed, out = [], [], []
                 for key, text, place, copies in zip(keys[a:b], texts, places[a:b], copied[a:b], strict=True):
                     words = (text or "").encode().split()
@@ -99,7 +100,7 @@ def _kept(window: int):
                     totals.append(len(words))
                     removed.append(len(words) - len(left))
                     out.append(b" ".join(left).decode())
-                same = [batch.column(i).slice(a, b - a) for i in (0, 1, 5)]
+                same = [batch.column(i).slice(a, b - a) for i in (0, 1, 4)]
                 yield pa.RecordBatch.from_arrays([*same[:2], pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), same[2]], ["id", "text_key", "n_words", "n_removed", "kept", "row"])
 
     return kept
@@ -137,7 +138,7 @@ def named_rounds(items: DataFrame, window: int) -> tuple[DataFrame, list[DataFra
     return pairs.select(*made).limit(0) if single is None else single, tables
 
 
-def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, whole: bool = True) -> DataFrame:
     """id (the doc_id), text_key, n_words, n_removed, kept (the kept words, one space between) and row (a struct of all
     input columns) for each row of ``docs``, which needs doc_id and text.
 
@@ -156,6 +157,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     Null text has no words. A null doc_id is neither smaller nor larger than any: such rows come back whole. Rows that
     repeat a doc_id count as the same document for "smaller" and are cleaned each for itself. A very long text is whole in
     one task. Input columns of any names come back inside ``row``. An empty table gives no rows.
+
+    Without ``whole``, rows that surely keep every word come back with n_removed 0, and null n_words and kept: their texts
+    do not go through Python.
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_key(text).alias("text_key"), text.alias("text"), F.struct(*docs.columns).alias("row"))
@@ -189,12 +193,19 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     cuts = written(places.join(copies, "id", "full").select("id", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied")), "cuts")
     discard(digests, copies, lists, windows)
 
-    split = maybe_in(rows, id_filter(cuts))
-    columns = ["id", "text_key", "text", "places", "copied", "row"]
-    whole = split.where("not maybe").select("id", "text_key", "text", empty.alias("places"), empty.alias("copied"), "row")
-    cut = split.where("maybe").join(cuts, "id", "left").select("id", "text_key", "text", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied"), "row")
+    # A text goes out once, in its row, if it is a string there.
+    string = docs.schema["text"].dataType.typeName() == "string"
+    split, own = maybe_in(rows, id_filter(cuts)), [] if string else ["text"]
+    same = split.where("not maybe")
+    cut = split.where("maybe").join(cuts, "id", "left").select("id", "text_key", F.coalesce("places", empty).alias("places"), F.coalesce("copied", empty).alias("copied"), "row", *own)
+    if whole:
+        cut = same.select("id", "text_key", empty.alias("places"), empty.alias("copied"), "row", *own).union(cut)
     kind = next(f.dataType for f in rows.schema if f.name == "row").simpleString()
-    return whole.select(columns).union(cut.select(columns)).mapInArrow(_kept(window), f"id long, text_key long, n_words long, n_removed long, kept string, row {kind}")
+    found = cut.mapInArrow(_kept(window, docs.columns.index("text") if string else None), f"id long, text_key long, n_words long, n_removed long, kept string, row {kind}")
+    if whole:
+        return found
+    none = F.lit(None)
+    return same.select("id", "text_key", none.cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), none.cast("string").alias("kept"), "row").union(found)
 
 
 def op8_substrings(spark, sf_dir: str) -> DataFrame:
