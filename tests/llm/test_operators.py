@@ -230,6 +230,16 @@ def test_encoder_equals_the_library():
             assert enc.encode(odd_texts) == [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd_texts]
 
 
+def test_encoder_meets_a_word_once_in_lower_case(monkeypatch):
+    encode, seen = Encoder(vocabulary("word_bpe_49k.json"), False), []
+    unit = encode._unit
+    monkeypatch.setattr(encode, "_unit", lambda text: seen.append(text) or unit(text))
+    rows = ["Word word. WORD,\nWord\n'word stra\u00dfe) Stra\u00dfe", "\u00c4hre \u00e4hre.\nword<|endoftext|> \u0130a \u0391\u03a3.\n\u0301e", None, ""]
+    found = encode.encode(rows)
+    assert sorted(seen) == sorted(["word", "stra\u00dfe", "\u00e4hre", ".", ",", ")"])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [encode.tokenizer.encode(x or "", add_special_tokens=False).ids for x in rows]
+
+
 def test_store_round_trip(spark, odd, tmp_path):
     path = str(tmp_path / "store")
     store.write_store(odd, path, vocabulary("word_bpe_49k.json"))

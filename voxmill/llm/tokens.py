@@ -22,6 +22,8 @@ _ODD = "^ | $|  | \n|\n |[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028
 _SAFE_CUT = re.compile(r"(?<=\S)(?= \S)")
 #: One word of Latin letters, then ASCII marks other than the apostrophe: two units for both vocabularies.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if _PLAIN.fullmatch(c))
+_MARKS = "".join(c for c in map(chr, range(128)) if _PLAIN.fullmatch("a" + c) and c not in _LETTERS)
 
 
 def _byte_characters() -> dict[int, str]:
@@ -31,6 +33,12 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _gathered(pool: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``sizes[i]`` entries of ``pool`` from ``begin[i]`` on, for each i, in a row."""
+    ends = np.cumsum(sizes)
+    return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+
 class Encoder:
     """Texts to ids. ``spaces``: the vocabulary encodes spaces (byte level).
 
@@ -102,6 +110,38 @@ class Encoder:
                 self.words[0][pieces[i]] = ids
         return found
 
+    def _apart(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each), for a vocabulary without spaces, which has lower case alone.
+        Arrow parts plain words from the marks after them, so that Python meets each word once, in lower case."""
+        words = pc.utf8_rtrim(pieces, _MARKS)
+        plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+$")
+        marks = pc.if_else(plain, pc.utf8_ltrim(pieces, _LETTERS), "").dictionary_encode()
+        words = pc.if_else(plain, pc.utf8_lower(words), pieces).dictionary_encode()
+        found, other, (new, old) = [], [], self.words
+        for word in (each := words.dictionary.to_pylist()):
+            ids = new.get(word)
+            if ids is None:
+                ids = old.get(word)
+                if ids is None and _PLAIN.fullmatch(word):
+                    ids = self._unit(word)
+                if ids is None:
+                    other.append(len(found))
+                else:
+                    if len(new) >= CACHE_WORDS:
+                        new, old = {}, new
+                        self.words[:] = [new, old]
+                    new[word] = ids
+            found.append(ids)
+        for i, ids in zip(other, self._whole([each[i] for i in other]), strict=True):
+            found[i] = ids
+            if len(self.words[0]) < CACHE_WORDS and len(each[i]) < 50:
+                self.words[0][each[i]] = ids
+        place = np.stack([words.indices.to_numpy(), len(found) + marks.indices.to_numpy()], axis=1).ravel()
+        found += [self._word(self.marks, x, "") if x else b"" for x in marks.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        return _gathered(np.frombuffer(b"".join(found), "<u4"), begin, sizes), sizes.reshape(-1, 2).sum(axis=1)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
@@ -116,14 +156,19 @@ class Encoder:
             odd = pc.match_substring_regex(texts, "^\n|" + _ODD if led else _ODD)
             odd_texts = [_SAFE_CUT.split(" " + x if led else x) for x in texts.filter(odd).to_pylist()]
             texts, odd = pc.if_else(odd, "", texts), odd.to_numpy(zero_copy_only=False)
+        else:  # a line end is white space like any other
+            texts = pc.replace_substring(texts, "\n", " ")
         lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
         first = np.cumsum(counts) - counts
         pieces = lists.flatten().dictionary_encode()
-        known, place = self._pieces(pieces.dictionary.to_pylist()), pieces.indices.to_numpy()
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        place = pieces.indices.to_numpy()
+        if self.spaces:
+            known = self._pieces(pieces.dictionary.to_pylist())
+            pool, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
+        else:
+            pool, sizes = self._apart(pieces.dictionary)
         begin, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
-        pool = np.frombuffer(b"".join(known), "<u4")
         if self.spaces:  # the first piece of a text has no space before it; odd texts are encoded whole
             heads = pieces.take(pa.array(first)).to_pylist()
             first = first[odd] if led else first
@@ -133,8 +178,7 @@ class Encoder:
             sizes[first] = np.fromiter(map(len, whole), np.int64, len(whole)) // 4
             begin[first] = len(pool) + np.cumsum(sizes[first]) - sizes[first]
             pool = np.concatenate([pool, np.frombuffer(b"".join(whole), "<u4")])
-        ends = np.cumsum(sizes)
-        return pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        return _gathered(pool, begin, sizes), np.add.reduceat(sizes, np.cumsum(counts) - counts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
