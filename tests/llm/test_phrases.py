@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -122,3 +123,12 @@ def test_no_rows(spark):
     empty = spark.createDataFrame([], "text string, lang string")
     assert phrases.collocations(empty).count() == 0
     assert phrases.collocations(spark.createDataFrame([(None, None), ("one", "en")], "text string, lang string")).count() == 0
+
+
+def test_phrases_are_numbered_only_where_open(monkeypatch):
+    words, follows = phrases.words_of(pa.array(["a b c a b c a b c d"]))
+    reached = np.ones(64, np.uint8)
+    of = lambda open_after: {(r["phrase"], r["born"]): r["n"] for b in phrases.count_block("en", words, follows, reached, open_after, 4) for r in b.to_pylist()}
+    assert of(0)["a b c", 1] == 3 and of(0)["b c a b", 1] == 2 and of(0)["a b c d", 1] == 1
+    monkeypatch.setattr(np, "unique", None)
+    assert of(1) == {}

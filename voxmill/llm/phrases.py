@@ -96,15 +96,19 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
         return
     hashes, level, size = word_hash[ids], level[ids], len(known)
     # Places where a phrase of k words starts whose two subphrases have reached the threshold, and there: the step of its
-    # birth, the hash and the block's number of its first k - 1 words.
+    # birth and the hash of its first k - 1 words.
     at = np.flatnonzero(follows[:-1] & (level[:-1] > 0) & (level[1:] > 0))
-    born, hash_at, number = np.maximum(level[at], level[at + 1]), hashes[at], ids[at]
+    born, hash_at = np.maximum(level[at], level[at + 1]), hashes[at]
     for k in range(2, longest + 1):
-        code = number * size + ids[at + k - 1]
         is_open = np.flatnonzero(born.astype(np.int64) > open_after)
-        if len(is_open):
-            order = is_open[np.argsort(code[is_open], kind="stable")]
-            new = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        if len(is_open):  # phrases are numbered in the block where they are open, nowhere else
+            code = ids[at[is_open]]
+            for j in range(1, k):
+                number = code if j == 1 else np.unique(code, return_inverse=True)[1]
+                code = number * size + ids[at[is_open] + j]
+            by = np.argsort(code, kind="stable")
+            order, code = is_open[by], code[by]
+            new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             one = order[new]
             yield batch([ids[at[one] + j] for j in range(k)], born[one], np.diff(np.append(new, len(order))))
         if k == longest:
@@ -115,7 +119,7 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
         both = np.flatnonzero((at[1:] == at[:-1] + 1) & (level[1:] > 0) & (level[:-1] > 0))
         if not len(both):
             return
-        born, number = np.maximum(level[both], level[both + 1]), np.unique(code[both], return_inverse=True)[1]
+        born = np.maximum(level[both], level[both + 1])
         at, hash_at = at[both], hash_at[both]
 
 
