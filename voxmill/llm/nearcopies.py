@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drained, id_filter, maybe_in, row_key, text_key, text_slices, written
+from ._common import discard, drained, id_filter, maybe_in, row_key, shuffles_removed, text_key, text_slices, written
 from .graph import connected_components
 from .simhash import keep_first
 
@@ -29,6 +29,9 @@ _KEPT = list(itertools.combinations(range(BLOCKS), 2))
 #: Bits of a node's sketch (two longs), and in how many of them candidates may differ. Two sets of J = 0.8 differ
 #: in 19.4 on average (sd 4.1), unlike ones in 64 (sd 5.7). The first long goes with each key, with a bound of its own.
 SKETCH, SKETCH_MOST, FIRST_MOST = 128, 40, 24
+#: Segments whose keys are shuffled at once, at most, beyond the first one: what lies on disk at a time grows with the rows, not with the
+#: number of segments.
+ROUND = 16
 #: Members of a key that are joined with each other as rows; of more, tasks compare blocks of CELL_BLOCK.
 CELL, CELL_BLOCK = 8, 1024
 #: Shingles of a block: a task compares one block with itself or with another.
@@ -96,25 +99,29 @@ def _matrix(prints: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(len(prints), -1)
 
 
-def _keys(width: int, segments: int):
+def _keys(width: int, first: int, last: int):
     powers = (1 << np.arange(width)[::-1]).astype(np.float32)
+    start, stop = (SKETCH + i * BLOCKS * width for i in (first, last))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, s0: half the sketch) under each variant of each segment of each fingerprint (node, fp, small)."""
+        """(key, node, s0: half the sketch) under each variant of the segments ``first`` to ``last`` of each fingerprint (node, fp,
+        small); the first segment brings the keys of small sets."""
         for batch in drained(batches):
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 prints, nodes = _matrix(part.column(1)), part.column(0).to_numpy()
                 sketch = np.ascontiguousarray(prints[:, :8]).view(np.int64).ravel()
-                bits = np.unpackbits(prints, axis=1)[:, SKETCH : SKETCH + segments * BLOCKS * width]
-                value = (bits.reshape(len(nodes), segments, BLOCKS, width).astype(np.float32) @ powers).astype(np.int64)
-                base = np.arange(segments) * len(_KEPT)
+                bits = np.unpackbits(prints[:, start // 8 : -(-stop // 8)], axis=1)[:, start % 8 :][:, : stop - start]
+                value = (bits.reshape(len(nodes), last - first, BLOCKS, width).astype(np.float32) @ powers).astype(np.int64)
+                base = np.arange(first, last) * len(_KEPT)
                 keys = [(base + k << 2 * width) | (value[:, :, i] << width) | value[:, :, j] for k, (i, j) in enumerate(_KEPT)]
-                keys, small = np.concatenate(keys, axis=1), part.column(2)
-                more = np.array([len(x) for x in small.to_pylist()])
-                at = np.concatenate([np.repeat(np.arange(len(nodes)), keys.shape[1]), np.repeat(np.arange(len(nodes)), more)])
-                keys = np.concatenate([keys.ravel(), small.flatten().to_numpy()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[at]), pa.array(sketch[at])], ["key", "node", "s0"])
+                keys = np.concatenate(keys, axis=1)
+                rows, keys = np.repeat(np.arange(len(nodes)), keys.shape[1]), keys.ravel()
+                if not first:
+                    more = np.array([len(x) for x in part.column(2).to_pylist()], np.int64)
+                    rows = np.concatenate([rows, np.repeat(np.arange(len(nodes)), more)])
+                    keys = np.concatenate([keys, part.column(2).flatten().to_numpy()])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows]), pa.array(sketch[rows])], ["key", "node", "s0"])
 
     return of
 
@@ -126,11 +133,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges that span the groups of nodes of a key whose sketches are near; of two blocks, those between the two."""
+    """Edges that span the groups of nodes of a key whose sketches are near; of two blocks, those between the two. Two roots that
+    are one already need no edge, and two others one alone."""
     pdf = pdf.sort_values("node", ignore_index=True)
-    nodes, sketch = pdf["node"].to_numpy(), pdf[["s0", "s1"]].to_numpy()
+    nodes, sketch, roots = pdf["node"].to_numpy(), pdf[["s0", "s1"]].to_numpy(), pdf["root"].to_numpy()
     side = None if key[1] == key[2] else (pdf["block"] == key[2]).to_numpy()
-    left, edges = np.ones(len(nodes), bool), []
+    left, edges = np.full(len(nodes), len(np.unique(roots)) > 1), {}
     for i in range(len(nodes)):
         stack = [i] if left[i] else []
         left[i] = False
@@ -140,41 +148,63 @@ def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
             if side is not None:
                 near &= side != side[j]
             for k in np.flatnonzero(near).tolist():
-                edges.append((j, k))
+                edges.setdefault((roots[j], roots[k]), (j, k))
                 stack.append(k)
             left &= ~near
-    ends = np.array(edges, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"u": nodes[ends[:, 0]], "v": nodes[ends[:, 1]]})
+    ends = np.array([e for (a, b), e in edges.items() if a != b], np.int64).reshape(-1, 2)
+    return pd.DataFrame({"u": nodes[ends[:, 0]], "uroot": roots[ends[:, 0]], "v": nodes[ends[:, 1]], "vroot": roots[ends[:, 1]]})
 
 
 def candidates(distinct: DataFrame, width: int, segments: int) -> DataFrame:
     """Edges (u, v) between nodes (node, n, fp, small) that share a key and whose sketches are near; they span the groups of each key.
 
+    The first segment ties most of a large group of near copies together. Later ones go in rounds of ROUND segments and give one
+    edge for two groups that the first left apart, and none inside a group: edges grow with the nodes, not with nodes x keys.
+    """
+    distinct = distinct.where("n > 0")
+    sketches = written(distinct.select("node", "fp").mapInArrow(_sketches, "node long, s0 long, s1 long"), "sketches")
+    start = _meet(distinct, sketches.withColumn("root", F.col("node")), width, 0, 1)
+    roots = written(connected_components(start.select("u", "v")), "roots")
+    rooted = written(sketches.join(roots, "node", "left").select("node", "s0", "s1", F.coalesce("root", "node").alias("root")), "sketches")
+    found = start.limit(0)
+    for part in np.array_split(np.arange(1, segments), -(-(segments - 1) // ROUND)):
+        found = found.union(_meet(distinct, rooted, width, int(part[0]), int(part[-1]) + 1))
+    pair = F.least("uroot", "vroot").alias("a"), F.greatest("uroot", "vroot").alias("b")
+    found = found.groupBy(*pair).agg(F.min(F.struct("u", "v")).alias("edge")).select("edge.u", "edge.v")
+    return start.select("u", "v").distinct().union(found)
+
+
+def _meet(distinct: DataFrame, sketches: DataFrame, width: int, first: int, last: int) -> DataFrame:
+    """Edges (u, uroot, v, vroot) by the keys of the segments ``first`` to ``last`` between near nodes of different roots (node, s0,
+    s1, root).
+
     Two of a key are told apart in place by the XOR of half their sketches, and what is left by the whole ones. Of a key with more, up to CELL members are joined with each
     other, and more of them compared in blocks, which give spanning edges, so a large group of near copies is not all its pairs.
     """
-    indexed = distinct.where("n > 0").select("node", "fp", "small").mapInArrow(_keys(width, segments), "key long, node long, s0 long")
-    sketches = written(distinct.where("n > 0").select("node", "fp").mapInArrow(_sketches, "node long, s0 long, s1 long"), "sketches")
+    indexed = distinct.select("node", "fp", "small").mapInArrow(_keys(width, first, last), "key long, node long, s0 long")
     near = lambda x0, x1: F.bit_count(x0) + F.bit_count(x1) <= SKETCH_MOST
     # Hardly a key has two rows in a task, so rows are not summed before they move.
     cells = indexed.repartition("key").groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("s0").alias("x0"))
     cells = written(cells.where((F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("x0") <= FIRST_MOST)).drop("x0"), "cells")
     two = cells.where("m = 2").select("u", "v").distinct()
     for x in "uv":
-        two = two.join(sketches.select(*(F.col(c).alias(x + c) for c in ("node", "s0", "s1"))), F.col(x) == F.col(f"{x}node"))
+        two = two.join(sketches.select(*(F.col(c).alias(x + c) for c in ("node", "s0", "s1", "root"))), F.col(x) == F.col(f"{x}node"))
     busy = cells.where("m > 2").select(F.col("key").alias("id"), "m")
     members = maybe_in(indexed.withColumnRenamed("key", "id").drop("s0"), id_filter(busy)).where("maybe").join(busy, "id")
-    members = written(members.join(sketches, "node").select(F.col("id").alias("key"), "node", "s0", "s1", "m"), "members")
+    members = written(members.join(sketches, "node").select(F.col("id").alias("key"), "node", "s0", "s1", "root", "m"), "members")
 
-    few, other = (members.where(F.col("m") <= CELL).select("key", *(F.col(c).alias(x + c) for c in ("node", "s0", "s1"))) for x in "uv")
-    few = few.join(other, "key").where("unode < vnode").select("unode", "vnode", "us0", "us1", "vs0", "vs1").union(two.select("unode", "vnode", "us0", "us1", "vs0", "vs1"))
-    few = few.where(near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1"))))
+    few, other = (members.where(F.col("m") <= CELL).select("key", *(F.col(c).alias(x + c) for c in ("node", "s0", "s1", "root"))) for x in "uv")
+    columns = [x + c for x in "uv" for c in ("node", "s0", "s1", "root")]
+    few = few.join(other, "key").where("unode < vnode").select(*columns).union(two.select(*columns))
+    few = few.where("uroot <> vroot").where(near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1"))))
     many = members.where(F.col("m") > CELL).withColumn("blocks", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    many = many.select("key", "node", "s0", "s1", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.select("key", "node", "s0", "s1", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    many = many.groupBy("key", "low", "high").applyInPandas(_alike, "u long, v long")
-    return few.select(F.col("unode").alias("u"), F.col("vnode").alias("v")).union(many)
+    many = many.select("key", "node", "s0", "s1", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    many = many.select("key", "node", "s0", "s1", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    many = many.groupBy("key", "low", "high").applyInPandas(_alike, "u long, uroot long, v long, vroot long")
+    found = written(few.select(F.col("unode").alias("u"), "uroot", F.col("vnode").alias("v"), "vroot").union(many), "candidates")
+    discard(cells, members)
+    return found
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +258,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), row_key().alias("id"), text.alias("text"))
-    width, segments = plan(docs.count())
+    with shuffles_removed(docs.sparkSession):
+        return _grouped(rows, *plan(docs.count()))
+
+
+def _grouped(rows: DataFrame, width: int, segments: int) -> DataFrame:
+    """``near_copies`` of rows (doc_id, text_key, id, text)."""
     words = -(-(SKETCH + segments * BLOCKS * width) // 64)
     prints = written(rows.mapInArrow(_prints(words), "doc_id long, text_key long, id long, node long, n int, fp binary, small array<long>"), "prints")
     distinct = written(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("small").alias("small")), "distinct")
+    nodes = written(prints.select("doc_id", "text_key", "node"), "nodes")
+    discard(prints)
     maybe = written(connected_components(candidates(distinct, width, segments)), "maybe")
 
     members = distinct.select("node", "id", "n").join(maybe, "node")
@@ -244,7 +281,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     sets = sets.select("root", "node", "block", "found", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     edges = written(sets.groupBy("root", "low", "high").applyInPandas(_span, "u long, v long"), "links")
     roots = written(connected_components(edges), "roots")
-    return prints.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    discard(distinct)
+    return nodes.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
