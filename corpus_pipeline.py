@@ -54,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of at most 1024 ids."""
-    return digest(pack_documents(docs, vocabulary("byte_bpe_50k.json")))
+    return digest(pack_documents(docs, vocabulary("byte_bpe_50k.json"), at_once=2_000_000))
 
 
 def _in_small_batches(stage):

@@ -72,12 +72,13 @@ def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, spaces: bool = True) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, spaces: bool = True, at_once: int = 6_000_000) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) in sequences of at most ``size`` ids.
 
     Each document's ids end with ``end_id``. Every full window of an overlong document is a sequence of its own; what
     remains (under ``size`` ids) is packed by best-fit decreasing among the remainders of the same input partition, so
     there is no shuffle and a task holds only its own partition's remainders. Sequence ids are unique over partitions.
+    Texts of about ``at_once`` bytes are encoded together: words that repeat are looked up once, at the price of memory.
 
     Null text counts as empty (one piece: the end id). Repeated rows and repeated or null doc_ids are documents of
     their own. An empty table gives no rows. Other columns are ignored.
@@ -89,7 +90,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
         used, rest, rows, held = 0, [], [], 0
         for batch in drained(batches):
             doc_ids = batch.column(0).to_pylist()
-            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), 2_000_000):
+            for a, b in sub_batches(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), at_once):
                 every, sizes = with_ends(*encode(batch.column(1).slice(a, b - a)), end_id)
                 every, at = every.tobytes(), 0
                 for doc_id, n in zip(doc_ids[a:b], sizes.tolist(), strict=True):

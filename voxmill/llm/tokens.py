@@ -6,6 +6,7 @@ are those of its pieces in a row. The library (its model, for plain words) encod
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from array import array
@@ -57,6 +58,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.shown = _byte_characters()
         self.line_end = self._unit("\n") if spaces else b""
+        if spaces:
+            vocab = self.tokenizer.get_vocab()
+            self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+            self.spaced[[i for token, i in vocab.items() if self.shown[32] in token]] = True
         #: Ids of words and odd pieces as they stand after a space, of words at the starts of lines, and of marks; each as
         #: a newer and an older half.
         self.words: list[dict[str, bytes]] = [{}, {}]
@@ -71,6 +76,12 @@ class Encoder:
             text = text.encode().decode("latin-1").translate(self.shown)
         return array("I", [x.id for x in self.model.tokenize(text)]).tobytes()
 
+    def _keep(self, word: str, ids: bytes) -> list[dict[str, bytes]]:
+        if len(self.words[0]) >= CACHE_WORDS:
+            self.words[:] = [{}, self.words[0]]
+        self.words[0][word] = ids
+        return self.words
+
     def _word(self, known: list[dict[str, bytes]], word: str, lead: str) -> bytes:
         new, old = known
         if (ids := new.get(word)) is None:
@@ -89,50 +100,50 @@ class Encoder:
         ids = self._word(known, word, lead)
         return ids + self._word(self.marks, mark, "") if mark else ids
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece, with the space before it."""
-        get, lead, found, other = self.words[0].get, self.lead, [], []
-        for piece in pieces:
-            ids = get(piece)
-            if ids is None:
-                if "\n" in piece:
-                    lines = piece.split("\n")
-                    ids = [self._plain(lines[0], self.words, lead), *(self._plain(x, self.bare, "") for x in lines[1:])]
-                    ids = None if None in ids else self.line_end.join(ids)
-                else:
-                    ids = self._plain(piece, self.words, lead)
-                if ids is None and (ids := self.words[1].get(piece)) is None:
-                    other.append(len(found))
-            found.append(ids)
-        for i, ids in zip(other, self._whole([lead + pieces[i] for i in other]), strict=True):
-            found[i] = ids
-            if len(self.words[0]) < CACHE_WORDS and len(pieces[i]) < 50:
-                self.words[0][pieces[i]] = ids
-        return found
+    def _lines(self, piece: str) -> bytes | None:
+        """Ids of plain words with line ends between them, or None for any other piece."""
+        first, *rest = piece.split("\n")
+        ids = [self._plain(first, self.words, self.lead), *(self._plain(x, self.bare, "") for x in rest)]
+        return None if None in ids else self.line_end.join(ids)
+
+    def _units(self, words: list[str]) -> list[bytes]:
+        """Ids of each plain word. A byte-level vocabulary cuts before each space, so the library takes all of them as one text, in
+        which only the first id of a word stands for a space."""
+        if not self.spaces or not words:
+            return [self._unit(x) for x in words]
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self.spaced[ids])
+        if len(starts) != len(words):
+            return [self._unit(" " + x) for x in words]
+        flat, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [flat[a:b] for a, b in itertools.pairwise(at)]
 
     def _apart(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in a row, number of ids of each), for a vocabulary without spaces, which has lower case alone.
-        Arrow parts plain words from the marks after them, so that Python meets each word once, in lower case."""
+        """(ids of all pieces in a row, number of ids of each). Arrow parts plain words from the marks after them, so that Python
+        meets each word once, in lower case for a vocabulary without spaces, which has that alone."""
         words = pc.utf8_rtrim(pieces, _MARKS)
         plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+$")
         marks = pc.if_else(plain, pc.utf8_ltrim(pieces, _LETTERS), "").dictionary_encode()
-        words = pc.if_else(plain, pc.utf8_lower(words), pieces).dictionary_encode()
-        found, other, (new, old) = [], [], self.words
+        words = pc.if_else(plain, words if self.spaces else pc.utf8_lower(words), pieces).dictionary_encode()
+        found, fresh, other, (new, old) = [], [], [], self.words
         for word in (each := words.dictionary.to_pylist()):
             ids = new.get(word)
             if ids is None:
                 ids = old.get(word)
-                if ids is None and _PLAIN.fullmatch(word):
-                    ids = self._unit(word)
-                if ids is None:
-                    other.append(len(found))
+                if ids is None and "\n" in word:
+                    ids = self._lines(word)
+                    new, old = self.words
+                    if ids is None:
+                        other.append(len(found))
+                elif ids is None:
+                    (fresh if _PLAIN.fullmatch(word) else other).append(len(found))
                 else:
-                    if len(new) >= CACHE_WORDS:
-                        new, old = {}, new
-                        self.words[:] = [new, old]
-                    new[word] = ids
+                    new, old = self._keep(word, ids)
             found.append(ids)
-        for i, ids in zip(other, self._whole([each[i] for i in other]), strict=True):
+        for i, ids in zip(fresh, self._units([each[i] for i in fresh]), strict=True):
+            found[i] = ids
+            self._keep(each[i], ids)
+        for i, ids in zip(other, self._whole([self.lead + each[i] for i in other]), strict=True):
             found[i] = ids
             if len(self.words[0]) < CACHE_WORDS and len(each[i]) < 50:
                 self.words[0][each[i]] = ids
@@ -163,11 +174,7 @@ class Encoder:
         first = np.cumsum(counts) - counts
         pieces = lists.flatten().dictionary_encode()
         place = pieces.indices.to_numpy()
-        if self.spaces:
-            known = self._pieces(pieces.dictionary.to_pylist())
-            pool, sizes = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), np.int64, len(known)) // 4
-        else:
-            pool, sizes = self._apart(pieces.dictionary)
+        pool, sizes = self._apart(pieces.dictionary)
         begin, sizes = (np.cumsum(sizes) - sizes)[place], sizes[place]
         if self.spaces:  # the first piece of a text has no space before it; odd texts are encoded whole
             heads = pieces.take(pa.array(first)).to_pylist()
