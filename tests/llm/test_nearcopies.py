@@ -1,3 +1,4 @@
+import itertools
 import os
 import time
 
@@ -26,6 +27,22 @@ def test_edges_of_a_large_group_grow_with_its_nodes(spark):
     assert len({tuple(sorted(e)) for e in edges}) < 20 * 200
 
 
+def test_a_tied_group_goes_out_once_for_each_block_of_others(spark, monkeypatch):
+    """Rows of a key grow with its nodes, not with their square; nodes of two roots meet in a block, or two."""
+    monkeypatch.setattr(nearcopies, "CELL_BLOCK", 50)
+    for size, others in ((1000, 5), (2000, 5), (200, 120)):
+        data = [(7, k, 0, 0, -1 if k < size else k % 40) for k in range(size + others)] + [(8, k, 0, 0, k % 2) for k in range(9)]
+        rows = nearcopies._blocks(spark.createDataFrame(data, "key long, node long, s0 long, s1 long, root long")).collect()
+        if others < 50:
+            assert len([r for r in rows if r.key == 7]) == size + others * (size // 50 + 1)
+        for key, nodes in ((7, range(size + others)), (8, range(9))):
+            root, met = {k: r for x, k, _, _, r in data if x == key}, set()
+            for pair in {(r.low, r.high) for r in rows if r.key == key}:
+                both = [[r.node for r in rows if r.key == key and (r.low, r.high) == pair and r.block == b] for b in pair]
+                met |= {frozenset(x) for x in itertools.product(*both)}
+            assert all(frozenset((u, v)) in met for u, v in itertools.combinations(nodes, 2) if root[u] != root[v])
+
+
 def _shuffle_files(spark) -> int:
     top = spark.sparkContext.getConf().get("spark.local.dir")
     return sum(f.startswith("shuffle_") for _, _, files in os.walk(top) for f in files)

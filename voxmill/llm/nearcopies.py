@@ -3,6 +3,7 @@ segments and joined by equality, give candidates; bit counts thin them out and t
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -29,8 +30,7 @@ _KEPT = list(itertools.combinations(range(BLOCKS), 2))
 #: Bits of a node's sketch (two longs), and in how many of them candidates may differ. Two sets of J = 0.8 differ
 #: in 19.4 on average (sd 4.1), unlike ones in 64 (sd 5.7). The first long goes with each key, with a bound of its own.
 SKETCH, SKETCH_MOST, FIRST_MOST = 128, 40, 24
-#: Segments whose keys are shuffled at once, at most, beyond the first one: what lies on disk at a time grows with the rows, not with the
-#: number of segments.
+#: Segments whose keys are shuffled at once, at most: what lies on disk at a time grows with the rows, not with the number of segments.
 ROUND = 16
 #: Members of a key that are joined with each other as rows; of more, tasks compare blocks of CELL_BLOCK.
 CELL, CELL_BLOCK = 8, 1024
@@ -104,12 +104,12 @@ def _keys(width: int, first: int, last: int):
     start, stop = (SKETCH + i * BLOCKS * width for i in (first, last))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, node, s0: half the sketch) under each variant of the segments ``first`` to ``last`` of each fingerprint (node, fp,
-        small); the first segment brings the keys of small sets."""
+        """(key, node, root, s0: half the sketch) under each variant of the segments ``first`` to ``last`` of each fingerprint (node,
+        fp, small, root); the first segment brings the keys of small sets."""
         for batch in drained(batches):
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                prints, nodes = _matrix(part.column(1)), part.column(0).to_numpy()
+                prints, nodes, roots = _matrix(part.column(1)), part.column(0).to_numpy(), part.column(3).to_numpy()
                 sketch = np.ascontiguousarray(prints[:, :8]).view(np.int64).ravel()
                 bits = np.unpackbits(prints[:, start // 8 : -(-stop // 8)], axis=1)[:, start % 8 :][:, : stop - start]
                 value = (bits.reshape(len(nodes), last - first, BLOCKS, width).astype(np.float32) @ powers).astype(np.int64)
@@ -121,7 +121,7 @@ def _keys(width: int, first: int, last: int):
                     more = np.array([len(x) for x in part.column(2).to_pylist()], np.int64)
                     rows = np.concatenate([rows, np.repeat(np.arange(len(nodes)), more)])
                     keys = np.concatenate([keys, part.column(2).flatten().to_numpy()])
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes[rows]), pa.array(sketch[rows])], ["key", "node", "s0"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[rows]) for x in (nodes, roots, sketch))], ["key", "node", "root", "s0"])
 
     return of
 
@@ -158,55 +158,84 @@ def _alike(key, pdf: pd.DataFrame) -> pd.DataFrame:
 def candidates(distinct: DataFrame, width: int, segments: int) -> DataFrame:
     """Edges (u, v) between nodes (node, n, fp, small) that share a key and whose sketches are near; they span the groups of each key.
 
-    The first segment ties most of a large group of near copies together. Later ones go in rounds of ROUND segments and give one
-    edge for two groups that the first left apart, and none inside a group: edges grow with the nodes, not with nodes x keys.
+    The first segment's keys tie each node to the smallest one of its key where the two are near, and so most of a large group of
+    near copies together. All segments then go in rounds of ROUND; keys whose nodes are tied already are left out there, others
+    give one edge for two groups left apart, and none inside a group: edges grow with the nodes, not with nodes x keys.
     """
     distinct = distinct.where("n > 0")
     sketches = written(distinct.select("node", "fp").mapInArrow(_sketches, "node long, s0 long, s1 long"), "sketches")
-    start = _meet(distinct, sketches.withColumn("root", F.col("node")), width, 0, 1)
-    roots = written(connected_components(start.select("u", "v")), "roots")
-    rooted = written(sketches.join(roots, "node", "left").select("node", "s0", "s1", F.coalesce("root", "node").alias("root")), "sketches")
-    found = start.limit(0)
-    for part in np.array_split(np.arange(1, segments), -(-(segments - 1) // ROUND)):
-        found = found.union(_meet(distinct, rooted, width, int(part[0]), int(part[-1]) + 1))
+    start = written(_tied(_indexed(distinct.withColumn("root", F.col("node")), width, 0, 1), sketches), "tied")
+    roots = written(connected_components(start), "roots")
+    root = F.coalesce("root", "node").alias("root")
+    rooted = written(sketches.join(roots, "node", "left").select("node", "s0", "s1", root), "sketches")
+    known = written(distinct.join(roots, "node", "left").select("node", "fp", "small", root), "rooted")
+    found = [_meet(known, rooted, width, int(part[0]), int(part[-1]) + 1) for part in np.array_split(np.arange(segments), -(-segments // ROUND))]
+    found = functools.reduce(DataFrame.union, found)
+    discard(sketches, known)
     pair = F.least("uroot", "vroot").alias("a"), F.greatest("uroot", "vroot").alias("b")
     found = found.groupBy(*pair).agg(F.min(F.struct("u", "v")).alias("edge")).select("edge.u", "edge.v")
-    return start.select("u", "v").distinct().union(found)
+    return start.union(found)
+
+
+def _indexed(distinct: DataFrame, width: int, first: int, last: int) -> DataFrame:
+    return distinct.select("node", "fp", "small", "root").mapInArrow(_keys(width, first, last), "key long, node long, root long, s0 long")
+
+
+def _near(x0, x1):
+    return F.bit_count(x0) + F.bit_count(x1) <= SKETCH_MOST
+
+
+def _tied(indexed: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Edges (u, v) from the nodes of each key to its smallest, where their sketches are near: one row a node and key at most."""
+    least = indexed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u")).where("m > 1").drop("m")
+    edges = indexed.select("key", F.col("node").alias("v")).join(least, "key").where("u <> v").select("u", "v").distinct()
+    for x in "uv":
+        edges = edges.join(sketches.select(*(F.col(c).alias(x + c) for c in ("node", "s0", "s1"))), F.col(x) == F.col(f"{x}node"))
+    return edges.where(_near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1")))).select("u", "v")
 
 
 def _meet(distinct: DataFrame, sketches: DataFrame, width: int, first: int, last: int) -> DataFrame:
     """Edges (u, uroot, v, vroot) by the keys of the segments ``first`` to ``last`` between near nodes of different roots (node, s0,
     s1, root).
 
-    Two of a key are told apart in place by the XOR of half their sketches, and what is left by the whole ones. Of a key with more, up to CELL members are joined with each
-    other, and more of them compared in blocks, which give spanning edges, so a large group of near copies is not all its pairs.
+    A key whose nodes have one root gives none, and two nodes of a key are told apart in place by the XOR of half their sketches.
+    Of what is left, up to CELL members are joined with each other, and more of them compared in blocks (``_blocks``), which give spanning edges.
     """
-    indexed = distinct.select("node", "fp", "small").mapInArrow(_keys(width, first, last), "key long, node long, s0 long")
-    near = lambda x0, x1: F.bit_count(x0) + F.bit_count(x1) <= SKETCH_MOST
+    indexed = _indexed(distinct, width, first, last)
     # Hardly a key has two rows in a task, so rows are not summed before they move.
-    cells = indexed.repartition("key").groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("u"), F.max("node").alias("v"), F.bit_xor("s0").alias("x0"))
-    cells = written(cells.where((F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("x0") <= FIRST_MOST)).drop("x0"), "cells")
-    two = cells.where("m = 2").select("u", "v").distinct()
-    for x in "uv":
-        two = two.join(sketches.select(*(F.col(c).alias(x + c) for c in ("node", "s0", "s1", "root"))), F.col(x) == F.col(f"{x}node"))
-    busy = cells.where("m > 2").select(F.col("key").alias("id"), "m")
-    members = maybe_in(indexed.withColumnRenamed("key", "id").drop("s0"), id_filter(busy)).where("maybe").join(busy, "id")
+    cells = indexed.select("key", "root", "s0").repartition("key").groupBy("key")
+    cells = cells.agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.bit_xor("s0").alias("x0"))
+    busy = cells.where("low <> high").where((F.col("m") > 2) | (F.bit_count("x0") <= FIRST_MOST))
+    busy = written(busy.select(F.col("key").alias("id"), "m"), "cells")
+    members = maybe_in(indexed.select(F.col("key").alias("id"), "node"), id_filter(busy)).where("maybe").join(busy, "id")
     members = written(members.join(sketches, "node").select(F.col("id").alias("key"), "node", "s0", "s1", "root", "m"), "members")
 
     few, other = (members.where(F.col("m") <= CELL).select("key", *(F.col(c).alias(x + c) for c in ("node", "s0", "s1", "root"))) for x in "uv")
-    columns = [x + c for x in "uv" for c in ("node", "s0", "s1", "root")]
-    few = few.join(other, "key").where("unode < vnode").select(*columns).union(two.select(*columns))
-    few = few.where("uroot <> vroot").where(near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1"))))
-    many = members.where(F.col("m") > CELL).withColumn("blocks", F.ceil(F.col("m") / CELL_BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    many = many.select("key", "node", "s0", "s1", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    many = many.select("key", "node", "s0", "s1", "root", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    many = many.groupBy("key", "low", "high").applyInPandas(_alike, "u long, uroot long, v long, vroot long")
+    few = few.join(other, "key").where("unode < vnode and uroot <> vroot")
+    few = few.where(_near(F.col("us0").bitwiseXOR(F.col("vs0")), F.col("us1").bitwiseXOR(F.col("vs1"))))
+    many = _blocks(members.where(F.col("m") > CELL)).groupBy("key", "low", "high").applyInPandas(_alike, "u long, uroot long, v long, vroot long")
     found = written(few.select(F.col("unode").alias("u"), "uroot", F.col("vnode").alias("v"), "vroot").union(many), "candidates")
-    discard(cells, members)
+    discard(busy, members)
     return found
 
 
+def _blocks(members: DataFrame) -> DataFrame:
+    """``members`` (key, node, s0, s1, root) in blocks of CELL_BLOCK, under each two blocks (low, high) that are to be compared.
+
+    A key's most frequent root makes blocks of its own, whose nodes meet those of the other roots, not each other. So a large
+    group that is tied already goes out once for each block of others, commonly one.
+    """
+    main = members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"))
+    main = main.select("key", F.col("main.root").alias("main"), *(F.ceil(x / CELL_BLOCK).cast("int").alias(c) for x, c in ((F.col("main.c"), "mains"), (F.col("m") - F.col("main.c"), "others"))))
+    dealt = members.select("key", "node", "s0", "s1", "root").join(main, "key")
+    columns, place = ("key", "node", "s0", "s1", "root"), F.xxhash64("node")
+    largest = dealt.where("root = main").select(*columns, F.pmod(place, F.col("mains")).cast("int").alias("block"), F.col("mains").alias("start"), "mains", "others")
+    rest = dealt.where("root <> main").select(*columns, (F.col("mains") + F.pmod(place, F.col("others"))).cast("int").alias("block"), F.lit(0).alias("start"), "mains", "others")
+    to = F.sequence("start", F.col("mains") + F.col("others") - 1)
+    sent = largest.where("others = 1").withColumn("other", F.col("mains")).unionByName(largest.where("others > 1").unionByName(rest).withColumn("other", F.explode(to)))
+    return sent.select(*columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in drained(batches):
         for a, b, texts in text_slices(batch.column(4), 1 << 22):
