@@ -132,3 +132,30 @@ def test_phrases_are_numbered_only_where_open(monkeypatch):
     assert of(0)["a b c", 1] == 3 and of(0)["b c a b", 1] == 2 and of(0)["a b c d", 1] == 1
     monkeypatch.setattr(np, "unique", None)
     assert of(1) == {}
+
+
+def test_scans_send_hashes_and_no_count_falls_short(rows):
+    """The cycle's rows are numbers alone; the hash of a phrase stands for all its occurrences, whatever its language's neighbours."""
+    want, _ = counts_of(rows)
+    reached, kept, hashes, follows = np.ones(64, np.uint8), np.zeros(64, bool), [], []
+    kept[::3] = True
+    for lang in ("en", "de"):
+        words, after = phrases.words_of(pa.array([t for t, own in rows if own == lang]))
+        hashes, follows = [*hashes, phrases._word_hashes(lang, words.to_pylist())], [*follows, after]
+    got = Counter()
+    for batch in phrases.count_hashes(np.concatenate(hashes), np.concatenate(follows), reached, -1, 4):
+        assert batch.schema.names == ["hash", "k", "born", "n"] and all(pa.types.is_integer(t) for t in batch.schema.types)
+        for r in batch.to_pylist():
+            got[r["k"], r["hash"] & (1 << 64) - 1] += r["n"]
+    expected = Counter()
+    for (lang, p), n in want.items():
+        if lang in ("en", "de"):
+            value = phrases._word_hashes(lang, [p[0].encode()])
+            for w in p[1:]:
+                value = phrases._longer_hash(value, phrases._word_hashes(lang, [w.encode()]))
+            expected[len(p), int(value[0])] += n
+            want[lang, p] = n, bool(kept[phrases.slot_of(value, 64)[0]])
+    assert got == expected
+    words, follows = phrases.words_of(pa.array([t for t, own in rows if own == "de"]))
+    exact = {tuple(r["phrase"].split(" ")): r["n"] for b in phrases.count_block("de", words, follows, reached, -1, 4, kept) for r in b.to_pylist()}
+    assert exact == {p: n[0] for (lang, p), n in want.items() if lang == "de" and n[1]}

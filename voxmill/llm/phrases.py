@@ -3,7 +3,6 @@ lengths are counted side by side, each from the step after both its subphrases h
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,14 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, discard_path, drained, sub_batches, table, written
+from ._common import discard, drained, sub_batches, table, written
 
 #: Parts into which the documents are dealt; a full cycle is as many scans.
-SHARDS = 3
+SHARDS = 2
 #: Slots of the table of reached subphrases that each scan gets: one byte each, whatever their number.
 SLOTS = 1 << 24
-#: Bytes of text whose phrases a task combines before it sends them on.
-BLOCK_BYTES = 32_000_000
+#: Bytes of text (or coded words) whose phrases a task combines before it sends them on, and rows that it sends at once.
+BLOCK_BYTES, BLOCK_WORDS, SENT_ROWS = 32_000_000, 5_000_000, 500_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -28,7 +27,12 @@ _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
+#: Rows of the scans of the cycle: a phrase's 64-bit hash (with its language) and its count there.
+HASHED = "hash long, k int, born int, n long"
+#: Rows of the last scan, which counts by the phrases themselves.
 COUNTED = "lang string, phrase string, k int, born int, n long"
+#: Texts of a shard as codes: the hashes of their distinct words, each word's place among those, and bits of ``follows``.
+CODED = "shard int, words binary, ids binary, follows binary"
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -68,14 +72,54 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
-def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.ndarray, open_after: int, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the phrases of a block that are open, as COUNTED.
+def _places(hashes: np.ndarray, follows: np.ndarray, reached: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places where a phrase of k words starts whose two subphrases have reached the threshold, the steps of their births,
+    their hashes) for k = 2 to ``longest``.
 
     ``reached`` has, by slot, the step in which a phrase reached the threshold (0: not yet). A phrase is born in the later
-    step of those of its first and its last ``k - 1`` words, a word in step 0; it is open if born after ``open_after``.
+    step of those of its first and its last ``k - 1`` words, a word in step 0.
     A slot may have been reached by another phrase before a phrase that shares it was born; for that one, its own birth counts,
     as no scan has met its longer phrases before.
     """
+    level = reached[slot_of(hashes, len(reached))]
+    at = np.flatnonzero(follows[:-1] & (level[:-1] > 0) & (level[1:] > 0))
+    born, head = np.maximum(level[at], level[at + 1]), hashes[at]
+    for k in range(2, longest + 1):
+        if not len(at):
+            return
+        whole = _longer_hash(head, hashes[at + k - 1])
+        yield k, at, born, whole
+        if k == longest:
+            return
+        level = reached[slot_of(whole, len(reached))]
+        level = np.where(level > 0, np.maximum(level, born), 0)
+        both = np.flatnonzero((at[1:] == at[:-1] + 1) & (level[1:] > 0) & (level[:-1] > 0))
+        born = np.maximum(level[both], level[both + 1])
+        at, head = at[both], whole[both]
+
+
+def count_hashes(hashes: np.ndarray, follows: np.ndarray, reached: np.ndarray, open_after: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a block of word hashes that are open (born after ``open_after``), as HASHED; see ``_places``."""
+
+    def counted(k: int, born: int, found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = np.sort(found)
+        new = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        found, n = found[new].view(np.int64), np.diff(np.append(new, len(found)))
+        for i in range(0, len(n), SENT_ROWS):
+            size = len(n[i : i + SENT_ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(found[i : i + size]), pa.array(np.full(size, k, np.int32)), pa.array(np.full(size, born, np.int32)), pa.array(n[i : i + size])], ["hash", "k", "born", "n"])
+
+    if open_after < 0 and len(hashes):
+        yield from counted(1, 0, hashes)
+    for k, _, born, whole in _places(hashes, follows, reached, longest):
+        for step in range(max(open_after, 0) + 1, int(born.max()) + 1):
+            if (now := born == step).any():
+                yield from counted(k, step, whole[now])
+
+
+def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.ndarray, open_after: int, longest: int, kept: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Counts of the phrases of a block that are open (born after ``open_after``), as COUNTED; see ``_places``. With ``kept``
+    (booleans by slot), of those alone whose own slot is true there."""
     coded = words.dictionary_encode()
     ids, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
@@ -85,22 +129,14 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
         size = len(phrase)
         return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), phrase, pa.array(np.full(size, len(parts), np.int32)), pa.array(born.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "born", "n"])
 
+    word_hash, size = _word_hashes(lang, known.to_pylist()), len(known)
     if open_after < 0:
-        n = np.bincount(ids, minlength=len(known))
-        yield batch([np.arange(len(known))], np.zeros(len(known)), n)
-    if longest < 2 or len(ids) < 2:
-        return
-    word_hash = _word_hashes(lang, known.to_pylist())
-    level = reached[slot_of(word_hash, len(reached))]
-    if not level.any():
-        return
-    hashes, level, size = word_hash[ids], level[ids], len(known)
-    # Places where a phrase of k words starts whose two subphrases have reached the threshold, and there: the step of its
-    # birth and the hash of its first k - 1 words.
-    at = np.flatnonzero(follows[:-1] & (level[:-1] > 0) & (level[1:] > 0))
-    born, hash_at = np.maximum(level[at], level[at + 1]), hashes[at]
-    for k in range(2, longest + 1):
-        is_open = np.flatnonzero(born.astype(np.int64) > open_after)
+        n, own = np.bincount(ids, minlength=size), np.arange(size)
+        own = own if kept is None else own[kept[slot_of(word_hash, len(kept))]]
+        yield batch([own], np.zeros(len(own)), n[own])
+    for k, at, born, whole in _places(word_hash[ids], follows, reached, longest):
+        is_open = born.astype(np.int64) > open_after
+        is_open = np.flatnonzero(is_open if kept is None else is_open & kept[slot_of(whole, len(kept))])
         if len(is_open):  # phrases are numbered in the block where they are open, nowhere else
             code = ids[at[is_open]]
             for j in range(1, k):
@@ -111,67 +147,85 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
             new = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
             one = order[new]
             yield batch([ids[at[one] + j] for j in range(k)], born[one], np.diff(np.append(new, len(order))))
-        if k == longest:
-            return
-        hash_at = _longer_hash(hash_at, hashes[at + k - 1])
-        level = reached[slot_of(hash_at, len(reached))]
-        level = np.where(level > 0, np.maximum(level, born), 0)
-        both = np.flatnonzero((at[1:] == at[:-1] + 1) & (level[1:] > 0) & (level[:-1] > 0))
-        if not len(both):
-            return
-        born = np.maximum(level[both], level[both + 1])
-        at, hash_at = at[both], hash_at[both]
+
+
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple, tuple[pa.Array, np.ndarray]]]:
+    """Of blocks of about BLOCK_BYTES of rows (shard, lang, text): ``words_of`` the texts of each (shard, lang)."""
+    held: dict[tuple, list] = {}
+    size = 0
+    joined = lambda: {k: (pa.concat_arrays([w for w, _ in parts]), np.concatenate([f for _, f in parts])) for k, parts in held.items()}
+    for batch in drained(batches):
+        for key in {*zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}:
+            texts = batch.column(2).filter(pc.and_(pc.equal(batch.column(0), key[0]), pc.equal(batch.column(1), key[1])))
+            for a, b in sub_batches(pc.binary_length(texts).to_pylist(), 1_000_000):
+                part = texts.slice(a, b - a)
+                held.setdefault(key, []).append(words_of(part))
+                size += part.nbytes
+                if size > BLOCK_BYTES:
+                    yield joined()
+                    held.clear()
+                    size = 0
+    yield joined()
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, lang, text) as CODED."""
+    for block in _by_language(batches):
+        for (shard, lang), (words, follows) in block.items():
+            coded = words.dictionary_encode()
+            parts = _word_hashes(lang, coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int32), np.packbits(follows)
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], ["shard", "words", "ids", "follows"])
 
 
 def _scan(shard: DataFrame, reached, open_after: int, longest: int) -> DataFrame:
-    """COUNTED rows of a shard (lang, text), combined by blocks of its tasks."""
+    """HASHED rows of a shard (CODED), combined by blocks of its tasks."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = reached.value
-        held: dict[str, list] = {}
-        size = 0
+        held, size = [], 0
 
         def flush():
-            for lang, parts in held.items():
-                yield from count_block(lang, pa.concat_arrays([w for w, _ in parts]), np.concatenate([f for _, f in parts]), levels, open_after, longest)
-            held.clear()
+            if held:
+                yield from count_hashes(np.concatenate([h for h, _ in held]), np.concatenate([f for _, f in held]), reached.value, open_after, longest)
+                held.clear()
 
         for batch in drained(batches):
-            langs = batch.column(0)
-            for lang in pc.unique(langs).to_pylist():
-                texts = batch.column(1).filter(pc.equal(langs, lang))
-                for a, b in sub_batches(pc.binary_length(texts).to_pylist(), 1_000_000):
-                    part = texts.slice(a, b - a)
-                    held.setdefault(lang, []).append(words_of(part))
-                    size += part.nbytes
-                    if size > BLOCK_BYTES:
-                        yield from flush()
-                        size = 0
+            for row in range(batch.num_rows):
+                words, ids, follows = (np.frombuffer(batch.column(i)[row].as_py(), kind) for i, kind in enumerate((np.uint64, np.int32, np.uint8)))
+                held.append((words[ids], np.unpackbits(follows, count=len(ids)).astype(bool)))
+                size += len(ids)
+                if size > BLOCK_WORDS:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
-    return shard.select("lang", "text").mapInArrow(of, COUNTED)
+    return shard.select("words", "ids", "follows").mapInArrow(of, HASHED)
 
 
-def _reached_slots(phrases: DataFrame, slots: int) -> np.ndarray:
-    """The slots of ``phrases`` (lang, phrase), gathered as a bitmap: at most ``slots`` / 64 rows come to the driver."""
+def _exact(docs: DataFrame, reached, kept, longest: int) -> DataFrame:
+    """COUNTED rows of the phrases of documents (shard, lang, text) whose slot is in ``kept``, and as phrases of no words each
+    language's number of words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.zeros(slots // 64, np.uint64)
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head, *rest = _word_hashes(lang, phrase.encode().split(b" "))
-                found = np.array([head])
-                for last in rest:
-                    found = _longer_hash(found, np.array([last]))
-                slot = int(slot_of(found, slots)[0])
-                bits[slot >> 6] |= np.uint64(1 << (slot & 63))
-            used = np.flatnonzero(bits)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bits[used].view(np.int64))], ["word", "bits"])
-
-    rows = phrases.select("lang", "phrase").mapInArrow(of, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(slots // 64, np.uint64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
-    return np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+        for block in _by_language(batches):
+            for (_, lang), (words, follows) in block.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([len(words)])], ["lang", "phrase", "k", "born", "n"])
+                yield from count_block(lang, words, follows, reached.value, -1, longest, kept.value)
+
+    return docs.select(F.lit(0).alias("shard"), "lang", "text").mapInArrow(of, COUNTED)
+
+
+def _reached_slots(phrases: DataFrame, slots: int, longest: int) -> list[np.ndarray]:
+    """The slots of ``phrases`` (hash, k), first of those of fewer than ``longest`` words, then of the others, gathered as
+    bitmaps: at most ``slots`` / 64 rows of each come to the driver."""
+    slot = F.col("hash").bitwiseAND(F.lit(slots - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    rows = phrases.groupBy((F.col("k") >= longest).alias("full"), F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = []
+    for full in (False, True):
+        bits, own = np.zeros(slots // 64, np.uint64), rows.filter(pc.equal(rows["full"], full))
+        bits[own["word"].to_numpy()] = own["bits"].to_numpy().view(np.uint64)
+        found.append(np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")))
+    return found
 
 
 def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -183,41 +237,45 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
     its two subphrases (all words but the last, all but the first) reaches ``least``; it is counted in the ``shards`` scans
     after its birth, one full cycle, and then complete. The scans end when a whole cycle has brought nothing over the threshold.
 
+    The cycle counts by 64-bit hashes over coded shards, so phrases that share a hash are counted as one: its counts are never
+    too small, and what reaches ``least`` there holds every phrase that does. A last scan over the texts counts those phrases
+    by themselves, so results are exact whatever the hashes.
+
     Which subphrases have been reached is told by a table of ``slots`` bytes (a power of two, 64 at least) addressed by hash: two that share a slot may let a
-    phrase be counted early or in vain, never miss it; what counts is decided by the phrases themselves. State is kept in
+    phrase be counted early or in vain, never miss it. State is kept in
     written tables; phrases that complete under the threshold are dropped there. Repeated rows count each; very long texts
-    are read whole; other columns are ignored; an empty table gives no rows.
+    are read whole; other columns are ignored; an empty table gives no rows. ``docs`` is read twice.
     """
     spark = docs.sparkSession
-    deal = F.pmod(F.monotonically_increasing_id(), F.lit(shards))
-    dealt = written(docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), deal.alias("shard")), "shards", "shard")
-    levels, last, step = np.zeros(slots, np.uint8), 0, 0
-    state, complete, totals = None, [], None
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    deal = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")
+    dealt = written(texts.select(deal, "lang", "text").mapInArrow(_coded, CODED), "shards", "shard")
+    levels, kept, last, step, state = np.zeros(slots, np.uint8), np.zeros(slots, bool), 0, 0, None
     while step < shards or step - last < shards:
         step += 1
         sent = spark.sparkContext.broadcast(levels)
-        counted = _scan(dealt.where(F.col("shard") == (step - 1) % shards), sent, step - 1 - shards, longest).withColumn("reached", F.lit(None).cast("int"))
-        before = state
-        if before is not None:
-            counted = counted.unionByName(before.where("open").drop("open"))
-        summed = counted.groupBy("lang", "phrase", "k", "born").agg(F.sum("n").alias("n"), F.min("reached").alias("reached"))
-        summed = summed.withColumn("reached", F.coalesce("reached", F.when(F.col("n") >= least, F.lit(step)))).withColumn("open", F.col("born") > step - shards)
-        # What completes under the threshold goes, but for words, which are summed once.
-        kept = F.col("open") | (F.col("n") >= least)
-        state = written(summed.where(kept if step != shards else kept | (F.col("k") == 1)), "phrases", "open")
+        counted = _scan(dealt.where(F.col("shard") == (step - 1) % shards), sent, step - 1 - shards, longest).withColumn("before", F.lit(0).cast("long"))
+        if (before := state) is not None:
+            counted = counted.unionByName(before.where(F.col("born") >= step - shards).select("hash", "k", "born", "n", F.col("n").alias("before")))
+        # Hardly a phrase has two rows in a task, so rows are not summed before they move.
+        summed = counted.repartition("hash").groupBy("hash", "k", "born").agg(F.sum("n").alias("n"), F.sum("before").alias("before"))
+        summed = summed.select("hash", "k", "born", "n", ((F.col("n") >= least) & (F.col("before") < least)).alias("fresh"))
+        state = written(summed.where(F.col("fresh") | (F.col("born") > step - shards)), "phrases")
         sent.destroy()
         if before is not None:
-            discard_path(spark, f"{before.written_at}/open=true")
-        if step == shards:
-            totals = written(state.where("not open and k = 1").groupBy("lang").agg(F.sum("n").alias("words")), "words")
-        complete.append(state.where(f"not open and n >= {least}").select("lang", "phrase", "k", "n"))
-        fresh = _reached_slots(state.where(f"reached = {step} and k < {longest}"), slots)
-        if len(fresh):
+            discard(before)
+        shorter, full = _reached_slots(state.where("fresh"), slots, longest)
+        kept[shorter] = kept[full] = True
+        if len(shorter):
             last = step
-            levels = np.where((levels == 0) & np.bincount(fresh, minlength=slots).astype(bool), np.uint8(step), levels)
-    found = written(functools.reduce(DataFrame.union, complete), "counted")
-    discard(dealt)
-    return found, totals
+            levels = np.where((levels == 0) & np.bincount(shorter, minlength=slots).astype(bool), np.uint8(step), levels)
+    sent, held = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(kept)
+    exact = _exact(texts, sent, held, longest).repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    found = written(exact.where((F.col("n") >= least) & (F.col("k") > 0) | (F.col("k") == 0) & (F.col("n") > 0)), "counted")
+    sent.destroy()
+    held.destroy()
+    discard(dealt, state)
+    return found.where("k > 0"), found.where("k = 0").select("lang", F.col("n").alias("words"))
 
 
 #: Ranked phrases of a language that a task of the first round of the top-k report passes on come from one of so many parts.
