@@ -19,7 +19,7 @@ SHARDS = 2
 #: Slots of the table of reached subphrases that each scan gets: one byte each, whatever their number.
 SLOTS = 1 << 24
 #: Bytes of text (or coded words) whose phrases a task combines before it sends them on, and rows that it sends at once.
-BLOCK_BYTES, BLOCK_WORDS, SENT_ROWS = 32_000_000, 5_000_000, 500_000
+BLOCK_BYTES, BLOCK_WORDS, SENT_ROWS = 10_000_000, 2_000_000, 250_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
