@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import discard, drained, sub_batches, table, written
+from ._common import discard, drained, small_batches, sub_batches, table, written
 
 #: Parts into which the documents are dealt; a full cycle is as many scans.
 SHARDS = 2
@@ -20,6 +20,8 @@ SHARDS = 2
 SLOTS = 1 << 24
 #: Bytes of text (or coded words) whose phrases a task combines before it sends them on, and rows that it sends at once.
 BLOCK_BYTES, BLOCK_WORDS, SENT_ROWS = 10_000_000, 2_000_000, 250_000
+#: Bytes of an Arrow batch from Spark to Python, about; by default it is 10,000 rows, tens of MB of long texts or codes.
+BATCH_BYTES = 4_000_000
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -201,7 +203,7 @@ def _scan(shard: DataFrame, reached, open_after: int, longest: int) -> DataFrame
     return shard.select("words", "ids", "follows").mapInArrow(of, HASHED)
 
 
-def _exact(docs: DataFrame, reached, kept, longest: int) -> DataFrame:
+def _exact(docs: DataFrame, kept, longest: int) -> DataFrame:
     """COUNTED rows of the phrases of documents (shard, lang, text) whose slot is in ``kept``, and as phrases of no words each
     language's number of words."""
 
@@ -209,7 +211,7 @@ def _exact(docs: DataFrame, reached, kept, longest: int) -> DataFrame:
         for block in _by_language(batches):
             for (_, lang), (words, follows) in block.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([len(words)])], ["lang", "phrase", "k", "born", "n"])
-                yield from count_block(lang, words, follows, reached.value, -1, longest, kept.value)
+                yield from count_block(lang, words, follows, kept.value.view(np.uint8), -1, longest, kept.value)
 
     return docs.select(F.lit(0).alias("shard"), "lang", "text").mapInArrow(of, COUNTED)
 
@@ -246,6 +248,11 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
     written tables; phrases that complete under the threshold are dropped there. Repeated rows count each; very long texts
     are read whole; other columns are ignored; an empty table gives no rows. ``docs`` is read twice.
     """
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _counted(docs, least, longest, shards, slots)
+
+
+def _counted(docs: DataFrame, least: int, longest: int, shards: int, slots: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     deal = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")
@@ -269,11 +276,10 @@ def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: in
         if len(shorter):
             last = step
             levels = np.where((levels == 0) & np.bincount(shorter, minlength=slots).astype(bool), np.uint8(step), levels)
-    sent, held = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(kept)
-    exact = _exact(texts, sent, held, longest).repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    sent = spark.sparkContext.broadcast(kept)
+    exact = _exact(texts, sent, longest).repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
     found = written(exact.where((F.col("n") >= least) & (F.col("k") > 0) | (F.col("k") == 0) & (F.col("n") > 0)), "counted")
     sent.destroy()
-    held.destroy()
     discard(dealt, state)
     return found.where("k > 0"), found.where("k = 0").select("lang", F.col("n").alias("words"))
 
