@@ -157,5 +157,5 @@ def test_scans_send_hashes_and_no_count_falls_short(rows):
             want[lang, p] = n, bool(kept[phrases.slot_of(value, 64)[0]])
     assert got == expected
     words, follows = phrases.words_of(pa.array([t for t, own in rows if own == "de"]))
-    exact = {tuple(r["phrase"].split(" ")): r["n"] for b in phrases.count_block("de", words, follows, reached, -1, 4, kept) for r in b.to_pylist()}
+    exact = {tuple(r["phrase"].split(" ")): r["n"] for b in phrases.count_block("de", words, follows, reached, -1, 4, np.packbits(kept, bitorder="little")) for r in b.to_pylist()}
     assert exact == {p: n[0] for (lang, p), n in want.items() if lang == "de" and n[1]}

@@ -74,6 +74,12 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
+def _has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the hashes' places in a bitmap (bytes) are set."""
+    place = slot_of(hashes, 8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 def _places(hashes: np.ndarray, follows: np.ndarray, reached: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, places where a phrase of k words starts whose two subphrases have reached the threshold, the steps of their births,
     their hashes) for k = 2 to ``longest``.
@@ -121,7 +127,7 @@ def count_hashes(hashes: np.ndarray, follows: np.ndarray, reached: np.ndarray, o
 
 def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.ndarray, open_after: int, longest: int, kept: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Counts of the phrases of a block that are open (born after ``open_after``), as COUNTED; see ``_places``. With ``kept``
-    (booleans by slot), of those alone whose own slot is true there."""
+    (a bitmap by hash), of those alone that are set there."""
     coded = words.dictionary_encode()
     ids, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
@@ -134,11 +140,11 @@ def count_block(lang: str, words: pa.Array, follows: np.ndarray, reached: np.nda
     word_hash, size = _word_hashes(lang, known.to_pylist()), len(known)
     if open_after < 0:
         n, own = np.bincount(ids, minlength=size), np.arange(size)
-        own = own if kept is None else own[kept[slot_of(word_hash, len(kept))]]
+        own = own if kept is None else own[_has(kept, word_hash)]
         yield batch([own], np.zeros(len(own)), n[own])
     for k, at, born, whole in _places(word_hash[ids], follows, reached, longest):
         is_open = born.astype(np.int64) > open_after
-        is_open = np.flatnonzero(is_open if kept is None else is_open & kept[slot_of(whole, len(kept))])
+        is_open = np.flatnonzero(is_open if kept is None else is_open & _has(kept, whole))
         if len(is_open):  # phrases are numbered in the block where they are open, nowhere else
             code = ids[at[is_open]]
             for j in range(1, k):
@@ -203,31 +209,33 @@ def _scan(shard: DataFrame, reached, open_after: int, longest: int) -> DataFrame
     return shard.select("words", "ids", "follows").mapInArrow(of, HASHED)
 
 
-def _exact(docs: DataFrame, kept, longest: int) -> DataFrame:
-    """COUNTED rows of the phrases of documents (shard, lang, text) whose slot is in ``kept``, and as phrases of no words each
+def _exact(docs: DataFrame, reached, kept, longest: int) -> DataFrame:
+    """COUNTED rows of the phrases of documents (lang, text) that are set in ``kept``, and as phrases of no words each
     language's number of words."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _by_language(batches):
             for (_, lang), (words, follows) in block.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([len(words)])], ["lang", "phrase", "k", "born", "n"])
-                yield from count_block(lang, words, follows, kept.value.view(np.uint8), -1, longest, kept.value)
+                yield from count_block(lang, words, follows, reached.value, -1, longest, kept.value)
 
     return docs.select(F.lit(0).alias("shard"), "lang", "text").mapInArrow(of, COUNTED)
 
 
-def _reached_slots(phrases: DataFrame, slots: int, longest: int) -> list[np.ndarray]:
-    """The slots of ``phrases`` (hash, k), first of those of fewer than ``longest`` words, then of the others, gathered as
-    bitmaps: at most ``slots`` / 64 rows of each come to the driver."""
-    slot = F.col("hash").bitwiseAND(F.lit(slots - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    rows = phrases.groupBy((F.col("k") >= longest).alias("full"), F.shiftright(slot, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    found = []
+def _reached_slots(phrases: DataFrame, kept: np.ndarray, slots: int, longest: int) -> np.ndarray:
+    """The slots of ``phrases`` (hash, k) of fewer than ``longest`` words; all of them are set in the bitmap ``kept``. At
+    most 2 rows for each 64 bits of it come to the driver."""
+    place = F.col("hash").bitwiseAND(F.lit(8 * len(kept) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    rows = phrases.groupBy((F.col("k") >= longest).alias("full"), F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    shorter = np.zeros(slots // 64, np.uint64)
     for full in (False, True):
-        bits, own = np.zeros(slots // 64, np.uint64), rows.filter(pc.equal(rows["full"], full))
-        bits[own["word"].to_numpy()] = own["bits"].to_numpy().view(np.uint64)
-        found.append(np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little")))
-    return found
+        own = rows.filter(pc.equal(rows["full"], full))
+        word, bits = own["word"].to_numpy(), own["bits"].to_numpy().view(np.uint64)
+        kept.view(np.uint64)[word] |= bits
+        if not full:
+            np.bitwise_or.at(shorter, word & (slots // 64 - 1), bits)
+    return np.flatnonzero(np.unpackbits(shorter.view(np.uint8), bitorder="little"))
 
 
 def count_phrases(docs: DataFrame, least: int = 30, longest: int = 4, shards: int = SHARDS, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
@@ -257,7 +265,7 @@ def _counted(docs: DataFrame, least: int, longest: int, shards: int, slots: int)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     deal = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")
     dealt = written(texts.select(deal, "lang", "text").mapInArrow(_coded, CODED), "shards", "shard")
-    levels, kept, last, step, state = np.zeros(slots, np.uint8), np.zeros(slots, bool), 0, 0, None
+    levels, kept, last, step, state = np.zeros(slots, np.uint8), np.zeros(slots, np.uint8), 0, 0, None
     while step < shards or step - last < shards:
         step += 1
         sent = spark.sparkContext.broadcast(levels)
@@ -271,15 +279,15 @@ def _counted(docs: DataFrame, least: int, longest: int, shards: int, slots: int)
         sent.destroy()
         if before is not None:
             discard(before)
-        shorter, full = _reached_slots(state.where("fresh"), slots, longest)
-        kept[shorter] = kept[full] = True
+        shorter = _reached_slots(state.where("fresh"), kept, slots, longest)
         if len(shorter):
             last = step
             levels = np.where((levels == 0) & np.bincount(shorter, minlength=slots).astype(bool), np.uint8(step), levels)
-    sent = spark.sparkContext.broadcast(kept)
-    exact = _exact(texts, sent, longest).repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
+    sent, held = spark.sparkContext.broadcast(levels), spark.sparkContext.broadcast(kept)
+    exact = _exact(texts, sent, held, longest).repartition("lang", "phrase").groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n"))
     found = written(exact.where((F.col("n") >= least) & (F.col("k") > 0) | (F.col("k") == 0) & (F.col("n") > 0)), "counted")
     sent.destroy()
+    held.destroy()
     discard(dealt, state)
     return found.where("k > 0"), found.where("k = 0").select("lang", F.col("n").alias("words"))
 
