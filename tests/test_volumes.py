@@ -211,6 +211,19 @@ def test_pyramid_equals_whole_images(spark, tile, planes):
                 assert np.allclose(values, [said[n][z, y, x] for n in names], atol=1e-5)
 
 
+def test_small_images_stay_in_a_task_and_rows_of_larger_ones_hold_one_image(spark, monkeypatch):
+    a = np.random.default_rng(12).normal(size=(5, 20, 23))
+    v, settings, kept = image(spark, a), pyramid.Settings([1, 2], depth=1, planes=5), []
+    monkeypatch.setattr(pyramid, "written", lambda df, name, *more: kept.append((name, found := tables.written(df, name, *more))) or found)
+    whole = {(r.z, r.y, r.x): r.features for r in pyramid.tile_features(v, settings, 24, planes=5).collect()}
+    assert [name for name, _ in kept] == ["bounds"]
+    tiled = {(r.z, r.y, r.x): r.features for r in pyramid.tile_features(v, settings, 8, planes=5).collect()}
+    longest = [df.agg(F.max(F.length("data"))).first()[0] for name, df in kept if name == "blocks"]
+    assert len(longest) == 3 and max(longest) == 5 * 8 * 8 * 8  # one image of a tile a row
+    assert whole.keys() == tiled.keys() and len(whole) == a.size
+    assert all(np.allclose(whole[k], tiled[k], atol=1e-5) for k in whole)
+
+
 @pytest.mark.parametrize("neighbours", [6, 4, 8])
 def test_components_do_not_hang_on_tiles(spark, neighbours):
     on = image(spark, np.random.default_rng(1).random((3, 24, 24))).where("val > 0.45")

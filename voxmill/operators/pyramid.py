@@ -196,36 +196,47 @@ def level_images(before: dict[str, np.ndarray], level: list[tuple], planes: int)
 
 
 IMAGE, TILE = ["image_id", "t", "c"], ["tz", "ty", "tx"]
-#: A part of all images of a level: its first place, its shape, the image's box (first and one after the last place of each
-#: axis, in the level's voxels), and the values of one image after the other.
-BLOCK = ["level", "low", "shape", "box", "data"]
+#: A part of one image of a level: the image's number in it, the part's first place and shape, the image's box (first and one after
+#: the last place of each axis, in the level's voxels), and the values. A row holds one image, since Parquet and a sort
+#: hold a hundred rows and more at a time.
+BLOCK = ["level", "number", "low", "shape", "box", "data"]
+#: Bytes of rows that a task hands on at once, and of a row group of the written blocks.
+AT_ONCE, GROUP = 1 << 22, 1 << 24
 
 
 def _schema(vox: DataFrame) -> str:
     own = [f"{k} {vox.schema[k].dataType.simpleString()}" for k in IMAGE]
-    return ", ".join([*own, *(f"{k} long" for k in TILE), "level int, low array<long>, shape array<long>, box array<long>, data binary"])
+    return ", ".join([*own, *(f"{k} long" for k in TILE), "level int, number int, low array<long>, shape array<long>, box array<long>, data binary"])
 
 
-def _row(key, tile, level: int, low, box, data: np.ndarray) -> tuple:
-    return (*key, *(int(x) for x in tile), level, [int(x) for x in low], [int(x) for x in data.shape[1:]], [int(x) for x in np.ravel(box)], np.ascontiguousarray(data, np.float64).tobytes())
+def _row(key, tile, level: int, number: int, low, box, data: np.ndarray) -> tuple:
+    return (*key, *(int(x) for x in tile), level, number, [int(x) for x in low], [int(x) for x in data.shape], [int(x) for x in np.ravel(box)], np.ascontiguousarray(data, np.float64).tobytes())
 
 
 def _parts(pdf: pd.DataFrame):
     for r in pdf[BLOCK].itertuples(index=False):
         shape = [int(x) for x in r.shape]
-        yield int(r.level), np.array(r.low), np.array(r.box).reshape(2, 3), np.frombuffer(r.data).reshape(-1, *shape)
+        yield int(r.level), int(r.number), np.array(r.low), np.array(r.box).reshape(2, 3), np.frombuffer(r.data).reshape(shape)
 
 
 def _gathered(parts: list, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """One array from ``low`` to ``high`` of all parts; what no part holds is 0."""
-    out = np.zeros((parts[0][3].shape[0], *(high - low)))
-    for _, at, _, data in parts:
-        a, b = np.maximum(at, low), np.minimum(at + data.shape[1:], high)
+    """An image from ``low`` to ``high`` of its parts; what no part holds is 0."""
+    out = np.zeros(high - low)
+    for _, _, at, _, data in parts:
+        a, b = np.maximum(at, low), np.minimum(at + data.shape, high)
         if (a < b).all():
-            out[(slice(None), *(slice(x, y) for x, y in zip(a - low, b - low, strict=True)))] = data[(slice(None), *(slice(x, y) for x, y in zip(a - at, b - at, strict=True)))]
+            out[tuple(slice(x, y) for x, y in zip(a - low, b - low, strict=True))] = data[tuple(slice(x, y) for x, y in zip(a - at, b - at, strict=True))]
     return out
 
 
+def _by_image(pdf: pd.DataFrame) -> dict[int, dict[int, list]]:
+    """Parts by level and number."""
+    found: dict[int, dict[int, list]] = {}
+    for part in _parts(pdf):
+        found.setdefault(part[0], {}).setdefault(part[1], []).append(part)
+    return found
+
+
 def _sent(blocks: DataFrame, edge: np.ndarray, wanted) -> DataFrame:
     """Each block cut to the tiles of edge ``edge`` that need some of it. ``wanted(level)`` gives functions of places: the
     voxels of the tiles' grid that need the block from low to high, and the block's voxels that the grid's from low to high need."""
@@ -233,19 +244,20 @@ def _sent(blocks: DataFrame, edge: np.ndarray, wanted) -> DataFrame:
 
     def cut(batches):
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             keys = pdf[IMAGE].itertuples(index=False, name=None)
-            for key, (level, at, box, data) in zip(keys, _parts(pdf), strict=True):
+            for key, (level, number, at, box, data) in zip(keys, _parts(pdf), strict=True):
                 users, needs = wanted(level)
-                first, last = users(at, at + data.shape[1:], box)
+                first, last = users(at, at + data.shape, box)
                 for tile in np.stack(np.meshgrid(*(np.arange(a // e, (b - 1) // e + 1) for a, b, e in zip(first, last, edge, strict=True)), indexing="ij"), -1).reshape(-1, 3):
                     low, high = needs(tile * edge, (tile + 1) * edge)
-                    a, b = np.maximum(at, low), np.minimum(at + data.shape[1:], high)
+                    a, b = np.maximum(at, low), np.minimum(at + data.shape, high)
                     if (a < b).all():
-                        rows.append(_row(key, tile, level, a, box, data[(slice(None), *(slice(x, y) for x, y in zip(a - at, b - at, strict=True)))]))
-                if len(rows) > 64:
+                        rows.append(_row(key, tile, level, number, a, box, data[tuple(slice(x, y) for x, y in zip(a - at, b - at, strict=True))]))
+                        held += len(rows[-1][-1])
+                if held > AT_ONCE:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     return blocks.mapInPandas(cut, blocks.schema)
@@ -263,14 +275,14 @@ def _level(blocks: DataFrame, number: int, level: list[tuple], names: list[str],
         return users, lambda low, high: ((low - reach) * f, (high + reach) * f)
 
     def compute(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, tile = list(_parts(pdf)), np.array(key[3:])
-        box = parts[0][2]
+        parts, tile = next(iter(_by_image(pdf).values())), np.array(key[3:])
+        box = next(iter(parts.values()))[0][3]
         low, high = np.maximum((tile * edge - reach) * f, box[0] // f * f), np.minimum(((tile + 1) * edge + reach) * f, box[1])
-        now = level_images(dict(zip(names, _gathered(parts, low, high), strict=True)), level, planes)
+        now = level_images({n: _gathered(parts.get(i, []), low, high) for i, n in enumerate(names)}, level, planes)
         box = np.stack([box[0] // f, -(-box[1] // f)])
         first, last = np.maximum(tile * edge, box[0]), np.minimum((tile + 1) * edge, box[1])
         inner = tuple(slice(x, y) for x, y in zip(first - low // f, last - low // f, strict=True))
-        return pd.DataFrame([_row(key[:3], tile, number, first, box, np.stack([now[s[0]][inner] for s in level]))], columns=[*IMAGE, *TILE, *BLOCK])
+        return pd.DataFrame([_row(key[:3], tile, number, i, first, box, now[s[0]][inner]) for i, s in enumerate(level)], columns=[*IMAGE, *TILE, *BLOCK])
 
     return _sent(blocks, edge, wanted).groupBy(*IMAGE, *TILE).applyInPandas(compute, schema)
 
@@ -278,10 +290,12 @@ def _level(blocks: DataFrame, number: int, level: list[tuple], names: list[str],
 def tile_features(vox: DataFrame, settings: Settings, tile: int = 64, keep: DataFrame | None = None, nodes: DataFrame | None = None, classes: int = 2, channel: int = 0, planes: int = 8) -> DataFrame:
     """Voxels with ``features`` (array of float), or, with the ``nodes`` of a forest, with class, probabilities and code.
 
-    Each level is a stage over tiles of ``planes`` x ``tile`` x ``tile`` voxels of its own resolution: a tile gets the part of the
-    level before under it and the border of this level alone, makes all images of the level, and they are written. A last
-    stage brings the parts of all levels under a tile of the full resolution together and reads them off there. So a task
-    holds a tile's images of one level, or a tile's features, whatever the size of the image, and a border is a few voxels of its level.
+    An image whose box is no larger than a tile of ``planes`` x ``tile`` x ``tile`` voxels goes whole to one task, which makes all
+    levels and reads them off; nothing is written between. Of larger images each level is a stage over such tiles of its own
+    resolution: a tile gets the part of the level before under it and the border of this level alone, makes all images of the level,
+    and they are written. A last stage brings the parts of all levels under a tile of the full resolution together and reads them off
+    there. So a task holds a tile's images of one level, or a tile's features, whatever the size of the image, and a border is a few
+    voxels of its level.
 
     Bins lie on global coordinates, so the values do not hang on the tile's size. ``keep``: voxels (VOXEL) whose features are wanted;
     images without any are not computed. Voxels that an image's box has and the image lacks count as 0 and get no row; a null
@@ -292,30 +306,74 @@ def tile_features(vox: DataFrame, settings: Settings, tile: int = 64, keep: Data
     if keep is not None:
         keep = keep.select(*VOXEL).distinct()
         vox = vox.join(keep.select(*IMAGE).distinct(), IMAGE, "left_semi")
-    bounds = vox.groupBy(*IMAGE).agg(F.array(*(F.min(a) for a in axes), *(F.max(a) + 1 for a in axes)).cast("array<long>").alias("box"))
+    bounds = written(vox.groupBy(*IMAGE).agg(F.array(*(F.min(a) for a in axes), *(F.max(a) + 1 for a in axes)).cast("array<long>").alias("box")), "bounds")
+    extent = [F.get("box", i + 3) - F.get("box", i) for i in range(3)]
+    is_whole = extent[0] * extent[1] * extent[2] <= int(edge.prod())
     rows = vox.select(*VOXEL, F.coalesce(F.col("val").cast("double"), F.lit(0.0)).alias("val"))
     rows = rows.join(keep.withColumn("wanted", F.lit(1.0)), VOXEL, "left") if keep is not None else rows.withColumn("wanted", F.lit(1.0))
-    rows = rows.select("*", *(F.floor(F.col(a) / int(e)).alias(t) for t, a, e in zip(TILE, axes, edge, strict=True)))
 
-    def first_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    wanted_names, levels, factors, scale = feature_names(settings, channel), needed_steps(settings, channel), {-1: np.array([1, 1, 1])}, np.array([1, 1, 1])
+    levels = levels[: next((i for i, level in enumerate(levels) if not level), len(levels))]
+    for i, level in enumerate(levels):
+        if level[0][2] == "bin":
+            scale = scale * np.array(level[0][4])
+        factors[i] = scale
+    place = {n: i for i, n in enumerate(wanted_names)}
+    trees = forests.packed(nodes) if nodes is not None else None
+    own = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in VOXEL)
+    shape = own + (", class_id int, prob double, second_id int, second_prob double, n_trees int, code int" if trees is not None else ", features array<float>")
+    outs = [x.split()[0] for x in shape.split(", ")]
+
+    def first_values(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The first place, and values and wanted voxels from there on."""
         at = pdf[axes].to_numpy(np.int64)
         low = at.min(axis=0)
         data = np.zeros((2, *(at.max(axis=0) - low + 1)))
-        place = tuple((at - low).T)
-        data[0][place], data[1][place] = pdf["val"], pdf["wanted"].fillna(0)
-        return pd.DataFrame([_row(key[:3], key[3:], -1, low, [], data)], columns=[*IMAGE, *TILE, *BLOCK])
+        where = tuple((at - low).T)
+        data[0][where], data[1][where] = pdf["val"], pdf["wanted"].fillna(0)
+        return low, data
+
+    def nothing() -> pd.DataFrame:
+        return pd.DataFrame({k: pd.Series([], dtype=object) for k in outs})
 
+    def told(key: tuple, at: np.ndarray, found: np.ndarray) -> pd.DataFrame:
+        out = {k: np.full(len(at), key[i]) for i, k in enumerate(IMAGE)} | {a: at[:, i] for i, a in enumerate(axes)}
+        if trees is None:
+            return pd.DataFrame({**out, "features": list(found)})[outs]
+        first, p, second, q, used = forests.until_significant(trees, found.astype(float), classes)
+        return pd.DataFrame({**out, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": used, "code": forests.result_codes(first, p, q)})[outs]
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        start, data = first_values(pdf)
+        if not (real := data[1] > 0).any():
+            return nothing()
+        images, box = {f"Orig_ch{channel}": data[0]}, np.stack([start, start + real.shape])
+        found = np.zeros((int(real.sum()), len(wanted_names)), np.float32)
+        for number, level in enumerate(levels):
+            f = np.array(level[0][4] if level[0][2] == "bin" else (1, 1, 1))
+            before = [(int(n), 0) for n in box[0] % f]  # a bin that begins before the image
+            images = level_images({n: np.pad(a, before) for n, a in images.items()} if (box[0] % f).any() else images, level, settings.planes)
+            box = np.stack([box[0] // f, -(-box[1] // f)])
+            for name in images:
+                if name in place:
+                    found[:, place[name]] = _fine(images[name], box[0], box, factors[number], start, real.shape)[real]
+        return told(key, np.argwhere(real) + start, found)
+
+    result = rows.join(bounds.where(is_whole).select(*IMAGE), IMAGE, "left_semi").groupBy(*IMAGE).applyInPandas(whole, shape)
+    bounds = bounds.where(~is_whole)
+    if bounds.isEmpty():
+        return result
+
+    def first_blocks(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        low, data = first_values(pdf)
+        return pd.DataFrame([_row(key[:3], key[3:], -1, i, low, [], a) for i, a in enumerate(data)], columns=[*IMAGE, *TILE, *BLOCK])
+
+    rows = rows.select("*", *(F.floor(F.col(a) / int(e)).alias(t) for t, a, e in zip(TILE, axes, edge, strict=True)))
+    rows = rows.join(bounds.select(*IMAGE), IMAGE, "left_semi")
     raw = rows.groupBy(*IMAGE, *TILE).applyInPandas(first_blocks, schema).drop("box").join(bounds, IMAGE)
-    raw = written(raw.select(*IMAGE, *TILE, *BLOCK), "blocks")
-    wanted_names = feature_names(settings, channel)
-    levels, tables, names, factors, scale = needed_steps(settings, channel), [raw], [f"Orig_ch{channel}", "wanted"], {-1: np.array([1, 1, 1])}, np.array([1, 1, 1])
+    tables, names = [written(raw.select(*IMAGE, *TILE, *BLOCK), "blocks", GROUP)], [f"Orig_ch{channel}", "wanted"]
     for i, level in enumerate(levels):
-        if not level:
-            break
-        if level[0][2] == "bin":
-            scale = scale * np.array(level[0][4])
-        factors[i] = scale
-        tables.append(written(_level(tables[-1], i, level, names, settings.planes, edge, schema), "blocks"))
+        tables.append(written(_level(tables[-1], i, level, names, settings.planes, edge, schema), "blocks", GROUP))
         names = [s[0] for s in level]
 
     def under(level: int):
@@ -329,40 +387,26 @@ def tile_features(vox: DataFrame, settings: Settings, tile: int = 64, keep: Data
     parts = tables[0]
     for more in tables[1:]:
         parts = parts.union(more)
-    trees = forests.packed(nodes) if nodes is not None else None
-    own = ", ".join(f"{k} {vox.schema[k].dataType.simpleString()}" for k in VOXEL)
-    shape = own + (", class_id int, prob double, second_id int, second_prob double, n_trees int, code int" if trees is not None else ", features array<float>")
-    outs = [x.split()[0] for x in shape.split(", ")]
 
     def read_off(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by_level: dict[int, list] = {}
-        for part in _parts(pdf):
-            by_level.setdefault(part[0], []).append(part)
-        nothing = pd.DataFrame({k: pd.Series([], dtype=object) for k in outs})
+        by_level = _by_image(pdf)
         start, stop = np.array(key[3:]) * edge, (np.array(key[3:]) + 1) * edge
         if -1 not in by_level:  # a tile beside the image
-            return nothing
-        box = by_level[-1][0][2]
+            return nothing()
+        box = by_level[-1][1][0][3]
         start, stop = np.maximum(start, box[0]), np.minimum(stop, box[1])
-        if (start >= stop).any() or not (real := _gathered(by_level[-1], start, stop)[1] > 0).any():
-            return nothing
-        found, place = np.zeros((int(real.sum()), len(wanted_names)), np.float32), {n: i for i, n in enumerate(wanted_names)}
+        if (start >= stop).any() or not (real := _gathered(by_level[-1][1], start, stop) > 0).any():
+            return nothing()
+        found = np.zeros((int(real.sum()), len(wanted_names)), np.float32)
         for number, level in enumerate(levels):
-            if level:
-                b, box = factors[number], by_level[number][0][2]
-                low, high = np.maximum(start // b - 1, box[0]), np.minimum(-(-stop // b) + 1, box[1])
-                images = _gathered(by_level[number], low, high)
-                for k, step in enumerate(level):
-                    if step[0] in place:
-                        found[:, place[step[0]]] = _fine(images[k], low, box, b, start, real.shape)[real]
-        at = np.argwhere(real) + start
-        out = {k: np.full(len(at), key[i]) for i, k in enumerate(IMAGE)} | {a: at[:, i] for i, a in enumerate(axes)}
-        if trees is None:
-            return pd.DataFrame({**out, "features": list(found)})[outs]
-        first, p, second, q, used = forests.until_significant(trees, found.astype(float), classes)
-        return pd.DataFrame({**out, "class_id": first, "prob": p, "second_id": second, "second_prob": q, "n_trees": used, "code": forests.result_codes(first, p, q)})[outs]
-
-    return _sent(parts, edge, under).groupBy(*IMAGE, *TILE).applyInPandas(read_off, shape)
+            b, box = factors[number], next(iter(by_level[number].values()))[0][3]
+            low, high = np.maximum(start // b - 1, box[0]), np.minimum(-(-stop // b) + 1, box[1])
+            for k, step in enumerate(level):
+                if step[0] in place:
+                    found[:, place[step[0]]] = _fine(_gathered(by_level[number][k], low, high), low, box, b, start, real.shape)[real]
+        return told(key, np.argwhere(real) + start, found)
+
+    return result.unionByName(_sent(parts, edge, under).groupBy(*IMAGE, *TILE).applyInPandas(read_off, shape))
 
 
 def name_table(spark, settings: Settings, channels: Iterable[int] = (0,)) -> DataFrame:
