@@ -657,3 +657,18 @@ def test_learners_that_never_differ_have_no_t(spark):
 
     line = corrected_t(spark.createDataFrame([(0.5, 0.5), (0.7, 0.7), (0.9, 0.9)], "a double, b double"), 0.5).first()
     assert (line.folds, line["mean"], line.t) == (3, 0, None)
+
+
+def test_a_row_goes_once_to_a_task_with_all_its_trees():
+    import pyarrow as pa
+
+    few = [(t, 1, 50) for t in range(40)]
+    bundles = forest._bundles(few, 2, forest.CELLS, 100, 2)
+    assert bundles.max() + 1 <= 7 and (np.diff(bundles) >= 0).all()
+    inside = np.random.default_rng(3).random((100, 40)) < 0.5
+    rows = [{"class_id": i % 2, "features": [float(i), -1.0], "at": [{"tree_id": t, "node_id": 1, "weight": float(i + t)} for t in np.flatnonzero(inside[i]).tolist()]} for i in range(100)]
+    kind = pa.schema([("class_id", pa.int32()), ("features", pa.list_(pa.float64())), ("at", pa.list_(pa.struct([("tree_id", pa.int32()), ("node_id", pa.int64()), ("weight", pa.float64())])))])
+    sent = [r for b in forest._dealt(few, bundles)(pa.Table.from_pylist(rows, kind).to_batches()) for r in b.to_pylist()]
+    assert len(sent) == len({(r["bundle"], r["features"][0]) for r in sent}) <= 700
+    assert sorted((r["features"][0], e["place"], e["weight"]) for r in sent for e in r["at"]) == sorted((float(i), t, float(i + t)) for i, t in np.argwhere(inside).tolist())
+    assert forest._bundles(few, 2, 120, 10**6, 2).tolist() == list(range(40))  # a large table: no more rows in a task than ``cells`` values

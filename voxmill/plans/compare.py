@@ -7,11 +7,14 @@ learner, so that one call of ``forest.grow`` trains them all.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from voxmill.operators.sampling import draw
 from voxmill.plans import forest
@@ -27,55 +30,111 @@ def with_folds(rows: DataFrame, runs: int, folds: int, seed: int = 1) -> DataFra
     return rows.withColumn("folds", drawn)
 
 
-def in_models(rows: DataFrame, runs: int, folds: int, trees: int, percent: int, seed: int = 1) -> DataFrame:
-    """Rows of ``with_folds`` with ``at``: tree_id and weight of each tree, of the models that may see the row, that holds it."""
-
-    def model(t: Column) -> Column:
-        return F.floor(t / trees).cast("int")
+def _draws(keys: list[bytes], tree: int, seed: int) -> np.ndarray:
+    """``sampling.draw`` of each key, tree and seed (keys end with a comma)."""
+    end = b"%d,%d" % (tree, seed)
+    return np.frombuffer(b"".join([hashlib.md5(key + end).digest() for key in keys]), ">u4")[::4]
 
-    def outside(t: Column) -> Column:
-        return F.get("folds", F.floor(model(t) / (2 * folds)).cast("int")) != F.floor(model(t) / 2).cast("int") % folds
 
-    def drawn(t: Column) -> Column:
-        return F.struct(t.alias("tree_id"), draw(F.when(model(t) % 2 == BALANCED, label).otherwise(F.col("row_id").cast("string")), t, F.lit(seed)).alias("draw"))
+#: Draws from which on a row is drawn once, twice, ... six times: those of ``forest.times_drawn``.
+_ONCE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)])
 
-    def amount(e: Column) -> Column:
-        balanced = (e["draw"] % 100 < percent).cast("int")
-        return F.when(model(e["tree_id"]) % 2 == BALANCED, balanced).otherwise(forest.times_drawn(e["draw"] / F.lit(float(1 << 32))))
 
-    label = F.when(F.col("label_id") == -1, F.concat(F.lit("r"), F.col("row_id").cast("string"))).otherwise(F.col("label_id").cast("string"))
-    seen = F.transform(F.filter(F.sequence(F.lit(0), F.lit(runs * folds * 2 * trees - 1)), outside), drawn)  # a draw an entry
-    every = F.transform(seen, lambda e: F.struct(e["tree_id"].alias("tree_id"), amount(e).alias("weight")))
-    held = written(rows.withColumn("at", F.filter(every, lambda e: e["weight"] > 0)), "models")
-    balanced = F.floor(F.col("e.tree_id") / trees) % 2 == BALANCED
-    sizes = held.select("class_id", F.explode("at").alias("e")).where(balanced).groupBy(F.col("e.tree_id").alias("tree_id"), "class_id").agg(F.count("*").alias("n"))
-    weights = sizes.select("class_id", "tree_id", (F.max("n").over(W.partitionBy("tree_id")) / F.col("n")).alias("weight"))
-    weights = weights.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("tree_id", "weight"))).alias("weights"))  # trees x classes values
-    weighed = F.transform("at", lambda e: F.struct(e["tree_id"].alias("tree_id"), F.coalesce(F.try_element_at("weights", e["tree_id"]), e["weight"].cast("double")).alias("weight")))
-    return held.join(F.broadcast(weights), "class_id", "left").withColumn("at", weighed).drop("weights")
+def in_models(rows: DataFrame, runs: int, folds: int, trees: int, percent: int, seed: int = 1) -> DataFrame:
+    """Rows of ``with_folds`` with ``at``: tree_id and weight of each tree, of the models that may see the row, that holds it.
+
+    A label's draws are taken once and lie as bits beside its rows; a row's own draws are taken as it is dealt. Both go by Arrow
+    batches, since functions over long arrays are interpreted, an entry at a time."""
+    ids = np.arange(runs * folds * 2 * trees)
+    model = ids // trees
+    run, fold, balanced = model // (2 * folds), model // 2 % folds, model % 2 == BALANCED
+
+    def sliced(batches):
+        """So many rows at once that with a value for each tree they are some MB."""
+        step = max(1, (1 << 21) // len(ids))
+        for batch in batches:
+            yield from (batch.slice(i, step) for i in range(0, batch.num_rows, step))
+
+    def labels(batches):
+        for batch in sliced(batches):
+            keys = [k.encode() + b"," if k else b"" for k in batch.column(0).to_pylist()]  # a draw leaves out a null
+            drawn = np.array([_draws(keys, t, seed) % 100 < percent for t in ids[balanced]], bool).reshape(-1, len(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(drawn.T, axis=1)], pa.binary())], ["key", "drawn"])
+
+    def seen(batch) -> np.ndarray:
+        """Of each row and tree: whether the model may see the row."""
+        return batch.column("folds").flatten().to_numpy().reshape(-1, runs)[:, run] != fold
+
+    def inside(batch, may: np.ndarray) -> np.ndarray:
+        """Of each row and balanced tree: whether the tree holds it."""
+        bits = np.frombuffer(b"".join(batch.column("drawn").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        return np.unpackbits(bits, axis=1, count=int(balanced.sum())).astype(bool) & may[:, balanced]
+
+    def counted(batches):
+        for batch in sliced(batches):
+            if batch.num_rows:
+                held, own = inside(batch, seen(batch)), batch.column("class_id").to_numpy()
+                for c in np.unique(own):
+                    n = held[own == c].sum(axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[balanced]), pa.array(np.full(len(n), c, np.int64)), pa.array(n)], ["tree_id", "class_id", "n"])
+
+    key = F.when(F.col("label_id") == -1, F.concat(F.lit("r"), F.col("row_id").cast("string"))).otherwise(F.col("label_id").cast("string"))
+    keyed = rows.withColumn("key", F.coalesce(key, F.lit("")))
+    held = written(keyed.join(keyed.select("key").distinct().mapInArrow(labels, "key string, drawn binary"), "key").drop("key"), "models")
+    sizes = held.select("class_id", "folds", "drawn").mapInArrow(counted, "tree_id long, class_id long, n long").groupBy("tree_id", "class_id").agg(F.sum("n").alias("n")).where("n > 0")
+    sizes = sizes.toPandas()  # trees x classes values
+    largest = sizes.groupby("tree_id")["n"].transform("max")
+    known = {(c, t): x for c, t, x in zip(sizes["class_id"], sizes["tree_id"], largest / sizes["n"], strict=True)}
+    names = list(rows.columns)
+
+    def entries(batches):
+        for batch in sliced(batches):
+            may, own = seen(batch), batch.column("class_id").to_numpy()
+            weight = np.zeros(may.shape)
+            if batch.num_rows:
+                share = {c: np.array([known.get((c, t), 0.0) for t in ids[balanced]]) for c in np.unique(own)}
+                weight[:, balanced] = inside(batch, may) * np.array([share[c] for c in share])[np.searchsorted(list(share), own)]
+                keys = [b"%d," % k for k in batch.column("row_id").to_pylist()]
+                for t in ids[~balanced]:
+                    at = np.flatnonzero(may[:, t])
+                    weight[at, t] = np.searchsorted(_ONCE, _draws([keys[i] for i in at], t, seed) / float(1 << 32), side="right")
+            row, tree = np.nonzero(weight)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(tree.astype(np.int32)), pa.array(weight[row, tree])], ["tree_id", "weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends), each)], [*names, "at"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return held.mapInArrow(entries, f"{shape}, at array<struct<tree_id: int, weight: double>>")
 
 
 def predictions(rows: DataFrame, nodes: DataFrame, classes: int, runs: int, folds: int, trees: int) -> DataFrame:
     """row_id, run, fold, learner, class_id and ``probs`` of each row under the models that did not see it. Each row goes through the
-    trees of its own models alone; trees go to the tasks in runs of checked size."""
+    trees of its own models alone; trees go to the tasks in runs of checked size. If that is one run, a model's trees meet in the task."""
+    blocks = forest.blocks(nodes) or [[]]
 
     def voting(found):
+        together: dict[int, list[int]] = {}
+        for tree in sorted(found):
+            together.setdefault(tree // trees if len(blocks) == 1 else tree, []).append(tree)
+
         def vote(batches):
             for pdf in batches:
                 x, own = forest.features_of(pdf), np.array([list(f) for f in pdf["folds"]]).reshape(len(pdf), runs)
-                for tree in sorted(found):
-                    model = tree // trees
+                for own_trees in together.values():
+                    model = own_trees[0] // trees
                     run, fold, learner = model // (2 * folds), model // 2 % folds, model % 2
                     at = np.flatnonzero(own[:, run] == fold)
                     if len(at):
-                        probs = forest.tree_probs(found[tree], x[at], classes)
+                        probs = sum(forest.tree_probs(found[tree], x[at], classes) for tree in own_trees) / len(own_trees)
                         yield pd.DataFrame({"row_id": pdf["row_id"].to_numpy()[at], "run": run, "fold": fold, "learner": learner, "class_id": pdf["class_id"].to_numpy()[at], "probs": list(probs)})
 
         return vote
 
     shape = "row_id long, run int, fold int, learner int, class_id int, probs array<double>"
     wanted = rows.select("row_id", F.col("class_id").cast("int").alias("class_id"), "features", "folds")
-    cast = [wanted.mapInPandas(voting(forest.packed(nodes, block)), shape) for block in forest.blocks(nodes) or [[]]]
+    cast = [wanted.mapInPandas(voting(forest.packed(nodes, block)), shape) for block in blocks]
+    if len(cast) == 1:
+        return cast[0].withColumn("probs", F.array(*(F.round(F.get("probs", c), 9) for c in range(classes))))
     every = cast[0]
     for more in cast[1:]:
         every = every.union(more)

@@ -24,6 +24,8 @@ from voxmill.sources.tables import discard, written
 CELLS = 1 << 23
 #: Trees grow together until their rows are this many times the table, or LEAST_SENT values.
 SENT, LEAST_SENT = 4, 1 << 27
+#: Rows of all nodes together that one task grows, unless one node has more; each is an entry of some 20 bytes.
+ENTRIES = 1 << 21
 #: Larger nodes of one level whose splits go to every task (about 100 bytes each).
 MOST_SPLITS = 1 << 20
 #: Nodes that go to every task at once (about 100 bytes each as arrays).
@@ -148,7 +150,8 @@ def grow(rows: DataFrame, classes: int, n_features: int, trees: int, depth: int
     A node of at most ``cells`` values (rows x features) is grown to its leaves by one task, at midpoints of sorted values.
     Larger nodes are split level by level at the edges of ``n_bins`` quantile bins, from histograms that tasks sum first.
     Rows are stored once, with the node and weight of each tree beside them; so many trees grow together that what is sent to
-    the tasks is about SENT times the rows (of a small table: all). ``k`` features a node (a tenth, rounded up, if not given).
+    the tasks is about SENT times the rows (of a small table: all). A task gets several nodes at once if their rows are few or
+    the table is no larger than ``cells``, and a row that is in several of them is sent to it once. ``k`` features a node (a tenth, rounded up, if not given).
     Rows without a value for a split's feature go to both sides with their share of the weight. ``features``: use these
     alone (the second pass of ``two_passes``); ids of the others never occur. An empty table gives no nodes.
     """
@@ -159,9 +162,11 @@ def grow(rows: DataFrame, classes: int, n_features: int, trees: int, depth: int
     entries = F.transform("at", lambda a: F.struct(a["tree_id"].alias("tree_id"), F.lit(1).cast("long").alias("node_id"), a["weight"].cast("double").alias("weight")))
     stored = written(rows.select(F.col("class_id").cast("int").alias("class_id"), values.alias("features"), entries.alias("at")).where(F.size("at") > 0), "bag")
     total, copies = stored.agg(F.count("*"), F.sum(F.size("at"))).first()
-    each = (copies or 0) / trees * max(1, len(used))  # values that one tree is sent
+    own, width = (copies or 0) / trees, max(1, len(used))
+    beside = max(1, min(trees, int(ENTRIES / max(1.0, own)))) if total * width <= cells else 1  # trees that share a row
+    each = 2 * own + (total if beside > 1 else own) * width / beside  # values that one tree is sent
     together = max(1, min(trees, int(max(SENT * total * len(used), LEAST_SENT) / max(1.0, each))))
-    found = [_grow_some(stored.withColumn("at", F.filter("at", lambda a: (a["tree_id"] >= first) & (a["tree_id"] < first + together))).where(F.size("at") > 0), classes, used, depth, n_bins, seed, k, cells) for first in range(0, trees, together)]
+    found = [_grow_some(stored.withColumn("at", F.filter("at", lambda a: (a["tree_id"] >= first) & (a["tree_id"] < first + together))).where(F.size("at") > 0) if together < trees else stored, classes, used, depth, n_bins, seed, k, cells, total) for first in range(0, trees, together)]
     discard(stored)
     return _union([df for part in found for df in part])
 
@@ -183,26 +188,41 @@ def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def _matrix(features, n: int) -> np.ndarray:
     """The features of ``n`` rows (an Arrow list array); NaN where there is no value."""
-    return features.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+    return features.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1)
 
 
-def _nodes_at(tree: np.ndarray, node: np.ndarray, known: dict[tuple[int, int], int]) -> np.ndarray:
-    """The place in ``known`` of each (tree_id, node_id), -1 where it is not there."""
-    pairs, back = np.unique(np.stack([tree.astype(np.int64), node.astype(np.int64)], axis=1), axis=0, return_inverse=True)
-    return np.array([known.get((int(t), int(m)), -1) for t, m in pairs], np.int64)[back.reshape(-1)] if len(pairs) else np.zeros(0, np.int64)
+def _finder(known: dict[tuple[int, int], int]):
+    """A function of tree_ids and node_ids that gives their values in ``known``, -1 where they are not there."""
+    pairs, values = np.array(list(known), np.int64).reshape(-1, 2), np.array(list(known.values()), np.int64)
+    names = np.unique(pairs[:, 1])
+    codes = pairs[:, 0] * len(names) + np.searchsorted(names, pairs[:, 1])
+    order = np.argsort(codes)
+    codes, values = codes[order], values[order]
 
+    def find(tree: np.ndarray, node: np.ndarray) -> np.ndarray:
+        if not len(codes):
+            return np.full(len(tree), -1)
+        name = np.minimum(np.searchsorted(names, node), len(names) - 1)
+        code = tree.astype(np.int64) * len(names) + name
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        return np.where((names[name] == node) & (codes[at] == code), values[at], -1)
 
-def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins: int, seed: int, k: int, cells: int) -> list[DataFrame]:
-    """Tables of nodes of the trees of ``now``."""
-    spark, own, marks, found = now.sparkSession, None, None, []
-    mass = F.array(*(F.sum(F.when(F.col("class_id") == c, F.col("e.weight")).otherwise(0.0)) for c in range(classes)))
+    return find
+
+
+def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins: int, seed: int, k: int, cells: int, total: int) -> list[DataFrame]:
+    """Tables of nodes of the trees of ``now``, whose table has ``total`` rows."""
+    spark, own, marks, found, few = now.sparkSession, None, None, [], []
     for level in range(depth + 1):
-        here = now.select("class_id", F.explode("at").alias("e")).where(F.col("e.node_id") >= 1 << level)
-        sizes = here.groupBy(F.col("e.tree_id").alias("tree_id"), F.col("e.node_id").alias("node_id")).agg(F.count("*").alias("n"), F.sum("e.weight").alias("whole"), mass.alias("mass"))
-        large = written(sizes.where(F.col("n") * len(used) > cells), "large")
+        masses = ", ".join(f"m{c} double" for c in range(classes))
+        sizes = now.select("class_id", "at").mapInArrow(_sizes(1 << level, classes), f"tree_id int, node_id long, n long, {masses}").groupBy("tree_id", "node_id")
+        sizes = sizes.agg(F.sum("n").alias("n"), F.array(*(F.sum(f"m{c}") for c in range(classes))).alias("mass"))
+        sizes = written(sizes.withColumn("whole", F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)), "large")
+        large = sizes.where(F.col("n") * len(used) > cells)
+        few += [(r.tree_id, r.node_id, r.n) for r in sizes.where(F.col("n") * len(used) <= cells).select("tree_id", "node_id", "n").collect()]  # two for each large node
         n_large = large.count()
         if not n_large:
-            discard(large)
+            discard(sizes)
             break
         if n_large > MOST_SPLITS:
             raise ValueError(f"{n_large} nodes of more than {cells} values at once; raise cells")
@@ -220,24 +240,80 @@ def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins
         nodes = written(large.join(splits, ["tree_id", "node_id"], "left").select("tree_id", "node_id", "feature", "split", "share_left", "n", probs.alias("probs")), "nodes")
         table = {(r.tree_id, r.node_id): (-1 if r.feature is None else r.feature, r.split or 0.0, r.share_left or 0.0) for r in nodes.select("tree_id", "node_id", "feature", "split", "share_left").collect()}  # MOST_SPLITS at most
         moved = written(now.mapInArrow(_moved(table), now.schema), "moved")
-        discard(large, *([own] if own is not None else []))
+        discard(sizes, *([own] if own is not None else []))
         now = own = moved
         found.append(nodes.select("tree_id", "node_id", _original("feature", used), "split", "share_left", "n", "probs"))
-    exploded = now.select("class_id", "features", F.explode("at").alias("e")).select("e.tree_id", "e.node_id", "e.weight", "class_id", "features")
-    small = exploded.groupBy("tree_id", "node_id").applyInArrow(_finished(classes, used, k, depth, seed), "tree_id int, node_id long, feature int, split double, share_left double, n long, probs array<double>")
+    bundles = _bundles(few, len(used), cells, total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = now.mapInArrow(_dealt(few, bundles), "bundle int, class_id int, features array<double>, at array<struct<place: int, weight: double>>")
+    small = dealt.groupBy("bundle").applyInArrow(_finished(few, classes, used, k, depth, seed), "tree_id int, node_id long, feature int, split double, share_left double, n long, probs array<double>")
     found.append(written(small, "subtrees"))
     if own is not None:
         discard(own)
     return found
 
 
+def _sizes(least: int, classes: int):
+    def count(batches):
+        """Of a batch: rows and class weights of each node from ``least`` on."""
+        for batch in batches:
+            row, tree, node, weight = _entries(batch)
+            there = node >= least
+            row, tree, node, weight = row[there], tree[there].astype(np.int64), node[there], weight[there]
+            names, name = np.unique(node, return_inverse=True)
+            codes, code = np.unique(tree * max(1, len(names)) + name, return_inverse=True)
+            label, m = batch.column("class_id").to_numpy()[row], max(1, len(names))
+            sums = [np.bincount(code[label == c], weight[label == c], minlength=len(codes)).astype(float) for c in range(classes)]
+            columns = [(codes // m).astype(np.int32), names[codes % m] if len(codes) else np.zeros(0, np.int64), np.bincount(code, minlength=len(codes)), *sums]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree_id", "node_id", "n", *(f"m{c}" for c in range(classes))])
+
+    return count
+
+
+def _bundles(few: list[tuple[int, int, int]], width: int, cells: int, total: int, parts: int) -> np.ndarray:
+    """The bundle of each node (tree_id, node_id, n): nodes one after the other as long as their entries are ENTRIES at most and, in
+    a table of more than ``cells`` values, their rows ``cells``; fewer if all could otherwise not be dealt to ``parts`` evenly."""
+    most = min(ENTRIES, sum(n for *_, n in few) / (3 * parts)) if total * width <= cells else min(ENTRIES, cells / max(1, width))
+    found, bundle, held = [], -1, 0
+    for *_, n in few:
+        if bundle < 0 or held + n > most:
+            bundle, held = bundle + 1, 0
+        held += n
+        found.append(bundle)
+    return np.array(found, np.int64)
+
+
+def _dealt(few: list[tuple[int, int, int]], bundles: np.ndarray):
+    find = _finder({(tree, node): i for i, (tree, node, _) in enumerate(few)})
+
+    def deal(batches):
+        """Each row once for each bundle of nodes that holds it, with its places among the nodes and its weights there."""
+        for batch in batches:
+            row, tree, node, weight = _entries(batch)
+            if not len(row):
+                continue
+            place = find(tree, node)
+            bundle = bundles[place]
+            order = np.argsort(bundle.astype(np.uint16) if bundles[-1] < 1 << 16 else bundle, kind="stable")  # rows are in order
+            row, bundle, place, weight = row[order], bundle[order], place[order].astype(np.int32), weight[order]
+            starts = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (bundle[1:] != bundle[:-1]))))
+            step, ends = max(1, (1 << 19) // max(1, len(batch.column("features").flatten()) // batch.num_rows)), np.append(starts, len(row))
+            for a in range(0, len(starts), step):
+                b = min(a + step, len(starts))
+                own = slice(ends[a], ends[b])
+                entries = pa.StructArray.from_arrays([pa.array(place[own]), pa.array(weight[own])], ["place", "weight"])
+                taken = pa.array(row[starts[a:b]])
+                yield pa.RecordBatch.from_arrays([pa.array(bundle[starts[a:b]].astype(np.int32)), batch.column("class_id").take(taken), batch.column("features").take(taken), pa.ListArray.from_arrays(pa.array((ends[a : b + 1] - ends[a]).astype(np.int32)), entries)], ["bundle", "class_id", "features", "at"])
+
+    return deal
+
+
 def _original(column: str, used: list[int]) -> Column:
     """The feature's own number, from its place among those used."""
     return F.get(F.array(*(F.lit(i) for i in used)), F.col(column)).alias(column)
 
 
 def _binned(open_nodes: dict[tuple[int, int], int], marks: dict[int, np.ndarray], classes: int):
-    names = np.array(sorted(open_nodes, key=open_nodes.get), np.int64).reshape(-1, 2)
+    names, find = np.array(sorted(open_nodes, key=open_nodes.get), np.int64).reshape(-1, 2), _finder(open_nodes)
     width = max(len(m) for m in marks.values()) + 1
 
     def histogram(batches):
@@ -247,7 +323,7 @@ def _binned(open_nodes: dict[tuple[int, int], int], marks: dict[int, np.ndarray]
                 continue
             x, label = _matrix(batch.column("features"), batch.num_rows), batch.column("class_id").to_numpy()
             row, tree, node, weight = _entries(batch)
-            place = _nodes_at(tree, node, open_nodes)
+            place = find(tree, node)
             row, weight, place = row[place >= 0], weight[place >= 0], place[place >= 0]
             own, back = np.unique(place, return_inverse=True)
             for f, cut in marks.items():
@@ -262,14 +338,14 @@ def _binned(open_nodes: dict[tuple[int, int], int], marks: dict[int, np.ndarray]
 
 
 def _moved(table: dict[tuple[int, int], tuple]):
-    known = {key: i for i, key in enumerate(table)}
+    find = _finder({key: i for i, key in enumerate(table)})
     feature, split, share = (np.array(v) for v in zip(*table.values(), strict=True))
 
     def move(batches):
         """Entries of split nodes go on to the children, those of leaves go, those of smaller nodes stay."""
         for batch in batches:
             row, tree, node, weight = _entries(batch)
-            x, place = _matrix(batch.column("features"), batch.num_rows) if batch.num_rows else np.zeros((0, 1)), _nodes_at(tree, node, known)
+            x, place = _matrix(batch.column("features"), batch.num_rows) if batch.num_rows else np.zeros((0, 1)), find(tree, node)
             stays, on = place < 0, np.flatnonzero((place >= 0) & (feature[np.maximum(place, 0)] >= 0))
             at = place[on]
             v = x[row[on], feature[at]]
@@ -286,17 +362,30 @@ def _moved(table: dict[tuple[int, int], tuple]):
     return move
 
 
-def _finished(classes: int, used: list[int], k: int, depth: int, seed: int):
-    def finish(key, node):
-        """A node of at most ``cells`` values and all below it. Rows are put in an order of their own first, so that sums do
-        not hang on the order in which they arrive."""
-        tree_id, node_id = (part.as_py() for part in key)
-        x = _matrix(node["features"].combine_chunks(), node.num_rows)
-        label, weight = node["class_id"].to_numpy(), node["weight"].to_numpy()
-        order = np.lexsort((*x.T[::-1], weight, label))
-        found = grown(x[order], label[order], weight[order], tree_id, node_id, classes, used, k, depth, seed)
-        ids, feature, split, share, n, probs = zip(*found, strict=True)
-        return pa.table({"tree_id": pa.array([tree_id] * len(ids), pa.int32()), "node_id": pa.array(ids, pa.int64()), "feature": pa.array(feature, pa.int32()), "split": pa.array(split, pa.float64()), "share_left": pa.array(share, pa.float64()), "n": pa.array(n, pa.int64()), "probs": pa.array([p.tolist() for p in probs], pa.list_(pa.float64()))})
+def _finished(few: list[tuple[int, int, int]], classes: int, used: list[int], k: int, depth: int, seed: int):
+    def finish(table):
+        """The nodes of a bundle and all below them. Rows are put in an order of their own first, so that sums do not hang on the
+        order in which they arrive."""
+        x, label = _matrix(table["features"].combine_chunks(), table.num_rows), table["class_id"].to_numpy()
+        at = table["at"].combine_chunks()
+        row = np.repeat(np.arange(table.num_rows), np.diff(at.offsets.to_numpy()))
+        place, weight = (at.flatten().field(name).to_numpy() for name in ("place", "weight"))
+        order = np.lexsort((*x.T[::-1], label))
+        x, label, rank = x[order], label[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        row = rank[row]
+        order = np.lexsort((row, place))
+        row, place, weight = row[order], place[order], weight[order]
+        starts = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
+        parts = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            (tree_id, node_id, _), own, w = few[place[a]], row[a:b], weight[a:b]
+            again = np.lexsort((w, label[own]))  # of a class, the lighter rows first
+            own, w = own[again], w[again]
+            found = grown(x[own], label[own], w, tree_id, node_id, classes, used, k, depth, seed)
+            ids, feature, split, share, n, probs = zip(*found, strict=True)
+            parts.append(pa.table({"tree_id": pa.array([tree_id] * len(ids), pa.int32()), "node_id": pa.array(ids, pa.int64()), "feature": pa.array(feature, pa.int32()), "split": pa.array(split, pa.float64()), "share_left": pa.array(share, pa.float64()), "n": pa.array(n, pa.int64()), "probs": pa.array([p.tolist() for p in probs], pa.list_(pa.float64()))}))
+        return pa.concat_tables(parts)
 
     return finish
 

@@ -46,12 +46,12 @@ def best_cut(values: np.ndarray, own: np.ndarray) -> tuple[float, float, float,
     return float(after[i]), split, float(left[i].sum() / whole), float(np.round(entropy(total) / whole - after[i], 9))
 
 
-def chosen_cut(x: np.ndarray, own: np.ndarray, columns: list[int], k: int):
-    """(after, column, split, share, gain) of least ``after`` among the first ``k`` columns that can be cut at all, and
+def chosen_cut(x: np.ndarray, at: np.ndarray, own: np.ndarray, columns: list[int], k: int):
+    """(after, column, split, share, gain) for the rows ``at`` of least ``after`` among the first ``k`` columns that can be cut at all, and
     further ones as long as none gains over LEAST_GAIN; None if that gain is not reached."""
     best, good, place = None, False, 0
     for f in columns:
-        cut = best_cut(x[:, f], own)
+        cut = best_cut(x[at, f], own)
         if cut is None:
             continue
         place += 1
@@ -77,7 +77,7 @@ def grown(x: np.ndarray, class_id: np.ndarray, weight: np.ndarray, tree: int, no
         probs = mass / mass.sum()
         cut = None
         if node.bit_length() - 1 < depth and (mass > 0).sum() > 1:
-            cut = chosen_cut(x[at], own, [column[f] for f in in_order(tree, node, features, seed)], k)
+            cut = chosen_cut(x, at, own, [column[f] for f in in_order(tree, node, features, seed)], k)
         if cut is None:
             found.append((node, None, None, None, len(at), probs))
             continue
