@@ -672,3 +672,12 @@ def test_a_row_goes_once_to_a_task_with_all_its_trees():
     assert len(sent) == len({(r["bundle"], r["features"][0]) for r in sent}) <= 700
     assert sorted((r["features"][0], e["place"], e["weight"]) for r in sent for e in r["at"]) == sorted((float(i), t, float(i + t)) for i, t in np.argwhere(inside).tolist())
     assert forest._bundles(few, 2, 120, 10**6, 2).tolist() == list(range(40))  # a large table: no more rows in a task than ``cells`` values
+
+
+def test_importance_within_buckets_equals_joins(spark, grown, monkeypatch):
+    rows, nodes = grown
+    rows = rows.withColumn("label_id", F.when(F.col("row_id") % 3 == 0, -1).otherwise(F.col("label_id")))
+    joined = {r.feature: r.rise for r in forest.importance(rows, nodes, 3, 5, 12, 66, cells=0).collect()}
+    monkeypatch.setattr(forest, "out_of_bag", None)
+    monkeypatch.setattr(forest, "scrambled", None)  # no join of rows with their votes
+    assert {r.feature: r.rise for r in forest.importance(rows, nodes, 3, 5, 12, 66).collect()} == pytest.approx(joined, abs=1e-12)

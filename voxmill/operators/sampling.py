@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -15,6 +19,12 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(",", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+def draws(keys: Iterable[bytes], *parts: int) -> np.ndarray:
+    """``draw`` of each key (with its comma at the end) and the parts, within a task."""
+    end = b",".join(b"%d" % p for p in parts)
+    return np.frombuffer(b"".join([hashlib.md5(key + end).digest() for key in keys]), ">u4")[::4].astype(np.int64)
+
+
 def label_bags(inst: DataFrame, trees: int, percent: int) -> DataFrame:
     """Label-balanced bags: of each tree a label is in or out as a whole; rows weigh by the largest class over theirs."""
     spread = inst.withColumn("tree_id", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))

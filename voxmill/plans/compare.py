@@ -7,7 +7,6 @@ learner, so that one call of ``forest.grow`` trains them all.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxmill.operators.sampling import draw
+from voxmill.operators.sampling import draw, draws
 from voxmill.plans import forest
 from voxmill.plans.scoring import corrected_t, fold_auc
 from voxmill.sources.tables import written
@@ -30,12 +29,6 @@ def with_folds(rows: DataFrame, runs: int, folds: int, seed: int = 1) -> DataFra
     return rows.withColumn("folds", drawn)
 
 
-def _draws(keys: list[bytes], tree: int, seed: int) -> np.ndarray:
-    """``sampling.draw`` of each key, tree and seed (keys end with a comma)."""
-    end = b"%d,%d" % (tree, seed)
-    return np.frombuffer(b"".join([hashlib.md5(key + end).digest() for key in keys]), ">u4")[::4]
-
-
 #: Draws from which on a row is drawn once, twice, ... six times: those of ``forest.times_drawn``.
 _ONCE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(6)])
 
@@ -58,7 +51,7 @@ def in_models(rows: DataFrame, runs: int, folds: int, trees: int, percent: int,
     def labels(batches):
         for batch in sliced(batches):
             keys = [k.encode() + b"," if k else b"" for k in batch.column(0).to_pylist()]  # a draw leaves out a null
-            drawn = np.array([_draws(keys, t, seed) % 100 < percent for t in ids[balanced]], bool).reshape(-1, len(keys))
+            drawn = np.array([draws(keys, t, seed) % 100 < percent for t in ids[balanced]], bool).reshape(-1, len(keys))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(drawn.T, axis=1)], pa.binary())], ["key", "drawn"])
 
     def seen(batch) -> np.ndarray:
@@ -97,7 +90,7 @@ def in_models(rows: DataFrame, runs: int, folds: int, trees: int, percent: int,
                 keys = [b"%d," % k for k in batch.column("row_id").to_pylist()]
                 for t in ids[~balanced]:
                     at = np.flatnonzero(may[:, t])
-                    weight[at, t] = np.searchsorted(_ONCE, _draws([keys[i] for i in at], t, seed) / float(1 << 32), side="right")
+                    weight[at, t] = np.searchsorted(_ONCE, draws([keys[i] for i in at], t, seed) / float(1 << 32), side="right")
             row, tree = np.nonzero(weight)
             ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
             each = pa.StructArray.from_arrays([pa.array(tree.astype(np.int32)), pa.array(weight[row, tree])], ["tree_id", "weight"])

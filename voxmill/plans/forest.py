@@ -16,16 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from voxmill.operators.sampling import draw
+from voxmill.operators.sampling import draw, draws
 from voxmill.plans.subtrees import LEAST_GAIN, MOST_DEPTH, grown
 from voxmill.sources.tables import discard, written
 
 #: Values (rows x features) of a node that one task grows to its leaves: 64 MB of doubles.
 CELLS = 1 << 23
-#: Trees grow together until their rows are this many times the table, or LEAST_SENT values.
+#: Nodes go to tasks together until their rows are this many times the table, or LEAST_SENT values.
 SENT, LEAST_SENT = 4, 1 << 27
 #: Rows of all nodes together that one task grows, unless one node has more; each is an entry of some 20 bytes.
 ENTRIES = 1 << 21
+#: Hash buckets within which a feature is permuted.
+BUCKETS = 64
 #: Larger nodes of one level whose splits go to every task (about 100 bytes each).
 MOST_SPLITS = 1 << 20
 #: Nodes that go to every task at once (about 100 bytes each as arrays).
@@ -128,13 +130,52 @@ def best_nominal_splits(hist: DataFrame, classes: int) -> DataFrame:
 def in_bags(rows: DataFrame, trees: int, percent: int, seed: int = 1) -> DataFrame:
     """``rows`` (row_id, label_id, class_id, ...) with ``at``: tree_id and weight of the bags that hold the row, those of
     ``bags``. Rows are not copied: only keys are counted tree by tree, for the weights."""
-    key = F.when(F.col("label_id") == -1, F.concat(F.lit("r"), F.col("row_id").cast("string"))).otherwise(F.col("label_id").cast("string"))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(key, t, F.lit(seed)) % 100 < percent)
-    sizes = rows.select("class_id", F.explode(inside).alias("tree_id")).groupBy("tree_id", "class_id").agg(F.count("*").alias("n"))
-    weights = sizes.select("class_id", "tree_id", (F.max("n").over(W.partitionBy("tree_id")) / F.col("n")).alias("weight"))
-    weights = weights.groupBy("class_id").agg(F.map_from_entries(F.collect_list(F.struct("tree_id", "weight"))).alias("weights"))  # trees x classes values
-    entry = F.transform(inside, lambda t: F.struct(t.alias("tree_id"), F.try_element_at("weights", t).alias("weight")))
-    return rows.join(F.broadcast(weights), "class_id").withColumn("at", entry).drop("weights")
+
+    def inside(batch) -> dict[int, np.ndarray]:
+        draw_of = _label_draws(batch.column("row_id"), batch.column("label_id"), seed)
+        return {t: draw_of(t) % 100 < percent for t in range(trees)}
+
+    def counted(batches):
+        for batch in batches:
+            label = batch.column("class_id").to_numpy()
+            for t, held in inside(batch).items():
+                names, n = np.unique(label[held], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), t, np.int64)), pa.array(names.astype(np.int64)), pa.array(n)], ["tree_id", "class_id", "n"])
+
+    sizes = rows.select("row_id", "label_id", "class_id").mapInArrow(counted, "tree_id long, class_id long, n long").groupBy("tree_id", "class_id").agg(F.sum("n").alias("n")).toPandas()  # trees x classes values
+    share = sizes.groupby("tree_id")["n"].transform("max") / sizes["n"]
+    known = {(t, c): w for t, c, w in zip(sizes["tree_id"], sizes["class_id"], share, strict=True)}
+    names = list(rows.columns)
+
+    def entries(batches):
+        step = max(1, (1 << 21) // trees)
+        for batch in (whole.slice(i, step) for whole in batches for i in range(0, whole.num_rows, step)):
+            weight, (classes, back) = np.zeros((batch.num_rows, trees)), np.unique(batch.column("class_id").to_numpy(), return_inverse=True)
+            for t, held in inside(batch).items():
+                weight[:, t] = held * np.array([known.get((t, c), 0.0) for c in classes])[back]
+            row, tree = np.nonzero(weight)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows)))).astype(np.int32)
+            each = pa.StructArray.from_arrays([pa.array(tree.astype(np.int32)), pa.array(weight[row, tree])], ["tree_id", "weight"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.ListArray.from_arrays(pa.array(ends), each)], [*names, "at"])
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(entries, f"{shape}, at array<struct<tree_id: int, weight: double>>")
+
+
+def _label_draws(row_id, label_id, seed: int):
+    """A function of a tree that gives the draw of each row: its label's (taken once), of rows with label -1 their own."""
+    ids, null = row_id.to_numpy(), np.asarray(label_id.is_null())
+    label = label_id.fill_null(0).to_numpy()
+    names, back = np.unique(label, return_inverse=True)
+    alone = (label == -1) & ~null
+
+    def draw_of(tree: int) -> np.ndarray:
+        found = draws((b"%d," % i for i in names.tolist()), tree, seed)[back]
+        found[alone] = draws((b"r%d," % i for i in ids[alone].tolist()), tree, seed)
+        found[null] = draws((b"",), tree, seed)
+        return found
+
+    return draw_of
 
 
 def train(rows: DataFrame, classes: int, n_features: int, trees: int = 200, percent: int = 66, depth: int = MOST_DEPTH, n_bins: int = 32, seed: int = 1, k: int | None = None, features: list[int] | None = None, cells: int = CELLS) -> DataFrame:
@@ -149,8 +190,8 @@ def grow(rows: DataFrame, classes: int, n_features: int, trees: int, depth: int
 
     A node of at most ``cells`` values (rows x features) is grown to its leaves by one task, at midpoints of sorted values.
     Larger nodes are split level by level at the edges of ``n_bins`` quantile bins, from histograms that tasks sum first.
-    Rows are stored once, with the node and weight of each tree beside them; so many trees grow together that what is sent to
-    the tasks is about SENT times the rows (of a small table: all). A task gets several nodes at once if their rows are few or
+    Rows are stored once, with the node and weight of each tree beside them; so many nodes go to tasks together that what is sent is
+    about SENT times the rows (of a small table: all). A task gets several nodes at once if their rows are few or
     the table is no larger than ``cells``, and a row that is in several of them is sent to it once. ``k`` features a node (a tenth, rounded up, if not given).
     Rows without a value for a split's feature go to both sides with their share of the weight. ``features``: use these
     alone (the second pass of ``two_passes``); ids of the others never occur. An empty table gives no nodes.
@@ -161,14 +202,9 @@ def grow(rows: DataFrame, classes: int, n_features: int, trees: int, depth: int
     values = F.col("features").cast("array<double>") if features is None else F.array(*(F.get("features", i).cast("double") for i in used))
     entries = F.transform("at", lambda a: F.struct(a["tree_id"].alias("tree_id"), F.lit(1).cast("long").alias("node_id"), a["weight"].cast("double").alias("weight")))
     stored = written(rows.select(F.col("class_id").cast("int").alias("class_id"), values.alias("features"), entries.alias("at")).where(F.size("at") > 0), "bag")
-    total, copies = stored.agg(F.count("*"), F.sum(F.size("at"))).first()
-    own, width = (copies or 0) / trees, max(1, len(used))
-    beside = max(1, min(trees, int(ENTRIES / max(1.0, own)))) if total * width <= cells else 1  # trees that share a row
-    each = 2 * own + (total if beside > 1 else own) * width / beside  # values that one tree is sent
-    together = max(1, min(trees, int(max(SENT * total * len(used), LEAST_SENT) / max(1.0, each))))
-    found = [_grow_some(stored.withColumn("at", F.filter("at", lambda a: (a["tree_id"] >= first) & (a["tree_id"] < first + together))).where(F.size("at") > 0) if together < trees else stored, classes, used, depth, n_bins, seed, k, cells, total) for first in range(0, trees, together)]
+    found = _grow_all(stored, classes, used, depth, n_bins, seed, k, cells, stored.count())
     discard(stored)
-    return _union([df for part in found for df in part])
+    return _union(found)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -191,6 +227,11 @@ def _matrix(features, n: int) -> np.ndarray:
     return features.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1)
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """The column as one array, not copied if it is one already."""
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
 def _finder(known: dict[tuple[int, int], int]):
     """A function of tree_ids and node_ids that gives their values in ``known``, -1 where they are not there."""
     pairs, values = np.array(list(known), np.int64).reshape(-1, 2), np.array(list(known.values()), np.int64)
@@ -210,7 +251,7 @@ def _finder(known: dict[tuple[int, int], int]):
     return find
 
 
-def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins: int, seed: int, k: int, cells: int, total: int) -> list[DataFrame]:
+def _grow_all(now: DataFrame, classes: int, used: list[int], depth: int, n_bins: int, seed: int, k: int, cells: int, total: int) -> list[DataFrame]:
     """Tables of nodes of the trees of ``now``, whose table has ``total`` rows."""
     spark, own, marks, found, few = now.sparkSession, None, None, [], []
     for level in range(depth + 1):
@@ -243,10 +284,19 @@ def _grow_some(now: DataFrame, classes: int, used: list[int], depth: int, n_bins
         discard(sizes, *([own] if own is not None else []))
         now = own = moved
         found.append(nodes.select("tree_id", "node_id", _original("feature", used), "split", "share_left", "n", "probs"))
-    bundles = _bundles(few, len(used), cells, total, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = now.mapInArrow(_dealt(few, bundles), "bundle int, class_id int, features array<double>, at array<struct<place: int, weight: double>>")
-    small = dealt.groupBy("bundle").applyInArrow(_finished(few, classes, used, k, depth, seed), "tree_id int, node_id long, feature int, split double, share_left double, n long, probs array<double>")
-    found.append(written(small, "subtrees"))
+    width, groups, sent = max(1, len(used)), [[]], 0.0
+    for node in sorted(few):
+        n = node[2]
+        each = 2 * n + width * (n if total * width > cells else min(n, total * n / ENTRIES))
+        if groups[-1] and sent + each > max(SENT * total * width, LEAST_SENT):
+            groups, sent = [*groups, []], 0.0
+        groups[-1].append(node)
+        sent += each
+    for group in groups:
+        bundles = _bundles(group, width, cells, total, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = now.mapInArrow(_dealt(group, bundles), "bundle int, class_id int, features array<double>, at array<struct<place: int, weight: double>>")
+        small = dealt.groupBy("bundle").applyInArrow(_finished(group, classes, used, k, depth, seed), "tree_id int, node_id long, feature int, split double, share_left double, n long, probs array<double>")
+        found.append(written(small, "subtrees"))
     if own is not None:
         discard(own)
     return found
@@ -271,8 +321,8 @@ def _sizes(least: int, classes: int):
 
 def _bundles(few: list[tuple[int, int, int]], width: int, cells: int, total: int, parts: int) -> np.ndarray:
     """The bundle of each node (tree_id, node_id, n): nodes one after the other as long as their entries are ENTRIES at most and, in
-    a table of more than ``cells`` values, their rows ``cells``; fewer if all could otherwise not be dealt to ``parts`` evenly."""
-    most = min(ENTRIES, sum(n for *_, n in few) / (3 * parts)) if total * width <= cells else min(ENTRIES, cells / max(1, width))
+    a table of more than ``cells`` values, their rows a quarter of ``cells``; fewer if all could otherwise not be dealt to ``parts`` evenly."""
+    most = min(ENTRIES, sum(n for *_, n in few) / (3 * parts)) if total * width <= cells else min(ENTRIES, cells / max(1, width)) / 4
     found, bundle, held = [], -1, 0
     for *_, n in few:
         if bundle < 0 or held + n > most:
@@ -289,9 +339,10 @@ def _dealt(few: list[tuple[int, int, int]], bundles: np.ndarray):
         """Each row once for each bundle of nodes that holds it, with its places among the nodes and its weights there."""
         for batch in batches:
             row, tree, node, weight = _entries(batch)
+            place = find(tree, node)
+            row, weight, place = row[place >= 0], weight[place >= 0], place[place >= 0]
             if not len(row):
                 continue
-            place = find(tree, node)
             bundle = bundles[place]
             order = np.argsort(bundle.astype(np.uint16) if bundles[-1] < 1 << 16 else bundle, kind="stable")  # rows are in order
             row, bundle, place, weight = row[order], bundle[order], place[order].astype(np.int32), weight[order]
@@ -366,23 +417,28 @@ def _finished(few: list[tuple[int, int, int]], classes: int, used: list[int], k:
     def finish(table):
         """The nodes of a bundle and all below them. Rows are put in an order of their own first, so that sums do not hang on the
         order in which they arrive."""
-        x, label = _matrix(table["features"].combine_chunks(), table.num_rows), table["class_id"].to_numpy()
-        at = table["at"].combine_chunks()
-        row = np.repeat(np.arange(table.num_rows), np.diff(at.offsets.to_numpy()))
+        x, label = _matrix(_one(table["features"]), table.num_rows), table["class_id"].to_numpy()
+        at = _one(table["at"])
+        row = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(at.offsets.to_numpy()))
         place, weight = (at.flatten().field(name).to_numpy() for name in ("place", "weight"))
+        del at
         order = np.lexsort((*x.T[::-1], label))
-        x, label, rank = x[order], label[order], np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        x, label, rank = x[order], label[order], np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         row = rank[row]
+        del rank
         order = np.lexsort((row, place))
         row, place, weight = row[order], place[order], weight[order]
+        del order
         starts = np.append(np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), len(place))
         parts = []
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             (tree_id, node_id, _), own, w = few[place[a]], row[a:b], weight[a:b]
             again = np.lexsort((w, label[own]))  # of a class, the lighter rows first
             own, w = own[again], w[again]
-            found = grown(x[own], label[own], w, tree_id, node_id, classes, used, k, depth, seed)
+            del again
+            alone = len(own) == len(x) and (own[1:] > own[:-1]).all()  # all rows, as they lie
+            found = grown(x if alone else x[own], label if alone else label[own], w, tree_id, node_id, classes, used, k, depth, seed)
             ids, feature, split, share, n, probs = zip(*found, strict=True)
             parts.append(pa.table({"tree_id": pa.array([tree_id] * len(ids), pa.int32()), "node_id": pa.array(ids, pa.int64()), "feature": pa.array(feature, pa.int32()), "split": pa.array(split, pa.float64()), "share_left": pa.array(share, pa.float64()), "n": pa.array(n, pa.int64()), "probs": pa.array([p.tolist() for p in probs], pa.list_(pa.float64()))}))
         return pa.concat_tables(parts)
@@ -616,7 +672,7 @@ def out_of_bag(rows: DataFrame, nodes: DataFrame, classes: int, trees: int, perc
 def scrambled(rows: DataFrame, feature: int, seed: int = 1) -> DataFrame:
     """One feature permuted over the rows, by a second order drawn from the rows' keys. Both orders are numbered within
     hash buckets, so no single task holds all rows."""
-    bucket = draw("row_id", F.lit(seed)) % 64
+    bucket = draw("row_id", F.lit(seed)) % BUCKETS
     there = W.partitionBy("bucket").orderBy("row_id")
     here = W.partitionBy("bucket").orderBy(draw("row_id", F.lit(feature), F.lit(seed)), "row_id")
     numbered = rows.withColumn("bucket", bucket).withColumn("from", F.row_number().over(there)).withColumn("to", F.row_number().over(here))
@@ -625,12 +681,47 @@ def scrambled(rows: DataFrame, feature: int, seed: int = 1) -> DataFrame:
     return numbered.join(values, ["bucket", "to"]).withColumn("features", swapped).select(*rows.columns)
 
 
-def importance(rows: DataFrame, nodes: DataFrame, classes: int, n_features: int, trees: int, percent: int, seed: int = 1) -> DataFrame:
-    """feature, rise: how much the out-of-bag error rises when the feature is scrambled; all features in one job."""
-    parts = [rows.withColumn("feature", F.lit(-1))] + [scrambled(rows, f, seed).withColumn("feature", F.lit(f)) for f in range(n_features)]
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.unionByName(more)
-    errors = written(out_of_bag(every, nodes, classes, trees, percent, seed, ["feature"]), "errors")
+def importance(rows: DataFrame, nodes: DataFrame, classes: int, n_features: int, trees: int, percent: int, seed: int = 1, cells: int = CELLS) -> DataFrame:
+    """feature, rise: how much the out-of-bag error rises when the feature is scrambled; all features in one job.
+
+    If the trees are one run and a bucket of rows has at most ``cells`` values, a task permutes all features of a bucket, as
+    ``scrambled`` does, and counts the errors there; else rows are permuted by joins, and votes meet their bags by another."""
+    runs, total = blocks(nodes), rows.count()
+    if len(runs) == 1 and total / BUCKETS * (n_features + 4) <= cells:
+        errors = _bucket_errors(rows, packed(nodes, runs[0]), classes, n_features, trees, percent, seed)
+    else:
+        parts = [rows.withColumn("feature", F.lit(-1))] + [scrambled(rows, f, seed).withColumn("feature", F.lit(f)) for f in range(n_features)]
+        errors = out_of_bag(_union(parts), nodes, classes, trees, percent, seed, ["feature"])
+    errors = written(errors, "errors")
     plain = F.max(F.when(F.col("feature") == -1, F.col("error"))).over(W.partitionBy())  # a row a feature
     return errors.withColumn("plain", plain).where("feature >= 0").select("feature", (F.col("error") - F.col("plain")).alias("rise"))
+
+
+def _bucket_errors(rows: DataFrame, forest: dict[int, Tree], classes: int, n_features: int, trees: int, percent: int, seed: int) -> DataFrame:
+    """feature (-1: none), n, error: what ``out_of_bag`` gives with each feature scrambled."""
+
+    def count(table):
+        x, own = np.array(_matrix(table["features"].combine_chunks(), table.num_rows), order="F"), table["class_id"].to_numpy()
+        ids, draw_of = table["row_id"].to_numpy(), _label_draws(table["row_id"], table["label_id"], seed)
+        outside = {t: np.flatnonzero(draw_of(t) % 100 >= percent) for t in forest}
+        used = np.bincount(np.concatenate(list(outside.values())), minlength=len(x))
+        seen = (used > 0) & ~np.isnan(own.astype(float))
+        there = np.argsort(ids, kind="stable")
+        found = []
+        for feature in range(-1, n_features):
+            if feature >= 0:
+                here, kept = np.lexsort((ids, draws((b"%d," % i for i in ids.tolist()), feature, seed))), x[:, feature].copy()
+                x[here, feature] = kept[there]  # the n-th by draw takes the value of the n-th by row_id
+            total = np.zeros((len(x), classes))
+            for t, at in outside.items():
+                total[at] += tree_probs(forest[t], x[at], classes)
+            said = np.round(total[seen] / used[seen, None], 9).argmax(axis=1)
+            found.append((feature, int(seen.sum()), int((said != own[seen]).sum())))
+            if feature >= 0:
+                x[:, feature] = kept
+        feature, n, wrong = zip(*found, strict=True)
+        return pa.table({"feature": pa.array(feature, pa.int32()), "n": pa.array(n, pa.int64()), "wrong": pa.array(wrong, pa.int64())})
+
+    dealt = rows.select((draw("row_id", F.lit(seed)) % BUCKETS).alias("bucket"), "row_id", "label_id", "class_id", F.col("features").cast("array<double>").alias("features"))
+    counts = dealt.groupBy("bucket").applyInArrow(count, "feature int, n long, wrong long")
+    return counts.groupBy("feature").agg(F.sum("n").alias("n"), (F.sum("wrong") / F.sum("n")).alias("error"))

@@ -10,6 +10,8 @@ import numpy as np
 LEAST_GAIN = 0.01
 #: The root is 1 and the children of k are 2k and 2k + 1, so ids of 64 bits name this many levels; nodes there are leaves.
 MOST_DEPTH = 61
+#: Cuts that are weighed at once.
+AT_ONCE = 1 << 16
 
 
 def in_order(tree: int, node: int, features: list[int], seed: int) -> list[int]:
@@ -29,16 +31,18 @@ def entropy(counts: np.ndarray) -> np.ndarray:
 def best_cut(values: np.ndarray, own: np.ndarray) -> tuple[float, float, float, float] | None:
     """(entropy after it, split, share of the weight to the left, gain) of the best midpoint between two values, ties to the
     smaller; ``own``: the class weights of each row. Rows without a value count for nothing; None if all values are alike."""
-    known = ~np.isnan(values)
-    order = np.argsort(values[known], kind="stable")
-    values, own = values[known][order], own[known][order]
+    known = np.flatnonzero(~np.isnan(values))
+    order = known[np.argsort(values[known], kind="stable")]
+    values = values[order]
     ends = np.flatnonzero(values[1:] != values[:-1])
     if not len(ends):
         return None
-    left = np.cumsum(own, axis=0)
-    total, left = left[-1], left[ends]
+    total, left = np.zeros(own.shape[1]), np.zeros((len(ends), own.shape[1]))
+    for c in range(own.shape[1]):
+        run = np.cumsum(own[order, c])
+        total[c], left[:, c] = run[-1], run[ends]
     whole = total.sum()
-    after = np.round((entropy(left) + entropy(np.maximum(total - left, 0))) / whole, 9)
+    after = np.concatenate([np.round((entropy(part) + entropy(np.maximum(total - part, 0))) / whole, 9) for part in np.split(left, range(AT_ONCE, len(left), AT_ONCE))])
     i = int(np.argmin(after))
     low, high = float(values[ends[i]]), float(values[ends[i] + 1])
     middle = low / 2 + high / 2
